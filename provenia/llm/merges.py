@@ -133,7 +133,7 @@ def side_by_side(symbols: np.ndarray, first: np.ndarray, table: PairTable, look:
 class Memory:
     """Merged symbols of chunks met before, by the hash and size of their bytes; of fixed size, newest entries win."""
 
-    def __init__(self, bits: int = 20, symbols: int = 1 << 23) -> None:
+    def __init__(self, bits: int = 20, symbols: int = 1 << 22) -> None:
         self.shift = np.uint64(64 - bits)
         self.keys, self.sizes = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.starts, self.counts = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)

@@ -31,7 +31,7 @@ from provenia.llm.merges import Memory, PairTable, side_by_side
 
 WINDOW = 1024
 POOL = 4096
-_PART = 1 << 23
+_PART = 1 << 21
 _CHECK_EVERY = 200
 #: Above this code point the classes of characters depend on the Unicode version; such texts are encoded as a whole.
 _SURE = 0x3000

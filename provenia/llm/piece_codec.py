@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from provenia.llm import spans
 from provenia.llm.merges import Memory, PairTable, side_by_side
 
-_PART = 1 << 23
+_PART = 1 << 21
 _CHECK_EVERY = 50
 _MARK = "▁"
 
