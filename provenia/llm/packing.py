@@ -197,7 +197,7 @@ class Packer:
         self.window, self.pool, self.next = window, pool, first_window
         self.by_length: dict[int, list[tuple]] = defaultdict(list)
         self.counts: dict[int, int] = {}
-        self.held = 0
+        self.held = self.tokens = 0
         self.out: list[tuple] = []
 
     def add(self, doc: object, ids: np.ndarray) -> None:
@@ -214,12 +214,12 @@ class Packer:
                 self._close(self._take(chosen))
             else:
                 return
-            while self.held >= self.pool:  # lengths that do not fit together: cut as at the end
+            while self.held >= self.pool and self.tokens >= self.window:  # lengths that do not fit together: cut as at the end
                 self._close_short()
 
     def finish(self) -> None:
         while self.held:
-            if sum(k * c for k, c in self.counts.items()) < self.window:
+            if self.tokens < self.window:
                 return self._powers()
             self._close_short()
 
@@ -256,6 +256,7 @@ class Packer:
         self.by_length[n].append(item)
         self.counts[n] = self.counts.get(n, 0) + 1
         self.held += 1
+        self.tokens += n
 
     def _take(self, chosen: dict[int, int]) -> list[tuple]:
         got = []
@@ -264,6 +265,7 @@ class Packer:
                 got.append(self.by_length[n].pop())
             self.counts[n] -= c
             self.held -= c
+            self.tokens -= n * c
             if not self.counts[n]:
                 del self.counts[n], self.by_length[n]
         return got

@@ -136,7 +136,7 @@ def train(texts: list[str], labels: list, prior: dict, lower: bool, dim: int = 1
     model = Model(classes, logits, float(scales[int(np.argmin(loss))]), shift, lower)
     p = _softmax(raw * model.scale + shift)
     right = p.argmax(axis=1) == y[test]
-    model.reject_below = min(0.5, float(np.quantile(p.max(axis=1)[right], 0.001)) * 0.9) if right.any() else 0.0
+    model.reject_below = min(0.4, float(np.quantile(p.max(axis=1)[right], 0.001)) * 0.8) if right.any() else 0.0
     return model
 
 
