@@ -86,7 +86,7 @@ def regex_search(nodes: DataFrame, pattern: str, source_id: str | None = None, l
     rows = rows.withColumn("match", F.regexp_extract("text", f"(?i){pattern}", 0)).withColumn("at", F.regexp_instr("text", F.lit(f"(?i){pattern}")) - 1)
     half = context // 2
     begin, end = F.greatest(F.col("at") - half, F.lit(0)), F.least(F.col("at") + F.length("match") + half, F.length("text"))
-    out = rows.select("node_id", "source_id", "match", F.substring("text", begin + F.lit(1), end - begin).alias("context"), F.col("source_id").cast("long").alias("s"), "paragraph")
+    out = rows.select("node_id", "source_id", "match", F.substring("text", begin + F.lit(1), end - begin).alias("context"), F.col("source_id").try_cast("long").alias("s"), "paragraph")
     return out.orderBy("s", "source_id", "paragraph").limit(limit).drop("s", "paragraph")
 
 

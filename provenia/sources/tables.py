@@ -44,13 +44,12 @@ def read_json_corpus(spark: SparkSession, root: str) -> Corpus:
         full = f"{schema}, _corrupt string"
         if not there:
             return spark.createDataFrame([], f"{full}, dir string")
-        reader = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        files = reader.option("pathGlobFilter", f"{name}.json").option("recursiveFileLookup", True).json(root)
-        parts = F.split(F.col("_metadata.file_path"), "/")
-        placed = files.withColumn("dir", F.url_decode(F.element_at(parts, -2))).withColumn("depth", F.size(parts))
+        files = spark.read.option("wholetext", True).option("pathGlobFilter", f"{name}.json").option("recursiveFileLookup", True).text(root)
+        parts = F.split(F.regexp_replace("_metadata.file_path", r"^[a-z]+:/+", "/"), "/")
         depth = len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/").split("/"))
-        direct = F.size(F.split(F.regexp_replace("_metadata.file_path", r"^[a-z]+:/+", "/"), "/")) == depth + 2
-        return placed.where(direct & ~F.col("dir").startswith(".") & F.col("_corrupt").isNull()).drop("depth")
+        read = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+        placed = files.select(F.url_decode(F.element_at(parts, -2)).alias("dir"), (F.size(parts) == depth + 2).alias("direct"), read.alias("r"))
+        return placed.where(F.col("direct") & ~F.col("dir").startswith(".") & F.col("r._corrupt").isNull()).select("r.*", "dir")
 
     csl = scan("csl", CSL_SCHEMA).withColumn("key", or_default("id", F.col("dir")))
     last = Window.partitionBy("key").orderBy(F.desc("dir"))
