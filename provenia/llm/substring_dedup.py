@@ -122,8 +122,8 @@ def _split(docs: DataFrame, keys: DataFrame, key: list[str], n: int) -> tuple[Da
     tested = docs.withColumn("bucket", F.shiftright(at, 15)).join(F.broadcast(bitmap), "bucket", "left")  # 8 MB at most
     bit = at.bitwiseAND(32767)
     octet = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(F.expr("1") == F.call_function("mod", F.floor(octet / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)), F.lit(False))
-    tested = tested.withColumn("may", may)
+    hit = F.floor(octet / F.pow(F.lit(2), bit.bitwiseAND(7))) % 2 == 1
+    tested = tested.withColumn("may", F.coalesce(hit, F.lit(False)))
     return tested.where("may").drop("bucket", "bits", "may"), tested.where("not may").drop("bucket", "bits", "may")
 
 
@@ -143,7 +143,8 @@ def removals(docs: DataFrame, work: Workspace, window: int, core: int) -> tuple[
 
     rows, _ = work.save(docs.select("doc", "tag", "text").mapInArrow(scan, "doc long, tag int, m long, p long, start int, count int"), "paths")
     stats = rows.groupBy("m").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
-    known = stats.where("d0 < d1").select("m", (F.col("p0") != F.col("p1")).alias("branches"))
+    # Written, so that both sides of the joins are plain shuffles and adaptive execution can split a hot minimizer.
+    known, _ = work.save(stats.where("d0 < d1").select("m", (F.col("p0") != F.col("p1")).alias("branches")), "known")
     repeated, _ = work.save(rows.join(known, "m"), "repeated")
     source = F.min(F.struct("doc", "tag", "start")).alias("source")
     classes, _ = work.save(repeated.groupBy("m", "p").agg(source, F.max("doc").alias("last"), F.max("count").alias("count"), F.max("branches").alias("branches")), "classes")
@@ -164,7 +165,7 @@ def removals(docs: DataFrame, work: Workspace, window: int, core: int) -> tuple[
                 yield pa.RecordBatch.from_arrays(out, ["m", "p", "o", "e", "d"])
 
     edges, _ = work.save(held.join(opened, ["doc", "tag"]).select("doc", "text", "at").mapInArrow(open_paths, "m long, p long, o int, e long, d long"), "edges")
-    first = edges.groupBy("m", "e").agg(F.min("d").alias("d"))
+    first, _ = work.save(edges.groupBy("m", "e").agg(F.min("d").alias("d")), "first")
     branching = edges.drop("d").join(first, ["m", "e"]).groupBy("m", "p").agg(F.collect_list(F.struct("o", F.lit(1).alias("c"), "d")).alias("least"))
 
     hit = F.transform(F.filter("least", lambda x: x["d"] < F.col("doc")), lambda x: F.struct((F.col("start") + x["o"]).alias("start"), x["c"].alias("count")))
@@ -172,7 +173,7 @@ def removals(docs: DataFrame, work: Workspace, window: int, core: int) -> tuple[
     # The same path of the same document may come twice where rows repeat; windows are a set.
     per_doc = cut.groupBy("doc", "tag").agg(F.flatten(F.collect_set("hit")).alias("cuts"))
     out, seen = work.save(per_doc, "cuts", n=F.count("*"))
-    for done in (rows, repeated, edges, classes, opened):
+    for done in (rows, known, repeated, first, edges, classes, opened):
         work.drop(done)
     return out, seen["n"]
 
