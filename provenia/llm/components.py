@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from provenia.llm.shared import Workspace
 
 
-def _stars(of: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and all of u's partners; partial minima are taken before the shuffle."""
-    least = of.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _stars(of: DataFrame, work: Workspace) -> DataFrame:
+    """Each (u, v) with m, the least of u and all of u's partners; partial minima are taken before the shuffle.
+
+    The minima are written first: then both sides of the join are plain shuffles, and adaptive execution can split
+    the node that a third of all others link to.
+    """
+    least, _ = work.save(of.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return of.join(least, "u")
 
 
@@ -29,8 +33,9 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
     links, was = save(links)
     while was["n"]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        small = _stars(large).select(
+        large = _stars(both, work).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large, _ = work.save(large, "large")
+        small = _stars(large, work).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
         new, now = save(small.where("u > v").distinct())

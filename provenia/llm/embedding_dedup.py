@@ -217,6 +217,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     of = tops.select("node", "component").join(least, "component").select("node", "component_id")
     named = classes.select("key", "node", "rep", "weight").join(degree, "node", "left").join(of, "node", "left")
     named = named.select("key", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    named, _ = work.save(named, "named")  # so that adaptive execution can split a hot vector in the last join
     out = rows.select("id", "key").join(named, "key", "left")
     own = out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return own.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

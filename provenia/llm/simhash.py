@@ -261,4 +261,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = tops.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = tops.select("node", "component").join(least, "component").select(F.col("node").alias("fp"), "component_id")
     named = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    named, _ = work.save(named, "named")  # so that adaptive execution can split a hot fingerprint in the last join
     return prints.join(named, "fp", "left").select("id", "fp", "component_id")
