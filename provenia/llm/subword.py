@@ -140,22 +140,42 @@ def train(texts: list[str], labels: list, prior: dict, lower: bool, dim: int = 1
     return model
 
 
+def _cell(column: str) -> Column:
+    """Rank of a hashed id on a logarithmic scale, 64 steps to a doubling; no two ids swap their order."""
+    above = F.shiftrightunsigned(hashed_rank(column, 5).bitwiseXOR(F.lit(-(1 << 63))), 1)
+    return F.floor(F.log2(above + F.lit(1.0)) * 64).cast("int")
+
+
 def fit_frame(docs: DataFrame, allowed: Column, label: str, lower: bool, id_col: str, text_col: str, labels: DataFrame | None = None, per_class: int = PER_CLASS) -> Model | None:
     """A model of ``label``, learned from the allowed rows of docs, or of docs joined with labels; None without any.
 
-    Of each class the ``per_class`` rows of least hashed id are taken, so what reaches the driver is bounded.
+    Of each class the ``per_class`` rows of least hashed id are taken, so what reaches the driver is bounded. A count by
+    class and logarithmic range of hashes, a few thousand rows a class, first tells how far to read; so the window sees
+    little more than the rows that it keeps, however many rows a class has.
     """
     of = (docs if labels is None else labels).where(allowed & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"))
     if labels is not None:
         of = of.distinct()
+    of = of.withColumn("cell", _cell("id"))
+    counts = of.groupBy("label", "cell").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("cell"))
+    last = F.coalesce(F.min(F.when(F.col("upto") >= per_class, F.col("cell"))), F.max("cell"))
+    ends = counts.withColumn("upto", upto).groupBy("label").agg(last.alias("last"), F.sum("n").alias("n")).collect()
+    if not ends:
+        return None
+    prior = {r["label"]: r["n"] for r in ends}
+    kind = of.schema["label"].dataType.simpleString()
+    cut = docs.sparkSession.createDataFrame([(r["label"], r["last"]) for r in ends], f"label {kind}, last int")
     order = Window.partitionBy("label").orderBy(hashed_rank("id", 5), "id")
-    ids = of.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id", "label")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    picked = texts.join(F.broadcast(ids), "id").toArrow() if labels is not None else docs.where(allowed & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), ["id", "label"]).toArrow()
+    near = of.join(F.broadcast(cut), "label").where(F.col("cell") <= F.col("last"))  # one row a class
+    ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id", "label")
+    texts = docs if labels is not None else docs.where(allowed & F.col(label).isNotNull())
+    keys = ["id"] if labels is not None else ["id", "label"]
+    texts = texts.select(F.col(id_col).alias("id"), *([] if labels is not None else [F.col(label).alias("label")]), F.coalesce(text_col, F.lit("")).alias("text"))
+    picked = texts.join(F.broadcast(ids), keys).select("id", "label", "text").toArrow()
     if not picked.num_rows:
         return None
     picked = picked.sort_by([("id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    prior = {r["label"]: r["n"] for r in of.groupBy("label").agg(F.count("*").alias("n")).where(F.col("label").isin(sorted(set(picked["label"].to_pylist())))).collect()}
     mixed = np.random.default_rng(2).permutation(picked.num_rows)
     got = picked.take(pa.array(mixed))
     return train(got["text"].to_pylist(), got["label"].to_pylist(), prior, lower)
