@@ -44,7 +44,7 @@ def read_json_corpus(spark: SparkSession, root: str) -> Corpus:
         full = f"{schema}, _corrupt string"
         if not there:
             return spark.createDataFrame([], f"{full}, dir string")
-        files = spark.read.option("wholetext", True).option("pathGlobFilter", f"{name}.json").option("recursiveFileLookup", True).text(root)
+        files = spark.read.text(root, wholetext=True, pathGlobFilter=f"{name}.json", recursiveFileLookup=True)
         parts = F.split(F.regexp_replace("_metadata.file_path", r"^[a-z]+:/+", "/"), "/")
         depth = len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/").split("/"))
         read = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})

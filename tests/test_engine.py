@@ -182,7 +182,7 @@ def test_audit_chain_does_not_see_the_last_message(spark):
 def test_json_corpus(spark, tmp_path):
     def put(folder, name, value):
         os.makedirs(tmp_path / folder, exist_ok=True)
-        (tmp_path / folder / f"{name}.json").write_text(value if isinstance(value, str) else json.dumps(value))
+        (tmp_path / folder / f"{name}.json").write_text(value if isinstance(value, str) else json.dumps(value, indent=1))
 
     node = lambda k: {"node_id": f"n{k}", "source_id": "a", "text": "t", "sha256": sha("t"), "page": 1, "paragraph": k, "section_path": "/"}
     put("one", "csl", {"id": "a", "title": "T", "issued": {"date-parts": [[2024]]}})
