@@ -10,12 +10,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provenia.llm import html_extraction, packing, piece_codec, spans
+from provenia.llm import html_extraction, packing, piece_codec, spans, subword
 from provenia.llm.chat_format import escape, format_chats, unescape
 from provenia.llm.language_id import language_scores
 from provenia.llm.packing import Packer, fill, pack
 from provenia.llm.quality import quality_scores
 from provenia.llm.queries import QUERIES, vocabulary
+from provenia.llm.shared import hashed_rank
 
 SF = "/root/testdata/sf0.01"
 PIECES, BYTES = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
@@ -45,6 +46,17 @@ def test_quality_of_odd_rows(spark):
     assert quality_scores(docs.limit(0), labels, F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("per_class", [1, 40, 100_000])
+def test_sample_is_that_of_least_hashes(spark, monkeypatch, per_class):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("lang"))
+    seen = {}
+    monkeypatch.setattr(subword, "train", lambda texts, labels, prior, lower: seen.update(rows=sorted(zip(labels, texts, strict=True)), prior=prior))
+    subword.fit_frame(docs, F.lit(True), "lang", True, "doc_id", "text", per_class=per_class)
+    ranked = docs.select("lang", "text", hashed_rank("doc_id", 5).alias("h")).collect()
+    want = [(c, r.text) for c in ("hot", "rare") for r in sorted((r for r in ranked if r.lang == c), key=lambda r: r.h)[:per_class]]
+    assert seen == {"rows": sorted(want), "prior": {"hot": 4900, "rare": 100}}
+
+
 def test_language_of_held_out_documents(spark):
     got = QUERIES["op5_language_id"](spark, SF).join(read(spark, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(g.lang_pred == g.lang for g in got) >= 0.97 * len(got) > 100
