@@ -222,12 +222,23 @@ def tamper_detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}, {CSL} SELECT node_id, CASE source_id::BIGINT % 7 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' WHEN 4 THEN 'L4' END AS failed_at, CASE WHEN source_id::BIGINT % 7 < 5 THEN 'rejected' ELSE 'pending_audit' END AS overall FROM nodes WHERE paragraph = 0")
 def verification_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """First lines as evidence; by source, one kind of fault for each rung, and two kinds without."""
+    """Only first lines as evidence, as the SQL has it; verification_ladder_all judges every passage."""
+    return _verdicts(spark, d, "paragraph = 0")
+
+
+@query(f"WITH {NODES}, {CSL} SELECT node_id, CASE source_id::BIGINT % 7 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' WHEN 4 THEN 'L4' END AS failed_at, CASE WHEN source_id::BIGINT % 7 < 5 THEN 'rejected' ELSE 'pending_audit' END AS overall FROM nodes")
+def verification_ladder_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage as evidence."""
+    return _verdicts(spark, d, "true")
+
+
+def _verdicts(spark: SparkSession, d: str, chosen: str) -> DataFrame:
+    """Verdicts on the chosen passages; by source, one kind of fault for each rung, and two kinds without."""
     nodes = _nodes(spark, d)
     forest = evidence.trees(nodes)
     csl = csl_of(spark, d)
     rendered = csl.select("id", citation("apa", F.col("author"), F.col("year"), F.col("title"), F.col("container")).alias("citation"))
-    rows = nodes.where("paragraph = 0").join(forest.select("source_id", "levels"), "source_id").join(rendered, F.col("id") == F.col("source_id"))
+    rows = nodes.where(chosen).join(forest.select("source_id", "levels"), "source_id").join(rendered, F.col("id") == F.col("source_id"))
     k = F.col("source_id").cast("long") % 7
     item = rows.select(
         F.col("node_id").alias("own"), F.when(k == 1, F.concat("node_id", F.lit("x"))).otherwise(F.col("node_id")).alias("node_id"), "source_id",

@@ -198,3 +198,9 @@ def test_json_corpus(spark, tmp_path):
     assert read_json_corpus(spark, str(tmp_path / "none")).nodes.count() == 0
     (tmp_path / "log.jsonl").write_text('{"a": "x"}\nnot json\n{"a": "y"}\n')
     assert read_jsonl(spark, str(tmp_path / "log.jsonl"), "a string").count() == 2
+
+
+def test_ladder_judges_every_passage(spark):
+    got = [r.node_id for r in QUERIES["verification_ladder_all"](spark, SF).select("node_id").collect()]
+    want = [r.node_id for r in QUERIES["merkle_proof"](spark, SF).select("node_id").collect()]
+    assert sorted(got) == sorted(want) and any(not n.endswith(":p0") for n in got)
