@@ -2,7 +2,7 @@
 
 Ranking is BM25+ (Lv and Zhai, 2011): idf = ln(1 + (N - df + 0.5) / (df + 0.5)) and
 score = idf (d + tf (k + 1) / (tf + k (1 - b + b |D| / avg))). Query words also match words within an edit distance of
-round(0.2 |word|) and words that begin with them, weighted by ``fuzzy_weight`` and ``prefix_weight``.
+round(0.2 |word|) characters and words that begin with them, weighted by ``fuzzy_weight`` and ``prefix_weight``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ class Ranking:
     fuzzy: float = 0.2
     fuzzy_weight: float = 0.45
     prefix_weight: float = 0.375
+    fuzzy_terms: str = ""  # a pattern that terms have to match to be found by distance; none by default
 
 
 def _matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool) -> F.Column:
@@ -34,8 +35,8 @@ def _matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool)
         weight = weight.when(term.startswith(word), F.lit(r.prefix_weight))
     distance = round(r.fuzzy * len(word))
     if fuzzy and distance:
-        plain = term.rlike(r"^[a-z0-9]+$") if word.isascii() else F.lit(True)
-        weight = weight.when(plain & (F.levenshtein(term, F.lit(word)) <= distance), F.lit(r.fuzzy_weight))
+        fits = term.rlike(r.fuzzy_terms) if r.fuzzy_terms else F.lit(True)
+        weight = weight.when(fits & (F.levenshtein(term, F.lit(word)) <= distance), F.lit(r.fuzzy_weight))
     return weight
 
 

@@ -204,3 +204,8 @@ def test_ladder_judges_every_passage(spark):
     got = [r.node_id for r in QUERIES["verification_ladder_all"](spark, SF).select("node_id").collect()]
     want = [r.node_id for r in QUERIES["merkle_proof"](spark, SF).select("node_id").collect()]
     assert sorted(got) == sorted(want) and any(not n.endswith(":p0") for n in got)
+
+
+def test_fuzzy_search_finds_accented_terms(spark):
+    n = nodes(spark, ["éention here", "entìon there", "mention", "èéntion", "other"])
+    assert {r.source_id for r in search.ranked_search(n, "ention").collect()} == {"s0", "s1", "s2"}
