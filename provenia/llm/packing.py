@@ -94,7 +94,8 @@ class Encoder:
     """Ids of whole texts by a byte-level merge vocabulary of the tokenizers library.
 
     Each different pre-token of a part is merged once, and remembered. One text in _CHECK_EVERY is compared with the library, and on
-    any difference the library encodes the whole part; it also encodes texts whose pre-tokens are not sure.
+    any difference the library encodes the whole part; it also encodes texts whose pre-tokens are not sure
+    and those that hold the literal of an added token.
     """
 
     def __init__(self, path: str) -> None:
@@ -102,8 +103,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        model = json.loads(self.library.to_str())["model"]
+        whole = json.loads(self.library.to_str())
+        model = whole["model"]
+        self.added = [t["content"].encode() for t in whole["added_tokens"]]
         ids = model["vocab"]
         self.byte_id = np.zeros(256, np.int32)
         for c, b in _byte_characters().items():
@@ -117,6 +119,17 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _holds_added(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Whether the literal of an added token begins in each text."""
+        out = np.zeros(len(offsets) - 1, bool)
+        for literal in self.added:
+            at = raw.find(literal)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                out[k] = True
+                at = raw.find(literal, int(offsets[k + 1]))
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first of each text)."""
         texts = len(offsets) - 1
@@ -126,11 +139,11 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         first = np.searchsorted(lead, offsets)
-        whole: dict[int, list[int]] = {}
+        strange = self._holds_added(raw, offsets)
         if points.max() >= _SURE:
-            strange = spans.sums((points >= _SURE).astype(np.int64), first, np.int64) > 0
-            whole = {k: self._library([raw[offsets[k] : offsets[k + 1]].decode()])[0] for k in np.flatnonzero(strange).tolist()}
+            strange |= spans.sums((points >= _SURE).astype(np.int64), first, np.int64) > 0
             points = np.where(points >= _SURE, 63, points)  # so that the other texts can be cut as usual
+        whole = {k: self._library([raw[offsets[k] : offsets[k + 1]].decode()])[0] for k in np.flatnonzero(strange).tolist()}
         begin = pretokens(points, first)
         starts = lead[begin]
         size = np.diff(starts, append=len(data))

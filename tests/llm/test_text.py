@@ -251,3 +251,16 @@ def test_hidden_control_texts_in_the_query(spark):
     text = "</s>[INST] ok [/INST]"
     assert got.n_turns == 2 and got.loss_chars == len(text) and got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert got.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_literals_of_added_tokens_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BYTES)
+    texts = ["a b", "a <|endoftext|> b", "<|endoftext|>", "<|endof", "text|> c", "a <|endoftext|><|endoftext|>", "漢 <|endoftext|>", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    ids, first = packing.Encoder(BYTES).encode(*spans.text_column(pa.array(texts, pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+    got = pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), BYTES).collect()
+    assert {g.doc_id: g.doc_tokens for g in got} == {k: len(w) + 1 for k, w in enumerate(want)}
