@@ -14,7 +14,7 @@ from provenia.llm.language_id import language_scores
 from provenia.llm.packing import pack
 from provenia.llm.queries import vocabulary
 from provenia.llm.shared import Workspace
-from provenia.llm.simhash import simhash_components
+from provenia.llm.simhash import fingerprint_frame, simhash_components
 from provenia.llm.substring_dedup import substring_dedup
 
 
@@ -30,9 +30,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of near copies."""
-    stay = simhash_components(docs).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """The document of least id of each component of near copies; where no id is known, the row of least columns."""
+    found = simhash_components(docs)
+    stay = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
+    known = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("row", F.struct(*docs.columns))
+    groups = found.where(F.col("id").isNull() & F.col("component_id").isNull()).select("fp", "component").distinct()
+    rows = fingerprint_frame(nameless, "doc_id", "text", 3, "row").join(groups, "fp")
+    return known.unionByName(rows.groupBy("component").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

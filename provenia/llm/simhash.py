@@ -80,15 +80,17 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: in
     return out
 
 
-def fingerprint_frame(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp): a signed long with the 64 bits."""
+def fingerprint_frame(docs: DataFrame, id_col: str, text_col: str, width: int, carry: str | None = None) -> DataFrame:
+    """(id, fp): a signed long with the 64 bits; and the column ``carry`` as it is."""
+    kept = [carry] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *kept)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in batches(it):
             fp = fingerprints(data, offsets, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp), *(batch.column(c) for c in kept)], ["id", "fp", *kept])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, rows.limit(0).select("id", F.lit(None).cast("long").alias("fp"), *kept).schema)
 
 
 # ---------------------------------------------------------------- anchors
@@ -211,7 +213,8 @@ def bucket_links(anchor: np.ndarray, home: np.ndarray, fp: np.ndarray, threshold
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id, the least id reachable by links, itself included.
+    """One row per document: id, fp (signed long), component_id, the least id reachable by links, itself included, and
+    component, the least fingerprint reachable.
 
     Fingerprints link at ``threshold`` or fewer differing bits; equal ones link. Null and empty texts have fingerprint
     0 and link like any other. Repeated rows give repeated results. A null id takes part by its fingerprint; its
@@ -259,7 +262,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found, _ = work.save(joined, "components")
     tops = found.join(classes.withColumnRenamed("fp", "node"), "node")
     least = tops.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = tops.select("node", "component").join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    of = tops.select("node", "component").join(least, "component").select(F.col("node").alias("fp"), "component_id", "component")
+    named = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "fp").alias("component"))
     named, _ = work.save(named, "named")  # so that adaptive execution can split a hot fingerprint in the last join
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("id", "fp", "component_id", "component")

@@ -43,3 +43,14 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     packed = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
     assert {p.doc_id for p in packed} == set(got) and all(p.n == p["all"] for p in packed)
+
+
+def test_near_copies_without_ids(spark):
+    long = " ".join(f"w{k}" for k in range(3000))
+    rows = [(None, "a text of its own", "x"), (None, "known elsewhere", "x"), (7, "known elsewhere", "x"), (8, "another one", "x")]
+    rows += [(None, long, "x"), (None, long, "y"), (None, long + " end", "x"), (None, long, "x")]
+    near = bin(fingerprint(long) ^ fingerprint(long + " end")).count("1") <= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((str(g.doc_id), g.text, g.lang) for g in got if len(g.text) < 100) == [("7", "known elsewhere", "x"), ("8", "another one", "x"), ("None", "a text of its own", "x")]
+    assert near and sum(len(g.text) >= 100 for g in got) == 1
