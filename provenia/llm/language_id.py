@@ -16,10 +16,12 @@ def language_scores(docs: DataFrame, allowed: Column, id_col: str = "doc_id", te
     Learned from at most ``per_class`` texts of each language, among rows for which ``allowed`` holds and the language
     is known. score is the calibrated probability of lang_pred, the likeliest language. Texts that are null or have no
     letter, and all texts where nothing could be learned, get ``und`` with score 0. rejected: ``und``, or a
-    score below the level that loses one in 1,000 of the rightly predicted held-back texts, with a fifth to spare (at most 0.4). Only the
-    text is an input. Columns with one of the new names are replaced.
+    score below the level that loses one in 1,000 of the rightly predicted held-back texts, with a fifth to spare (at most 0.4),
+    or byte trigrams less usual in every language than the level between held-back texts and what these would be were
+    their language not learned. The last depends on no prior, so it also finds texts of languages not learned. A few
+    letters say too little to be rejected. Only the text is an input. Columns with one of the new names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "rejected", "__p")
+    docs = docs.drop("lang_pred", "score", "rejected", "__p", "__usual")
     model = subword.fit_frame(docs, allowed, lang_col, True, id_col, text_col, None, per_class)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "rejected": F.lit(True)})
@@ -28,4 +30,4 @@ def language_scores(docs: DataFrame, allowed: Column, id_col: str = "doc_id", te
     name = F.get(F.array(*(F.lit(str(c)) for c in model.classes)), (F.array_position("__p", best) - 1).cast("int"))
     out = subword.probability_frame(docs, model, text_col)
     out = out.withColumns({"lang_pred": F.when(known, name).otherwise(F.lit(UNDETERMINED)), "score": F.when(known, best).otherwise(F.lit(0.0))})
-    return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < model.reject_below)).drop("__p")
+    return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < model.reject_below) | (F.col("__usual") < model.least_usual)).drop("__p", "__usual")

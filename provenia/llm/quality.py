@@ -16,11 +16,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     the text is an input. Without any label every score is 0.5; with one label only, 0 or 1 throughout. Equal texts
     have equal scores. A column named score is replaced.
     """
-    docs = docs.drop("score", "__p")
+    docs = docs.drop("score", "__p", "__usual")
     model = subword.fit_frame(docs, allowed, label_col, False, id_col, text_col, labels, per_class)
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
     if 1 not in model.classes or len(model.classes) == 1:
         return docs.withColumn("score", F.lit(1.0 if 1 in model.classes else 0.0))
+    model.usual = None  # every text is scored
     one = model.classes.index(1)
-    return subword.probability_frame(docs, model, text_col).withColumn("score", F.get("__p", F.lit(one))).drop("__p")
+    return subword.probability_frame(docs, model, text_col).withColumn("score", F.get("__p", F.lit(one))).drop("__p", "__usual")

@@ -7,6 +7,9 @@ hashed id among the rows allowed; every text is scored whole.
 
 As the softmax's input is linear in the mean, table and output weights are multiplied out after training, so scoring
 is a gather of one row of logits for each feature and a sum by text.
+
+Whether a text is of any learned class at all is judged apart from the softmax, whose best class is likely for want of
+others: by how usual its byte trigrams are in the class where they are most usual.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ _CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAMS = (3, 4)
 _BLOCKS = 2 + len(_GRAMS)
+_TRIGRAMS = 2
+#: So many trigrams of usual likelihood are added to each text, so that a few odd ones say little.
+_SHRINK = 8
 
 
 def _bucket(x: np.ndarray, block: int) -> np.ndarray:
@@ -66,7 +72,10 @@ def features(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tup
 
 @dataclass
 class Model:
-    """classes: labels in order; logits: one row of class scores per feature row; scale and shift calibrate."""
+    """classes: labels in order; logits: one row of class scores per feature row; scale and shift calibrate.
+
+    usual: for each class and trigram its log-likelihood over the class's mean; least_usual: texts below it are foreign.
+    """
 
     classes: list
     logits: np.ndarray
@@ -74,21 +83,28 @@ class Model:
     shift: np.ndarray
     lower: bool
     reject_below: float = 0.0
+    usual: np.ndarray | None = None
+    least_usual: float = -np.inf
 
-    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Class probabilities of each text; without features the calibrated prior."""
-        out = np.zeros((len(offsets) - 1, len(self.classes)))
+    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class probabilities of each text, without features the calibrated prior; and how usual its trigrams are."""
+        out, usual = np.zeros((len(offsets) - 1, len(self.classes))), np.zeros(len(offsets) - 1)
         for i, j in spans.runs(offsets, _CHUNK):
-            out[i:j] = self.raw(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        return _softmax(out * self.scale + self.shift)
+            out[i:j], usual[i:j] = self.raw(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        return _softmax(out * self.scale + self.shift), usual
 
-    def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def raw(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total, n = np.zeros((len(offsets) - 1, len(self.classes))), np.zeros(len(offsets) - 1)
+        usual = np.zeros(len(offsets) - 1)
         for rows, first in features(data, offsets, self.lower):
             n += np.diff(first)
             for c in range(len(self.classes)):
                 total[:, c] += spans.sums(self.logits[c][rows], first)
-        return total / np.maximum(n, 1)[:, None]
+            if self.usual is not None and len(rows) and rows[0] >> _BITS == _TRIGRAMS:
+                at = rows - (_TRIGRAMS << _BITS)
+                sums = [spans.sums(u[at].astype(float), first) for u in self.usual]
+                usual = np.max(sums, axis=0) / (np.diff(first) + _SHRINK)
+        return total / np.maximum(n, 1)[:, None], usual
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -96,11 +112,42 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
+def _usual(bags: list, y: np.ndarray, fit: np.ndarray, test: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """Model.usual of the fitted texts, and its level from the held-back ones.
+
+    The level lies midway between the least of the held-back texts (the 0.001 quantile) and the median that the same
+    texts reach without the class that they are of, which stands for a language not learned.
+    """
+    def trigrams(bag: tuple) -> tuple[np.ndarray, np.ndarray]:
+        of = bag[0] >> _BITS == _TRIGRAMS
+        return bag[0][of] - (_TRIGRAMS << _BITS), bag[1][of]
+
+    counts = np.zeros((k, 1 << _BITS))
+    for b in fit:
+        at, n = trigrams(bags[b])
+        counts[y[b], at] += n
+    usual = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
+    parts = [trigrams(bags[b]) for b in test]
+    sums, size = np.array([usual[:, at] @ n for at, n in parts]), np.array([n.sum() for _, n in parts], float)
+    for c in range(k):
+        own = y[test] == c
+        mean = sums[own, c].sum() / size[own].sum() if size[own].sum() else (counts[c] @ usual[c]) / max(counts[c].sum(), 1)
+        usual[c] -= mean
+        sums[:, c] -= mean * size
+    sums = sums[size > 0] / (size[size > 0] + _SHRINK)[:, None]
+    if not len(sums):
+        return usual.astype(np.float32), -np.inf
+    low = float(np.quantile(sums.max(axis=1), 0.001))
+    sums[np.arange(len(sums)), y[test][size > 0]] = -np.inf
+    foreign = float(np.median(sums.max(axis=1))) if k > 1 else low - 2
+    return usual.astype(np.float32), min(low, (low + foreign) / 2)
+
+
 def _bag(text: str, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer((text or "").encode(), np.uint8)
     found = [rows for rows, _ in features(data, np.array([0, len(data)]), lower)]
     rows, count = np.unique(np.concatenate(found), return_counts=True)
-    return rows, (count / max(count.sum(), 1)).astype(np.float32)
+    return rows, count
 
 
 def train(texts: list[str], labels: list, prior: dict, lower: bool, dim: int = 16, epochs: int = 8, rate: float = 8.0, seed: int = 11) -> Model:
@@ -110,7 +157,8 @@ def train(texts: list[str], labels: list, prior: dict, lower: bool, dim: int = 1
     rng = np.random.default_rng(seed)
     table = ((rng.random((_BLOCKS << _BITS, dim), dtype=np.float32) - 0.5) / dim).astype(np.float32)
     out = (rng.standard_normal((dim, len(classes))) * 0.1).astype(np.float32)
-    bags = [_bag(t, lower) for t in texts]
+    counted = [_bag(t, lower) for t in texts]
+    bags = [(rows, (count / max(count.sum(), 1)).astype(np.float32)) for rows, count in counted]
     held = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~held | (len(y) < 50))
     steps, step = epochs * len(fit), 0
@@ -137,6 +185,7 @@ def train(texts: list[str], labels: list, prior: dict, lower: bool, dim: int = 1
     p = _softmax(raw * model.scale + shift)
     right = p.argmax(axis=1) == y[test]
     model.reject_below = min(0.4, float(np.quantile(p.max(axis=1)[right], 0.001)) * 0.8) if right.any() else 0.0
+    model.usual, model.least_usual = _usual(counted, y, fit, test, len(classes))
     return model
 
 
@@ -182,14 +231,14 @@ def fit_frame(docs: DataFrame, allowed: Column, label: str, lower: bool, id_col:
 
 
 def probability_frame(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """All columns of docs and ``__p``, the list of class probabilities in order of model.classes."""
+    """All columns of docs, ``__p``, the list of class probabilities in order of model.classes, and ``__usual``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     names = docs.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            p = shared.value.probabilities(*spans.text_column(batch.column(text_col)))
+            p, usual = shared.value.probabilities(*spans.text_column(batch.column(text_col)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "__p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(usual)], [*names, "__p", "__usual"])
 
-    return docs.mapInArrow(run, docs.limit(0).withColumn("__p", F.lit(None).cast("array<double>")).schema)
+    return docs.mapInArrow(run, docs.limit(0).withColumns({"__p": F.lit(None).cast("array<double>"), "__usual": F.lit(None).cast("double")}).schema)

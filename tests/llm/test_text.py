@@ -264,3 +264,21 @@ def test_literals_of_added_tokens_equal_the_library(spark):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
     got = pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), BYTES).collect()
     assert {g.doc_id: g.doc_tokens for g in got} == {k: len(w) + 1 for k, w in enumerate(want)}
+
+
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_languages_not_learned_are_rejected(spark, left_out):
+    docs = read(spark, "documents").where(F.crc32(F.col("doc_id").cast("string")) % 2 == 0).select("doc_id", "text", "lang")
+    odd = ["Это совершенно другой язык, который модель не видела.", "これは別の言語です。まったく違います", "qzx wvk jjx qqp zzk xvw kqj wqx"]
+    docs = docs.unionByName(spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    got = language_scores(docs, (F.col("lang") != left_out) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).collect()
+    foreign, known = [g.rejected for g in got if g.lang == left_out], [g.rejected for g in got if g.lang and g.lang != left_out]
+    assert sum(foreign) >= 0.9 * len(foreign) > 20 and sum(known) <= 0.02 * len(known)
+    assert all(g.rejected for g in got if g.doc_id < 0)
+
+
+def test_language_not_learned_is_rejected_by_a_model_of_two(spark):
+    docs = read(spark, "documents").select("doc_id", "text", "lang")
+    got = language_scores(docs, F.col("lang").isin("en", "de")).collect()
+    foreign, known = [g.rejected for g in got if g.lang in ("fr", "es")], [g.rejected for g in got if g.lang in ("en", "de")]
+    assert sum(foreign) >= 0.9 * len(foreign) > 20 and sum(known) <= 0.02 * len(known)
