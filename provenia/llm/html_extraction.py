@@ -1,15 +1,22 @@
 """Main text of web pages from flat text blocks (after Kohlschuetter et al., 2010).
 
-A page is cut into blocks at block-level tags; no tree is built, so unclosed or crossing tags do no harm. Each block has
-its number of words and its share of words inside links, those of the blocks before and after it, and whether it lies
-inside the article or inside a part of the page that names itself something else. A decision tree, trained by Gini
-impurity on the small labelled table below when the module is first used, tells text from the rest.
+A page is cut into blocks at block-level tags in one pass. Each block has its number of words, the share of words
+inside links, both of these for the blocks before and after it, how surely it lies inside the article, how surely inside
+a part that names itself something else, the kind of element that holds it, and whether it ends like a sentence. A
+decision tree, trained by Gini impurity on the small labelled table below when the module is first used, tells text
+from the rest.
+
+Open elements are followed as far as the rules for optional end tags need it (a paragraph ends where a block begins, a
+list item where the next one begins, and so on), so a mark on an element ends with it. All of this takes time in
+proportion to the page: for each name it is known where its open elements are, an end tag without an open element costs
+nothing, and what is looked for in vain is not looked for again.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,58 +24,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|select|title|iframe|object)\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HREF = re.compile(r"\bhref\b", re.I)
+_SENTENCE = re.compile(r"[.!?…。！？:][\"'”’»)\]]*$")
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp label".split())
 _VOID = frozenset("br img input wbr hr meta link area base col embed source track param".split())
+#: Elements whose content is no text of the page. Of the first, the content reaches to their end tag or to the page's end.
+_RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+_SKIPPED = frozenset("template noscript svg select object math".split())
 #: Elements that say that their text is not the article's, and those that say it is.
-_OTHER = frozenset("nav footer aside form menu dialog head button fieldset".split())
+_OTHER = frozenset("nav footer aside menu dialog head button fieldset".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of class, id and role names of parts that are not the article.
+#: Words of class, id and role names of parts that are not the article, and of parts that mostly are not.
 _OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|commentlist|replies|respond|disqus|discussion|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"search|share|sharing|social|related|recommend\w*|popular|trending|widget|legal|copyright|disclaimer|pagination|pager|skip|form|contentinfo|complementary|navigation)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|sidebar|aside|nav\w*|menu\w*|breadcrumbs?|footer|masthead|topbar|toolbar|"
+    r"comments?|commentlist|replies|respond|disqus|discussion|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"share|sharing|social|related|recommend\w*|trending|pagination|pager|contentinfo|complementary|navigation)(?=$|[\s_-])",
     re.I,
 )
+_DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:notice|notification|alert|legal|copyright|disclaimer|header|foot|side|search|popular|widget|skip|form|meta|byline|tags?)(?=$|[\s_-])", re.I)
+#: Words of names of parts that mostly hold the article.
+_TEXT_NAMES = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|text|body|prose)(?=$|[\s_-])", re.I)
+
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements beyond which an end tag or an implied end does not reach.
+_SCOPE = ("table", "td", "th", "caption", "object", "template")
+_TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
+_ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre "
+    "search section summary table ul".split()
+)
+#: What the beginning of an element ends, and what this does not reach beyond.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", *_SCOPE)),
+    "dt": (("dt", "dd"), ("dl", *_SCOPE)),
+    "dd": (("dt", "dd"), ("dl", *_SCOPE)),
+    "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "tr"), ("table",))),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("optgroup", "option"), ("select", "datalist")),
+}
+_KIND = {"li": 1, "dd": 1, "dt": 1, "td": 1, "th": 1, "p": 2, "pre": 2, "blockquote": 2} | dict.fromkeys(_HEADINGS, 3)
 
 
-#: The labelled table: words and link share of a block, of the one before and of the one after; inside the article;
-#: inside another part; whether it belongs to the main text.
+#: The labelled table: words and link share of a block, of the one before and of the one after; inside the article (1
+#: by its name, 2 by its element); inside another part (1 by a doubtful name, 2 surely); kind (0 other, 1 list item or
+#: cell, 2 paragraph, 3 heading); ends like a sentence; whether it belongs to the main text.
 LABELLED = [
     # articles that are marked as such: titles, paragraphs long and short, list items, links within
-    (9, 0.0, 6, 1.0, 64, 0.0, 1, 0, 1), (12, 0.0, 0, 0.0, 80, 0.05, 1, 0, 1), (64, 0.0, 9, 0.0, 88, 0.0, 1, 0, 1),
-    (88, 0.1, 64, 0.0, 3, 0.0, 1, 0, 1), (3, 0.0, 88, 0.0, 51, 0.0, 1, 0, 1), (1, 0.0, 40, 0.0, 2, 0.0, 1, 0, 1),
-    (2, 0.0, 1, 0.0, 90, 0.0, 1, 0, 1), (7, 1.0, 70, 0.0, 66, 0.0, 1, 0, 1), (5, 0.6, 6, 0.5, 8, 0.4, 1, 0, 1),
-    (30, 0.3, 2, 1.0, 4, 1.0, 1, 0, 1), (45, 0.0, 50, 0.0, 8, 1.0, 1, 0, 1), (4, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1),
-    (7, 0.0, 7, 0.0, 7, 0.0, 1, 0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 1, 0, 1), (8, 0.0, 5, 0.0, 3, 0.0, 1, 0, 1),
-    (3, 0.0, 3, 1.0, 4, 1.0, 1, 0, 1), (6, 1.0, 5, 0.0, 4, 0.0, 1, 0, 1), (20, 0.9, 30, 0.0, 25, 0.0, 1, 0, 1),
-    (12, 0.7, 9, 0.8, 8, 0.6, 1, 0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 1), (5, 0.9, 4, 1.0, 60, 0.0, 1, 0, 1),
-    # other parts, inside an article or not: menus, adverts, sidebars, notices, forms, footers, comments
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0),
-    (40, 0.0, 60, 0.0, 35, 0.0, 0, 1, 0), (120, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0), (11, 0.1, 70, 0.0, 0, 0.0, 0, 1, 0),
-    (9, 0.0, 80, 0.0, 70, 0.0, 1, 1, 0), (55, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0), (3, 1.0, 60, 0.0, 3, 1.0, 1, 1, 0),
-    (15, 0.4, 12, 0.0, 14, 0.2, 1, 1, 0), (25, 0.0, 3, 0.0, 28, 0.0, 1, 1, 0), (2, 0.0, 9, 0.0, 1, 0.0, 0, 1, 0),
-    # pages without marks: long text, short text between long text, titles before it
-    (70, 0.0, 12, 0.0, 65, 0.0, 0, 0, 1), (95, 0.1, 70, 0.0, 80, 0.0, 0, 0, 1), (40, 0.0, 50, 0.1, 5, 1.0, 0, 0, 1),
-    (28, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1), (8, 0.0, 75, 0.0, 60, 0.0, 0, 0, 1), (10, 0.0, 5, 1.0, 70, 0.0, 0, 0, 1),
-    (6, 0.0, 0, 0.0, 55, 0.0, 0, 0, 1), (14, 0.2, 45, 0.0, 90, 0.0, 0, 0, 1), (120, 0.3, 4, 1.0, 6, 1.0, 0, 0, 1),
-    (33, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 40, 0.0, 36, 0.0, 0, 0, 1), (24, 0.1, 38, 0.0, 4, 1.0, 0, 0, 1),
-    # pages without marks: link lists, short text among links, linked lines
-    (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 0), (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0), (6, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0),
-    (9, 0.9, 60, 0.0, 8, 0.9, 0, 0, 0), (30, 0.8, 12, 0.9, 14, 1.0, 0, 0, 0), (5, 0.0, 6, 0.8, 3, 0.0, 0, 0, 0),
-    (3, 0.0, 4, 0.0, 2, 1.0, 0, 0, 0), (8, 0.5, 9, 0.6, 7, 0.5, 0, 0, 0), (50, 0.9, 40, 0.9, 45, 0.9, 0, 0, 0),
-    (7, 1.0, 80, 0.0, 6, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0), (10, 0.7, 5, 0.0, 8, 1.0, 0, 0, 0),
+    (9, 0.0, 6, 1.0, 64, 0.0, 2, 0, 3, 0, 1), (12, 0.0, 0, 0.0, 80, 0.05, 2, 0, 3, 1, 1), (64, 0.0, 9, 0.0, 88, 0.0, 2, 0, 2, 1, 1),
+    (88, 0.1, 64, 0.0, 3, 0.0, 2, 0, 2, 1, 1), (3, 0.0, 88, 0.0, 51, 0.0, 2, 0, 2, 1, 1), (1, 0.0, 40, 0.0, 2, 0.0, 2, 0, 2, 0, 1),
+    (2, 0.0, 1, 0.0, 90, 0.0, 2, 0, 0, 0, 1), (7, 1.0, 70, 0.0, 66, 0.0, 2, 0, 2, 0, 1), (5, 0.6, 6, 0.5, 8, 0.4, 2, 0, 1, 0, 1),
+    (30, 0.3, 2, 1.0, 4, 1.0, 2, 0, 2, 1, 1), (45, 0.0, 50, 0.0, 8, 1.0, 2, 0, 2, 1, 1), (4, 0.0, 60, 0.0, 0, 0.0, 2, 0, 2, 0, 1),
+    (7, 0.0, 7, 0.0, 7, 0.0, 2, 0, 1, 0, 1), (4, 0.0, 6, 0.0, 5, 0.0, 2, 0, 1, 0, 1), (8, 0.0, 5, 0.0, 3, 0.0, 2, 0, 0, 0, 1),
+    (3, 0.0, 3, 1.0, 4, 1.0, 2, 0, 3, 0, 1), (20, 0.9, 30, 0.0, 25, 0.0, 2, 0, 2, 1, 1), (12, 0.7, 9, 0.8, 8, 0.6, 2, 0, 2, 0, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 2, 0, 2, 0, 1), (5, 0.9, 4, 0.2, 60, 0.0, 2, 0, 1, 0, 1), (6, 1.0, 5, 0.0, 4, 0.0, 2, 0, 1, 0, 1),
+    (2, 0.0, 1, 0.0, 9, 0.0, 2, 0, 1, 0, 1), (3, 0.0, 2, 0.0, 2, 1.0, 2, 0, 1, 1, 1), (1, 0.0, 2, 1.0, 1, 0.0, 2, 0, 1, 0, 1),
+    (2, 0.0, 0, 0.0, 3, 1.0, 2, 0, 1, 0, 1), (4, 0.5, 1, 1.0, 2, 1.0, 2, 0, 1, 0, 1), (3, 1.0, 2, 1.0, 0, 0.0, 2, 0, 1, 0, 0),
+    (3, 1.0, 0, 0.0, 4, 1.0, 2, 0, 1, 0, 0), (2, 1.0, 3, 0.0, 5, 1.0, 2, 0, 2, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0, 1),
+    (9, 1.0, 1, 1.0, 3, 1.0, 2, 0, 0, 0, 1), (1, 0.0, 2, 1.0, 9, 0.9, 2, 0, 3, 0, 1), (40, 0.8, 9, 1.0, 6, 1.0, 2, 0, 0, 0, 1),
+    (4, 1.0, 5, 1.0, 7, 1.0, 2, 0, 3, 0, 1), (70, 0.0, 2, 1.0, 2, 1.0, 2, 0, 1, 1, 1), (1, 1.0, 2, 1.0, 60, 1.0, 2, 0, 0, 0, 1),
+    (9, 1.0, 6, 0.2, 9, 0.0, 2, 0, 1, 0, 1), (9, 1.0, 6, 0.6, 9, 0.6, 2, 0, 1, 1, 1), (2, 1.0, 9, 1.0, 3, 1.0, 2, 0, 0, 0, 1), (5, 1.0, 60, 0.0, 5, 1.0, 2, 0, 0, 1, 1),
+    # lists of nothing but links, in an article as elsewhere
+    (2, 1.0, 2, 1.0, 3, 1.0, 2, 0, 1, 0, 0), (4, 1.0, 5, 1.0, 4, 1.0, 2, 0, 1, 0, 0), (6, 1.0, 3, 1.0, 7, 1.0, 2, 0, 1, 0, 0),
+    # other parts for sure, inside an article or not: menus, adverts, sidebars, forms, footers, comments
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 2, 1, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 2, 1, 0, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, 2, 0, 1, 0),
+    (40, 0.0, 60, 0.0, 35, 0.0, 0, 2, 2, 1, 0), (120, 0.0, 30, 0.0, 20, 0.0, 0, 2, 2, 1, 0), (11, 0.1, 70, 0.0, 0, 0.0, 0, 2, 0, 1, 0),
+    (9, 0.0, 80, 0.0, 70, 0.0, 2, 2, 0, 1, 0), (55, 0.0, 60, 0.0, 50, 0.0, 2, 2, 2, 1, 0), (3, 1.0, 60, 0.0, 3, 1.0, 2, 2, 1, 0, 0),
+    (15, 0.4, 12, 0.0, 14, 0.2, 2, 2, 2, 1, 0), (25, 0.0, 3, 0.0, 28, 0.0, 2, 2, 2, 1, 0), (2, 0.0, 9, 0.0, 1, 0.0, 0, 2, 3, 0, 0),
+    (18, 0.0, 90, 0.0, 70, 0.0, 1, 2, 2, 1, 0), (5, 0.0, 44, 0.0, 0, 0.0, 1, 2, 0, 0, 0), (60, 0.0, 60, 1.0, 60, 0.0, 2, 2, 2, 1, 0),
+    (120, 0.0, 8, 0.0, 2, 1.0, 2, 2, 2, 1, 0), (50, 0.0, 10, 0.5, 40, 0.2, 2, 2, 0, 1, 0), (40, 0.1, 50, 0.0, 12, 0.0, 2, 2, 1, 0, 0),
+    (90, 0.0, 70, 0.0, 30, 0.0, 2, 2, 2, 1, 0), (35, 0.0, 3, 0.0, 8, 0.0, 2, 2, 3, 0, 0),
+    # doubtful names: a notice is short, prose between prose is text
+    (7, 0.0, 60, 0.0, 55, 0.0, 2, 1, 2, 1, 0), (4, 0.0, 40, 0.0, 30, 0.0, 2, 1, 0, 0, 0), (12, 0.2, 50, 0.0, 70, 0.0, 2, 1, 2, 1, 0),
+    (16, 0.0, 3, 0.0, 80, 0.0, 2, 1, 0, 1, 0), (3, 1.0, 60, 0.0, 9, 0.0, 2, 1, 0, 0, 0), (14, 0.1, 0, 0.0, 3, 1.0, 0, 1, 2, 1, 0),
+    (3, 0.2, 60, 0.0, 60, 0.0, 0, 1, 2, 0, 0), (6, 0.0, 30, 0.0, 40, 0.0, 2, 1, 3, 0, 0), (5, 0.0, 3, 0.0, 60, 0.0, 0, 1, 3, 0, 0), (3, 0.8, 60, 0.0, 80, 0.0, 0, 1, 0, 0, 0), (8, 0.0, 60, 0.0, 80, 0.0, 1, 1, 0, 1, 0),
+    (60, 0.0, 55, 0.0, 48, 0.0, 2, 1, 2, 1, 1), (35, 0.0, 40, 0.0, 12, 0.0, 2, 1, 2, 1, 1), (48, 0.1, 9, 0.0, 30, 0.0, 2, 1, 2, 1, 1),
+    (40, 0.0, 50, 0.0, 70, 0.0, 2, 1, 2, 1, 1), (65, 0.2, 12, 1.0, 90, 0.0, 2, 1, 0, 1, 1), (38, 0.0, 4, 0.0, 60, 0.3, 2, 1, 1, 1, 1),
+    (80, 0.0, 60, 0.0, 0, 0.0, 2, 1, 2, 1, 1), (40, 0.8, 6, 1.0, 8, 1.0, 2, 1, 2, 0, 0), (36, 0.0, 12, 0.3, 2, 1.0, 0, 1, 0, 1, 0),
+    (24, 0.0, 5, 1.0, 4, 1.0, 0, 1, 2, 1, 0), (50, 0.0, 3, 1.0, 0, 0.0, 0, 1, 0, 1, 0),
+    # pages without marks: sentences in paragraphs, long or short; titles before them; long text in other elements
+    (70, 0.0, 12, 0.0, 65, 0.0, 0, 0, 2, 1, 1), (95, 0.1, 70, 0.0, 80, 0.0, 0, 0, 2, 1, 1), (40, 0.0, 50, 0.1, 5, 1.0, 0, 0, 2, 1, 1),
+    (28, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 75, 0.0, 60, 0.0, 0, 0, 2, 1, 1), (10, 0.0, 5, 1.0, 70, 0.0, 0, 0, 3, 0, 1),
+    (6, 0.0, 0, 0.0, 55, 0.0, 0, 0, 3, 0, 1), (14, 0.2, 45, 0.0, 90, 0.0, 0, 0, 2, 1, 1), (120, 0.3, 4, 1.0, 6, 1.0, 0, 0, 2, 1, 1),
+    (33, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (12, 0.0, 40, 0.0, 36, 0.0, 0, 0, 1, 1, 1), (24, 0.1, 38, 0.0, 4, 1.0, 0, 0, 0, 1, 1),
+    (3, 0.0, 2, 0.0, 1, 0.0, 1, 0, 2, 1, 1), (1, 0.0, 3, 0.0, 0, 0.0, 1, 0, 2, 1, 1), (2, 0.0, 0, 0.0, 3, 0.0, 1, 0, 3, 0, 1),
+    (5, 0.0, 4, 0.0, 6, 0.0, 0, 0, 2, 1, 1), (1, 0.0, 60, 0.0, 30, 0.0, 0, 0, 2, 1, 1), (4, 0.0, 9, 0.0, 0, 0.0, 0, 0, 2, 1, 1),
+    (60, 0.0, 5, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (26, 0.0, 30, 0.0, 28, 0.0, 0, 0, 1, 1, 1), (9, 0.0, 30, 0.0, 12, 0.0, 1, 0, 1, 0, 1),
+    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 2, 1, 1), (9, 0.1, 4, 1.0, 2, 1.0, 0, 0, 2, 1, 1), (2, 0.0, 1, 1.0, 30, 0.0, 1, 0, 2, 1, 1),
+    (4, 0.0, 2, 1.0, 6, 0.0, 0, 0, 3, 0, 1), (7, 0.0, 3, 1.0, 12, 0.0, 0, 0, 3, 0, 1), (3, 0.0, 60, 0.0, 40, 0.0, 0, 0, 3, 0, 1),
+    (5, 0.0, 1, 1.0, 2, 0.0, 0, 0, 3, 0, 1), (6, 0.0, 20, 0.0, 5, 0.0, 0, 0, 3, 0, 1),
+    (40, 0.1, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1), (30, 0.2, 6, 0.9, 4, 1.0, 1, 0, 0, 1, 1), (55, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1, 1, 1),
+    (5, 0.0, 6, 0.0, 30, 0.0, 1, 0, 0, 1, 1), (18, 0.0, 7, 0.0, 6, 0.0, 1, 0, 2, 0, 1), (3, 0.0, 14, 0.0, 50, 0.0, 1, 0, 3, 0, 1),
+    # pages without marks: link lists, short text among links, linked lines, labels, dates
+    (4, 1.0, 3, 1.0, 5, 1.0, 0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0, 0), (6, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 0),
+    (9, 0.9, 60, 0.0, 8, 0.9, 0, 0, 2, 0, 0), (30, 0.8, 12, 0.9, 14, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 6, 0.8, 3, 0.0, 0, 0, 0, 0, 0),
+    (3, 0.0, 4, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (8, 0.5, 9, 0.6, 7, 0.5, 0, 0, 1, 0, 0), (50, 0.9, 40, 0.9, 45, 0.9, 0, 0, 0, 0, 0),
+    (7, 1.0, 80, 0.0, 6, 1.0, 0, 0, 2, 0, 0), (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 0, 0), (10, 0.7, 5, 0.0, 8, 1.0, 0, 0, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 3, 0, 0), (3, 0.0, 80, 0.0, 4, 1.0, 0, 0, 3, 0, 0), (2, 1.0, 9, 0.0, 2, 1.0, 1, 0, 1, 0, 0),
+    (4, 0.0, 12, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 3, 0.0, 0, 0, 1, 0, 0), (5, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0, 0),
+    (4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (12, 0.8, 10, 0.7, 3, 1.0, 1, 0, 2, 1, 0), (60, 0.9, 50, 0.0, 40, 0.0, 0, 0, 0, 1, 0),
+    (25, 0.8, 30, 0.0, 20, 0.0, 1, 0, 2, 1, 0), (8, 1.0, 60, 0.0, 30, 0.0, 0, 0, 3, 0, 0), (30, 0.7, 40, 0.1, 50, 0.0, 0, 0, 1, 1, 0),
+    (3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 0, 0.0, 5, 0.0, 0, 0, 1, 0, 0), (2, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
+    (8, 1.0, 60, 0.0, 60, 0.0, 0, 0, 2, 0, 0), (50, 0.9, 60, 0.0, 60, 0.2, 0, 0, 0, 0, 0), (4, 1.0, 9, 0.0, 80, 0.0, 0, 0, 3, 0, 0),
+    (4, 0.0, 9, 1.0, 70, 0.0, 0, 0, 1, 0, 0), (2, 0.2, 60, 0.0, 90, 0.0, 0, 0, 0, 0, 0), (4, 0.3, 3, 0.0, 80, 0.0, 0, 0, 0, 0, 0),
+    (60, 0.9, 9, 0.5, 20, 0.3, 0, 0, 2, 0, 0), (90, 0.8, 60, 0.0, 9, 0.5, 0, 0, 1, 0, 0),
+    (8, 0.8, 0, 0.0, 8, 1.0, 0, 0, 1, 0, 0), (9, 0.9, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 3, 0.0, 30, 0.0, 0, 0, 1, 0, 0), (4, 0.0, 30, 0.0, 20, 0.0, 0, 0, 1, 0, 0), (3, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
+    (9, 1.0, 20, 0.0, 15, 0.0, 1, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 40, 0.0, 0, 0, 2, 1, 0), (3, 0.8, 5, 0.0, 6, 0.0, 1, 0, 1, 0, 0),
 ]
 
 
-def grow(rows: list[tuple], depth: int = 8) -> tuple | int:
+def grow(rows: list[tuple], depth: int = 10) -> tuple | int:
     """A decision tree (feature, threshold, below or equal, above), or a label at a leaf."""
     labels = [r[-1] for r in rows]
     if not depth or len(set(labels)) == 1:
@@ -91,9 +164,15 @@ def grow(rows: list[tuple], depth: int = 8) -> tuple | int:
     return best[1], best[2], grow(best[3], depth - 1), grow(best[4], depth - 1)
 
 
+def features(words: int, links: float, words_before: int, links_before: float, words_after: int, links_after: float, *marks: int) -> tuple:
+    """What the tree reads: the columns of the table, and how much a list item stands in a list of links."""
+    in_list = min(links, max(links_before, links_after)) if marks[2] == 1 else 0.0
+    return words, links, words_before, links_before, words_after, links_after, *marks, in_list
+
+
 @lru_cache(1)
 def tree() -> tuple | int:
-    return grow(LABELLED)
+    return grow([(*features(*r[:-1]), r[-1]) for r in LABELLED])
 
 
 def decide(node: tuple | int, x: tuple) -> int:
@@ -102,60 +181,178 @@ def decide(node: tuple | int, x: tuple) -> int:
     return node
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words inside links, inside the article, inside another part) of each block in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
+class _Open:
+    """The open block elements, where those of each name are, and how many marks of each sort are among them."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int, int, int, int, int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.main = self.text = self.other = self.doubt = self.forms = 0
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """Place of the innermost open element with one of the names, -1 without any."""
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
+    def begin(self, name: str, main: bool, text: bool, other: bool, doubt: bool, form: bool) -> None:
+        self.at[name].append(len(self.items))
+        before = self.forms
+        # A form around an article says nothing about it.
+        self.forms = 0 if main else self.forms + form
+        self.main, self.text, self.other, self.doubt = self.main + main, self.text + text, self.other + other, self.doubt + doubt
+        self.items.append((name, main, text, other, doubt, before))
+
+    def end(self, k: int) -> None:
+        """Close all elements from place k on."""
+        while len(self.items) > k:
+            name, main, text, other, doubt, before = self.items.pop()
+            self.at[name].pop()
+            self.forms = before
+            self.main, self.text, self.other, self.doubt = self.main - main, self.text - text, self.other - other, self.doubt - doubt
+
+    def make_room(self, name: str) -> None:
+        """End what the beginning of an element ends."""
+        if name in _ENDS:
+            ended, beyond = _ENDS[name]
+            edge = self.last(beyond)
+            inner = [self.at[n][-1] for n in ended if self.at[n] and self.at[n][-1] > edge]
+            if inner:
+                self.end(min(inner))
+        if name in _ENDS_P and self.at["p"] and self.at["p"][-1] > self.last(("button", *_SCOPE)):
+            self.end(self.at["p"][-1])
+        if name in _HEADINGS and self.items and self.items[-1][0] in _HEADINGS:
+            self.end(len(self.items) - 1)
+
+    def close(self, name: str) -> None:
+        """An end tag; without an open element that it can reach, nothing."""
+        k = self.last(_HEADINGS if name in _HEADINGS else (name,))
+        beyond = () if name == "table" else ("table",) if name in _TABLE_PARTS else tuple(x for x in _SCOPE if x != name)
+        if k > self.last(beyond) and name not in ("body", "html"):
+            self.end(k)
+
+
+def _tag_end(page: str, at: int, unpaired: set[str]) -> int:
+    """Place of the > that ends a tag, -1 without one; quoted values may hold one. unpaired: quotes that come no more."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if m[0] in unpaired or not _after_equals(page, m.start()):
+            continue
+        close = page.find(m[0], at)
+        if close < 0:
+            unpaired.add(m[0])
+        else:
+            at = close + 1
+    return -1
+
+
+def _after_equals(page: str, at: int) -> bool:
+    at -= 1
+    while page[at].isspace():
+        at -= 1
+    return page[at] == "="
+
+
+def _markup(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before, ending, name, attributes) of each tag that matters, the last with an empty name."""
+    at, text_from, unpaired, unclosed = 0, [], set(), set()
+    n = len(page)
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            text_from.append(page[at:])
+            break
+        text_from.append(page[at:lt])
+        c = page[lt + 1 : lt + 2]
+        if c in ("!", "?"):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + (2 if comment else 1))
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+            continue
+        ending = c == "/"
+        m = _NAME.match(page, lt + 1 + ending)
+        if not m:
+            if not ending:
+                text_from.append("<")
+                at = lt + 1
+                continue
+            end = page.find(">", lt)
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        end = _tag_end(page, m.end(), unpaired)
+        if end < 0:
+            break
+        name, at = m[0].lower(), end + 1
+        attributes = page[m.end() : end]
+        if not ending and name in _RAW or name in _SKIPPED and not ending and not attributes.endswith("/") and name not in unclosed:
+            found = _closing(name).search(page, at)
+            if found:
+                at = found.end()
+                end = page.find(">", at)
+                at = n if end < 0 else end + 1
+                continue
+            if name in _RAW:
+                break
+            unclosed.add(name)
+        yield "".join(text_from), ending, name, attributes
+        text_from = []
+    yield "".join(text_from), False, "", ""
+
+
+@lru_cache(32)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
+def blocks(page: str) -> list[tuple]:
+    """(text, words, words inside links, inside the article, inside another part, kind, sentence) in page order."""
+    out: list[tuple] = []
     parts: list[tuple[str, bool]] = []
-    open_tags: list[tuple[str, int, int]] = []  # name and how many main and other parts are open up to it
-    main = other = link = 0
+    now = _Open()
+    link, kind = -1, 0  # at which depth a link is open
 
-    def close() -> None:
+    def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
-                out.append((text, words, min(linked, words), int(main > 0), int(other > 0)))
+                main, other = 2 if now.main else int(now.text > 0), 2 if now.other or now.forms else int(now.doubt > 0)
+                out.append((text, words, min(linked, words), main, other, kind, int(bool(_SENTENCE.search(text[-8:])))))
             parts.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((page[at : m.start()], link > 0))
-        at = m.end()
-        name = m[3]
-        if not name:
-            continue
-        name, ending = name.lower(), bool(m[2])
+    for text, ending, name, attributes in _markup(page):
+        if text:
+            if not parts:
+                kind = next((_KIND[x[0]] for x in now.items[-1:] if x[0] in _KIND), 0)
+            parts.append((text, link >= 0))
         if name == "a":
-            link = 0 if ending else 1
+            link = -1 if ending or not _HREF.search(attributes) else len(now.items)
         if name == "br":
-            parts.append((" ", link > 0))
-        if name in _INLINE:
-            continue
-        close()
-        if name in _VOID:
+            parts.append((" ", link >= 0))
+        if not name or name in _INLINE:
             continue
-        if not ending:
-            attributes = m[4] or ""
-            is_main, is_other = name in _MAIN, name in _OTHER or (name == "header" and not main)
-            if not is_main and name not in ("html", "body"):
-                named = " ".join(filter(None, (x for g in _NAMED.findall(attributes) for x in g)))
-                is_other |= bool(named and _OTHER_NAMES.search(named)) or bool(_HIDDEN.search(attributes))
-                is_main |= "articlebody" in named.lower() or named.lower() == "main"
-            main, other = main + is_main, other + is_other
-            open_tags.append((name, int(is_main), int(is_other)))
+        flush()
+        if ending:
+            now.close(name)
         else:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    for _, a, b in open_tags[k:]:
-                        main, other = main - a, other - b
-                    del open_tags[k:]
-                    link = 0
-                    break
-    if at < len(page):
-        parts.append((page[at:], link > 0))
-    close()
+            now.make_room(name)
+            if name not in _VOID and not (attributes.endswith("/") and name not in _ENDS_P):
+                main = name in _MAIN
+                other, text_like, doubt = name in _OTHER or (name == "header" and not now.main), False, False
+                if attributes and not main and name not in ("html", "body"):
+                    named = " ".join(filter(None, (x for g in _NAMED.findall(attributes) for x in g)))
+                    main = "articlebody" in named.lower() or named.lower() == "main"
+                    other = other or bool(named and _OTHER_NAMES.search(named)) or bool(_HIDDEN.search(attributes))
+                    doubt, text_like = bool(_DOUBTFUL_NAMES.search(named)), bool(_TEXT_NAMES.search(named))
+                now.begin(name, main, text_like, other, doubt, name == "form")
+        if link > len(now.items):
+            link = -1
+    flush()
     return out
 
 
@@ -164,9 +361,8 @@ def main_text(page: str) -> str:
     share = [(b[1], b[2] / b[1]) for b in found]
     edge = (0, 0.0)
     kept = []
-    for k, (text, _, _, inside, other) in enumerate(found):
-        x = (*share[k], *(share[k - 1] if k else edge), *(share[k + 1] if k + 1 < len(found) else edge), inside, other)
-        if decide(tree(), x):
+    for k, (text, _, _, *rest) in enumerate(found):
+        if decide(tree(), features(*share[k], *(share[k - 1] if k else edge), *(share[k + 1] if k + 1 < len(found) else edge), *rest)):
             kept.append(text)
     return "\n\n".join(kept)
 
@@ -175,8 +371,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All rows and columns of ``pages`` with text, the main text of the whole page.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty
-    line. A null or empty page, and one without main text, has an empty text. Pages of any length are read whole;
-    repeated rows give repeated results. A column named text is replaced unless it holds the pages.
+    line. A null or empty page, and one without main text, has an empty text. Pages of any length are read whole, in
+    time and memory in proportion to them; rows that repeat or tie give repeated results; no rows give no rows. A
+    column named text is replaced unless it holds the pages.
     """
     pages = pages if html_col == "text" else pages.drop("text")
     names = [c for c in pages.columns if c != "text"]

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import pyarrow as pa
 import pytest
@@ -210,7 +212,93 @@ def test_extraction_without_marks():
 
 
 def test_tree_fits_its_table():
-    assert all(html_extraction.decide(html_extraction.tree(), r[:-1]) == r[-1] for r in html_extraction.LABELLED)
+    assert all(html_extraction.decide(html_extraction.tree(), html_extraction.features(*r[:-1])) == r[-1] for r in html_extraction.LABELLED)
+
+
+PROSE = "This is a sentence of a long passage that says something at length, as articles do, again and again. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # end tags that HTML lets one omit: a mark ends with its element
+        ('<article><h1>Title here</h1><p class="ad">Buy now<p>Real first paragraph here.<p>Second.</article>', ["Title here", "Real first paragraph here.", "Second."]),
+        ('<article><ul><li class="related">See also<li>An item</ul><p>End', ["An item", "End"]),
+        ('<article><dl><dt class="ad">x<dd>y</dl><table><tr><td class="ad">p<td>q<tr><td>r</table>', ["y", "q", "r"]),
+        ('<article><ul><li class="ad"><ul><li>inner</ul>outer<li>next</ul>', ["next"]),
+        # end tags without an element, or beyond what they reach
+        ('<article></div></p></aside><p>One.</p></section><p>Two.</p>', ["One.", "Two."]),
+        ('<article><div class="ad"><table><tr><td></div>still the advert</table></div><p>Text.', ["Text."]),
+        # density decides where nothing is marked, and where a name is doubtful
+        ('<div class="content"><h1>A title</h1><p>One short paragraph.</p><p>Two.</p></div>', ["A title", "One short paragraph.", "Two."]),
+        ('<ul><li><a href="1">Home</a><li><a href="2">News</a></ul><h1>A title of a page</h1><p>A text.</p><div>3 Comments</div>', ["A title of a page", "A text."]),
+        (f'<article><section class="legal"><p>{PROSE}</p></section><p class="alert">Read this.</p></article>', [PROSE.strip()]),
+        ('<article><p>Text.</p><ul><li><a href="1">one</a><li><a href="2">two</a><li><a href="3">three</a><li><a href="4">four</a></ul></article>', ["Text."]),
+        # a form around the page is no form in it
+        ('<form><nav><a href="1">n</a></nav><article><p>Text.</p><form>Name</form></article></form>', ["Text."]),
+        # quotes, signs and references
+        ('<article><p title="a>b">x &lt; y</p><p class=it\'s>a < b &amp;&nbsp; c</p></article>', ["x < y", "a < b & c"]),
+        ('<article><p title="open>one</p><p>two</p></article>', ["one", "two"]),
+        ('<article><script>"<p>no</p>"</script ><p>yes</p><!-- <p>no</p> --><svg><text>no</text></svg><svg/><p>too', ["yes", "too"]),
+    ],
+)
+def test_extraction_of_odd_markup(page, want):
+    assert html_extraction.main_text(page).split("\n\n") == want
+
+
+class Plain(HTMLParser):
+    """Brute force for pages that say what is what: text inside article, outside marked parts, block by block."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.marked, self.blocks = 0, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("b", "i", "em", "a", "span"):
+            self.blocks.append("")
+        if tag not in ("br", "meta"):
+            self.inside += tag == "article"
+            if tag in ("nav", "footer", "script", "style", "title") or dict(attrs).get("class") == "ad":
+                self.marked.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "a", "span"):
+            self.blocks.append("")
+        self.inside -= tag == "article"
+        if self.marked and self.marked[-1] == tag:
+            self.marked.pop()
+
+    def handle_data(self, data):
+        if self.inside and not self.marked:
+            self.blocks[-1] += data
+
+
+def test_extraction_query_matches_brute_force(spark):
+    pages = {g.page_id: g.html for g in read(spark, "pages").collect()}
+    got = QUERIES["op9_html_extraction"](spark, SF).collect()
+    assert len(got) == len(pages) > 200
+    for g in got:
+        plain = Plain()
+        plain.feed(pages[g.page_id] or "")
+        assert g.text == "\n\n".join(x for b in plain.blocks if (x := " ".join(b.split()))) and g.n_chars == len(g.text)
+
+
+HOSTILE = ["<p>|</div>", "<script |", "<a title='|", "<svg>|", "<x><p>|", "<div>|<p>", "<table><tr><td>|", "<ul><li>|</p>", "<p><table>|<div>", "<a href=x>w |", "<|", "&|", "<!--|-->", "<p ='|"]
+
+
+@pytest.mark.parametrize("parts", HOSTILE)
+def test_time_grows_with_the_page(parts):
+    a, b = parts.split("|")
+
+    def took(n):
+        began = time.process_time()
+        html_extraction.main_text(a * n + b * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000 // len(a + b)) < 6  # seconds for a megabyte; with a square it would be minutes
 
 
 def test_extraction_of_odd_rows(spark):
