@@ -9,17 +9,19 @@ import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir of the session; only where that is unset on a single machine, as in tests, a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="provenia-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -35,16 +37,16 @@ class Workspace:
         atexit.register(self.drop, "")
 
     def save(self, df: DataFrame, name: str, **stats: Column) -> tuple[DataFrame, dict]:
-        """The table as reread from the shared folder, which cuts its lineage, and figures taken while it was written."""
+        """The table as reread from the shared folder, which cuts its lineage, and figures of what was written.
+
+        Figures are taken from the reread table: tasks that run twice after a loss would count twice while writing.
+        """
         self.n += 1
-        seen = Observation() if stats else None
-        if seen:
-            df = df.observe(seen, *(c.alias(k) for k, c in stats.items()))
         path = f"{self.path}/{self.n:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.provenia_path = path
-        return out, (seen.get if seen else {})
+        return out, (out.agg(*(c.alias(k) for k, c in stats.items())).first().asDict() if stats else {})
 
     def drop(self, path: str | DataFrame) -> None:
         """Delete a table that nothing reads any more; '' stands for the whole folder."""
