@@ -7,7 +7,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from provenia.llm import exact_dedup as exact
 from provenia.llm import simhash
 from provenia.llm.components import components
 from provenia.llm.embedding_dedup import embedding_dedup
@@ -45,7 +47,7 @@ def test_components_of_chains_and_stars(spark):
 ODD = [(5, "a  b"), (3, "a\tb"), (9, None), (8, ""), (1, "a b "), (7, "é"), (7, "é"), (None, "a b"), (11, " \n "), (12, " "), (13, "x" * 200_000), (14, "x" * 200_000)]
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 1, "initial_depth": 0}, {"hash_bits": 1, "capacity": 2}, {"hash_bits": 8, "capacity": 2, "initial_depth": 1}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 1, "initial_depth": 0}, {"hash_bits": 1, "capacity": 2}, {"hash_bits": 8, "capacity": 2, "initial_depth": 1}, {"capacity": 3, "broadcast_buckets": 0}])
 def test_exact_dedup_matches_brute_force(spark, options):
     r = random.Random(1)
     rows = ODD + [(100 + k, " ".join(r.choice("abc") for _ in range(3))) for k in range(60)]
@@ -66,13 +68,50 @@ def test_exact_dedup_matches_brute_force(spark, options):
 
 def test_directory_doubles_only_overfull_buckets(spark):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(400)], DOCS)
-    index = build_index(docs, Workspace(spark, "t"), capacity=40, initial_depth=1).collect()
+    index, buckets = build_index(docs, Workspace(spark, "t"), capacity=25, initial_depth=1)
+    load = {f"{b.depth}:{b.prefix}": b.load for b in buckets.collect()}
     size = {}
-    for x in index:
+    for x in index.collect():
         size[x.bucket] = size.get(x.bucket, 0) + 1
-        assert x.bucket.split(":")[0] == str(x.local_depth)
-        assert int(x.bucket.split(":")[1]) == (x.h % (1 << 64)) >> (64 - x.local_depth)
-    assert len(index) == 400 and max(size.values()) <= 40 and len({x.local_depth for x in index}) >= 1
+        depth, prefix = map(int, x.bucket.split(":"))
+        assert prefix == (x.h % (1 << 64)) >> (64 - depth) and x.chain == 1
+    assert size == load and sum(load.values()) == 400 and max(load.values()) <= 25
+    assert len({b.split(":")[0] for b in load}) > 1  # only overfull buckets were split further
+    # A split goes on as far as keys share bits: no bucket stays overfull, whatever the first depth.
+    _, buckets = build_index(docs, Workspace(spark, "t"), capacity=1, initial_depth=0)
+    assert {b.load for b in buckets.collect()} == {1}
+
+
+def test_colliding_keys_form_chains(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 20}") for k in range(60)], DOCS)
+    index, _ = build_index(docs, Workspace(spark, "t"), hash_bits=2, capacity=1)
+    chains = {}
+    for x in index.collect():
+        chains.setdefault(x.h, []).append(x.chain)
+        assert x.group_size == 3
+    assert len(chains) <= 4 and sum(map(len, chains.values())) == 20 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values())
+
+
+def test_rows_are_found_through_the_directory(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k % 50}") for k in range(100)], DOCS)
+    work = Workspace(spark, "t")
+    _, buckets = build_index(docs, work, capacity=4)
+    keyed = docs.select(exact._key(64, "text").alias("h"))
+    for lost in (buckets.where("prefix <> 3"), buckets.withColumn("prefix", (buckets.prefix + 1))):
+        for most in (0, 1 << 16):  # joined by range, and broadcast
+            with pytest.raises(Exception, match="no bucket"):
+                exact.place(keyed, lost, 64, most).collect()
+    # Documents that are sent to other buckets than the owners' find no entry.
+    real, calls = exact.place, []
+
+    def astray(rows, buckets, *more):
+        calls.append(1)
+        out = real(rows, buckets, *more)
+        return out if len(calls) == 1 else out.withColumn(more[-1], F.lit("0:0"))
+
+    monkeypatch.setattr(exact, "place", astray)
+    with pytest.raises(Exception, match="no entry"):
+        exact_dedup(docs, capacity=4).collect()
 
 
 def test_exact_dedup_of_nothing(spark):
