@@ -13,13 +13,14 @@ UNDETERMINED = "und"
 def language_scores(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 600) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred, score and rejected.
 
-    Learned from at most ``per_class`` texts of each language, among rows for which ``allowed`` holds and the language
-    is known. score is the calibrated probability of lang_pred, the likeliest language. Texts that are null or have no
+    Learned from at most ``per_class`` texts of each language (and subword.SAMPLE_BYTES in all), among rows for which
+    ``allowed`` holds and the language is known; rows without an id teach nothing, an id teaches once. score is the calibrated probability of lang_pred, the likeliest language. Texts that are null or have no
     letter, and all texts where nothing could be learned, get ``und`` with score 0. rejected: ``und``, or a
     score below the level that loses one in 1,000 of the rightly predicted held-back texts, with a fifth to spare (at most 0.4),
-    or byte trigrams less usual in every language than the level between held-back texts and what these would be were
+    or runs of four characters less usual in every language than the level between held-back texts and what these would be were
     their language not learned. The last depends on no prior, so it also finds texts of languages not learned. A few
-    letters say too little to be rejected. Only the text is an input. Columns with one of the new names are replaced.
+    letters say too little to be rejected. Only the text is an input. Texts of any length are read whole; equal texts have
+    equal results; no rows give no rows. Columns with one of the new names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "rejected", "__p", "__usual")
     model = subword.fit_frame(docs, allowed, lang_col, True, id_col, text_col, None, per_class)

@@ -11,8 +11,8 @@ from provenia.llm import subword
 def quality_scores(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = subword.PER_CLASS) -> DataFrame:
     """All rows and columns of ``docs`` with score, the calibrated probability of label 1.
 
-    Learned from at most ``per_class`` texts of each label, among rows of ``labels`` for which ``allowed`` holds; rows
-    with a null label teach nothing. Null and empty texts, and texts without words, get the score of no evidence. Only
+    Learned from at most ``per_class`` texts of each label (and subword.SAMPLE_BYTES in all), among rows of ``labels``
+    for which ``allowed`` holds; rows with a null label or id teach nothing, an id teaches once. Null and empty texts, and texts without words, get the score of no evidence. Only
     the text is an input. Without any label every score is 0.5; with one label only, 0 or 1 throughout. Equal texts
     have equal scores. A column named score is replaced.
     """

@@ -1,19 +1,21 @@
 """Averaged hashed subword embeddings with a softmax, trained by numpy stochastic gradient descent.
 
 The classifier behind quality and language ID (after Joulin et al., 2016). Features of a text are its words, pairs of
-neighbouring words and byte n-grams of its single-spaced form, hashed to rows of an embedding table; a text is the mean
-of its rows, and a linear softmax reads it. Training sees at most ``PER_CLASS`` texts of each class, those of least
-hashed id among the rows allowed; every text is scored whole.
+neighbouring words and character n-grams of its single-spaced form, hashed to rows of an embedding table; a text is the
+mean of its rows, and a linear softmax reads it. A word behind itself is one feature whatever the word, the repetition
+token of Howard and Ruder (2018): averaged n-grams cannot show that a text repeats words it was not trained on. Training sees at most ``PER_CLASS`` texts of each class, those of least
+hashed id among the rows allowed, and at most ``SAMPLE_BYTES`` of text in all; every text is scored whole.
 
 As the softmax's input is linear in the mean, table and output weights are multiplied out after training, so scoring
 is a gather of one row of logits for each feature and a sum by text.
 
 Whether a text is of any learned class at all is judged apart from the softmax, whose best class is likely for want of
-others: by how usual its byte trigrams are in the class where they are most usual.
+others: by how usual its runs of four characters are in the class where these are most usual.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +28,18 @@ from provenia.llm import spans
 from provenia.llm.shared import hashed_rank
 
 PER_CLASS = 1500
+#: Bytes of text that training reads, shared evenly by the classes; a text over a sixteenth of a class's share is not read.
+SAMPLE_BYTES = 1 << 26
 _BITS = 17
 _CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64(0x100000001B3)
 _GRAMS = (3, 4)
 _BLOCKS = 2 + len(_GRAMS)
-_TRIGRAMS = 2
-#: So many trigrams of usual likelihood are added to each text, so that a few odd ones say little.
+_USUAL = 3
+#: Lower case of characters whose lower case is one character, up to the end of Armenian.
+_LOWER = np.array([ord(c) if len(c := chr(k).lower()) == 1 else k for k in range(0x590)], np.uint32)
+#: So many runs of usual likelihood are added to each text, so that a few odd ones say little.
 _SHRINK = 8
 
 
@@ -53,17 +60,23 @@ def features(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tup
     if len(h) > 1:
         same = of[1:] == of[:-1]
         pair = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[same]
-        pair = np.where(h[:-1][same] == h[1:][same], np.uint64(0), pair)  # any word twice in a row is one feature
+        pair = np.where(h[:-1][same] == h[1:][same], np.uint64(0), pair)
         yield _bucket(pair, 1), np.concatenate([[0], np.cumsum(same)])[np.minimum(first, len(same))]
-    # Byte n-grams; a text reaches from the space before its first word to the one after its last.
-    padded = np.concatenate([[32], text, [32]]).astype(np.uint64)
+    # Character n-grams; a text reaches from the space before its first word to the one after its last.
+    padded = np.concatenate([[32], text, [32]]).astype(np.uint8)
+    points = np.frombuffer(padded.tobytes().decode().encode("utf-32-le"), np.uint32)
+    if lower:
+        points = np.where(points < len(_LOWER), _LOWER[np.minimum(points, len(_LOWER) - 1)], points)
     some = np.flatnonzero(np.diff(first))
     begin = np.zeros(len(first) - 1, np.int64)
     end = np.zeros(len(first) - 1, np.int64)
     begin[some], end[some] = starts[first[some]], ends[first[some + 1] - 1] + 2
-    code = padded
+    if len(points) < len(padded):
+        lead = np.flatnonzero((padded & 0xC0) != 0x80)
+        begin, end = np.searchsorted(lead, begin), np.searchsorted(lead, end)
+    code = points.astype(np.uint64)
     for k in range(2, max(_GRAMS) + 1):
-        code = (code[:-1] << np.uint64(8)) | padded[k - 1 :]
+        code = code[:-1] * _PRIME + points[k - 1 :]
         if k in _GRAMS:
             size = np.maximum(end - begin - k + 1, 0)
             at = np.repeat(begin, size) + spans.spread(size)
@@ -74,7 +87,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tup
 class Model:
     """classes: labels in order; logits: one row of class scores per feature row; scale and shift calibrate.
 
-    usual: for each class and trigram its log-likelihood over the class's mean; least_usual: texts below it are foreign.
+    usual: for each class and run of four characters its log-likelihood over the class's mean; least_usual: texts below it are foreign.
     """
 
     classes: list
@@ -87,7 +100,7 @@ class Model:
     least_usual: float = -np.inf
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class probabilities of each text, without features the calibrated prior; and how usual its trigrams are."""
+        """Class probabilities of each text, without features the calibrated prior; and how usual its runs of four characters are."""
         out, usual = np.zeros((len(offsets) - 1, len(self.classes))), np.zeros(len(offsets) - 1)
         for i, j in spans.runs(offsets, _CHUNK):
             out[i:j], usual[i:j] = self.raw(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -100,8 +113,8 @@ class Model:
             n += np.diff(first)
             for c in range(len(self.classes)):
                 total[:, c] += spans.sums(self.logits[c][rows], first)
-            if self.usual is not None and len(rows) and rows[0] >> _BITS == _TRIGRAMS:
-                at = rows - (_TRIGRAMS << _BITS)
+            if self.usual is not None and len(rows) and rows[0] >> _BITS == _USUAL:
+                at = rows - (_USUAL << _BITS)
                 sums = [spans.sums(u[at].astype(float), first) for u in self.usual]
                 usual = np.max(sums, axis=0) / (np.diff(first) + _SHRINK)
         return total / np.maximum(n, 1)[:, None], usual
@@ -118,16 +131,16 @@ def _usual(bags: list, y: np.ndarray, fit: np.ndarray, test: np.ndarray, k: int)
     The level lies midway between the least of the held-back texts (the 0.001 quantile) and the median that the same
     texts reach without the class that they are of, which stands for a language not learned.
     """
-    def trigrams(bag: tuple) -> tuple[np.ndarray, np.ndarray]:
-        of = bag[0] >> _BITS == _TRIGRAMS
-        return bag[0][of] - (_TRIGRAMS << _BITS), bag[1][of]
+    def runs_of_four(bag: tuple) -> tuple[np.ndarray, np.ndarray]:
+        of = bag[0] >> _BITS == _USUAL
+        return bag[0][of] - (_USUAL << _BITS), bag[1][of]
 
     counts = np.zeros((k, 1 << _BITS))
     for b in fit:
-        at, n = trigrams(bags[b])
+        at, n = runs_of_four(bags[b])
         counts[y[b], at] += n
     usual = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
-    parts = [trigrams(bags[b]) for b in test]
+    parts = [runs_of_four(bags[b]) for b in test]
     sums, size = np.array([usual[:, at] @ n for at, n in parts]), np.array([n.sum() for _, n in parts], float)
     for c in range(k):
         own = y[test] == c
@@ -195,36 +208,55 @@ def _cell(column: str) -> Column:
     return F.floor(F.log2(above + F.lit(1.0)) * 64).cast("int")
 
 
-def fit_frame(docs: DataFrame, allowed: Column, label: str, lower: bool, id_col: str, text_col: str, labels: DataFrame | None = None, per_class: int = PER_CLASS) -> Model | None:
-    """A model of ``label``, learned from the allowed rows of docs, or of docs joined with labels; None without any.
+def sample_ids(of: DataFrame, per_class: int) -> tuple[list, dict]:
+    """([(id, label)], rows by label): of each label the ``per_class`` different ids of least hash.
 
-    Of each class the ``per_class`` rows of least hashed id are taken, so what reaches the driver is bounded. A count by
-    class and logarithmic range of hashes, a few thousand rows a class, first tells how far to read; so the window sees
-    little more than the rows that it keeps, however many rows a class has.
+    of: id, label. A count by label and logarithmic range of hashes, a few thousand rows a label, tells how far to read;
+    copies of an id are combined before any shuffle, and where they leave too few ids, the range grows. So what is
+    ranked is little more than what is kept, however many rows a label or an id has.
     """
-    of = (docs if labels is None else labels).where(allowed & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"))
-    if labels is not None:
-        of = of.distinct()
-    of = of.withColumn("cell", _cell("id"))
+    of = of.where("id is not null and label is not null").withColumn("cell", _cell("id"))
+    kind = of.schema["label"].dataType.simpleString()
     counts = of.groupBy("label", "cell").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("label").orderBy("cell"))
-    last = F.coalesce(F.min(F.when(F.col("upto") >= per_class, F.col("cell"))), F.max("cell"))
-    ends = counts.withColumn("upto", upto).groupBy("label").agg(last.alias("last"), F.sum("n").alias("n")).collect()
-    if not ends:
-        return None
-    prior = {r["label"]: r["n"] for r in ends}
-    kind = of.schema["label"].dataType.simpleString()
-    cut = docs.sparkSession.createDataFrame([(r["label"], r["last"]) for r in ends], f"label {kind}, last int")
     order = Window.partitionBy("label").orderBy(hashed_rank("id", 5), "id")
-    near = of.join(F.broadcast(cut), "label").where(F.col("cell") <= F.col("last"))  # one row a class
-    ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id", "label")
-    texts = docs if labels is not None else docs.where(allowed & F.col(label).isNotNull())
+    target = per_class
+    while True:
+        last = F.coalesce(F.min(F.when(F.col("upto") >= target, F.col("cell"))), F.max("cell"))
+        ends = counts.withColumn("upto", upto).groupBy("label").agg(last.alias("last"), F.max("cell").alias("top"), F.sum("n").alias("n")).collect()
+        if not ends:
+            return [], {}
+        cut = of.sparkSession.createDataFrame([(r["label"], r["last"]) for r in ends], f"label {kind}, last int")
+        near = of.join(F.broadcast(cut), "label").where(F.col("cell") <= F.col("last")).select("id", "label").distinct()  # one row a label
+        ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id", "label").collect()
+        have = Counter(r["label"] for r in ids)
+        if all(have[r["label"]] >= per_class or r["last"] == r["top"] for r in ends):
+            return [(r["id"], r["label"]) for r in ids], {r["label"]: r["n"] for r in ends}
+        target *= 16
+
+
+def fit_frame(docs: DataFrame, allowed: Column, label: str, lower: bool, id_col: str, text_col: str, labels: DataFrame | None = None, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """A model of ``label``, learned from the allowed rows of docs, or of docs joined with labels; None without any.
+
+    What reaches the driver is bounded by ``per_class`` texts of each class, one for each id (the least text where
+    rows share an id), and by ``sample_bytes`` in all. Rows without an id teach nothing.
+    """
+    named = (docs if labels is None else labels).where(allowed & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    ids, prior = sample_ids(named if labels is None else named.distinct(), per_class)
+    if not ids:
+        return None
+    kinds = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in ("id", "label"))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, kinds))  # per_class rows a class
     keys = ["id"] if labels is not None else ["id", "label"]
+    texts = docs if labels is not None else docs.where(allowed & F.col(label).isNotNull())
     texts = texts.select(F.col(id_col).alias("id"), *([] if labels is not None else [F.col(label).alias("label")]), F.coalesce(text_col, F.lit("")).alias("text"))
-    picked = texts.join(F.broadcast(ids), keys).select("id", "label", "text").toArrow()
+    share = sample_bytes // len(prior)
+    texts = texts.where(F.octet_length("text") <= share // 16).join(chosen, keys).groupBy("id", "label").agg(F.min("text").alias("text"))
+    read = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(hashed_rank("id", 5), "id"))
+    picked = texts.withColumn("read", read).where(F.col("read") <= share).select("id", "label", "text").toArrow()
     if not picked.num_rows:
         return None
-    picked = picked.sort_by([("id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    picked = picked.sort_by([("id", "ascending"), ("label", "ascending")])
     mixed = np.random.default_rng(2).permutation(picked.num_rows)
     got = picked.take(pa.array(mixed))
     return train(got["text"].to_pylist(), got["label"].to_pylist(), prior, lower)
