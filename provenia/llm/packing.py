@@ -17,11 +17,9 @@ import os
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,31 +31,53 @@ WINDOW = 1024
 POOL = 4096
 _PART = 1 << 21
 _CHECK_EVERY = 200
-#: Above this code point the classes of characters depend on the Unicode version; such texts are encoded as a whole.
-_SURE = 0x3000
-_LETTER, _NUMBER, _SPACE = 1, 2, 3
+_OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
 
 # ---------------------------------------------------------------- byte-level tokens
 
 
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """0 other, 1 letter, 2 number, 3 white space, for each code point below _SURE."""
-    out = np.zeros(_SURE + 1, np.uint8)
-    for c in range(_SURE):
-        for k, p in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
-            if regex.match(p, chr(c)):
-                out[c] = k
-    return out
+class Classes:
+    """Letter, number, white space or other of each character, as the tokenizer's own pre-tokeniser has it.
 
+    The library cuts texts in which each character in question stands behind a letter and behind a digit: it joins the
+    one, the other, the sign after it, or nothing. Asked once for each character that is met.
+    """
 
-def pretokens(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where the pieces of byte-level pre-tokenisation begin, as positions in ``points`` (all below _SURE).
+    def __init__(self, library: object) -> None:
+        self.library = library
+        self.known = np.zeros(0x110000, np.int8) - 1
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        kind = self.known[points]
+        if len(points) and kind.min() < 0:
+            self._ask(np.unique(points[kind < 0]))
+            kind = self.known[points]
+        return kind
+
+    def _ask(self, points: np.ndarray) -> None:
+        for lo in range(0, len(points), 1 << 12):
+            some = points[lo : lo + (1 << 12)].tolist()
+            probe = "".join(f"a{chr(c)}!1{chr(c)}!" for c in some)
+            begins = {a for _, (a, _) in self.library.pre_tokenizer.pre_tokenize_str(probe)}
+            for k, c in enumerate(some):
+                at = 6 * k
+                if at + 1 not in begins:
+                    kind = _LETTER
+                elif at + 4 not in begins:
+                    kind = _NUMBER
+                elif at + 2 not in begins and c != 32:
+                    kind = _OTHER
+                else:
+                    kind = _SPACE
+                self.known[c] = kind
+
+
+def pretokens(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of byte-level pre-tokenisation begin, as positions in ``points``. kind: see Classes.
 
     Runs of letters, numbers or other characters, each with one space before it; English contractions; white space.
     """
-    kind = _classes()[points]
     begin = np.ones(len(points), bool)
     begin[1:] = kind[1:] != kind[:-1]
     edge = first[first < len(points)]
@@ -93,9 +113,8 @@ def _byte_characters() -> dict[str, int]:
 class Encoder:
     """Ids of whole texts by a byte-level merge vocabulary of the tokenizers library.
 
-    Each different pre-token of a part is merged once, and remembered. One text in _CHECK_EVERY is compared with the library, and on
-    any difference the library encodes the whole part; it also encodes texts whose pre-tokens are not sure
-    and those that hold the literal of an added token.
+    Each different pre-token of a part is merged once, and remembered. Texts that hold the literal of an added token go
+    to the library. One text in _CHECK_EVERY is compared with the library; a difference is an error.
     """
 
     def __init__(self, path: str) -> None:
@@ -114,7 +133,7 @@ class Encoder:
         for rank, pair in enumerate(model["merges"]):
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             pairs[ids[x], ids[y]] = (rank, ids[x + y])
-        self.look, self.table, self.memory = pairs, PairTable(pairs), Memory()
+        self.look, self.table, self.memory, self.classes = pairs, PairTable(pairs), Memory(), Classes(self.library)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -140,11 +159,8 @@ class Encoder:
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         first = np.searchsorted(lead, offsets)
         strange = self._holds_added(raw, offsets)
-        if points.max() >= _SURE:
-            strange |= spans.sums((points >= _SURE).astype(np.int64), first, np.int64) > 0
-            points = np.where(points >= _SURE, 63, points)  # so that the other texts can be cut as usual
         whole = {k: self._library([raw[offsets[k] : offsets[k + 1]].decode()])[0] for k in np.flatnonzero(strange).tolist()}
-        begin = pretokens(points, first)
+        begin = pretokens(points, self.classes.of(points), first)
         starts = lead[begin]
         size = np.diff(starts, append=len(data))
         h = spans.xxh64(data, starts, starts + size, 5)
@@ -158,9 +174,9 @@ class Encoder:
             parts = [np.array(whole[k], np.uint32) if k in whole else ids[bounds[k] : bounds[k + 1]] for k in range(texts)]
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         for k in range(0, texts, _CHECK_EVERY):
-            if ids[bounds[k] : bounds[k + 1]].tolist() != self._library([raw[offsets[k] : offsets[k + 1]].decode()])[0]:
-                parts = self._library([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-                return np.array([*chain.from_iterable(parts)], np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            text = raw[offsets[k] : offsets[k + 1]].decode()
+            if ids[bounds[k] : bounds[k + 1]].tolist() != self._library([text])[0]:
+                raise ValueError(f"ids differ from those of the tokenizers library: {text[:200]!r}")
         return ids, bounds
 
 
