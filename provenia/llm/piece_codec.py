@@ -6,8 +6,8 @@ is merged first, the leftmost of equal ones, until none is left; symbols that ar
 No piece holds a space mark behind another character, so merges never reach over the beginning of a run of spaces; nor
 do they touch characters that only occur as pieces of their own. Texts are cut there into chunks, and each different
 chunk of a part of an Arrow batch is encoded once and remembered. All chunks of like length run their agendas side by side in numpy;
-very long chunks use a heap. One text in ``_CHECK_EVERY`` of each part is compared with the
-sentencepiece library, and on any difference the whole part is encoded by the library.
+very long chunks use a heap. One text in ``_CHECK_EVERY`` of each part is compared with the sentencepiece library; a
+difference is an error, and so is a vocabulary of another type.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ class Codec:
                 if p[:k] in symbol and p[k:] in symbol:
                     self.look[symbol[p[:k]], symbol[p[k:]]] = (rank[sp.get_score(i)], i)
         self.table, self.memory = PairTable(self.look), Memory()
-        self.merge_type = not any(_MARK in pieces[i].lstrip(_MARK) for i in plain)
+        if any(_MARK in pieces[i].lstrip(_MARK) for i in plain):
+            raise ValueError(f"{path}: pieces hold a space mark behind another character, so texts cannot be cut at spaces")
         self.char = np.full(0x110000, -1, np.int32)
         for c, i in symbol.items():
             if len(c) == 1:
@@ -152,20 +153,13 @@ def codec(path: str) -> Codec:
 def _part(c: Codec, data: np.ndarray, offsets: np.ndarray, number: int) -> tuple[pa.Array, pa.Array]:
     """(ids, decoded) of the texts of a part."""
     n = len(offsets) - 1
-    if c.merge_type:
-        ids, first = c.encode(data, offsets)
-        tested = range(number % _CHECK_EVERY % max(n, 1), n, _CHECK_EVERY)
-        texts = [bytes(data[offsets[k] : offsets[k + 1]]).decode() for k in tested]
-        want = c.library.encode(texts, num_threads=1)
-        good = all(w == ids[first[k] : first[k + 1]].tolist() for k, w in zip(tested, want, strict=True))
-        if good:
-            flat, bounds = c.decode(ids, first)
-            back = [bytes(flat[bounds[k] : bounds[k + 1]]).decode(errors="replace") for k in tested]
-            good = back == c.library.decode([*map(list, want)], num_threads=1) if want else True
-    if not (c.merge_type and good):
-        texts = [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        all_ids = c.library.encode(texts, num_threads=1, add_eos=True)
-        return pa.array(all_ids, pa.list_(pa.int32())), pa.array(c.library.decode(all_ids, num_threads=1), pa.string())
+    ids, first = c.encode(data, offsets)
+    flat, bounds = c.decode(ids, first)
+    for k in range(number % _CHECK_EVERY % max(n, 1), n, _CHECK_EVERY):
+        text = bytes(data[offsets[k] : offsets[k + 1]]).decode()
+        want = c.library.encode(text)
+        if want != ids[first[k] : first[k + 1]].tolist() or c.library.decode(want) != bytes(flat[bounds[k] : bounds[k + 1]]).decode(errors="replace"):
+            raise ValueError(f"pieces differ from those of the sentencepiece library: {text[:200]!r}")
     count = np.diff(first) + 1
     bounds32 = np.concatenate([[0], np.cumsum(count)])
     out = np.full(int(bounds32[-1]), c.eos, np.int32)
@@ -178,7 +172,8 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text")
     """All rows and columns of ``docs`` with ids (array<int>, the end id last) and decoded (the text of these ids).
 
     A null or empty text has the end id alone and decodes to an empty text. Whole texts are encoded, whatever their
-    length. Columns named ids or decoded are replaced.
+    length. Rows that repeat or tie give repeated results; no rows give no rows. Other columns stay as they are; those
+    named ids or decoded are replaced.
     """
     docs = docs.drop("ids", "decoded")
     names = docs.columns
