@@ -15,9 +15,10 @@ edges of one document that follow each other with the same minimizer form one pa
 4. A join brings these to all coordinates of each path. Edges whose least document is smaller than their own cover the
    words to be removed.
 
-Minimizer (64 bits) and word fingerprint (64 bits) are hashes by different multipliers; both must agree. Texts are
-only shuffled where they hold branching sources or removed words: a bitmap of at most ``_BITS`` bits, whose size does
-not depend on the data, lets all other rows pass by in place.
+Paths and edges count as equal if the fingerprints of their whole word sequences are: two of 64 bits each, over
+hashes of the words' bytes with different seeds, so 128 independent bits. The minimizer only deals the edges. Texts
+are only shuffled where they hold branching sources or removed words: a bitmap of at most ``_BITS`` bits, whose size
+does not depend on the data, lets all other rows pass by in place.
 """
 
 from __future__ import annotations
@@ -33,13 +34,17 @@ from pyspark.sql import functions as F
 from provenia.llm import spans
 from provenia.llm.shared import Workspace
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _BITS = 1 << 26  # 8 MB
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _LAST = (1 << 63) - 1
+#: Seeds of the two word hashes.
+_SEEDS = (1, 2)
+#: What tells rows apart: the id, a hash of the text, and for null ids, which all come last, one more.
+_KEY = ["doc", "tag", "more"]
 
 
-@lru_cache(8)
+@lru_cache(4)
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)
     p[0] = 1
@@ -50,7 +55,7 @@ class _Sequence:
     """Fingerprints of any stretch of a sequence of word hashes, from prefix sums."""
 
     def __init__(self, hashes: np.ndarray, which: int) -> None:
-        n = 1 << max(10, (len(hashes) + 1).bit_length())
+        n = 1 << max(18, (len(hashes) + 1).bit_length())
         base = int(_MULTIPLIERS[which])
         self.inverse = _powers(pow(base, -1, 1 << 64), n)
         self.sums = np.zeros(len(hashes) + 1, np.uint64)
@@ -64,15 +69,15 @@ class _Sequence:
 
 
 def paths(data: np.ndarray, offsets: np.ndarray, window: int, core: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, minimizer, fingerprint, first window, windows) arrays of the paths of each text."""
+    """(text number, minimizer, both fingerprints, first window, windows) arrays of the paths of each text."""
     for i, j in spans.runs(offsets, _CHUNK):
         starts, ends, first = spans.word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         n = len(starts) - window + 1
         if n < 1:
             continue
-        hashes = spans.xxh64(data[offsets[i] : offsets[j]], starts, ends, 1)
+        hashes = [spans.xxh64(data[offsets[i] : offsets[j]], starts, ends, seed) for seed in _SEEDS]
         at = np.arange(len(starts) - core + 1)
-        value = _Sequence(hashes, 0).of(at, at + core)
+        value = _Sequence(hashes[0], 0).of(at, at + core)
         cores, place, width, goal = value, at, 1, window - core + 1
         while width < goal:  # least core of each window, the first of equal ones
             step = min(width, goal - width)
@@ -88,15 +93,15 @@ def paths(data: np.ndarray, offsets: np.ndarray, window: int, core: int) -> Iter
         begin = np.flatnonzero(begin)
         count = np.diff(np.append(begin, len(inside)))
         s = inside[begin]
-        words = _Sequence(hashes, 1).of(s, s + count + window - 1)
-        yield i + text[s], value[place[s]].view(np.int64), words.view(np.int64), (s - first[text[s]]).astype(np.int32), count.astype(np.int32)
+        words = [_Sequence(h, 1).of(s, s + count + window - 1).view(np.int64) for h in hashes]
+        yield i + text[s], value[place[s]].view(np.int64), *words, (s - first[text[s]]).astype(np.int32), count.astype(np.int32)
 
 
-def edges_at(data: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
-    """Fingerprints of the windows start[p] .. start[p] + count[p] - 1 of one text, path after path."""
+def edges_at(data: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> list[np.ndarray]:
+    """Both fingerprints of the windows start[p] .. start[p] + count[p] - 1 of one text, path after path."""
     s, e, _ = spans.word_spans(data, np.array([0, len(data)]))
     at = np.repeat(start.astype(np.int64), count) + spans.spread(count.astype(np.int64))
-    return _Sequence(spans.xxh64(data, s, e, 1), 1).of(at, at + window).view(np.int64)
+    return [_Sequence(spans.xxh64(data, s, e, seed), 1).of(at, at + window).view(np.int64) for seed in _SEEDS]
 
 
 def covered(n_words: int, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
@@ -128,50 +133,50 @@ def _split(docs: DataFrame, keys: DataFrame, key: list[str], n: int) -> tuple[Da
 
 
 def removals(docs: DataFrame, work: Workspace, window: int, core: int) -> tuple[DataFrame, int]:
-    """(doc, tag, cuts) of the documents that lose words, and how many: cuts: array<struct<start, count>> of windows.
+    """_KEY and cuts of the documents that lose words, and how many: cuts: array<struct<start, count>> of windows.
 
-    docs: doc, tag, text. Documents are told apart by doc and tag (a hash of the text), ordered by doc alone.
+    docs: _KEY, text. Documents are told apart by all of _KEY, ordered by doc alone.
     """
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = spans.text_column(batch.column("text"))
-            doc, tag = batch.column("doc"), batch.column("tag")
-            for text, core_hash, words, start, count in paths(data, offsets, window, core):
+            for text, *found in paths(data, offsets, window, core):
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays([doc.take(at), tag.take(at), *map(pa.array, (core_hash, words, start, count))], ["doc", "tag", "m", "p", "start", "count"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _KEY), *map(pa.array, found)], [*_KEY, "m", "p", "q", "start", "count"])
 
-    rows, _ = work.save(docs.select("doc", "tag", "text").mapInArrow(scan, "doc long, tag int, m long, p long, start int, count int"), "paths")
-    stats = rows.groupBy("m").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
+    rows, _ = work.save(docs.select(*_KEY, "text").mapInArrow(scan, "doc long, tag long, more long, m long, p long, q long, start int, count int"), "paths")
+    stats = rows.groupBy("m").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("q").alias("q0"), F.max("q").alias("q1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     # Written, so that both sides of the joins are plain shuffles and adaptive execution can split a hot minimizer.
-    known, _ = work.save(stats.where("d0 < d1").select("m", (F.col("p0") != F.col("p1")).alias("branches")), "known")
+    known, _ = work.save(stats.where("d0 < d1").select("m", F.expr("p0 <> p1 or q0 <> q1").alias("branches")), "known")
     repeated, _ = work.save(rows.join(known, "m"), "repeated")
-    source = F.min(F.struct("doc", "tag", "start")).alias("source")
-    classes, _ = work.save(repeated.groupBy("m", "p").agg(source, F.max("doc").alias("last"), F.max("count").alias("count"), F.max("branches").alias("branches")), "classes")
-    whole = classes.where("not branches").select("m", "p", F.array(F.struct(F.lit(0).alias("o"), F.col("count").alias("c"), F.col("source.doc").alias("d"))).alias("least"))
+    source = F.min(F.struct(*_KEY, "start")).alias("source")
+    classes, _ = work.save(repeated.groupBy("m", "p", "q").agg(source, F.max("doc").alias("last"), F.max("count").alias("count"), F.max("branches").alias("branches")), "classes")
+    whole = classes.where("not branches").select("m", "p", "q", F.array(F.struct(F.lit(0).alias("o"), F.col("count").alias("c"), F.col("source.doc").alias("d"))).alias("least"))
 
-    at = F.struct("m", "p", F.col("source.start").alias("start"), "count")
-    opened, seen = work.save(classes.where("branches").groupBy(F.col("source.doc").alias("doc"), F.col("source.tag").alias("tag")).agg(F.collect_list(at).alias("at")), "opened", n=F.count("*"))
-    held, _ = _split(docs.select("doc", "tag", "text"), opened, ["doc", "tag"], seen["n"])
+    at = F.struct("m", "p", "q", F.col("source.start").alias("start"), "count")
+    opened, seen = work.save(classes.where("branches").groupBy(*(F.col(f"source.{c}").alias(c) for c in _KEY)).agg(F.collect_list(at).alias("at")), "opened", n=F.count("*"))
+    held, _ = _split(docs.select(*_KEY, "text"), opened, _KEY, seen["n"])
 
     def open_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = spans.text_column(batch.column("text"))
             for k, (doc, at) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("at"), strict=True)):
                 t = at.values
-                m, p, start, count = (t.field(c).to_numpy(zero_copy_only=False) for c in ("m", "p", "start", "count"))
-                edge = edges_at(data[offsets[k] : offsets[k + 1]], start, count, window)
-                out = [pa.array(x) for x in (np.repeat(m, count), np.repeat(p, count), spans.spread(count.astype(np.int64)).astype(np.int32), edge, np.full(len(edge), doc, np.int64))]
-                yield pa.RecordBatch.from_arrays(out, ["m", "p", "o", "e", "d"])
+                *path, start, count = (t.field(c).to_numpy(zero_copy_only=False) for c in ("m", "p", "q", "start", "count"))
+                e, f = edges_at(data[offsets[k] : offsets[k + 1]], start, count, window)
+                nth = spans.spread(count.astype(np.int64)).astype(np.int32)
+                out = [pa.array(x) for x in (*(np.repeat(x, count) for x in path), nth, e, f, np.full(len(e), doc, np.int64))]
+                yield pa.RecordBatch.from_arrays(out, ["m", "p", "q", "o", "e", "f", "d"])
 
-    edges, _ = work.save(held.join(opened, ["doc", "tag"]).select("doc", "text", "at").mapInArrow(open_paths, "m long, p long, o int, e long, d long"), "edges")
-    first, _ = work.save(edges.groupBy("m", "e").agg(F.min("d").alias("d")), "first")
-    branching = edges.drop("d").join(first, ["m", "e"]).groupBy("m", "p").agg(F.collect_list(F.struct("o", F.lit(1).alias("c"), "d")).alias("least"))
+    edges, _ = work.save(held.join(opened, _KEY).select("doc", "text", "at").mapInArrow(open_paths, "m long, p long, q long, o int, e long, f long, d long"), "edges")
+    first, _ = work.save(edges.groupBy("m", "e", "f").agg(F.min("d").alias("d")), "first")
+    branching = edges.drop("d").join(first, ["m", "e", "f"]).groupBy("m", "p", "q").agg(F.collect_list(F.struct("o", F.lit(1).alias("c"), "d")).alias("least"))
 
     hit = F.transform(F.filter("least", lambda x: x["d"] < F.col("doc")), lambda x: F.struct((F.col("start") + x["o"]).alias("start"), x["c"].alias("count")))
-    cut = repeated.drop("branches").join(whole.unionByName(branching), ["m", "p"]).select("doc", "tag", hit.alias("hit")).where(F.size("hit") > 0)
+    cut = repeated.drop("branches").join(whole.unionByName(branching), ["m", "p", "q"]).select(*_KEY, hit.alias("hit")).where(F.size("hit") > 0)
     # The same path of the same document may come twice where rows repeat; windows are a set.
-    per_doc = cut.groupBy("doc", "tag").agg(F.flatten(F.collect_set("hit")).alias("cuts"))
+    per_doc = cut.groupBy(*_KEY).agg(F.flatten(F.collect_set("hit")).alias("cuts"))
     out, seen = work.save(per_doc, "cuts", n=F.count("*"))
     for done in (rows, known, repeated, first, edges, classes, opened):
         work.drop(done)
@@ -184,19 +189,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of ``window`` consecutive words of one document covers it whose sequence also starts in a
     document with a smaller id; windows are judged on the input. kept_text: the other words joined by one space;
     removed: array<struct<start, end>> of word numbers. Null texts have no words. Rows that share an id never remove
-    each other's words; rows with a null id come after all others. Columns with one of the new names are replaced.
+    each other's words, nor do rows with a null id, which come after all others. Texts of any length are read whole.
+    Columns with one of the new names are replaced. No rows give no rows.
     """
     core = min(core, window)
     work = Workspace(docs.sparkSession, "substring-dedup")
     docs = docs.drop("kept_text", "n_words", "n_removed", "removed")
     text = F.coalesce(text_col, F.lit(""))
-    keys: dict[str, Column] = {"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "__tag": F.hash(text)}
-    slim = docs.select(keys["__doc"].alias("doc"), keys["__tag"].alias("tag"), text.alias("text"))
+    doc = F.col(id_col).cast("long")
+    more = F.when(doc.isNull(), F.xxhash64(F.lit(11), text)).otherwise(F.lit(0).cast("long"))
+    keys: dict[str, Column] = {"__doc": F.coalesce(doc, F.lit(_LAST)), "__tag": F.xxhash64(text), "__more": more}
+    slim = docs.select(*(c.alias(k) for k, c in zip(_KEY, keys.values(), strict=True)), text.alias("text"))
     cuts, n = removals(slim, work, window, core)
     full = docs.withColumns(keys)
-    cuts = cuts.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("cuts").alias("__cuts"))
-    may, rest = _split(full, cuts, ["__doc", "__tag"], n)
-    marked = may.join(cuts, ["__doc", "__tag"], "left").unionByName(rest.withColumn("__cuts", F.lit(None).cast(cuts.schema["__cuts"].dataType)))
+    cuts = cuts.select(*(F.col(k).alias(f"__{k}") for k in _KEY), F.col("cuts").alias("__cuts"))
+    may, rest = _split(full, cuts, list(keys), n)
+    marked = may.join(cuts, list(keys), "left").unionByName(rest.withColumn("__cuts", F.lit(None).cast(cuts.schema["__cuts"].dataType)))
     names = docs.columns
 
     def cut_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
