@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from provenia.llm.shared import Workspace
 
-#: A directory of at most so many buckets (about 3 MB) is broadcast; beyond that it is joined by key range.
-BROADCAST_BUCKETS = 1 << 16
+#: Texts of a bucket, unless a table has so many that this would make more than half of BROADCAST_BUCKETS.
+CAPACITY = 4096
+#: A directory of at most so many buckets (about 10 MB) is broadcast; beyond that it is joined by key range.
+BROADCAST_BUCKETS = 1 << 18
 #: Shares over which the combined entries of one text are dealt before they go to its owner.
 _SHARES = 8
 
@@ -41,12 +43,14 @@ def _prefix(depth: Column | int, hash_bits: int, key: str = "h") -> Column:
     return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col(key), (F.lit(hash_bits) - depth).cast("int")))
 
 
-def directory(keys: DataFrame, work: Workspace, capacity: int, initial_depth: int | None, hash_bits: int) -> DataFrame:
+def directory(keys: DataFrame, work: Workspace, capacity: int | None, initial_depth: int | None, hash_bits: int) -> DataFrame:
     """(prefix, depth, load) of each bucket that holds keys. keys: h, each key once.
 
     Splitting ends at the latest with buckets of one key, so no bucket stays overfull.
     """
-    depth = max(0, math.ceil(math.log2(max(keys.count(), 1) / capacity))) if initial_depth is None else initial_depth
+    n = max(keys.count(), 1)
+    capacity = max(CAPACITY, 2 * n // BROADCAST_BUCKETS) if capacity is None else capacity
+    depth = max(0, math.ceil(math.log2(n / capacity))) if initial_depth is None else initial_depth
     depth, found = min(depth, hash_bits), None
     while True:
         loads = keys.groupBy(_prefix(depth, hash_bits).alias("prefix")).agg(F.count("*").alias("load"))
@@ -74,7 +78,7 @@ def place(rows: DataFrame, buckets: DataFrame, hash_bits: int, broadcast_buckets
     return out.withColumn(name, found).drop("__of", "__range", "__prefix", "__depth")
 
 
-def build_index(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, initial_depth: int | None = None, hash_bits: int = 64, broadcast_buckets: int = BROADCAST_BUCKETS) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, initial_depth: int | None = None, hash_bits: int = 64, broadcast_buckets: int = BROADCAST_BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(index, directory). index: bucket, h, chain (place among the texts of a key), text_sha256, keep_id, group_size."""
     norm = docs.select(F.col(id_col).alias("id"), normalized(text_col).alias("norm"))
     keyed = norm.select("id", "norm", _key(hash_bits).alias("h"))
