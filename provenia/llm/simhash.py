@@ -212,9 +212,9 @@ def bucket_links(anchor: np.ndarray, home: np.ndarray, fp: np.ndarray, threshold
     return left[keep], right[keep]
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id, the least id reachable by links, itself included, and
-    component, the least fingerprint reachable.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = 2, carry: str | None = None) -> DataFrame:
+    """One row per document: id, fp (signed long), component_id, the least id reachable by links, itself included,
+    component, the least fingerprint reachable, and the column ``carry`` as it is.
 
     Fingerprints link at ``threshold`` or fewer differing bits; equal ones link. Null and empty texts have fingerprint
     0 and link like any other. Repeated rows give repeated results. A null id takes part by its fingerprint; its
@@ -222,7 +222,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     work = Workspace(spark, "simhash")
-    prints, _ = work.save(fingerprint_frame(docs, id_col, text_col, width), "prints")
+    prints, _ = work.save(fingerprint_frame(docs, id_col, text_col, width, carry), "prints")
     classes, _ = work.save(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
 
     def replicate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +265,4 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = tops.select("node", "component").join(least, "component").select(F.col("node").alias("fp"), "component_id", "component")
     named = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "fp").alias("component"))
     named, _ = work.save(named, "named")  # so that adaptive execution can split a hot fingerprint in the last join
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id", "component")
+    return prints.join(named, "fp", "left").select("id", "fp", "component_id", "component", *([carry] if carry else []))

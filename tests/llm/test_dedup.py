@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from provenia.llm import embedding_dedup as embedding
 from provenia.llm import exact_dedup as exact
 from provenia.llm import simhash
 from provenia.llm.components import components
@@ -182,6 +183,36 @@ def test_embedding_recall_on_many_leaves(spark):
     assert sum(got.values()) >= 0.9 * want.sum() > 0
 
 
+@pytest.mark.parametrize(("noise", "shell"), [(0.02, 0), (0.06, 1), (0.18, 1)])
+def test_dense_groups_match_brute_force(spark, noise, shell, monkeypatch):
+    """A third of all vectors near one another, a second such group beside it, vectors in the shell, and others."""
+    r = np.random.default_rng(9)
+    d = 16
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    one, other = unit(r.standard_normal((2, d)))
+    beside = unit(one + 0.4 * unit(other - one * (one @ other)))
+    near = [unit(c + noise * unit(r.standard_normal((n, d))) * r.random((n, 1))) for c, n in ((one, 200), (beside, 120))]
+    between = [unit(one + w * unit(r.standard_normal((1, d)))) for w in np.linspace(0.05, 0.7, 60)]
+    x = np.concatenate([*near, *between, r.standard_normal((220, d)), near[0][:7]]).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    monkeypatch.setattr(embedding, "_MEMBERS", 50)
+    centres = embedding.dense_balls(embedding._normalised(x), 0.95, np.random.default_rng(1))
+    assert len(centres) >= 1
+    got = {g.id: (g.n_links, g.component_id) for g in embedding_dedup(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), leaf_size=1000).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = u @ u.T >= 0.95
+    comp = classes([(a, b) for a in range(len(x)) for b in range(a) if links[a, b]], range(len(x)))
+    assert got == {k: (int(links[k].sum()) - 1, comp[k]) for k in range(len(x))}
+
+
+def test_trees_do_not_split_what_they_cannot_part():
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.ones((4000, 8)) + 1e-4 * r.standard_normal((4000, 8)), r.standard_normal((4000, 8))])
+    x = embedding._normalised(x).astype(np.float32)
+    row, leaf = embedding.Tree(x, 12, 0.03, r).leaves(x)
+    assert len(row) <= 4 * len(x)  # a split of the dense half would send each of its vectors to thousands of leaves
+
+
 def brute_cut(rows, window):
     first = {}
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]

@@ -1,13 +1,16 @@
 """Classifiers, codecs, packing, extraction and chat formatting."""
 
 import hashlib
+import math
 import random
+import re
 import time
 import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -48,6 +51,65 @@ def test_quality_of_odd_rows(spark):
     assert quality_scores(docs.limit(0), labels, F.lit(True)).collect() == []
 
 
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(subword, "train", lambda texts, labels, prior, lower: seen.update(texts=texts, labels=labels, prior=prior))
+    rows = [(7, "the same row", "a")] * 700 + [(7, "another row", "a")] + [(100 + k, f"text {k}", "ab"[k % 2]) for k in range(50)] + [(None, "no id", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for labels in (None, docs.select("doc_id", "lang")):
+        subword.fit_frame(docs if labels is None else docs.drop("lang"), F.lit(True), "lang", True, "doc_id", "text", labels, per_class=600)
+        assert sorted(seen["texts"]) == sorted(["another row", *(f"text {k}" for k in range(50))])
+        subword.fit_frame(docs if labels is None else docs.drop("lang"), F.lit(True), "lang", True, "doc_id", "text", labels, per_class=10)
+        assert {c: seen["labels"].count(c) for c in "ab"} == {"a": 10, "b": 10}
+    assert seen["prior"] == {"a": 26, "b": 25}
+    long = spark.createDataFrame([(k, "x" * (1000 if k else 100_000), "a") for k in range(30)], "doc_id long, text string, lang string")
+    subword.fit_frame(long, F.lit(True), "lang", True, "doc_id", "text", sample_bytes=16_500)
+    assert len(seen["texts"]) == 16 and max(map(len, seen["texts"])) == 1000
+
+
+def brute_probabilities(model, text):
+    """Plain Python: every feature's logits added one by one."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(spans.LOWER[b] for b in data) if model.lower else data)
+    whole = (1 << 64) - 1
+    row = lambda x, block: ((x * 0x9E3779B97F4A7C15 & whole) >> (64 - subword._BITS)) + (block << subword._BITS)
+    h = [xxhash.xxh64_intdigest(w, 3) for w in words]
+    rows = [row(x, 0) for x in h] + [row((x * 0xC2B2AE3D27D4EB4F + y) & whole if x != y else 0, 1) for x, y in zip(h, h[1:], strict=False)]
+    chars = f" {b' '.join(words).decode()} " if words else ""
+    if model.lower:
+        chars = "".join(c.lower() if ord(c) < 0x590 and len(c.lower()) == 1 else c for c in chars)
+    for block, n in ((2, 3), (3, 4)):
+        for k in range(len(chars) - n + 1):
+            code = 0
+            for c in chars[k : k + n]:
+                code = (code * 0x100000001B3 + ord(c)) & whole
+            rows.append(row(code, block))
+    logits = [sum(float(l[r]) for r in rows) / max(len(rows), 1) * model.scale + s for l, s in zip(model.logits, model.shift, strict=True)]
+    e = [math.exp(x - max(logits)) for x in logits]
+    return [x / sum(e) for x in e]
+
+
+@pytest.mark.parametrize("name", ["op4_quality", "op5_language_id"])
+def test_scores_match_brute_force(spark, monkeypatch, name):
+    got, real = [], subword.fit_frame
+    monkeypatch.setattr(subword, "fit_frame", lambda *a: got.append(real(*a)) or got[0])
+    scores = {r.doc_id: r for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    model = got[0]
+    docs = read(spark, "documents", "/root/testdata/sf0.001").collect()
+    assert len(scores) == len(docs)
+    for d in docs:
+        p, r = brute_probabilities(model, d.text), scores[d.doc_id]
+        if name == "op4_quality":
+            assert math.isclose(r.score, p[model.classes.index(1)], abs_tol=1e-6) and r.predicted == int(r.score >= 0.5)
+        elif d.text and re.search(r"[^\W\d_]", d.text):
+            assert math.isclose(r.score, max(p), abs_tol=1e-6) and r.lang_pred == model.classes[p.index(max(p))]
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+    texts = ["", "ÉTÉ Straße ǅ 漢字 Привет", "a", "x\ty", "🙂 🙂"]
+    p, _ = model.probabilities(*spans.text_column(pa.array(texts)))
+    assert all(math.isclose(x, y, abs_tol=1e-6) for t, row in zip(texts, p, strict=True) for x, y in zip(row, brute_probabilities(model, t), strict=True))
+
+
 @pytest.mark.parametrize("per_class", [1, 40, 100_000])
 def test_sample_is_that_of_least_hashes(spark, monkeypatch, per_class):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("lang"))
@@ -341,6 +403,28 @@ def test_hidden_control_texts_in_the_query(spark):
     assert got.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
 
 
+def test_classes_of_characters_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    e = packing.Encoder(BYTES)
+    plain = Tokenizer.from_file(BYTES)
+    some = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 97 == 0 or 0xA000 <= c < 0xB000)]
+    texts = [f"x{chr(c)}y {chr(c)}{chr(c)} 1{chr(c)}2\n{chr(c)}" for c in some]
+    ids, first = e.encode(*spans.text_column(pa.array(texts)))
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+
+
+def test_differences_from_the_libraries_are_errors(spark, monkeypatch):
+    c, e = piece_codec.Codec(PIECES), packing.Encoder(BYTES)
+    data, offsets = spans.text_column(pa.array(["some text"]))
+    c.char[ord("o")], e.byte_id[ord("o")] = c.char[ord("e")], e.byte_id[ord("e")]
+    with pytest.raises(ValueError, match="some text"):
+        piece_codec._part(c, data, offsets, 0)
+    with pytest.raises(ValueError, match="some text"):
+        e.encode(data, offsets)
+
+
 def test_literals_of_added_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
