@@ -3,11 +3,41 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body uses it inside other lambdas.
+
+    The optimizer merges projections and would compute such a value for every element of the outer array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(values: Column, start: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """start and every running value of a fold, as an array.
+
+    Runs in blocks: appending to one array copies it at each step, which is quadratic; here only blocks are appended to.
+    """
+    size = F.size(values)
+    count = F.ceil(size / F.lit(block)).cast("int")
+    none = F.slice(F.array(F.array(start)), F.lit(1), F.lit(0))
+    begins = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    def run(now: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(now), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+    def append(acc: Column, k: Column) -> Column:
+        part = F.slice(values, k * block + 1, F.lit(block))
+        return let(run(acc["now"], part), lambda r: F.struct(F.element_at(r, -1).alias("now"), F.concat(acc["done"], F.array(F.slice(r, F.lit(2), F.size(r) - 1))).alias("done")))
+
+    blocks = F.aggregate(begins, F.struct(start.alias("now"), none.alias("done")), append, lambda acc: acc["done"])
+    return F.concat(F.array(start), F.flatten(blocks))
+
+
 def pair_hash(left: Column, right: Column) -> Column:
     """SHA-256 of two hex digests joined as text."""
     return F.sha2(F.concat(left, right), 256)
@@ -31,9 +61,8 @@ def root(leaves: Column) -> Column:
     return F.get(F.element_at(levels(leaves), -1), F.lit(0))
 
 
-def proof(tree: Column, leaf: Column) -> Column:
-    """Steps ``left:x`` or ``right:x`` from a leaf (by its first place in level 0) to the root; null if it is no leaf."""
-    place = (F.array_position(F.get(tree, F.lit(0)), leaf) - 1).cast("int")
+def proof_at(tree: Column, place: Column) -> Column:
+    """Steps ``left:x`` or ``right:x`` from the leaf at a place to the root."""
     inner = F.when(F.size(tree) > 1, F.slice(tree, F.lit(1), F.size(tree) - 1)).otherwise(F.array().cast("array<array<string>>"))
 
     def step(level: Column, depth: Column) -> Column:
@@ -41,7 +70,13 @@ def proof(tree: Column, leaf: Column) -> Column:
         sibling = F.when(i % 2 == 0, F.coalesce(F.get(level, i + 1), F.get(level, i))).otherwise(F.get(level, i - 1))
         return F.concat(F.when(i % 2 == 0, F.lit("right:")).otherwise(F.lit("left:")), sibling)
 
-    return F.when(place >= 0, F.transform(inner, step))
+    return F.transform(inner, step)
+
+
+def proof(tree: Column, leaf: Column) -> Column:
+    """The proof of a leaf by its first place in level 0; null if it is no leaf."""
+    place = (F.array_position(F.get(tree, F.lit(0)), leaf) - 1).cast("int")
+    return F.when(place >= 0, proof_at(tree, place))
 
 
 def walk(leaf: Column, steps: Column) -> Column:
@@ -61,11 +96,16 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
 
+def link(previous: Column, message: Column) -> Column:
+    """The next link of a hash chain: H(message ':' link before)."""
+    return F.sha2(F.concat_ws(":", message, previous), 256)
+
+
 def chain(genesis: Column, messages: Column) -> Column:
-    """All links of a hash chain, genesis first: each is H(message ':' link before)."""
-    return F.aggregate(messages, F.array(genesis), lambda acc, m: F.concat(acc, F.array(F.sha2(F.concat_ws(":", m, F.element_at(acc, -1)), 256))))
+    """All links of a hash chain, genesis first."""
+    return scan(messages, genesis, link)
 
 
 def chain_tip(genesis: Column, messages: Column) -> Column:
     """The last link alone, without keeping the others."""
-    return F.aggregate(messages, genesis, lambda acc, m: F.sha2(F.concat_ws(":", m, acc), 256))
+    return F.aggregate(messages, genesis, link)

@@ -38,13 +38,21 @@ def doi_key(doi: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(bare, r"(?i)^doi:\s*", "")))
 
 
+def first_field(*fields: Column) -> Column:
+    """The first of the fields that is not blank, trimmed; null if all are."""
+    return F.coalesce(*(F.nullif(F.trim(f), F.lit("")) for f in fields))
+
+
 def redact(text: Column) -> tuple[Column, Column]:
-    """(text with every injection pattern replaced and cut to MAX_TEXT, number of patterns that matched)."""
+    """(text with every injection pattern replaced and cut to MAX_TEXT, number of changes).
+
+    A change is a pattern that matched, or the cut; lengths count code points.
+    """
     hits = F.lit(0)
     for p in INJECTION_PATTERNS:
         hits = hits + text.rlike(f"(?i){p}").cast("int")
         text = F.regexp_replace(text, f"(?i){p}", FILTERED)
-    return F.substring(text, 1, MAX_TEXT), hits
+    return F.substring(text, 1, MAX_TEXT), hits + (F.length(text) > MAX_TEXT).cast("int")
 
 
 def citation(style: str, author: Column, year: Column, title: Column, container: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
@@ -17,14 +17,31 @@ def trees(nodes: DataFrame) -> DataFrame:
     return grouped.withColumn("levels", I.levels(F.col("leaves"))).withColumn("root", F.get(F.element_at("levels", -1), F.lit(0)))
 
 
+def leaf_proofs(nodes: DataFrame) -> DataFrame:
+    """(source_id, sha256, proof, root) of each different leaf of each source; equal leaves have the proof of the first.
+
+    Proofs are built inside the group of a source and dealt out from there, so the tree of a source meets its passages
+    once and not once a passage. One shuffle by source serves places, first places and groups.
+    """
+    order = Window.partitionBy("source_id").orderBy("paragraph", "node_id", "sha256")
+    placed = nodes.select("source_id", "sha256", (F.row_number().over(order) - 1).alias("place"))
+    first = placed.withColumn("first", F.min("place").over(Window.partitionBy("source_id", "sha256")))
+    grouped = first.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("place", "sha256", "first"))).alias("x"))
+    own = lambda t: F.transform(
+        F.filter("x", lambda x: x["place"] == x["first"]), lambda x: F.struct(x["sha256"].alias("sha256"), I.proof_at(t, x["place"]).alias("proof"), F.get(F.element_at(t, -1), F.lit(0)).alias("root"))
+    )
+    dealt = I.let(I.levels(F.transform("x", lambda x: x["sha256"])), own)
+    return grouped.select("source_id", F.explode(dealt).alias("p")).select("source_id", "p.*")
+
+
 def proofs(nodes: DataFrame) -> DataFrame:
     """Passages with the proof from their hash to the root of their source."""
-    return nodes.join(trees(nodes), "source_id").withColumn("proof", I.proof(F.col("levels"), F.col("sha256")))
+    return nodes.join(leaf_proofs(nodes), ["source_id", "sha256"])
 
 
-def verify_nodes(nodes: DataFrame, forest: DataFrame) -> DataFrame:
-    """Passages with hash_ok (text hashes to the stored hash), proof_ok and valid, against the trees given."""
-    rows = nodes.join(forest.select("source_id", "levels", "root"), "source_id", "left").withColumn("proof", I.proof(F.col("levels"), F.col("sha256")))
+def verify_nodes(nodes: DataFrame, registered: DataFrame) -> DataFrame:
+    """Passages with hash_ok (text hashes to the stored hash), proof_ok and valid, against the trees of ``registered``."""
+    rows = nodes.join(leaf_proofs(registered), ["source_id", "sha256"], "left")
     good = F.coalesce(I.walk(F.col("sha256"), F.col("proof")) == F.col("root"), F.lit(False))
     rows = rows.withColumn("hash_ok", F.sha2("text", 256) == F.col("sha256")).withColumn("proof_ok", good)
     return rows.withColumn("valid", F.col("hash_ok") & F.col("proof_ok"))

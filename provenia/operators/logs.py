@@ -76,7 +76,26 @@ def verify_chain(trail: DataFrame) -> DataFrame:
     trail: session_id, start_hash, entries array<struct<seq, message_hash, previous_hash>> in order. A change of the
     last message alone is not seen, since no entry follows it.
     """
-    links = I.chain(F.col("start_hash"), F.transform("entries", lambda e: e["message_hash"]))
-    bad = F.filter("entries", lambda e, i: e["previous_hash"] != F.get(links, i))
-    out = trail.select("session_id", F.get(bad, F.lit(0))["seq"].alias("broken_seq"))
+    first = F.struct(F.col("start_hash").alias("link"), F.lit(None).cast("long").alias("bad"))
+
+    def step(s: Column, e: Column) -> Column:
+        bad = F.coalesce(s["bad"], F.when(e["previous_hash"] != s["link"], e["seq"].cast("long")))
+        return F.struct(I.link(s["link"], e["message_hash"]).alias("link"), bad.alias("bad"))
+
+    out = trail.select("session_id", F.aggregate("entries", first, step, lambda s: s["bad"]).alias("broken_seq"))
     return out.select("session_id", F.col("broken_seq").isNull().alias("valid"), "broken_seq")
+
+
+def trail(events: DataFrame) -> DataFrame:
+    """(session_id, start_hash, entries) of each session's chain, see verify_chain."""
+    s = sessions(events)
+    entry = lambda links: F.transform(
+        "messages", lambda m, i: F.struct(i.cast("long").alias("seq"), m.alias("message_hash"), F.get(links, i).alias("previous_hash"))
+    )
+    return s.select("session_id", F.col("genesis").alias("start_hash"), I.let(I.chain(F.col("genesis"), F.col("messages")), entry).alias("entries"))
+
+
+def counted(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows in an order, with total, the number of all; the total is one row, joined to a few."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).limit(limit).join(F.broadcast(total))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenia.functions.integrity import let, scan
+
 #: Transition table: event, states it leaves, state it leads to; anything else keeps the state. Fixed values.
 TRANSITIONS = [
     ("user_message", ("idle", "done", "error"), "plan"),
@@ -61,16 +65,20 @@ def next_state(state: Column, event: Column) -> Column:
     return out
 
 
-def violations(prev: Column, event: Column, tool: Column, new: Column) -> Column:
+#: An invariant: its name, error or warning, and the steps (state before, event, tool, state after) that break it.
+Invariant = tuple[str, str, Callable[[Column, Column, Column, Column], Column]]
+
+INVARIANTS: list[Invariant] = [
+    ("VERIFY_BEFORE_COMMIT", "error", lambda prev, event, tool, new: (new == "commit") & (prev != "verify")),
+    ("PLAN_BEFORE_ACT", "error", lambda prev, event, tool, new: (new == "act") & ~prev.isin("plan", "act")),
+    ("NO_UNGRANTED_TOOL", "error", lambda prev, event, tool, new: (event == "tool_call") & new.isin("verify", "commit") & ~F.coalesce(tool.isin(*READ_ONLY_TOOLS), F.lit(False))),
+    ("MERKLE_BEFORE_OUTPUT", "warning", lambda prev, event, tool, new: (event == "tool_call") & tool.isin(*EVIDENCE_TOOLS) & (new == "commit")),
+]
+
+
+def violations(prev: Column, event: Column, tool: Column, new: Column, invariants: list[Invariant] = INVARIANTS) -> Column:
     """array<struct<invariant, severity>> that a step breaks; LIVENESS is always met here and judged after the fact."""
-    call = event == "tool_call"
-    rules = [
-        ("VERIFY_BEFORE_COMMIT", "error", (new == "commit") & (prev != "verify")),
-        ("PLAN_BEFORE_ACT", "error", (new == "act") & ~prev.isin("plan", "act")),
-        ("NO_UNGRANTED_TOOL", "error", call & new.isin("verify", "commit") & ~F.coalesce(tool.isin(*READ_ONLY_TOOLS), F.lit(False))),
-        ("MERKLE_BEFORE_OUTPUT", "warning", call & tool.isin(*EVIDENCE_TOOLS) & (new == "commit")),
-    ]
-    return F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(n).alias("invariant"), F.lit(s).alias("severity"))) for n, s, broken in rules)))
+    return F.array_compact(F.array(*(F.when(broken(prev, event, tool, new), F.struct(F.lit(n).alias("invariant"), F.lit(s).alias("severity"))) for n, s, broken in invariants)))
 
 
 def final_states(events: DataFrame) -> DataFrame:
@@ -82,16 +90,26 @@ def final_states(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.aggregate(ordered, F.lit("idle"), lambda s, e: next_state(s, e["type"])).alias("state"))
 
 
-def trace(events: DataFrame) -> DataFrame:
-    """One row per event: session_id, seq, event_id, type, tool_name, prev_state, next_state, violated, allowed."""
+def trace(events: DataFrame, invariants: list[Invariant] = INVARIANTS) -> DataFrame:
+    """One row per event: session_id, seq, event_id, type, tool_name, prev_state, next_state, violated, allowed.
+
+    The states of a session are folded once, joined to its events inside the group, and dealt out together.
+    """
     ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "type", "tool_name")))
     grouped = events.groupBy("session_id").agg(ordered.alias("events"))
-    kind = "array<string>"
-    states = F.aggregate("events", F.array(F.lit("idle")).cast(kind), lambda acc, e: F.concat(acc, F.array(next_state(F.element_at(acc, -1), e["type"]))))
-    rows = grouped.withColumn("states", states).select("session_id", "states", F.posexplode("events").alias("seq", "e"))
-    rows = rows.select("session_id", F.col("seq").cast("long").alias("seq"), "e.event_id", "e.type", "e.tool_name", F.get("states", F.col("seq")).alias("prev_state"), F.get("states", F.col("seq") + 1).alias("next_state"))
-    broken = violations(F.col("prev_state"), F.col("type"), F.col("tool_name"), F.col("next_state"))
-    rows = rows.withColumn("v", broken)
+    states = scan(F.transform("events", lambda e: e["type"]), F.lit("idle"), next_state)
+
+    def steps(states: Column) -> Column:
+        return F.transform(
+            "events",
+            lambda e, i: F.struct(
+                i.cast("long").alias("seq"), e["event_id"].alias("event_id"), e["type"].alias("type"), e["tool_name"].alias("tool_name"),
+                F.get(states, i).alias("prev_state"), F.get(states, i + 1).alias("next_state"),
+            ),
+        )
+
+    rows = grouped.select("session_id", F.explode(let(states, steps)).alias("s")).select("session_id", "s.*")
+    rows = rows.withColumn("v", violations(F.col("prev_state"), F.col("type"), F.col("tool_name"), F.col("next_state"), invariants))
     return rows.select("*", F.array_join(F.transform("v", lambda x: x["invariant"]), ";").alias("violated"), (~F.exists("v", lambda x: x["severity"] == "error")).alias("allowed")).drop("v")
 
 
@@ -111,9 +129,9 @@ def unverified_commits(steps: DataFrame) -> DataFrame:
 
 
 def permission_table(spark, quotas: dict[str, int] | None = None) -> DataFrame:  # noqa: ANN001
-    """tool_name, risk_tier, tier, requires_approval, sandbox_required, max_calls (null: no quota)."""
+    """tool_name, risk_tier, tier, requires_approval, sandbox_required, max_calls (null: no quota); a row a tool, so broadcast."""
     rows = [(t, tier, RISK_TIERS.index(tier), tier in ("network", "system"), tier == "system", (quotas or {}).get(t)) for tier, tools in TOOLS.items() for t in tools]
-    return spark.createDataFrame(rows, "tool_name string, risk_tier string, tier int, requires_approval boolean, sandbox_required boolean, max_calls int")
+    return F.broadcast(spark.createDataFrame(rows, "tool_name string, risk_tier string, tier int, requires_approval boolean, sandbox_required boolean, max_calls int"))
 
 
 def permission_check(calls: DataFrame, permissions: DataFrame, ceiling: str = "system") -> DataFrame:
@@ -122,7 +140,7 @@ def permission_check(calls: DataFrame, permissions: DataFrame, ceiling: str = "s
     In order: unknown tool, tier above the ceiling, approval needed, quota used up, else allowed. Only allowed calls
     count against the quota; as the other grounds do not depend on it, these are numbered first.
     """
-    rows = calls.join(permissions, "tool_name", "left")  # a table of fixed size
+    rows = calls.join(permissions, "tool_name", "left")
     ground = F.when(F.col("risk_tier").isNull(), "unknown_tool").when(F.col("tier") > RISK_TIERS.index(ceiling), "above_ceiling").when(F.col("requires_approval"), "requires_approval")
     rows = rows.withColumn("ground", ground)
     order = Window.partitionBy("session_id", "tool_name", F.col("ground").isNull()).orderBy("ts", "event_id")
@@ -137,3 +155,58 @@ def ceilings(anomalies: DataFrame) -> DataFrame:
     lost = F.when(n < 3, 0).otherwise(F.aggregate(F.sequence(F.lit(3), F.greatest(n, F.lit(3)).cast("int")), F.lit(0), lambda acc, k: acc + F.floor(k / 3).cast("int")))
     tier = F.greatest(F.lit(len(RISK_TIERS) - 1) - lost, F.lit(0))
     return anomalies.select("session_id", "anomalies", F.get(F.array(*map(F.lit, RISK_TIERS)), tier.cast("int")).alias("ceiling"))
+
+
+def pre_checks(calls: DataFrame, permissions: DataFrame) -> DataFrame:
+    """calls (session_id, event_id, ts, tool_name, modified) with decision and the ceiling under which it fell.
+
+    modified: whether the arguments had to be changed. An allowed call with such arguments is an anomaly; from the
+    third on, each takes floor(n / 3) tiers off the session's ceiling, and a call that was allowed before may lie above
+    it afterwards. Quotas count allowed calls. So each session is folded in order of time: a running value of ceiling,
+    anomalies and calls of each tool with a quota.
+    """
+    known = calls.join(permissions, "tool_name", "left")
+    fields = ("ts", "event_id", "tool_name", "modified", "tier", "requires_approval", "max_calls")
+    grouped = known.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("calls"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    start = F.struct(F.lit(len(RISK_TIERS) - 1).alias("ceiling"), F.lit(0).alias("anomalies"), none.alias("used"), F.lit("").alias("decision"))
+
+    def step(s: Column, c: Column) -> Column:
+        used = F.coalesce(F.try_element_at(s["used"], c["tool_name"]), F.lit(0))
+        ground = F.when(c["tier"].isNull(), "unknown_tool").when(c["tier"] > s["ceiling"], "above_ceiling").when(c["requires_approval"], "requires_approval")
+        ground = ground.when(c["max_calls"].isNotNull() & (used >= c["max_calls"]), "quota_exceeded").otherwise("allow")
+
+        def after(decision: Column) -> Column:
+            fine = decision == "allow"
+            odd = s["anomalies"] + (fine & c["modified"]).cast("int")
+            lower = F.greatest(s["ceiling"] - F.floor(odd / 3).cast("int"), F.lit(0))
+            others = F.map_filter(s["used"], lambda k, _: k != c["tool_name"])
+            counted = F.map_concat(others, F.create_map(c["tool_name"], used + 1))
+            return F.struct(
+                F.when(fine & c["modified"], lower).otherwise(s["ceiling"]).alias("ceiling"), odd.alias("anomalies"),
+                F.when(fine & c["max_calls"].isNotNull(), counted).otherwise(s["used"]).alias("used"), decision.alias("decision"),
+            )
+
+        return let(ground, after)
+
+    def dealt(states: Column) -> Column:
+        tiers = F.array(*map(F.lit, RISK_TIERS))
+        return F.transform(
+            "calls", lambda c, i: F.struct(c["event_id"].alias("event_id"), F.get(states, i + 1)["decision"].alias("decision"), F.get(tiers, F.get(states, i)["ceiling"]).alias("ceiling"))
+        )
+
+    return grouped.select("session_id", F.explode(let(scan(F.col("calls"), start, step), dealt)).alias("c")).select("session_id", "c.*")
+
+
+def result_shape(tool: Column, result: Column) -> Column:
+    """Whether a tool's result (a JSON text) has the shape that its callers need; a text that is no JSON has none.
+
+    merkle_verify: a boolean valid; csl_render: a string output; searches and argument queries: an array results.
+    """
+    parsed = F.try_parse_json(result)
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit(""))
+
+    listed = tool.startswith("search_") | tool.isin("ag_query_claims", "ag_query_contradictions")
+    return F.when(tool == "merkle_verify", kind("$.valid") == "BOOLEAN").when(tool == "csl_render", kind("$.output") == "STRING").when(listed, kind("$.results").startswith("ARRAY")).otherwise(F.lit(True))

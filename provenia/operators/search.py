@@ -3,6 +3,11 @@
 Ranking is BM25+ (Lv and Zhai, 2011): idf = ln(1 + (N - df + 0.5) / (df + 0.5)) and
 score = idf (d + tf (k + 1) / (tf + k (1 - b + b |D| / avg))). Query words also match words within an edit distance of
 round(0.2 |word|) characters and words that begin with them, weighted by ``fuzzy_weight`` and ``prefix_weight``.
+Fields are scored each with its own document frequencies and mean length, and summed.
+
+A search reads the passages themselves (``ranked_search``), or an inverted index that was built once (``build_index``,
+``SearchIndex.search``): postings sorted by term, so a search reads the row groups of its terms alone, and a vocabulary,
+the only thing that prefix and fuzzy matches have to run over.
 """
 
 from __future__ import annotations
@@ -10,13 +15,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.functions.text import tokens
 from provenia.sources.tables import or_default
 
 
+FIELDS = ("text", "title", "section_path")
+
+
 @dataclass(frozen=True)
 class Ranking:
     k: float = 1.2
@@ -25,7 +33,6 @@ class Ranking:
     fuzzy: float = 0.2
     fuzzy_weight: float = 0.45
     prefix_weight: float = 0.375
-    fuzzy_terms: str = ""  # a pattern that terms have to match to be found by distance; none by default
 
 
 def _matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool) -> F.Column:
@@ -35,41 +42,128 @@ def _matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool)
         weight = weight.when(term.startswith(word), F.lit(r.prefix_weight))
     distance = round(r.fuzzy * len(word))
     if fuzzy and distance:
-        fits = term.rlike(r.fuzzy_terms) if r.fuzzy_terms else F.lit(True)
-        weight = weight.when(fits & (F.levenshtein(term, F.lit(word)) <= distance), F.lit(r.fuzzy_weight))
+        weight = weight.when(F.levenshtein(term, F.lit(word), distance) >= 0, F.lit(r.fuzzy_weight))
     return weight
 
 
-def ranked_search(nodes: DataFrame, query: str, limit: int | None = 10, fuzzy: bool = True, prefix: bool = True, r: Ranking = Ranking()) -> DataFrame:
-    """(node_id, source_id, score) of the best passages, ties by node_id.
+def query_words(query: str) -> list[str]:
+    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
-    Words of the query are alternatives. Only terms that match a word are kept before the first shuffle, so what is
-    grouped follows the hits and not the corpus; corpus size and mean length are one row.
-    """
-    words = sorted(set(re.findall(r"[^\W_]+", query.lower())))
-    if not words:
-        return nodes.limit(0).select("node_id", "source_id", F.lit(0.0).alias("score"))
-    sized = nodes.select("node_id", "source_id", tokens(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    matches = F.array_compact(F.array(*(F.when((w := _matching(F.col("term"), word, r, fuzzy, prefix)).isNotNull(), F.struct(F.lit(word).alias("word"), w.alias("weight"))) for word in words)))
-    hits = sized.select("node_id", "source_id", "size", F.explode("terms").alias("term")).withColumn("m", matches).where(F.size("m") > 0)
-    hits = hits.groupBy("node_id", "source_id", "size", "term", "m").agg(F.count("*").alias("tf"))
-    df = hits.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
-    scored = hits.join(df, F.col("term") == F.col("t")).join(F.broadcast(corpus))  # one row
+
+def _matches(words: list[str], r: Ranking, fuzzy: bool, prefix: bool) -> F.Column:
+    """array<struct<word, weight>> of the query's words that a term matches."""
+    hits = ((word, _matching(F.col("term"), word, r, fuzzy, prefix)) for word in words)
+    return F.array_compact(F.array(*(F.when(w.isNotNull(), F.struct(F.lit(word).alias("word"), w.alias("weight"))) for word, w in hits)))
+
+
+def _fields(nodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(node_id, source_id, field, terms, size) of each field of each passage."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("terms")) for f in fields))).alias("f")
+    return nodes.select("node_id", "source_id", each).select("node_id", "source_id", "f.field", "f.terms").withColumn("size", F.size("terms"))
+
+
+def _figures(sized: DataFrame) -> DataFrame:
+    """(field, n, mean): number of passages and mean length; one row a field."""
+    return sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+
+
+def _scores(hits: DataFrame, figures: DataFrame, r: Ranking) -> DataFrame:
+    """(node_id, source_id, score) from the postings hit: node_id, source_id, field, size, m, tf, df."""
+    scored = hits.join(F.broadcast(figures), "field")  # one row a field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1 - r.b) + F.lit(r.b) * F.col("size") / F.col("mean")
     gain = idf * (F.lit(r.d) + F.col("tf") * F.lit(r.k + 1) / (F.col("tf") + F.lit(r.k) * norm))
     weight = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"])
-    out = scored.groupBy("node_id", "source_id").agg(F.round(F.sum(gain * weight), 6).alias("score"))
-    return out if limit is None else out.orderBy(F.desc("score"), "node_id").limit(limit)
+    return scored.groupBy("node_id", "source_id").agg(F.round(F.sum(gain * weight), 6).alias("score"))
+
+
+def _best(scores: DataFrame, limit: int | None) -> DataFrame:
+    return scores if limit is None else scores.orderBy(F.desc("score"), "node_id").limit(limit)
+
+
+def ranked_search(nodes: DataFrame, query: str, limit: int | None = 10, fuzzy: bool = True, prefix: bool = True, r: Ranking = Ranking(), fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(node_id, source_id, score) of the best passages, ties by node_id, read from the passages themselves.
+
+    Words of the query are alternatives. Only terms that match a word are kept before the first shuffle, so what is
+    grouped follows the hits and not the corpus.
+    """
+    words = query_words(query)
+    if not words:
+        return nodes.limit(0).select("node_id", "source_id", F.lit(0.0).alias("score"))
+    sized = _fields(nodes, fields)
+    hits = sized.select("node_id", "source_id", "field", "size", F.explode("terms").alias("term")).withColumn("m", _matches(words, r, fuzzy, prefix)).where(F.size("m") > 0)
+    hits = hits.groupBy("node_id", "source_id", "field", "size", "term", "m").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))
+    return _best(_scores(hits.join(df, ["term", "field"]), _figures(sized), r), limit)
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """An inverted index on shared files: postings (term, field, node_id, source_id, size, tf), vocabulary (term, field, df), figures."""
+
+    spark: SparkSession
+    path: str
+
+    #: So many matching terms are pushed into the scan of the postings; more are joined.
+    PUSHED = 1000
+
+    def part(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def search(self, query: str, limit: int | None = 10, fuzzy: bool = True, prefix: bool = True, r: Ranking = Ranking(), fields: tuple[str, ...] | None = None) -> DataFrame:
+        """As ranked_search over the fields of the index, or some of them; reads the postings of the terms that match."""
+        words = query_words(query)
+        postings, vocabulary = self.part("postings"), self.part("vocabulary")
+        if fields is not None:
+            postings, vocabulary = (x.where(F.col("field").isin(*fields)) for x in (postings, vocabulary))
+        if not words:
+            return postings.limit(0).select("node_id", "source_id", F.lit(0.0).alias("score"))
+        known = vocabulary if fuzzy or prefix else vocabulary.where(F.col("term").isin(words))
+        known = known.withColumn("m", _matches(words, r, fuzzy, prefix)).where(F.size("m") > 0)
+        names = [x.term for x in known.select("term").distinct().limit(self.PUSHED + 1).collect()]
+        if len(names) <= self.PUSHED:
+            postings = postings.where(F.col("term").isin(names))
+        return _best(_scores(postings.join(known, ["term", "field"]), self.part("figures"), r), limit)
+
+
+def build_index(nodes: DataFrame, path: str, fields: tuple[str, ...] = FIELDS) -> SearchIndex:
+    """The index of passages that have the columns ``fields``, see with_titles.
+
+    Terms are counted within tasks before the shuffle. Postings are dealt by ranges of term and passage, so the
+    postings of a very common term lie in many files, and those of a rare one in one row group.
+    """
+    sized = _fields(nodes, fields)
+    rows = sized.select("node_id", "source_id", "field", "size", F.explode("terms").alias("term"))
+    postings = rows.groupBy("term", "field", "node_id", "source_id", "size").agg(F.count("*").alias("tf"))
+    postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id").write.mode("overwrite").parquet(f"{path}/postings")
+    out = SearchIndex(nodes.sparkSession, path)
+    out.part("postings").groupBy("term", "field").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    _figures(sized).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
+    return out
+
+
+def with_titles(nodes: DataFrame, csl: DataFrame) -> DataFrame:
+    """Passages with title, citation_key and merkle_root of their source; sources without a record go by their id."""
+    root = F.col("merkle_root") if "merkle_root" in csl.columns else F.lit("").alias("merkle_root")
+    record = csl.select(F.col("id").alias("source_id"), "id", "title", root)
+    name = F.col("source_id")
+    out = nodes.join(record, "source_id", "left").withColumn("title", or_default("title", name)).withColumn("citation_key", or_default("id", name)).drop("id")
+    return out.withColumn("merkle_root", F.coalesce("merkle_root", F.lit("")))
+
+
+def fetched(hits: DataFrame) -> DataFrame:
+    """The rows of a search with a limit as a table on the driver, so that what follows does not search again."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
+def of_sources(nodes: DataFrame, hits: DataFrame) -> DataFrame:
+    """Passages of the sources of fetched hits; the ids reach the scan."""
+    return nodes.where(F.col("source_id").isin([r.source_id for r in hits.select("source_id").distinct().collect()]))
 
 
 def cited(hits: DataFrame, nodes: DataFrame, csl: DataFrame) -> DataFrame:
     """Hits with passage and citation fields; sources without a record go by their id."""
-    rows = hits.join(nodes.select("node_id", "sha256", "section_path", "paragraph"), "node_id")
-    known = rows.join(csl.select(F.col("id").alias("source_id"), "id", "title"), "source_id", "left")
-    name = F.col("source_id")
-    return known.withColumn("title", or_default("title", name)).withColumn("citation_key", or_default("id", name)).drop("id")
+    return with_titles(hits.join(nodes.select("node_id", "sha256", "section_path", "paragraph"), "node_id"), csl)
 
 
 def regex_search(nodes: DataFrame, pattern: str, source_id: str | None = None, limit: int = 10, context: int = 120) -> DataFrame:

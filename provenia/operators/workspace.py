@@ -13,7 +13,7 @@ STAGES = ["research", "outline", "draft", "review"]
 def bibliographic_status(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     """records (key, doi, title, http_status) with status, method, matched_title.
 
-    catalogue: doi, title. A DOI decides if there is one, else the title; both by normal form. Without either, the
+    catalogue: doi, title. http_status: what the service answered; null where it did not. A DOI decides if there is one, else the title; both by normal form. Without either, the
     record is unresolvable; 404 is not_found; any other status but 200 means that the catalogue was unavailable.
     """
     one = lambda k: Window.partitionBy(k).orderBy("title", "doi")
@@ -72,7 +72,7 @@ def workflow_states(choices: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
 
 def document_tree(nodes: DataFrame) -> DataFrame:
     """Edges of the tree section > source > passage: path, parent, label, depth."""
-    section = nodes.select(F.col("section_path").alias("path"), F.lit("/").alias("parent"), F.substring("section_path", 2, 1000).alias("label"), F.lit(1).alias("depth")).distinct()
+    section = nodes.select(F.col("section_path").alias("path"), F.lit("/").alias("parent"), F.expr("substring(section_path, 2)").alias("label"), F.lit(1).alias("depth")).distinct()
     at = F.concat_ws("/", "section_path", "source_id")
     source = nodes.select(at.alias("path"), F.col("section_path").alias("parent"), F.col("source_id").alias("label"), F.lit(2).alias("depth")).distinct()
     leaf = nodes.select(F.concat_ws("/", at, "paragraph").alias("path"), at.alias("parent"), F.col("node_id").alias("label"), F.lit(3).alias("depth"))
@@ -84,6 +84,30 @@ def traverse(tree: DataFrame, path: str) -> DataFrame:
     path = "/" + path.strip("/")
     if path == "/":
         return tree
-    near = tree.where((F.col("parent") == path) | (F.col("path") == path)).withColumn("child", F.col("parent") == path)
-    inner = F.max("child").over(Window.partitionBy())  # the rows of one path
-    return near.withColumn("inner", inner).where(F.col("child") | ~F.col("inner")).drop("child", "inner")
+    children = tree.where(F.col("parent") == path)
+    some = F.broadcast(children.select("parent").limit(1))  # one row at most
+    return children.unionByName(tree.where(F.col("path") == path).join(some.withColumnRenamed("parent", "path"), "path", "left_anti").select(*tree.columns))
+
+
+def active_workflows(states: DataFrame) -> DataFrame:
+    """How many workflows are open (an expired one counts until it is asked for). states: see workflow_states."""
+    return states.agg(F.count_if(~F.col("done")).alias("active_workflow_count"))
+
+
+def outline_at(outline: DataFrame, source_id: str, path: str) -> DataFrame:
+    """Children of the node that a path of ids, labels or headings leads to, or that node if it has none.
+
+    '' and '/' give all nodes; a path that leads nowhere gives nothing. outline: see tables.read_outlines.
+    """
+    own = outline.where(F.col("source_id") == source_id)
+    here = ""
+    for part in filter(None, path.split("/")):
+        named = (F.col("id") == part) | (F.col("label") == part) | (F.col("heading") == part)
+        found = own.where((F.col("parent") == here) & named).orderBy("position").select("path").first()
+        if found is None:
+            return own.limit(0)
+        here = found.path
+    if not here:
+        return own
+    children = own.where(F.col("parent") == here)
+    return own.where(F.col("path") == here) if children.isEmpty() else children

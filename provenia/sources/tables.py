@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +61,48 @@ def read_json_corpus(spark: SparkSession, root: str) -> Corpus:
     return Corpus(documents.select(F.explode("nodes").alias("n")).select("n.*"), registry.drop("dir"), merkle)
 
 
+class JsonCorpus:
+    """A JSON corpus that is scanned once: ``load`` gives the same relations until ``reload`` reads the files again."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self._now = spark, root, None
+
+    def load(self) -> Corpus:
+        return self._now or self.reload()
+
+    def reload(self) -> Corpus:
+        old = self._now
+        found = read_json_corpus(self.spark, self.root)
+        self._now = Corpus(*(x.persist() for x in (found.nodes, found.csl, found.merkle)))
+        for x in (old.nodes, old.csl, old.merkle) if old else ():
+            x.unpersist()
+        return self._now
+
+
+def read_outlines(spark: SparkSession, folder: str, suffix: str = ".json") -> DataFrame:
+    """Nodes of outline trees that another tool wrote, one file ``<source_id><suffix>`` a source.
+
+    A file holds {"root": node}, and a node any of id, label, heading, summary, page_range and children. Columns:
+    source_id, path, parent, depth, position and these fields; the root's path is empty. Files that do not parse have no
+    rows. One pass for each level of the deepest tree.
+    """
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}")
+    name = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1))
+    roots = files.select(F.regexp_replace(name, re.escape(suffix) + "$", "").alias("source_id"), F.try_variant_get(F.try_parse_json("value"), "$.root", "variant").alias("node"))
+    level = roots.where("node is not null").select("source_id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("position"), "node")
+    out = None
+    while True:
+        said = {c: F.try_variant_get("node", f"$.{c}", "string").alias(c) for c in ("id", "label", "heading", "summary", "page_range")}
+        named = level.select("*", *said.values())
+        path = F.when(F.col("depth") == 0, "").otherwise(F.concat("parent", F.lit("/"), F.coalesce("id", "label", "heading", F.col("position").cast("string"))))
+        rows = named.select("source_id", path.alias("path"), "parent", "depth", "position", *said, "node")
+        out = rows.drop("node") if out is None else out.unionByName(rows.drop("node"))
+        children = F.posexplode(F.try_variant_get("node", "$.children", "array<variant>")).alias("position", "node")
+        level = rows.select("source_id", F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"), children)
+        if level.isEmpty():
+            return out
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log of one JSON object a line; lines that do not parse are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

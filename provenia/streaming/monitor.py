@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from provenia.operators.monitor import TRANSITIONS
 STATES = "session_id long, state string, n_events long"
 
 
+#: All states, the first one to begin with.
+ALL = ("idle", *dict.fromkeys(to for _, _, to in TRANSITIONS), "done")
+
+
 def step(state: str, event: str) -> str:
     for name, leaves, to in TRANSITIONS:
         if event == name and (leaves is None or state in leaves):
@@ -21,6 +26,16 @@ def step(state: str, event: str) -> str:
     return state
 
 
+def fold(state: str, events: list[str]) -> str:
+    """The state after all events: each kind is a map of states to states, and maps are composed pair by pair."""
+    kinds, code = np.unique(np.array(events, dtype=object).astype(str), return_inverse=True)
+    maps = np.array([[ALL.index(step(s, str(k))) for s in ALL] for k in kinds]).reshape(len(kinds), len(ALL))[code]
+    while len(maps) > 1:
+        odd = maps[len(maps) // 2 * 2 :]
+        maps = np.concatenate([np.take_along_axis(maps[1::2], maps[0 : len(maps) // 2 * 2 : 2], axis=1), odd])
+    return ALL[maps[0][ALL.index(state)]] if len(maps) else state
+
+
 def stream_states(events: DataFrame) -> DataFrame:
     """Updates (session_id, state, n_events) of each session with each micro-batch.
 
@@ -31,8 +46,7 @@ def stream_states(events: DataFrame) -> DataFrame:
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, n = state.get if state.exists else ("idle", 0)
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for kind in rows["type"]:
-            now, n = step(now, kind), n + 1
+        now, n = fold(now, rows["type"].tolist()), n + len(rows)
         state.update((now, n))
         yield pd.DataFrame({"session_id": [key[0]], "state": [now], "n_events": [n]})
 
