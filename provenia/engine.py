@@ -6,14 +6,18 @@ Calls that read give a DataFrame; those that write, or judge one thing, give a d
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import json
+import posixpath
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
-from provenia.functions.text import citation, in_text, redact
+from provenia.functions.text import citation, doi_key, first_field, in_text, redact
 from provenia.operators import evidence, logs, monitor, search, workspace
 from provenia.sources.store import Store, new_id
 
@@ -48,15 +52,17 @@ def slug(value: str) -> str:
 def source_fields(csl: DataFrame) -> DataFrame:
     """Records of a JSON corpus in the columns that the engine reads."""
     year = F.get(F.get("issued.date-parts", F.lit(0)), F.lit(0))
-    return csl.select(F.col("key").alias("id"), "title", "author", year.alias("year"), F.col("container-title").alias("container"), F.col("DOI").alias("doi"))
+    return csl.select(F.col("key").alias("id"), "title", "author", year.alias("year"), F.col("container-title").alias("container"), first_field(F.col("DOI")).alias("doi"), "merkle_root")
 
 
 @dataclass
 class Engine:
     """nodes and sources: a corpus to start from, as of sources.tables and source_fields; the store adds to it.
 
-    catalogue (doi, title) stands for a bibliographic service; without one, records are unavailable. permissions: see
-    monitor.permission_table.
+    catalogue (doi, title, and the service's http_status if it has one) stands for a bibliographic service; without one,
+    records are unavailable. outlines: trees of outside tools, see tables.read_outlines; sources without one have the
+    tree of their passages. permissions, invariants: see monitor. key: the master key of signatures, from which each
+    session's own is derived; without one nothing is signed. ingest_root: files outside it are not read.
     """
 
     spark: SparkSession
@@ -65,7 +71,11 @@ class Engine:
     sources_base: DataFrame | None = None
     catalogue: DataFrame | None = None
     permissions: DataFrame | None = None
-    key: bytes = b"set a key of your own"
+    outlines: DataFrame | None = None
+    invariants: list[monitor.Invariant] = field(default_factory=lambda: list(monitor.INVARIANTS))
+    key: bytes | None = None
+    ingest_root: str | None = None
+    _index: search.SearchIndex | None = None
 
     # ------------------------------------------------------------ relations
     def _alive(self, log: str, base: DataFrame | None, source: str) -> DataFrame:
@@ -107,11 +117,21 @@ class Engine:
         return rows if scope is None else search.in_scope(rows, scope)
 
     # ------------------------------------------------------------ documents
+    def build_index(self) -> search.SearchIndex:
+        """Index all passages; searches use it until documents come or go."""
+        self._index = search.build_index(search.with_titles(self.nodes(), self.sources()), f"{self.store.root}/index/{new_id()}")
+        return self._index
+
+    def _hits(self, query: str, limit: int) -> DataFrame:
+        """The best passages over text, title and section, through the index if there is one."""
+        if self._index is not None:
+            return search.fetched(self._index.search(query, limit))
+        return search.fetched(search.ranked_search(search.with_titles(self.nodes(), self.sources()), query, limit, fields=search.FIELDS))
+
     def search_documents(self, query: str, limit: object = 10) -> DataFrame:
         """The scope applies after the best hits are taken, so there may be fewer than the limit."""
-        nodes = self.nodes()
-        hits = self._scoped(search.ranked_search(nodes, query, limit_of(limit)))
-        return search.cited(hits, nodes, self.sources())
+        hits = self._scoped(self._hits(query, limit_of(limit)))
+        return search.cited(hits, search.of_sources(self.nodes(), hits), self.sources())
 
     def regex_search(self, pattern: str, source_id: str | None = None, limit: object = 10, context_chars: object = 120) -> DataFrame:
         return self._scoped(search.regex_search(self.nodes(), pattern, source_id, limit_of(limit), limit_of(context_chars, 120)))
@@ -125,7 +145,11 @@ class Engine:
 
     def index_document(self, path: str, metadata: dict | None = None, force: bool = False) -> dict:
         """Ingest a text file: one passage for each line that is not blank. The source's id is the file's base name."""
+        clean = posixpath.normpath(path)
+        if self.ingest_root is not None and not clean.startswith(posixpath.normpath(self.ingest_root) + "/"):
+            raise ToolError("INVALID_ARGUMENT", f"path: {path!r} lies outside {self.ingest_root}", "Give a file below the ingest root.")
         name = re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1])
+        self._index = None
         lines = self.spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("paragraph", "text")).where("trim(text) <> ''")
         rows = lines.select(
             F.concat(F.lit(f"{name}:p"), F.col("paragraph").cast("string")).alias("node_id"), F.lit(name).alias("source_id"), "text", F.sha2("text", 256).alias("sha256"),
@@ -133,23 +157,33 @@ class Engine:
         )
         self.store.append("deleted", [{"source_id": name}])  # an older edition gives way
         self.store.append("nodes", rows.withColumn("at", F.lit(self.store.now())))
-        self.store.append("sources", [{"id": name, **{k: (metadata or {}).get(k) for k in ("title", "year", "container", "doi")}, "author": (metadata or {}).get("author") or []}])
+        root = evidence.trees(rows).select("root").first()
+        self.store.append("sources", [{"id": name, "merkle_root": root.root if root else None, **{k: (metadata or {}).get(k) for k in ("title", "year", "container", "doi")}, "author": (metadata or {}).get("author") or []}])
         return {"status": "ingested", "source_id": name}
 
     def delete_document(self, source_id: str) -> dict:
         self._allowed(source_id)
         if self.sources().where(F.col("id") == source_id).isEmpty() and self.nodes().where(F.col("source_id") == source_id).isEmpty():
             return {"status": "not_found", "source_id": source_id}
+        self._index = None
         self.store.append("deleted", [{"source_id": source_id}])
         return {"status": "deleted", "source_id": source_id}
 
+    def _outline(self, source_id: str) -> DataFrame | None:
+        if self.outlines is None or self.outlines.where(F.col("source_id") == source_id).isEmpty():
+            return None
+        return self.outlines.where(F.col("source_id") == source_id)
+
     def tree_load(self, source_id: str, depth: int | None = None) -> DataFrame:
         self._allowed(source_id)
-        tree = workspace.document_tree(self.nodes().where(F.col("source_id") == source_id))
+        outline = self._outline(source_id)
+        tree = workspace.document_tree(self.nodes().where(F.col("source_id") == source_id)) if outline is None else outline
         return tree if depth is None else tree.where(F.col("depth") <= depth)
 
     def tree_traverse(self, source_id: str, path: str = "/") -> DataFrame:
-        return workspace.traverse(self.tree_load(source_id), path)
+        self._allowed(source_id)
+        outline = self._outline(source_id)
+        return workspace.traverse(self.tree_load(source_id), path) if outline is None else workspace.outline_at(outline, source_id, path)
 
     # ------------------------------------------------------------ claims, memory, audits, signatures
     def index_claim(self, claim_text: str, source_id: str = "default", metadata: dict | None = None) -> dict:
@@ -171,6 +205,9 @@ class Engine:
         """Always empty: contradictions are not recorded."""
         return self.store.read("claims").limit(0)
 
+    def argument_query(self, claim_id: str | None = None, find_contradictions: bool = False) -> DataFrame:
+        return self.ag_query_contradictions(claim_id) if find_contradictions else self.ag_query_claims(claim_id)
+
     def _remember(self, tier: str, thread: str, content: str, query: str, response: str, tags: list[str] | None, evidence: list[str] | None) -> dict:
         at = self.store.now()
         row = {"entry_id": new_id(), "thread_id": thread, "turn": at, "at": at, "tier": tier, "query": query, "response": response, "content": content, "tag": " ".join(tags or []), "evidence": evidence}
@@ -184,8 +221,10 @@ class Engine:
         return self._remember("", (metadata or {}).get("thread_id", "default"), content, content, "", None, tags)
 
     def search_memory(self, query: str, thread_id: str | None = None, limit: object = 10) -> DataFrame:
+        """With total, the number of all entries that match."""
         rows = self.store.read("memory").where("tier = ''")
-        return logs.memory_search(rows if thread_id is None else rows.where(F.col("thread_id") == thread_id), query, limit_of(limit))
+        found = logs.memory_search(rows if thread_id is None else rows.where(F.col("thread_id") == thread_id), query, None)
+        return logs.counted(found, [F.desc("score"), F.col("thread_id"), F.col("turn")], limit_of(limit))
 
     def memory_store_tier(self, content: str, tier: str, key: str | None = None, tags: list[str] | None = None, thread_id: str = "default", source_ids: list[str] | None = None) -> dict:
         """corpus is read-only and refuses; working is acknowledged but not kept."""
@@ -197,8 +236,14 @@ class Engine:
         return out | {"tier": tier, "key": key or out["entry_id"]}
 
     def memory_retrieve_tier(self, query: str, tier: str = "", limit: object = 10) -> DataFrame:
+        """With total, the number of all entries that match."""
         rows = logs.retrieve_tier(self.store.read("memory").where("tier <> ''"), query, tier)
-        return rows.orderBy("at", "entry_id").limit(limit_of(limit))
+        return logs.counted(rows, [F.col("at"), F.col("entry_id")], limit_of(limit))
+
+    def memory_discard(self, entry_id: str, reason: str = "") -> dict:
+        """Entries of the corpus cannot be discarded; of others the discard is acknowledged, and the log keeps them."""
+        kept = entry_id.startswith("corpus-")
+        return {"discarded": not kept, "reason": f"{entry_id}: the corpus is read-only" if kept else f"{entry_id}: {reason}"}
 
     def memory_consolidate(self, thread_id: str | None = None) -> dict:
         rows = self.store.read("memory")
@@ -220,13 +265,18 @@ class Engine:
     def _one(self, **columns: F.Column) -> dict:
         return self.spark.range(1).select(*(c.alias(k) for k, c in columns.items())).first().asDict(recursive=True)
 
+    def _key(self, session_id: str) -> bytes:
+        if not self.key:
+            raise ToolError("KEY_MISSING", "there is no master key", "Give the engine a key of your own.")
+        return hmac.digest(self.key, session_id.encode(), hashlib.sha256)
+
     def crypto_sign(self, message: str, session_id: str) -> dict:
-        out = self._one(message_hash=F.sha2(F.lit(message), 256), signature=logs.signature(F.lit(message), self.key))
+        out = self._one(message_hash=F.sha2(F.lit(message), 256), signature=logs.signature(F.lit(message), self._key(session_id)))
         self.store.append("signatures", [out | {"session_id": session_id}])
         return out
 
     def crypto_verify(self, message: str, signature: str, session_id: str = "") -> dict:
-        return self._one(valid=logs.signature(F.lit(message), self.key) == signature)
+        return self._one(valid=logs.signature(F.lit(message), self._key(session_id)) == signature)
 
     def crypto_audit_trail(self, session_id: str) -> DataFrame:
         return self.store.read("signatures").where(F.col("session_id") == session_id).orderBy("at")
@@ -235,45 +285,190 @@ class Engine:
     def merkle_compute(self, payload: str) -> dict:
         return self._one(hash=F.sha2(F.lit(payload), 256), root=F.sha2(F.lit(payload), 256))
 
-    def merkle_verify(self, node_hash: str, proof: list[str], root: str) -> dict:
-        claim = self.spark.createDataFrame([(node_hash, proof, root)], "node_hash string, proof array<string>, root string")
-        registry = evidence.trees(self.nodes()).where(F.col("root") == root)
-        return evidence.registry_match(claim, registry).select("valid", "computed_hash", "registry_verified", "verified_sources").first().asDict()
+    def merkle_verify(self, node_hash: str = "", proof: list[str] | None = None, root: str = "", node_id: str | None = None) -> dict:
+        """A proof against the registered roots; node_id stands for a passage's hash and its source's root."""
+        forest = evidence.trees(self.nodes())
+        if node_id is not None:
+            node = self.nodes().where(F.col("node_id") == node_id).join(forest.select("source_id", "root"), "source_id").select("sha256", "root").first()
+            if node is None:
+                return {"valid": False, "error": f"no passage {node_id}"}
+            node_hash, root = node.sha256, node.root
+        claim = self.spark.createDataFrame([(node_hash, proof or [], root)], "node_hash string, proof array<string>, root string")
+        found = evidence.registry_match(claim, forest.where(F.col("root") == root))
+        return found.select("valid", "computed_hash", "registry_verified", "verified_sources").first().asDict()
 
     def csl_render(self, citation_key: str, style: str = "apa") -> dict:
         rows = self.sources().where(F.col("id") == citation_key)
         row = rows.select(citation(style, *map(F.col, ("author", "year", "title", "container"))).alias("output"), in_text(style, F.col("id"), F.col("author"), F.col("year")).alias("in_text")).first()
         return row.asDict() if row else {"output": f"[{citation_key}] Citation key not found in corpus", "in_text": f"[{citation_key}]", "note": "unknown key"}
 
+    def render(self, citation_key: str, style: str = "chicago-author-date") -> dict:
+        return self.csl_render(citation_key, style)
+
     def bibliographic_verify(self, citation_key: str) -> dict:
         rows = self.sources().where(F.col("id") == citation_key).select(F.col("id").alias("key"), "doi", "title")
         catalogue = self.catalogue if self.catalogue is not None else self.spark.createDataFrame([], "doi string, title string")
-        row = workspace.bibliographic_status(rows.withColumn("http_status", F.lit(200 if self.catalogue is not None else None).cast("int")), catalogue).first()
+        status = F.lit(200 if self.catalogue is not None else None).cast("int")
+        if "http_status" in catalogue.columns:  # what the service answered to this record's DOI, else that it was there
+            answer = catalogue.select(doi_key(F.col("doi")).alias("k"), "http_status").groupBy("k").agg(F.first("http_status").alias("http_status"))
+            rows = rows.withColumn("k", doi_key(F.coalesce("doi", F.lit("")))).join(answer, "k", "left").drop("k")
+            status = F.coalesce("http_status", status)
+        row = workspace.bibliographic_status(rows.withColumn("http_status", status), catalogue).first()
         return {"key": citation_key, "status": row.status if row else "unresolvable", "method": row.method if row else None}
 
     # ------------------------------------------------------------ safety
     def safeharness_sanitize(self, input: dict, tool_name: str = "") -> dict:  # noqa: A002
-        """Text arguments redacted, also those of inner objects; lists stay. sanitized: whether any pattern matched."""
-        hits = 0
+        """Text arguments redacted and cut, also those of inner objects; lists stay. All of them in one job.
+
+        Each text gets a mark of where it came from beside it, which says whether anything was changed up to there.
+        """
+        texts: list[str] = []
 
-        def clean(v: object) -> object:
+        def gather(v: object) -> None:
+            for x in v.values() if isinstance(v, dict) else ():
+                gather(x) if isinstance(x, dict) else texts.append(x) if isinstance(x, str) else None
+
+        gather(input)
+        clean, n = redact(F.col("t"))
+        rows = self.spark.createDataFrame([*enumerate(texts)], "k int, t string").select("k", clean.alias("t"), n.alias("n")).collect() if texts else []
+        done = iter(sorted(rows))
+        hits, at = 0, self.store.now()
+
+        def put(v: dict) -> dict:
             nonlocal hits
-            if isinstance(v, dict):
-                return {k: clean(x) for k, x in v.items()}
-            if not isinstance(v, str):
-                return v
-            text, n = redact(F.lit(v))
-            row = self._one(text=text, n=n)
-            hits += row["n"]
-            return row["text"]
-
-        return {"input": clean(input), "modifications": hits, "sanitized": hits > 0}
-
-    def safeharness_check(self, tool_name: str, args: dict | None = None) -> dict:
-        table = self.permissions if self.permissions is not None else monitor.permission_table(self.spark)
-        call = self.spark.createDataFrame([("", 0, 0, tool_name)], "session_id string, event_id long, ts long, tool_name string")
-        row = monitor.permission_check(call, table).select("decision", "risk_tier").first()
-        return {"allowed": row.decision == "allow", "decision": row.decision, "risk_tier": row.risk_tier or "system", **self.safeharness_sanitize(args or {}, tool_name)}
+            out: dict = {}
+            for k, x in v.items():
+                if isinstance(x, dict):
+                    out[k] = put(x)
+                elif isinstance(x, str):
+                    row = next(done)
+                    hits += row.n
+                    out[k] = row.t
+                    out[f"_{k}_provenance"] = {"source_id": tool_name, "trust_level": "unverified", "sanitized": hits > 0, "timestamp": at}
+                else:
+                    out[k] = x
+            return out
+
+        return {"input": put(input), "modifications": hits, "sanitized": hits > 0}
+
+    def _permissions(self) -> DataFrame:
+        return self.permissions if self.permissions is not None else monitor.permission_table(self.spark)
+
+    def ceiling(self, session_id: str = "default") -> str:
+        """The highest tier that a session may still use: anomalies lower it."""
+        past = self.store.read("calls").where((F.col("session_id") == session_id) & F.col("anomaly"))
+        return monitor.ceilings(past.agg(F.count("*").alias("anomalies")).withColumn("session_id", F.lit(session_id))).first().ceiling
+
+    def _decide(self, tool_name: str, session_id: str) -> tuple[str, str]:
+        """(decision, tier) on a session's next call; allowed calls before it count against the quota."""
+        row = self._permissions().where(F.col("tool_name") == tool_name).first()
+        if row is None:
+            return "unknown_tool", "system"
+        if row.tier > monitor.RISK_TIERS.index(self.ceiling(session_id)):
+            return "above_ceiling", row.risk_tier
+        if row.requires_approval:
+            return "requires_approval", row.risk_tier
+        used = self.store.read("calls").where((F.col("session_id") == session_id) & (F.col("tool_name") == tool_name) & (F.col("decision") == "allow"))
+        if row.max_calls is not None and used.count() >= row.max_calls:
+            return "quota_exceeded", row.risk_tier
+        return "allow", row.risk_tier
+
+    def safeharness_check(self, tool_name: str, args: dict | None = None, session_id: str = "default") -> dict:
+        """Judge a call before it is made, and remember it: quotas, anomalies and the ceiling go on from call to call."""
+        decision, tier = self._decide(tool_name, session_id)
+        out = {"allowed": decision == "allow", "decision": decision, "risk_tier": tier}
+        if decision == "allow":
+            out |= self.safeharness_sanitize(args or {}, tool_name)
+        self.store.append("calls", [{"session_id": session_id, "tool_name": tool_name, "decision": decision, "anomaly": bool(out.get("sanitized"))}])
+        return out
+
+    def report_anomaly(self, tool_name: str, session_id: str = "default") -> str:
+        """Note an anomaly that was seen after a call; the ceiling from now on."""
+        self.store.append("calls", [{"session_id": session_id, "tool_name": tool_name, "decision": "reported", "anomaly": True}])
+        return self.ceiling(session_id)
+
+    def checkpoint(self, tool_name: str, args: dict) -> dict:
+        """Note the state before a call that writes."""
+        n = self.store.read("checkpoints").count() + 1
+        row = {"checkpoint_id": f"ckpt-{n}-{self.store.now()}", "tool_name": tool_name, "input_hash": hashlib.sha256(json.dumps(args, sort_keys=True, default=str).encode()).hexdigest(), "rollback_available": True}
+        self.store.append("checkpoints", [row])
+        return row
+
+    # ------------------------------------------------------------ the monitor, and hooks around calls
+    def monitor_trace(self, session_id: str) -> DataFrame:
+        """Steps of a session since its last reset."""
+        rows = self.store.read("agent_events").where(F.col("session_id") == session_id)
+        reset = F.broadcast(rows.where("type = 'reset'").agg(F.coalesce(F.max("at"), F.lit(-1)).alias("reset")))  # one row
+        rows = rows.join(reset, F.col("at") > F.col("reset"))
+        return monitor.trace(rows.select("session_id", F.col("at").alias("event_id"), F.col("at").alias("ts"), "type", "tool_name"), self.invariants)
+
+    def monitor_state(self, session_id: str) -> str:
+        last = self.monitor_trace(session_id).agg(F.max_by("next_state", "seq").alias("state")).first()
+        return last.state or "idle"
+
+    def monitor_event(self, session_id: str, kind: str, tool_name: str = "") -> dict:
+        """One more event; the step that it takes. A step that an error forbids leaves the state as it was."""
+        self.store.append("agent_events", [{"session_id": session_id, "type": kind, "tool_name": tool_name}])
+        return self.monitor_trace(session_id).orderBy(F.desc("seq")).first().asDict()
+
+    def monitor_reset(self, session_id: str) -> None:
+        self.store.append("agent_events", [{"session_id": session_id, "type": "reset", "tool_name": ""}])
+
+    def _chained(self, session_id: str, kind: str, tool_name: str, payload: object) -> str:
+        """Add to the session's hash chain; the new link."""
+        said = json.dumps(payload, sort_keys=True, default=str)
+        past = self.store.read("trail").where(F.col("session_id") == session_id).agg(F.max_by(F.struct("previous_hash", "message_hash"), "at").alias("last")).first().last
+        link = lambda before, message: hashlib.sha256(f"{message}:{before}".encode()).hexdigest()
+        before = link(past.previous_hash, past.message_hash) if past else hashlib.sha256(session_id.encode()).hexdigest()
+        message = hashlib.sha256(f"{kind}:{tool_name}:{said}".encode()).hexdigest()
+        self.store.append("trail", [{"session_id": session_id, "kind": kind, "tool_name": tool_name, "message_hash": message, "previous_hash": before}])
+        return link(before, message)
+
+    def before_call(self, tool_name: str, args: dict | None = None, session_id: str = "default") -> dict:
+        """Before a host runs a tool: arguments cleaned, the monitor's step taken, the request chained; may refuse."""
+        clean = self.safeharness_sanitize(args or {}, tool_name)["input"]
+        step = self.monitor_event(session_id, "tool_call", tool_name)
+        if not step["allowed"]:
+            raise ToolError("BLOCKED", f"{tool_name}: {step['violated']}", "Verify, or plan, before this call.")
+        self._chained(session_id, "request", tool_name, clean)
+        return clean
+
+    def after_call(self, tool_name: str, args: dict, output: str, session_id: str = "default") -> dict:
+        """After a host ran a tool: its result's shape checked, the response chained and signed, evidence in it judged."""
+        shaped = self._one(ok=monitor.result_shape(F.lit(tool_name), F.lit(output)))["ok"]
+        if not shaped:
+            self.report_anomaly(tool_name, session_id)
+        self._chained(session_id, "response", tool_name, output[:100])
+        given = json.dumps(args, sort_keys=True, default=str)
+        receipt = self._one(r=logs.receipt(F.lit(tool_name), F.lit(given), F.lit(output), self._key(session_id)))["r"]
+        return {"shape_ok": shaped, "receipt": receipt, "evidence": self._judged(output)}
+
+    def _judged(self, output: str) -> str | None:
+        """Overall verdict on the items of a result that carry a proof; None if none do."""
+        try:
+            found = json.loads(output)
+        except ValueError:
+            return None
+        items = [x for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict) and "merkle_proof" in x and "sha256" in x]
+        if not items:
+            return None
+        names = ("node_id", "source_id", "sha256", "citation_key", "citation_rendered")
+        rows = self.spark.createDataFrame([(*(x.get(n) for n in names), x["merkle_proof"]) for x in items], ", ".join(f"{n} string" for n in names) + ", merkle_proof array<string>")
+        nodes = self.nodes()
+        rendered = self.sources().select("id", citation("apa", *map(F.col, ("author", "year", "title", "container"))).alias("citation"))
+        bad = evidence.ladder(rows, nodes, evidence.trees(nodes), rendered).where("overall = 'rejected'")
+        return "pending_audit" if bad.isEmpty() else "rejected"
+
+    def compacting(self, session_id: str = "default") -> list[str]:
+        """What a host should keep when it shortens a session."""
+        out = ["Keep citation keys, proofs and verdicts; drop no evidence whose hash cannot be checked again."]
+        steps = self.monitor_trace(session_id)
+        if not monitor.unfinished_plans(steps).where("not live").isEmpty():
+            out.append("A plan was begun and not brought to an end.")
+        n = self.store.read("trail").where(F.col("session_id") == session_id).count()
+        if n:
+            out.append(f"Audit trail of session {session_id}: {n} entries.")
+        return out
 
     # ------------------------------------------------------------ papers, sessions, workflows
     def paper_create(self, paper_id: str, title: str, question: str) -> dict:
@@ -332,10 +527,9 @@ class Engine:
         audit = self.paper_audit()
         if audit["source_count"] == 0 or audit["missing_count"]:
             raise ToolError("SOURCES_INCOMPLETE", f"sources of {audit['paper_id']}: {audit['missing_count']} missing of {audit['source_count']}", "Complete them first.")
-        nodes = self.nodes()
-        hits = self._scoped(search.ranked_search(nodes, topic, limit_of(limit, 20)))
-        own = nodes.join(hits.select("source_id").distinct(), "source_id", "left_semi")
-        n = evidence.verify_nodes(own.join(hits.select("node_id"), "node_id", "left_semi"), evidence.trees(own)).where("valid").count()
+        hits = search.fetched(self._scoped(self._hits(topic, limit_of(limit, 20))))
+        own = search.of_sources(self.nodes(), hits)
+        n = evidence.verify_nodes(own.join(hits.select("node_id"), "node_id", "left_semi"), own).where("valid").count()
         if n == 0:
             raise ToolError("NO_VERIFIED_EVIDENCE", f"nothing verified on {topic!r}", "Add sources or change the topic.")
         at = self.store.now()
@@ -364,11 +558,15 @@ class Engine:
     # ------------------------------------------------------------ health
     def status(self) -> dict:
         nodes, sources = self.nodes().count(), self.sources().count()
-        return {"status": "ok" if nodes and sources else "degraded" if nodes or sources else "not_initialized", "nodes": nodes, "sources": sources}
+        roots = evidence.trees(self.nodes()).count()
+        papers = self.store.read("papers").select("paper_id").distinct().count()
+        workflows = self.store.newest("workflows", "workflow_id").where("end = 'open'").count()
+        state = "ok" if nodes and sources else "degraded" if nodes or sources else "not_initialized"
+        return {"status": state, "nodes": nodes, "sources": sources, "merkle_roots": roots, "papers": papers, "active_paper": self.active(), "active_workflows": workflows}
 
     def doctor(self) -> dict:
         found = self.status()
-        checks = {"corpus": found["status"] == "ok", "key": self.key != Engine.key, "catalogue": self.catalogue is not None}
+        checks = {"corpus": found["status"] == "ok", "key": bool(self.key), "catalogue": self.catalogue is not None}
         return {"status": "ok" if all(checks.values()) else "degraded", "checks": checks}
 
     tantivy_search = search_documents
@@ -378,11 +576,10 @@ class Engine:
         """A tool by name; errors are results."""
         tool = name.removeprefix("cite_")
         tool = {
-            "search": "search_documents", "verify": "merkle_verify", "render": "csl_render", "ingest": "index_document", "tree": "tree_load",
-            "argument_query": "ag_query_claims",
+            "search": "search_documents", "verify": "merkle_verify", "ingest": "index_document", "tree": "tree_load",
         }.get(tool, tool)
         try:
-            if tool not in TOOL_NAMES:
+            if tool not in TOOL_NAMES and tool not in WRAPPERS:
                 raise ToolError("UNKNOWN_TOOL", name, "See TOOL_NAMES.")
             return getattr(self, tool)(**args)
         except ToolError as e:
@@ -391,6 +588,9 @@ class Engine:
             return {"status": "error", "error_code": "TOOL_FAILED", "message": str(e), "next_action": "", "error": str(e)}
 
 
+#: Tools that a host calls under a prefix only; they choose another tool or other defaults.
+WRAPPERS = ("render", "argument_query")
+
 #: Names of all tools. Fixed values.
 TOOL_NAMES = [
     "search_documents", "search_claims", "search_memory", "index_document", "index_claim", "delete_document",
