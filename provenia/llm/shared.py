@@ -34,6 +34,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.n = spark, 0
         self.path = f"{shared_folder(spark)}/provenia/{name}-{uuid.uuid4().hex}"
+        # Taken now: at the end of the process the session may have been stopped.
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         atexit.register(self.drop, "")
 
     def save(self, df: DataFrame, name: str, **stats: Column) -> tuple[DataFrame, dict]:
@@ -52,9 +54,8 @@ class Workspace:
         """Delete a table that nothing reads any more; '' stands for the whole folder."""
         path = self.path if path == "" else getattr(path, "provenia_path", path)
         with suppress(Exception):
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at = self._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self._conf).delete(at, True)
 
 
 def hashed_rank(column: str, salt: int = 0) -> Column:

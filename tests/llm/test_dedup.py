@@ -15,7 +15,7 @@ from provenia.llm import simhash
 from provenia.llm.components import components
 from provenia.llm.embedding_dedup import embedding_dedup
 from provenia.llm.exact_dedup import build_index, exact_dedup
-from provenia.llm.shared import Workspace
+from provenia.llm.shared import Workspace, shared_folder
 from provenia.llm.simhash import simhash_components
 from provenia.llm.substring_dedup import substring_dedup
 
@@ -45,6 +45,19 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
+
+
 ODD = [(5, "a  b"), (3, "a\tb"), (9, None), (8, ""), (1, "a b "), (7, "é"), (7, "é"), (None, "a b"), (11, " \n "), (12, " "), (13, "x" * 200_000), (14, "x" * 200_000)]
 
 
