@@ -5,13 +5,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from provenia.llm import embedding_dedup as embedding
 from provenia.llm import exact_dedup as exact
-from provenia.llm import simhash
+from provenia.llm import simhash, spans
+from provenia.llm import substring_dedup as substring
 from provenia.llm.components import components
 from provenia.llm.embedding_dedup import embedding_dedup
 from provenia.llm.exact_dedup import build_index, exact_dedup
@@ -243,6 +245,31 @@ def brute_cut(rows, window):
     return sorted(out)
 
 
+def test_windows_of_one_source_become_spans():
+    r = random.Random(8)
+    for _ in range(200):
+        rows = [(r.randrange(40), r.randrange(1, 6), r.randrange(2), r.randrange(3)) for _ in range(r.randrange(1, 25))]
+        start, count, doc, shift = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        entry, begin, words = substring.merged(start, count, [doc, doc * 0], start + shift, 4)
+        want = {(d, x, s + k) for s, c, d, x in rows for k in range(c)}
+        got = [(int(doc[e]), int(shift[e]), int(b) + k) for e, b, n in zip(entry, begin, words, strict=True) for k in range(n - 3)]
+        assert set(got) == want and len(got) == len(want)
+        assert all((d, x, b - 1) not in want for d, x, b in zip(doc[entry].tolist(), shift[entry].tolist(), begin.tolist(), strict=True))
+
+
+def test_words_that_do_not_verify_stay(spark):
+    """Fingerprints of two bits take most paths for equal; what is not equal at the source's coordinates stays."""
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice("abc") for _ in range(40))) for k in range(30)] + [(100, "p q r s t u v w x y z"), (101, "p q r s t u v w x y z")]
+    want = {i: (n, kept.split()) for i, _, n, kept in brute_cut(rows, 6)}
+    got = substring_dedup(spark.createDataFrame(rows, DOCS), window=6, core=2, bits=1).collect()
+    assert all(g.n_removed <= want[g.doc_id][0] for g in got) and sum(g.n_removed for g in got) < sum(n for n, _ in want.values())
+    for g in got:
+        words = dict(rows)[g.doc_id].split()
+        kept = [k for k in range(len(words)) if not any(s.start <= k < s.end for s in g.removed)]
+        assert [words[k] for k in kept] == g.kept_text.split()
+
+
 @pytest.mark.parametrize(("window", "core"), [(5, 2), (8, 3), (3, 3)])
 def test_substring_dedup_matches_brute_force(spark, window, core):
     r = random.Random(window)
