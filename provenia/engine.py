@@ -17,12 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
-from provenia.functions.text import citation, doi_key, first_field, in_text, redact
+from provenia.functions.text import ROLES, citation, doi_key, first_field, in_text, redact
 from provenia.operators import evidence, logs, monitor, search, workspace
 from provenia.sources.store import Store, new_id
 
-#: Roles of a source in a paper. Fixed values.
-ROLES = ("primary", "secondary", "unknown")
 HOUR = 3_600_000_000_000
 
 
@@ -83,8 +81,7 @@ class Engine:
         rows = self.store.read(log)
         if base is not None:
             rows = rows.unionByName(base.withColumn("at", F.lit(0).cast("long")), allowMissingColumns=True)
-        gone = self.store.newest("deleted", "source_id").select(F.col("source_id").alias("__gone"), F.col("at").alias("__when"))
-        return rows.join(gone, (F.col(source) == F.col("__gone")) & (F.col("at") < F.col("__when")), "left_anti")
+        return logs.alive(rows, self.store.read("deleted").withColumnRenamed("source_id", source), source)
 
     def nodes(self) -> DataFrame:
         return self._alive("nodes", self.nodes_base, "source_id").drop("at")
@@ -103,9 +100,8 @@ class Engine:
 
     def _paper_sources(self, paper: str) -> DataFrame:
         """A paper made anew starts without sources."""
-        made = self.store.read("papers").where(F.col("paper_id") == paper).agg(F.max("at").alias("made"))
-        rows = self.store.read("paper_sources").where(F.col("paper_id") == paper).join(F.broadcast(made), F.col("at") >= F.col("made"))  # one row
-        return logs.latest(rows.select("source_id", "role", "at"), "source_id", ["at"]).select("source_id", "role").withColumn("paper_id", F.lit(paper))
+        made, added = (self.store.read(log).where(F.col("paper_id") == paper) for log in ("papers", "paper_sources"))
+        return workspace.paper_sources(made, added)
 
     def _allowed(self, source_id: str) -> None:
         scope = self.approved()

@@ -18,6 +18,8 @@ INJECTION_PATTERNS = [
     r"</?system>",
     r"INJECT\s*:",
 ]
+#: Roles of a source in a paper. Fixed values.
+ROLES = ("primary", "secondary", "unknown")
 FILTERED = "[FILTERED]"
 MAX_TEXT = 10_000
 
@@ -38,6 +40,19 @@ def doi_key(doi: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(bare, r"(?i)^doi:\s*", "")))
 
 
+def is_slug(value: Column) -> Column:
+    """Names of papers, audits and sessions: lower-case letters, digits, - and _, 64 at most, no sign first."""
+    return F.coalesce(value.rlike(r"^[a-z0-9][a-z0-9_-]{0,63}\z"), F.lit(False))
+
+
+def is_workflow_id(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"(?i)^[a-f0-9-]{8,36}\z"), F.lit(False))
+
+
+def is_role(value: Column) -> Column:
+    return F.coalesce(value.isin(*ROLES), F.lit(False))
+
+
 def first_field(*fields: Column) -> Column:
     """The first of the fields that is not blank, trimmed; null if all are."""
     return F.coalesce(*(F.nullif(F.trim(f), F.lit("")) for f in fields))

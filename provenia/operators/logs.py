@@ -34,6 +34,31 @@ def consolidate(memory: DataFrame) -> DataFrame:
     return fresh.join(memory.where("tier = 'long_term'").select("thread_id", "sha256"), ["thread_id", "sha256"], "left_anti")
 
 
+def routed(entries: DataFrame) -> DataFrame:
+    """entries (entry_id, tier, content, key, thread_id) as they go to a tiered memory, with status, hash and defaults.
+
+    corpus is read-only and refuses; working is acknowledged and not kept; any other tier stores.
+    """
+    status = F.when(F.col("tier") == "corpus", "rejected").when(F.col("tier") == "working", "acknowledged").otherwise("stored")
+    key, thread = F.coalesce(F.nullif("key", F.lit("")), "entry_id"), F.coalesce(F.nullif("thread_id", F.lit("")), F.lit("default"))
+    return entries.withColumns({"status": status, "key": key, "thread_id": thread, "sha256": F.sha2("content", 256)})
+
+
+def saved(messages: DataFrame) -> DataFrame:
+    """Entries of the plain memory from (at, content, tags): the content is the query, and tags are kept as evidence.
+
+    So a search sees the content and not the tags.
+    """
+    stamped = F.sha2(F.concat_ws("|", F.col("at").cast("string"), "content", F.lit("")), 256)
+    return messages.select("*", F.col("content").alias("query"), F.lit("").alias("response"), F.col("tags").alias("evidence"), F.lit("").alias("tag"), stamped.alias("sha256"))
+
+
+def alive(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """Rows (with at) but for those whose key was deleted (key, at) after they came."""
+    gone = deleted.groupBy(F.col(key).alias("__gone")).agg(F.max("at").alias("__when"))
+    return rows.join(gone, (F.col(key) == F.col("__gone")) & (F.col("at") < F.col("__when")), "left_anti")
+
+
 def latest(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
     """The newest row of each key (an upsert log read back); pre-aggregated before the shuffle."""
     others = [c for c in rows.columns if c != key]
@@ -64,6 +89,12 @@ def sessions(events: DataFrame) -> DataFrame:
     return grouped.select("session_id", "events", F.transform("events", message).alias("messages"), genesis.alias("genesis"))
 
 
+def signed_trail(messages: DataFrame, key: bytes) -> DataFrame:
+    """messages (session_id, ts, event_id, message) with entry, their place in the session, message_hash and signature."""
+    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    return messages.withColumns({"entry": F.row_number().over(order).cast("long"), "message_hash": F.sha2("message", 256), "signature": signature(F.col("message"), key)})
+
+
 def audit_chain(events: DataFrame) -> DataFrame:
     """(session_id, n, start_hash, current_hash) of each session's chain."""
     s = sessions(events)

@@ -188,3 +188,9 @@ def regex_search(nodes: DataFrame, pattern: str, source_id: str | None = None, l
 def in_scope(rows: DataFrame, approved: DataFrame, key: str = "source_id") -> DataFrame:
     """Rows of approved sources."""
     return rows.join(approved.select(F.col("source_id").alias(key)), key, "left_semi")
+
+
+def guarded(calls: DataFrame, approved: DataFrame) -> DataFrame:
+    """calls (with source_id) with decision: ok for approved sources, else SOURCE_NOT_APPROVED."""
+    known = approved.select("source_id").distinct().withColumn("known", F.lit(True))
+    return calls.join(known, "source_id", "left").withColumn("decision", F.when(F.col("known"), "ok").otherwise("SOURCE_NOT_APPROVED")).drop("known")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenia.functions.text import doi_key, title_key
+from provenia.functions.text import citation, doi_key, title_key
 
 STAGES = ["research", "outline", "draft", "review"]
 
@@ -31,6 +31,24 @@ def bibliographic_status(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     return rows.withColumn("matched_title", F.when(F.col("status") == "verified", found)).drop("dk", "tk", "doi_title", "same_title")
 
 
+def cited_keys(asked: DataFrame, csl: DataFrame, style: str) -> DataFrame:
+    """asked (with key) with output, the citation of each key; an unknown key is said to be."""
+    line = citation(style, F.col("author"), F.col("year"), F.col("title"), F.col("container"))
+    known = csl.select(F.col("id").alias("key"), line.alias("output"))
+    missing = F.concat(F.lit("["), F.col("key"), F.lit("] Citation key not found in corpus"))
+    return asked.join(known, "key", "left").withColumn("output", F.coalesce("output", missing))
+
+
+def paper_sources(made: DataFrame, added: DataFrame) -> DataFrame:
+    """(paper_id, source_id, role) of every paper: the last role of each source since the paper was last made.
+
+    made: paper_id, at; added: paper_id, source_id, role, at.
+    """
+    since = made.groupBy("paper_id").agg(F.max("at").alias("since"))
+    own = added.join(since, "paper_id").where(F.col("at") >= F.col("since"))
+    return own.groupBy("paper_id", "source_id").agg(F.max_by("role", "at").alias("role"))
+
+
 def paper_audit(papers: DataFrame, corpus: DataFrame) -> DataFrame:
     """Of each paper: source_count, primary_count, missing_count and status. papers: paper_id, source_id, role."""
     rows = papers.join(corpus.select("source_id").distinct().withColumn("there", F.lit(True)), "source_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from provenia.functions import integrity as I
 from provenia.functions.text import INJECTION_PATTERNS, MAX_TEXT, citation, doi_key, in_text, redact, title_key
 from provenia.functions.text import first_field as first_of
+from provenia.functions.text import is_role, is_slug, is_workflow_id
 from provenia.operators import evidence, logs, monitor, search, workspace
-from provenia.sources.tables import csl_of, events_of, memory_of, nodes_of, table
+from provenia.sources.tables import csl_of, events_of, memory_of, nodes_of, read_json_corpus, read_jsonl, table, write_text
 from provenia.streaming.place import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -657,6 +659,127 @@ def tree_traverse(spark: SparkSession, d: str) -> DataFrame:
     return workspace.traverse(workspace.document_tree(_nodes(spark, d)), "/de")
 
 
+# ---------------------------------------------------------------- logs and files, read back
+
+
+@query(f"WITH {NODES} SELECT node_id, source_id, match FROM (SELECT *, regexp_extract(text, '(?i)th[a-z]+', 0) AS match FROM nodes WHERE source_id = '7') WHERE match <> '' ORDER BY paragraph LIMIT 5")
+def regex_search_source(spark: SparkSession, d: str) -> DataFrame:
+    return search.regex_search(_nodes(spark, d), "th[a-z]+", "7", 5).select("node_id", "source_id", "match")
+
+
+_ODD_ID = "CASE c_custkey % 6 WHEN 0 THEN 'a-' || c_custkey WHEN 1 THEN c_name WHEN 2 THEN '_' || c_custkey WHEN 3 THEN repeat('A1b-', 1 + c_custkey::INT % 12) WHEN 4 THEN lower(c_mktsegment) || chr(10) ELSE 'primary' END"
+
+
+@query(f"WITH i AS (SELECT c_custkey, {_ODD_ID} AS id FROM customer) SELECT c_custkey, regexp_full_match(id, '[a-z0-9][a-z0-9_-]{{0,63}}') AS slug, regexp_full_match(id, '(?i)[a-f0-9-]{{8,36}}') AS workflow, id IN ('primary', 'secondary', 'unknown') AS role FROM i")
+def id_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Names of papers, ids of workflows and roles, good ones and bad."""
+    k = F.col("c_custkey")
+    one = F.concat(F.lit("a-"), k.cast("string")), F.col("c_name"), F.concat(F.lit("_"), k.cast("string")), F.repeat(F.lit("A1b-"), (1 + k % 12).cast("int")), F.concat(F.lower("c_mktsegment"), F.lit("\n"))
+    odd = F.when(k % 6 == 0, one[0]).when(k % 6 == 1, one[1]).when(k % 6 == 2, one[2]).when(k % 6 == 3, one[3]).when(k % 6 == 4, one[4]).otherwise("primary")
+    return table(spark, d, "customer").select("c_custkey", is_slug(odd).alias("slug"), is_workflow_id(odd).alias("workflow"), is_role(odd).alias("role"))
+
+
+@query(f"WITH RECURSIVE {TREES} SELECT n.node_id, coalesce(r.root, '') AS root FROM nodes n LEFT JOIN (SELECT * FROM roots WHERE source_id::BIGINT % 4 <> 0) r USING (source_id)")
+def node_root(spark: SparkSession, d: str) -> DataFrame:
+    """The registered root of each passage's source; every fourth source is not registered."""
+    nodes = _nodes(spark, d)
+    registry = evidence.trees(nodes).where(F.col("source_id").cast("long") % 4 != 0).select("source_id", "root")
+    return nodes.select("node_id", "source_id").join(registry, "source_id", "left").select("node_id", F.coalesce("root", F.lit("")).alias("root"))
+
+
+@query(f"WITH {CSL}, asked AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'none' || item_id ELSE item_id::VARCHAR END AS key FROM benchmark) SELECT item_id, coalesce({_STYLES['mla']}, '[' || key || '] Citation key not found in corpus') AS output FROM asked LEFT JOIN csl ON csl.id = key")
+def csl_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Citations by key; every third key is unknown."""
+    key = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("none"), F.col("item_id").cast("string"))).otherwise(F.col("item_id").cast("string"))
+    return workspace.cited_keys(table(spark, d, "benchmark").select("item_id", key.alias("key")), csl_of(spark, d), "mla").select("item_id", "output")
+
+
+_TIER = "['episodic', 'long_term', 'corpus', 'working', 'notes'][(conv_id % 5)::INT + 1]"
+
+
+@query(f"SELECT conv_id, turn, {_TIER} AS tier, CASE conv_id % 5 WHEN 2 THEN 'rejected' WHEN 3 THEN 'acknowledged' ELSE 'stored' END AS status, CASE WHEN turn % 2 = 0 THEN 'k' || turn ELSE conv_id || ':' || turn END AS key, CASE WHEN conv_id % 3 = 0 THEN 'default' ELSE 't' || conv_id END AS thread_id, sha256(coalesce(text, '')) AS sha256 FROM conversations")
+def memory_append(spark: SparkSession, d: str) -> DataFrame:
+    """Entries on their way to the tiers, some without a key or a thread."""
+    rows = table(spark, d, "conversations")
+    tier = F.get(F.array(*map(F.lit, ("episodic", "long_term", "corpus", "working", "notes"))), (F.col("conv_id") % 5).cast("int"))
+    key = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("k"), F.col("turn").cast("string")))
+    thread = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("t"), F.col("conv_id").cast("string"))).otherwise("")
+    entries = rows.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("entry_id"), tier.alias("tier"), F.coalesce("text", F.lit("")).alias("content"), key.alias("key"), thread.alias("thread_id"))
+    return logs.routed(entries).select("conv_id", "turn", "tier", "status", "key", "thread_id", "sha256")
+
+
+@query("SELECT item_id, sha256(item_id || '|' || text || '|') AS sha256, contains(lower(text), 'the') AS by_content, false AS by_tag FROM benchmark")
+def memory_save(spark: SparkSession, d: str) -> DataFrame:
+    """Saved entries are found by their content and not by their tags."""
+    rows = table(spark, d, "benchmark").select("item_id", F.col("item_id").alias("at"), F.col("text").alias("content"), F.array(F.lit("Ωtag")).alias("tags"))
+    text = F.lower(F.concat_ws(" ", "query", "response", "tag"))
+    return logs.saved(rows).select("item_id", "sha256", F.contains(text, F.lit("the")).alias("by_content"), F.contains(text, F.lit("ωtag")).alias("by_tag"))
+
+
+@query(f"WITH {NODES} SELECT node_id FROM nodes WHERE NOT (source_id::BIGINT % 5 = 0 AND paragraph < 2)")
+def document_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth source is deleted after its second line came; what came later stays."""
+    nodes = _nodes(spark, d).withColumn("at", F.col("paragraph").cast("long"))
+    deleted = nodes.where(F.col("source_id").cast("long") % 5 == 0).select("source_id", F.lit(2).cast("long").alias("at")).distinct()
+    return logs.alive(nodes, deleted, "source_id").select("node_id")
+
+
+@query("""WITH made AS (SELECT user_id AS paper_id, max(event_id) AS since FROM events WHERE event_type = 'signup' GROUP BY user_id),
+    added AS (SELECT user_id AS paper_id, event_id % 7 AS source_id, ['primary', 'secondary', 'unknown'][(event_id % 3)::INT + 1] AS role, event_id AS t FROM events WHERE event_type IN ('click', 'view'))
+    SELECT paper_id, source_id, arg_max(role, t) AS role FROM added JOIN made USING (paper_id) WHERE t >= since GROUP BY paper_id, source_id""")
+def paper_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of papers that are made, extended and made anew."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("at"), "event_type")
+    role = F.get(F.array(F.lit("primary"), F.lit("secondary"), F.lit("unknown")), (F.col("at") % 3).cast("int"))
+    added = rows.where(F.col("event_type").isin("click", "view")).select("paper_id", (F.col("at") % 7).alias("source_id"), role.alias("role"), "at")
+    return workspace.paper_sources(rows.where("event_type = 'signup'"), added)
+
+
+@query("SELECT item_id, item_id % 11 AS source_id, CASE WHEN d.doc_id IS NULL THEN 'SOURCE_NOT_APPROVED' ELSE 'ok' END AS decision FROM benchmark LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) d ON d.doc_id = item_id % 11")
+def scope_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Calls on a source are refused unless the active paper has it."""
+    calls = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 11).alias("source_id"))
+    approved = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("source_id"))
+    return search.guarded(calls, approved)
+
+
+@query(f"WITH {EVENTS}, s AS (SELECT session_id, event_id, ts, {_hmac('event_id::VARCHAR')} AS signature FROM ev WHERE type = 'commit') SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS entry, sha256(event_id::VARCHAR) AS message_hash, signature FROM s")
+def signature_trail(spark: SparkSession, d: str) -> DataFrame:
+    """What each session signed, in order."""
+    rows = _events(spark, d).where("type = 'commit'").withColumn("message", F.col("event_id").cast("string"))
+    return logs.signed_trail(rows, KEY).select("session_id", "entry", "message_hash", "signature")
+
+
+@query("SELECT n_regionkey AS region, arg_max('Nation ' || n_name, n_name) AS title, sum(CASE WHEN n_nationkey % 7 = 3 THEN 0 ELSE n_nationkey % 4 END)::BIGINT AS nodes, arg_max('root' || n_nationkey, n_name) FILTER (n_nationkey % 5 <> 1) AS root FROM nation WHERE n_nationkey % 8 <> 7 GROUP BY n_regionkey")
+def json_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of JSON documents written from the nations (25 rows, whatever the scale) and scanned.
+
+    Folders share ids, some documents and trees do not parse, and some folders have no record or a hidden name.
+    """
+    base = fresh_folder(spark, "corpus")
+    for r in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        folder = f"{base}/{'.hidden ' if r.n_nationkey % 16 == 7 else ''}{r.n_name}"
+        nodes = [{"node_id": f"{r.n_nationkey}:{k}", "source_id": str(r.n_regionkey), "text": "t", "sha256": "s", "page": 1, "paragraph": k, "section_path": "/"} for k in range(r.n_nationkey % 4)]
+        write_text(spark, f"{folder}/document.json", "{broken" if r.n_nationkey % 7 == 3 else json.dumps({"nodes": nodes}, indent=1))
+        write_text(spark, f"{folder}/merkle.json", "[" if r.n_nationkey % 5 == 1 else json.dumps({"algorithm": "sha256", "leaf_count": 1, "levels": [["s"]], "root": f"root{r.n_nationkey}"}))
+        if r.n_nationkey % 16 != 15:
+            write_text(spark, f"{folder}/csl.json", json.dumps({"id": str(r.n_regionkey), "title": f"Nation {r.n_name}"}))
+    found = read_json_corpus(spark, base)
+    per = found.nodes.groupBy(F.col("source_id").alias("key")).agg(F.count("*").alias("nodes"))
+    rows = found.csl.join(per, "key", "left").join(found.merkle.select(F.col("source_id").alias("key"), "root"), "key", "left")
+    return rows.select(F.col("key").cast("int").alias("region"), "title", F.coalesce("nodes", F.lit(0).cast("long")).alias("nodes"), "root")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 9")
+def jsonl_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of JSON lines, a tenth of them cut off, written and read back."""
+    path = fresh_folder(spark, "log")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    cut = F.when(F.col("event_id") % 10 == 9, F.substring(line, 1, 12)).otherwise(line)
+    table(spark, d, "events").select(cut.alias("value")).write.text(path)
+    return read_jsonl(spark, path, "event_id long, user_id long, event_type string")
+
+
 # ---------------------------------------------------------------- streaming
 
 
