@@ -71,7 +71,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     had to be escaped, else 0. Turns are
     ordered by number, then role, then text, so ties and repeated rows have one order; a repeated row is a turn of
     its own. Null texts and roles count as empty; a null turn number comes first; null conversation ids form one
-    conversation. Other columns are ignored. No rows give no rows. A conversation that does not come back
+    conversation. Texts of any length are formatted whole. Other columns are ignored. No rows give no rows. A conversation that does not come back
     identical raises an error rather than yielding a wrong mask.
     """
     role, text = F.coalesce(role_col, F.lit("")), F.coalesce(text_col, F.lit(""))
