@@ -7,6 +7,8 @@ import heapq
 import numpy as np
 
 _LONG = 128
+#: So many different chunks share one comparison with a library: those whose hash it divides.
+CHECKED = 16
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.int64(-1)
 
@@ -47,8 +49,18 @@ class PairTable:
         hit = (self.keys[at] == key) & (b >= 0) & (a >= 0)
         return np.where(hit, self.order[at], _NONE), self.merged[at]
 
+    def get(self, a: int, b: int) -> tuple[int, int] | None:
+        """(order, merged symbol) of one pair; None where it forms nothing."""
+        key = a << 32 | b
+        at = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while (found := self.keys.item(at)) != key:
+            if found == -1:
+                return None
+            at = (at + 1) & self.mask
+        return self.order.item(at), self.merged.item(at)
 
-def heap_agenda(symbols: list[int], look: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+
+def heap_agenda(symbols: list[int], table: PairTable) -> list[int]:
     """The agenda of one chunk with a heap: O(n log n) for chunks of any length."""
     n = len(symbols)
     s, after, before = list(symbols), [*range(1, n), -1], list(range(-1, n - 1))
@@ -56,7 +68,7 @@ def heap_agenda(symbols: list[int], look: dict[tuple[int, int], tuple[int, int]]
 
     def add(i: int) -> None:
         j = after[i]
-        if j >= 0 and (hit := look.get((s[i], s[j]))):
+        if j >= 0 and (hit := table.get(s[i], s[j])):
             heapq.heappush(agenda, (hit[0], i, s[i], s[j]))
 
     for i in range(n - 1):
@@ -66,7 +78,7 @@ def heap_agenda(symbols: list[int], look: dict[tuple[int, int], tuple[int, int]]
         j = after[i] if s[i] == a else -1
         if j < 0 or s[j] != b:
             continue
-        s[i], s[j] = look[a, b][1], -1
+        s[i], s[j] = table.get(a, b)[1], -1
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -76,13 +88,13 @@ def heap_agenda(symbols: list[int], look: dict[tuple[int, int], tuple[int, int]]
     return [x for x in s if x >= 0]
 
 
-def side_by_side(symbols: np.ndarray, first: np.ndarray, table: PairTable, look: dict) -> tuple[np.ndarray, np.ndarray]:
+def side_by_side(symbols: np.ndarray, first: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Agendas of many chunks symbols[first[c]:first[c + 1]]; (merged symbols, first of each chunk)."""
     size = np.diff(first)
     out = symbols.copy()
     alive = np.ones(len(symbols), bool)
     for c in np.flatnonzero(size > _LONG).tolist():
-        done = heap_agenda(symbols[first[c] : first[c + 1]].tolist(), look)
+        done = heap_agenda(symbols[first[c] : first[c + 1]].tolist(), table)
         out[first[c] : first[c] + len(done)] = done
         alive[first[c] + len(done) : first[c + 1]] = False
     edges = [1, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, _LONG]

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm import spans
-from provenia.llm.merges import Memory, PairTable, side_by_side
+from provenia.llm.merges import CHECKED, Memory, PairTable, side_by_side
 
 WINDOW = 1024
 POOL = 4096
-_PART = 1 << 21
+_PART = 1 << 19
 _CHECK_EVERY = 200
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
@@ -114,7 +114,8 @@ class Encoder:
     """Ids of whole texts by a byte-level merge vocabulary of the tokenizers library.
 
     Each different pre-token of a part is merged once, and remembered. Texts that hold the literal of an added token go
-    to the library. One text in _CHECK_EVERY is compared with the library; a difference is an error.
+    to the library. One in CHECKED of the different pre-tokens is compared with the library when it is merged, and one text in
+    _CHECK_EVERY as a whole; a difference is an error.
     """
 
     def __init__(self, path: str) -> None:
@@ -133,7 +134,7 @@ class Encoder:
         for rank, pair in enumerate(model["merges"]):
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             pairs[ids[x], ids[y]] = (rank, ids[x + y])
-        self.look, self.table, self.memory, self.classes = pairs, PairTable(pairs), Memory(), Classes(self.library)
+        self.table, self.memory, self.classes = PairTable(pairs), Memory(), Classes(self.library)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -149,6 +150,14 @@ class Encoder:
                 at = raw.find(literal, int(offsets[k + 1]))
         return out
 
+    def _check(self, raw: bytes, starts: np.ndarray, size: np.ndarray, merged: np.ndarray, first: np.ndarray, h: np.ndarray) -> None:
+        """Compare the ids of one pre-token in CHECKED, by hash, with the library's."""
+        some = np.flatnonzero(h % CHECKED == 0)
+        texts = [raw[a : a + n].decode() for a, n in zip(starts[some].tolist(), size[some].tolist(), strict=True)]
+        for k, text, want in zip(some.tolist(), texts, self._library(texts), strict=True):
+            if merged[first[k] : first[k + 1]].tolist() != want:
+                raise ValueError(f"ids differ from those of the tokenizers library: {text[:200]!r}")
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first of each text)."""
         texts = len(offsets) - 1
@@ -166,7 +175,8 @@ class Encoder:
         h = spans.xxh64(data, starts, starts + size, 5)
         fresh, of = self.memory.find(h, size)
         symbols = self.byte_id[data[np.repeat(starts[fresh], size[fresh]) + spans.spread(size[fresh])]]
-        merged, kept = side_by_side(symbols, np.concatenate([[0], np.cumsum(size[fresh])]), self.table, self.look)
+        merged, kept = side_by_side(symbols, np.concatenate([[0], np.cumsum(size[fresh])]), self.table)
+        self._check(raw, starts[fresh], size[fresh], merged, kept, h[fresh])
         flat, head, count = self.memory.complete(h, size, fresh, of, merged, kept)
         ids = flat[np.repeat(head, count) + spans.spread(count)].astype(np.uint32)
         bounds = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(begin, first)]
@@ -182,7 +192,9 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    out = Encoder(path)
+    spans.released()  # what the file was parsed into
+    return out
 
 
 # ---------------------------------------------------------------- minimum bin slack
@@ -341,7 +353,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     packer.add(names[i + k], full[a:b])
                 yield emit()
+            del batch, data, offsets
         packer.finish()
         yield emit()
+        spans.released()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)

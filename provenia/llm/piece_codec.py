@@ -6,8 +6,9 @@ is merged first, the leftmost of equal ones, until none is left; symbols that ar
 No piece holds a space mark behind another character, so merges never reach over the beginning of a run of spaces; nor
 do they touch characters that only occur as pieces of their own. Texts are cut there into chunks, and each different
 chunk of a part of an Arrow batch is encoded once and remembered. All chunks of like length run their agendas side by side in numpy;
-very long chunks use a heap. One text in ``_CHECK_EVERY`` of each part is compared with the sentencepiece library; a
-difference is an error, and so is a vocabulary of another type.
+very long chunks use a heap. One in ``CHECKED`` of the different chunks is compared with the sentencepiece library when it
+is encoded, and one text in ``_CHECK_EVERY`` of each part as a whole; a difference is an error, and so is a vocabulary of
+another type.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm import spans
-from provenia.llm.merges import Memory, PairTable, side_by_side
+from provenia.llm.merges import CHECKED, Memory, PairTable, side_by_side
 
-_PART = 1 << 21
+_PART = 1 << 19
 _CHECK_EVERY = 50
 _MARK = "▁"
 
@@ -46,14 +47,14 @@ class Codec:
         for i in plain:  # characters that only occur inside pieces get numbers from n on
             for c in pieces[i]:
                 symbol.setdefault(c, n + len(symbol))
-        self.look: dict[tuple[int, int], tuple[int, int]] = {}
+        look: dict[tuple[int, int], tuple[int, int]] = {}
         rank = {score: k for k, score in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         for i in plain:
             p = pieces[i]
             for k in range(1, len(p)):
                 if p[:k] in symbol and p[k:] in symbol:
-                    self.look[symbol[p[:k]], symbol[p[k:]]] = (rank[sp.get_score(i)], i)
-        self.table, self.memory = PairTable(self.look), Memory()
+                    look[symbol[p[:k]], symbol[p[k:]]] = (rank[sp.get_score(i)], i)
+        self.table, self.memory = PairTable(look), Memory()
         if any(_MARK in pieces[i].lstrip(_MARK) for i in plain):
             raise ValueError(f"{path}: pieces hold a space mark behind another character, so texts cannot be cut at spaces")
         self.char = np.full(0x110000, -1, np.int32)
@@ -100,12 +101,25 @@ class Codec:
         first = np.concatenate([[0], np.cumsum(lead)])[np.concatenate([[0], np.cumsum(size[fresh])])]
         symbols = self.char[points]
         symbols = np.where(symbols < 0, self.n + (1 << 20) + points, symbols).astype(np.int32)
-        ids, kept = self._fall_back(*side_by_side(symbols, first, self.table, self.look))
+        ids, kept = self._fall_back(*side_by_side(symbols, first, self.table))
+        self._check(raw.tobytes(), size[fresh], ids, kept, h[fresh])
         flat, head, count = self.memory.complete(h, size, fresh, of, ids, kept)
         out = flat[np.repeat(head, count) + spans.spread(count)]
         per_chunk = np.concatenate([[0], np.cumsum(count)])
         return out, per_chunk[np.searchsorted(starts, offsets)]
 
+    def _check(self, raw: bytes, size: np.ndarray, ids: np.ndarray, first: np.ndarray, h: np.ndarray) -> None:
+        """Compare the ids of one chunk in CHECKED, by hash, with the library's, behind a line end that it cannot be merged with."""
+        if not self.alone[10]:
+            return
+        before = len(self.library.encode("\n"))
+        some = np.flatnonzero(h % CHECKED == 0)
+        ends = np.cumsum(size)
+        texts = [raw[a:b].decode() for a, b in zip((ends - size)[some].tolist(), ends[some].tolist(), strict=True)]
+        for k, text, want in zip(some.tolist(), texts, self.library.encode(["\n" + t for t in texts], num_threads=1), strict=True):
+            if ids[first[k] : first[k + 1]].tolist() != want[before:]:
+                raise ValueError(f"pieces differ from those of the sentencepiece library: {text[:200]!r}")
+
     def _fall_back(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes for symbols that are no piece."""
         strange = np.flatnonzero(symbols >= self.n)
@@ -147,7 +161,9 @@ class Codec:
 
 @lru_cache(4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    out = Codec(path)
+    spans.released()  # what the file was parsed into
+    return out
 
 
 def _part(c: Codec, data: np.ndarray, offsets: np.ndarray, number: int) -> tuple[pa.Array, pa.Array]:
@@ -185,5 +201,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text")
             for i, j in spans.runs(offsets, _PART):
                 ids, decoded = _part(c, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
                 yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in batch.columns), ids, decoded], [*names, "ids", "decoded"])
+            del batch, data, offsets
+        spans.released()
 
     return docs.mapInArrow(run, docs.limit(0).withColumns({"ids": F.lit(None).cast("array<int>"), "decoded": F.lit("")}).schema)

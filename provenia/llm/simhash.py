@@ -25,7 +25,7 @@ from provenia.llm import spans
 from provenia.llm.components import components
 from provenia.llm.shared import Workspace, batches
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _SHINGLES = 1 << 18
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1. Fixed value.
 _GOLAY = 0b101011100011
@@ -89,6 +89,8 @@ def fingerprint_frame(docs: DataFrame, id_col: str, text_col: str, width: int, c
         for batch, data, offsets in batches(it):
             fp = fingerprints(data, offsets, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp), *(batch.column(c) for c in kept)], ["id", "fp", *kept])
+            del batch, data, offsets
+        spans.released()
 
     return rows.mapInArrow(run, rows.limit(0).select("id", F.lit(None).cast("long").alias("fp"), *kept).schema)
 

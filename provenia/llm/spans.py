@@ -6,7 +6,9 @@ another and ``offsets`` says where each begins (one more than there are texts).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,13 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def released() -> None:
+    """Give free memory back to the system: Python workers stay while later stages run in the JVM beside them."""
+    pa.default_memory_pool().release_unused()
+    with suppress(Exception):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of texts that together hold at most ``limit`` bytes, a longer text alone."""
     i, n = 0, len(offsets) - 1

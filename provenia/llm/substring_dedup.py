@@ -175,6 +175,8 @@ def removals(docs: DataFrame, work: Workspace, window: int, core: int, bits: int
             for text, *found in paths(data, offsets, window, core, bits):
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _KEY), *map(pa.array, found)], [*_KEY, "m", "p", "start", "count"])
+            del batch, data, offsets
+        spans.released()
 
     rows, _ = work.save(docs.select(*_KEY, "text").mapInArrow(scan, "doc long, tag long, more long, m long, p long, start int, count int"), "paths")
     stats = rows.groupBy("m").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
@@ -317,6 +319,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 spans_out = pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 own = [batch.column(c).slice(i, j - i) for c in names]
                 yield pa.RecordBatch.from_arrays([*own, kept, pa.array(words.astype(np.int64)), pa.array(n_removed), spans_out], [*names, "kept_text", "n_words", "n_removed", "removed"])
+            del batch, data, offsets, lists
+        spans.released()
 
     schema = docs.limit(0).selectExpr("*", "'' kept_text", "0L n_words", "0L n_removed", "cast(null as array<struct<start:bigint,end:bigint>>) removed").schema
     return marked.select(*(F.col(f"`{c}`") for c in names), "__cuts").mapInArrow(cut_texts, schema)

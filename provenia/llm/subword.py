@@ -31,7 +31,8 @@ PER_CLASS = 1500
 #: Bytes of text that training reads, shared evenly by the classes; a text over a sixteenth of a class's share is not read.
 SAMPLE_BYTES = 1 << 26
 _BITS = 17
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+_OUT = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 _GRAMS = (3, 4)
@@ -269,8 +270,12 @@ def probability_frame(docs: DataFrame, model: Model, text_col: str) -> DataFrame
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            p, usual = shared.value.probabilities(*spans.text_column(batch.column(text_col)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(usual)], [*names, "__p", "__usual"])
+            data, offsets = spans.text_column(batch.column(text_col))
+            for i, j in spans.runs(offsets, _OUT):  # small batches out: the JVM holds them beside those that go in
+                p, usual = shared.value.probabilities(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lists, pa.array(usual)], [*names, "__p", "__usual"])
+            del batch, data, offsets
+        spans.released()
 
     return docs.mapInArrow(run, docs.limit(0).withColumns({"__p": F.lit(None).cast("array<double>"), "__usual": F.lit(None).cast("double")}).schema)
