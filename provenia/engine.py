@@ -325,8 +325,7 @@ class Engine:
                 gather(x) if isinstance(x, dict) else texts.append(x) if isinstance(x, str) else None
 
         gather(input)
-        clean, n = redact(F.col("t"))
-        rows = self.spark.createDataFrame([*enumerate(texts)], "k int, t string").select("k", clean.alias("t"), n.alias("n")).collect() if texts else []
+        rows = redact(self.spark.createDataFrame([*enumerate(texts)], "k int, t string"), "t").collect() if texts else []
         done = iter(sorted(rows))
         hits, at = 0, self.store.now()
 
@@ -338,7 +337,7 @@ class Engine:
                     out[k] = put(x)
                 elif isinstance(x, str):
                     row = next(done)
-                    hits += row.n
+                    hits += row.modifications
                     out[k] = row.t
                     out[f"_{k}_provenance"] = {"source_id": tool_name, "trust_level": "unverified", "sanitized": hits > 0, "timestamp": at}
                 else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Redaction patterns in order; earlier replacements change later matches. Fixed values.
@@ -58,16 +58,20 @@ def first_field(*fields: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(f), F.lit("")) for f in fields))
 
 
-def redact(text: Column) -> tuple[Column, Column]:
-    """(text with every injection pattern replaced and cut to MAX_TEXT, number of changes).
+def redact(rows: DataFrame, column: str) -> DataFrame:
+    """rows with every injection pattern replaced in a text column, cut to MAX_TEXT, and modifications, the number of changes.
 
-    A change is a pattern that matched, or the cut; lengths count code points.
+    A change is a pattern that matched, or the cut; lengths count code points. One projection for each pattern, since
+    each text is used twice: as it is, and to see whether the next pattern changes it. (Within one expression the text
+    would be written out, and matched, twice as often for each pattern.)
     """
-    hits = F.lit(0)
+    names = [c for c in rows.columns if c not in (column, "modifications")]
+    now = rows.select(*names, F.col(column).alias("__text"), F.lit(0).alias("__n"))
     for p in INJECTION_PATTERNS:
-        hits = hits + text.rlike(f"(?i){p}").cast("int")
-        text = F.regexp_replace(text, f"(?i){p}", FILTERED)
-    return F.substring(text, 1, MAX_TEXT), hits + (F.length(text) > MAX_TEXT).cast("int")
+        new = now.select("*", F.regexp_replace("__text", f"(?i){p}", FILTERED).alias("__new"))
+        now = new.select(*names, F.col("__new").alias("__text"), (F.col("__n") + (~F.col("__new").eqNullSafe(F.col("__text"))).cast("int")).alias("__n"))
+    long = F.coalesce(F.length("__text") > MAX_TEXT, F.lit(False))
+    return now.select(*names, F.substring("__text", 1, MAX_TEXT).alias(column), (F.col("__n") + long.cast("int")).alias("modifications"))
 
 
 def citation(style: str, author: Column, year: Column, title: Column, container: Column) -> Column:
