@@ -13,7 +13,8 @@ its partners and the edge of a local spanning forest.
 A dense ball, that is a centre around which the sample holds many vectors within half the threshold's angle, needs no
 comparisons inside: any two of its vectors link, by the triangle inequality. Its members are counted by one sum, and any
 other vector links with all of them, or with none, or, in the shell in between, is compared with them in blocks dealt
-over tasks. So near-identical vectors cost time in proportion to their number, even if they are a third of all.
+over tasks; a ball with more in its shell than inside is not used. So near-identical vectors cost time in proportion to
+their number, even if they are a third of all.
 Only vectors outside the balls go through the trees; a direction that cannot part a node's sample does not split it.
 
 Recall: a pair exactly at cosine 0.95 differs in a projection by 0.316/sqrt(d) standard deviations of a unit vector's;
@@ -142,8 +143,12 @@ def leaf_links(x: np.ndarray, weight: np.ndarray, codes: list[np.ndarray], here:
 
 
 def dense_balls(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
-    """Centres of dense balls, unit vectors in double precision; see above."""
-    near = np.cos(np.arccos(threshold) / 2 - _ROUNDING)
+    """Centres of dense balls, unit vectors in double precision; see above.
+
+    A ball whose shell holds more of the sample than the ball is none: comparing them would cost more than it saves.
+    """
+    theta = np.arccos(threshold)
+    near, shell = np.cos(theta / 2 - _ROUNDING), np.cos(min(1.5 * theta, np.pi))
     left, found = sample, []
     need = max(_FEW, int(_DENSE * len(sample)))
     while len(left) >= need:
@@ -154,7 +159,8 @@ def dense_balls(sample: np.ndarray, threshold: float, rng: np.random.Generator)
         inside = left @ centre >= near
         if inside.sum() < need:
             break
-        found.append(centre)
+        if (sample @ centre >= shell).sum() <= 2 * inside.sum():
+            found.append(centre)
         left = left[~inside]
     return np.array(found).reshape(len(found), sample.shape[1])
 

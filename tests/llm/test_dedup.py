@@ -198,8 +198,8 @@ def test_embedding_recall_on_many_leaves(spark):
     assert sum(got.values()) >= 0.9 * want.sum() > 0
 
 
-@pytest.mark.parametrize(("noise", "shell"), [(0.02, 0), (0.06, 1), (0.18, 1)])
-def test_dense_groups_match_brute_force(spark, noise, shell, monkeypatch):
+@pytest.mark.parametrize(("noise", "balls"), [(0.02, 1), (0.06, 1), (0.18, 1), (0.4, 0)])
+def test_dense_groups_match_brute_force(spark, noise, balls, monkeypatch):
     """A third of all vectors near one another, a second such group beside it, vectors in the shell, and others."""
     r = np.random.default_rng(9)
     d = 16
@@ -212,7 +212,7 @@ def test_dense_groups_match_brute_force(spark, noise, shell, monkeypatch):
     x = x[r.permutation(len(x))]
     monkeypatch.setattr(embedding, "_MEMBERS", 50)
     centres = embedding.dense_balls(embedding._normalised(x), 0.95, np.random.default_rng(1))
-    assert len(centres) >= 1
+    assert len(centres) == balls
     got = {g.id: (g.n_links, g.component_id) for g in embedding_dedup(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), leaf_size=1000).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     links = u @ u.T >= 0.95
