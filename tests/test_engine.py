@@ -17,7 +17,7 @@ from provenia.functions.text import citation, doi_key, in_text, redact, title_ke
 from provenia.operators import evidence, logs, monitor, search, workspace
 from provenia.plans.queries import ORACLES, QUERIES, WORDS
 from provenia.sources.tables import NODE_SCHEMA, JsonCorpus, nodes_of, read_json_corpus, read_jsonl, read_outlines, table
-from provenia.streaming.monitor import ALL, fold, step
+from provenia.streaming.monitor import ALL, final_stream_states, fold, step
 from provenia.streaming.place import work_folder
 
 SF = "/root/testdata/sf0.001"
@@ -310,6 +310,20 @@ def test_stream_fold_is_the_step_by_step_state():
             assert fold(start, events) == state
 
 
+@pytest.mark.parametrize(("late", "state"), [("1 minute", "commit"), (None, "act")])
+def test_stream_waits_for_late_events(spark, tmp_path, late, state):
+    """The later events of a session come in the first file, the earlier ones in the second."""
+    schema = "session_id long, event_id long, type string, ts timestamp"
+    parts = [[("tool_result", 2), ("commit", 3)], [("user_message", 0), ("tool_call", 1)], [("other", 400)]]
+    for k, part in enumerate(parts):
+        rows = [(1 if at < 100 else 2, at, kind, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=at)) for kind, at in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in order of their times
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r.session_id: r for r in final_stream_states(source, f"{tmp_path}/out", f"{tmp_path}/checkpoint", late).collect()}
+    assert (got[1].state, got[1].n_events, got[2].state) == (state, 4, "idle")
+
+
 def test_outlines_of_other_tools(spark, tmp_path):
     node = lambda i, *children, **more: {"id": i, "children": list(children), **more}
     tree = {"source_id": "a", "root": node("top", node("c1", node("g1", label="Deep"), heading="One"), {"label": "two"}, summary="s")}
