@@ -8,7 +8,7 @@ import numpy as np
 
 _LONG = 128
 #: So many different chunks share one comparison with a library: those whose hash it divides.
-CHECKED = 16
+CHECKED = 64
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.int64(-1)
 

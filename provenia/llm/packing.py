@@ -29,7 +29,7 @@ from provenia.llm.merges import CHECKED, Memory, PairTable, side_by_side
 
 WINDOW = 1024
 POOL = 4096
-_PART = 1 << 19
+_PART = 1 << 20
 _CHECK_EVERY = 200
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 

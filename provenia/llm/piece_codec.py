@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from provenia.llm import spans
 from provenia.llm.merges import CHECKED, Memory, PairTable, side_by_side
 
-_PART = 1 << 19
+_PART = 1 << 20
 _CHECK_EVERY = 50
 _MARK = "▁"
 
