@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from provenia.llm.shared import Workspace
 
-#: Texts of a bucket, unless a table has so many that this would make more than half of BROADCAST_BUCKETS.
+#: Texts of a bucket, unless a table has so many that this would make more than half of BROADCAST_BUCKETS. Buckets are what
+#: owners are dealt, so small ones spread evenly.
 CAPACITY = 4096
 #: A directory of at most so many buckets (about 10 MB) is broadcast; beyond that it is joined by key range.
 BROADCAST_BUCKETS = 1 << 18
