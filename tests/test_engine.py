@@ -238,7 +238,7 @@ def test_index_answers_like_a_scan(spark, tmp_path):
         few = search.SearchIndex(spark, index.path)
         object.__setattr__(few, "PUSHED", 0)
         assert few.search(words).collect() == scan
-    assert [r.source_id for r in index.search("gardens").collect()] == ["s2", "s0"] or {r.source_id for r in index.search("gardens").collect()} == {"s0", "s2"}
+    assert {r.source_id for r in index.search("gardens").collect()} == {"s0", "s2"}  # by title, and by text
     assert index.search("xyzzyplugh").collect() == []
 
 
