@@ -16,7 +16,9 @@ from provenia.llm.packing import pack
 from provenia.llm.piece_codec import encode_and_decode
 from provenia.llm.quality import quality_scores
 from provenia.llm.simhash import simhash_components
+from provenia.llm.source_divergence import source_divergence
 from provenia.llm.substring_dedup import substring_dedup
+from provenia.llm.vector_codes import vector_codes
 
 CONTROL = "</s>[INST] ok [/INST]"
 
@@ -97,9 +99,30 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _rounds(n: int) -> str:
+    """Nearest entries and the next codebooks, n times, and the nearest entries once more."""
+    one = """near{k} AS MATERIALIZED (
+            SELECT vec_id, part.p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d
+            FROM (SELECT vec_id, part.p, part.x, e, list_dot_product(part.x, part.x) - 2 * list_dot_product(part.x, b) + list_dot_product(b, b) AS d
+                FROM part JOIN book{k} ON part.p = book{k}.p) part GROUP BY vec_id, part.p)"""
+    book = """mean{k} AS (SELECT p, e, j, floor(sum(c) / count(*)) AS m FROM (SELECT p, e, unnest(x) AS c, unnest(range(16)) AS j FROM near{k}) GROUP BY p, e, j),
+        book{next} AS MATERIALIZED (
+            SELECT b.p, b.e, coalesce(m.b, b.b) AS b FROM book{k} b LEFT JOIN (SELECT p, e, list(m ORDER BY j) AS b FROM mean{k} GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+    return ",\n        ".join(x for k in range(n) for x in (one.format(k=k), book.format(k=k, next=k + 1))) + ",\n        " + one.format(k=n)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_embedding_dedup, op3_simhash, op4_quality, op5_language_id, op6_substring_dedup, op7_piece_codec, op8_packing, op9_html_extraction, op10_chat_format)
+    for f in (op1_exact_dedup, op2_embedding_dedup, op3_simhash, op4_quality, op5_language_id, op6_substring_dedup, op7_piece_codec, op8_packing, op9_html_extraction, op10_chat_format, op11_source_divergence, op13_vector_codes)
 }
 
 ORACLES: dict[str, str] = {
@@ -145,4 +168,38 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        groups AS (
+            SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+            LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source) USING (lang, source)),
+        dense AS (
+            SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 1)) // (g.total + l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v)::HUGEINT AS q
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        scored AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM dense WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM scored)
+        WHERE part = 'pair' OR rank <= 200""",
+    "op13_vector_codes": f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS MATERIALIZED (SELECT vec_id, p, v[16 * p + 1:16 * p + 16] AS x FROM (SELECT *, unnest(range(4)) AS p FROM v)),
+        book0 AS MATERIALIZED (SELECT p, e, x AS b FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM part) WHERE e < 256),
+        {_rounds(4)},
+        coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY vec_id),
+        books AS (SELECT sha256(string_agg(c, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(list_transform(b, lambda x: x::BIGINT), ',') AS c FROM book4))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM coded JOIN v USING (vec_id) CROSS JOIN books""",
 }
