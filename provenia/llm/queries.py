@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provenia.llm.chat_format import format_chats
 from provenia.llm.embedding_dedup import embedding_dedup
 from provenia.llm.exact_dedup import exact_dedup
+from provenia.llm.fertility import fertility_rules
 from provenia.llm.html_extraction import extract
 from provenia.llm.language_id import language_scores
 from provenia.llm.packing import pack
@@ -103,6 +104,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fertility_rules(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vector_codes(_table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
@@ -122,7 +128,7 @@ def _rounds(n: int) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_embedding_dedup, op3_simhash, op4_quality, op5_language_id, op6_substring_dedup, op7_piece_codec, op8_packing, op9_html_extraction, op10_chat_format, op11_source_divergence, op13_vector_codes)
+    for f in (op1_exact_dedup, op2_embedding_dedup, op3_simhash, op4_quality, op5_language_id, op6_substring_dedup, op7_piece_codec, op8_packing, op9_html_extraction, op10_chat_format, op11_source_divergence, op12_fertility, op13_vector_codes)
 }
 
 ORACLES: dict[str, str] = {
