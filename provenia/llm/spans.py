@@ -58,11 +58,14 @@ def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first) of the words of all texts; first[d] is the number of the first word of text d."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of the words of all texts; first[d] is the number of the first word of text d.
+
+    between: which of the 256 bytes stand between words.
+    """
     space = np.empty(len(data) + 2, bool)
     space[0] = space[-1] = True
-    space[1:-1] = SPACE[data]
+    space[1:-1] = between[data]
     starts = np.flatnonzero(space[:-2] & ~space[1:-1])
     ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1
     inner = offsets[1:-1]
