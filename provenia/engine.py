@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
 from provenia.functions.text import ROLES, citation, doi_key, first_field, in_text, redact
-from provenia.operators import evidence, logs, monitor, search, workspace
+from provenia.operators import evidence, index, logs, monitor, search, workspace
 from provenia.sources.store import Store, new_id
 
 HOUR = 3_600_000_000_000
@@ -73,7 +73,7 @@ class Engine:
     invariants: list[monitor.Invariant] = field(default_factory=lambda: list(monitor.INVARIANTS))
     key: bytes | None = None
     ingest_root: str | None = None
-    _index: search.SearchIndex | None = None
+    _index: index.SearchIndex | None = None
 
     # ------------------------------------------------------------ relations
     def _alive(self, log: str, base: DataFrame | None, source: str) -> DataFrame:
@@ -113,9 +113,9 @@ class Engine:
         return rows if scope is None else search.in_scope(rows, scope)
 
     # ------------------------------------------------------------ documents
-    def build_index(self) -> search.SearchIndex:
-        """Index all passages; searches use it until documents come or go."""
-        self._index = search.build_index(search.with_titles(self.nodes(), self.sources()), f"{self.store.root}/index/{new_id()}")
+    def build_index(self) -> index.SearchIndex:
+        """Index all passages; searches use it, and documents that come or go are added to it or deleted from it."""
+        self._index = index.build_index(search.with_titles(self.nodes(), self.sources()), f"{self.store.root}/index/{new_id()}")
         return self._index
 
     def _hits(self, query: str, limit: int) -> DataFrame:
@@ -145,7 +145,6 @@ class Engine:
         if self.ingest_root is not None and not clean.startswith(posixpath.normpath(self.ingest_root) + "/"):
             raise ToolError("INVALID_ARGUMENT", f"path: {path!r} lies outside {self.ingest_root}", "Give a file below the ingest root.")
         name = re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1])
-        self._index = None
         lines = self.spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("paragraph", "text")).where("trim(text) <> ''")
         rows = lines.select(
             F.concat(F.lit(f"{name}:p"), F.col("paragraph").cast("string")).alias("node_id"), F.lit(name).alias("source_id"), "text", F.sha2("text", 256).alias("sha256"),
@@ -155,14 +154,18 @@ class Engine:
         self.store.append("nodes", rows.withColumn("at", F.lit(self.store.now())))
         root = evidence.trees(rows).select("root").first()
         self.store.append("sources", [{"id": name, "merkle_root": root.root if root else None, **{k: (metadata or {}).get(k) for k in ("title", "year", "container", "doi")}, "author": (metadata or {}).get("author") or []}])
+        if self._index is not None:
+            titled = search.with_titles(rows.drop("at"), self.sources().where(F.col("id") == name))
+            self._index = self._index.delete([name]).add(titled).merged()
         return {"status": "ingested", "source_id": name}
 
     def delete_document(self, source_id: str) -> dict:
         self._allowed(source_id)
         if self.sources().where(F.col("id") == source_id).isEmpty() and self.nodes().where(F.col("source_id") == source_id).isEmpty():
             return {"status": "not_found", "source_id": source_id}
-        self._index = None
         self.store.append("deleted", [{"source_id": source_id}])
+        if self._index is not None:
+            self._index = self._index.delete([source_id])
         return {"status": "deleted", "source_id": source_id}
 
     def _outline(self, source_id: str) -> DataFrame | None:

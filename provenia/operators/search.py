@@ -5,17 +5,16 @@ score = idf (d + tf (k + 1) / (tf + k (1 - b + b |D| / avg))). Query words also
 round(0.2 |word|) characters and words that begin with them, weighted by ``fuzzy_weight`` and ``prefix_weight``.
 Fields are scored each with its own document frequencies and mean length, and summed.
 
-A search reads the passages themselves (``ranked_search``), or an inverted index that was built once (``build_index``,
-``SearchIndex.search``): postings sorted by term, so a search reads the row groups of its terms alone, and a vocabulary,
-the only thing that prefix and fuzzy matches have to run over.
+A search reads the passages themselves (``ranked_search``), or an inverted index (see ``index``).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.functions.text import tokens
@@ -34,8 +33,16 @@ class Ranking:
     fuzzy_weight: float = 0.45
     prefix_weight: float = 0.375
 
+    def idf(self, df: int, n: int) -> float:
+        return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
-def _matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool) -> F.Column:
+    def gain(self, tf: int, size: int, df: int, n: int, mean: float) -> float:
+        """What a term adds to the score of a passage in plain numbers, as ``scored`` has it."""
+        norm = 1 - self.b + self.b * size / mean if mean else 1.0
+        return self.idf(df, n) * (self.d + tf * (self.k + 1) / (tf + self.k * norm))
+
+
+def matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool) -> F.Column:
     """Weight with which a term matches a query word; null if it does not."""
     weight = F.when(term == word, F.lit(1.0))
     if prefix:
@@ -52,7 +59,7 @@ def query_words(query: str) -> list[str]:
 
 def _matches(words: list[str], r: Ranking, fuzzy: bool, prefix: bool) -> F.Column:
     """array<struct<word, weight>> of the query's words that a term matches."""
-    hits = ((word, _matching(F.col("term"), word, r, fuzzy, prefix)) for word in words)
+    hits = ((word, matching(F.col("term"), word, r, fuzzy, prefix)) for word in words)
     return F.array_compact(F.array(*(F.when(w.isNotNull(), F.struct(F.lit(word).alias("word"), w.alias("weight"))) for word, w in hits)))
 
 
@@ -67,17 +74,15 @@ def _figures(sized: DataFrame) -> DataFrame:
     return sized.groupBy("field").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
 
 
-def _scores(hits: DataFrame, figures: DataFrame, r: Ranking) -> DataFrame:
-    """(node_id, source_id, score) from the postings hit: node_id, source_id, field, size, m, tf, df."""
-    scored = hits.join(F.broadcast(figures), "field")  # one row a field
+def scored(hits: DataFrame, r: Ranking) -> DataFrame:
+    """(node_id, source_id, score) from the postings hit: node_id, source_id, size, tf, df, weight, n, mean."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1 - r.b) + F.lit(r.b) * F.col("size") / F.col("mean")
     gain = idf * (F.lit(r.d) + F.col("tf") * F.lit(r.k + 1) / (F.col("tf") + F.lit(r.k) * norm))
-    weight = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"])
-    return scored.groupBy("node_id", "source_id").agg(F.round(F.sum(gain * weight), 6).alias("score"))
+    return hits.groupBy("node_id", "source_id").agg(F.round(F.sum(gain * F.col("weight")), 6).alias("score"))
 
 
-def _best(scores: DataFrame, limit: int | None) -> DataFrame:
+def best(scores: DataFrame, limit: int | None) -> DataFrame:
     return scores if limit is None else scores.orderBy(F.desc("score"), "node_id").limit(limit)
 
 
@@ -94,52 +99,9 @@ def ranked_search(nodes: DataFrame, query: str, limit: int | None = 10, fuzzy: b
     hits = sized.select("node_id", "source_id", "field", "size", F.explode("terms").alias("term")).withColumn("m", _matches(words, r, fuzzy, prefix)).where(F.size("m") > 0)
     hits = hits.groupBy("node_id", "source_id", "field", "size", "term", "m").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))
-    return _best(_scores(hits.join(df, ["term", "field"]), _figures(sized), r), limit)
-
-
-@dataclass(frozen=True)
-class SearchIndex:
-    """An inverted index on shared files: postings (term, field, node_id, source_id, size, tf), vocabulary (term, field, df), figures."""
-
-    spark: SparkSession
-    path: str
-
-    #: So many matching terms are pushed into the scan of the postings; more are joined.
-    PUSHED = 1000
-
-    def part(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def search(self, query: str, limit: int | None = 10, fuzzy: bool = True, prefix: bool = True, r: Ranking = Ranking(), fields: tuple[str, ...] | None = None) -> DataFrame:
-        """As ranked_search over the fields of the index, or some of them; reads the postings of the terms that match."""
-        words = query_words(query)
-        postings, vocabulary = self.part("postings"), self.part("vocabulary")
-        if fields is not None:
-            postings, vocabulary = (x.where(F.col("field").isin(*fields)) for x in (postings, vocabulary))
-        if not words:
-            return postings.limit(0).select("node_id", "source_id", F.lit(0.0).alias("score"))
-        known = vocabulary if fuzzy or prefix else vocabulary.where(F.col("term").isin(words))
-        known = known.withColumn("m", _matches(words, r, fuzzy, prefix)).where(F.size("m") > 0)
-        names = [x.term for x in known.select("term").distinct().limit(self.PUSHED + 1).collect()]
-        if len(names) <= self.PUSHED:
-            postings = postings.where(F.col("term").isin(names))
-        return _best(_scores(postings.join(known, ["term", "field"]), self.part("figures"), r), limit)
-
-
-def build_index(nodes: DataFrame, path: str, fields: tuple[str, ...] = FIELDS) -> SearchIndex:
-    """The index of passages that have the columns ``fields``, see with_titles.
-
-    Terms are counted within tasks before the shuffle. Postings are dealt by ranges of term and passage, so the
-    postings of a very common term lie in many files, and those of a rare one in one row group.
-    """
-    sized = _fields(nodes, fields)
-    rows = sized.select("node_id", "source_id", "field", "size", F.explode("terms").alias("term"))
-    postings = rows.groupBy("term", "field", "node_id", "source_id", "size").agg(F.count("*").alias("tf"))
-    postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id").write.mode("overwrite").parquet(f"{path}/postings")
-    out = SearchIndex(nodes.sparkSession, path)
-    out.part("postings").groupBy("term", "field").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    _figures(sized).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
-    return out
+    weight = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("weight")
+    known = hits.join(df, ["term", "field"]).join(F.broadcast(_figures(sized)), "field")  # one row a field
+    return best(scored(known.select("node_id", "source_id", "size", "tf", "df", "n", "mean", weight), r), limit)
 
 
 def with_titles(nodes: DataFrame, csl: DataFrame) -> DataFrame:

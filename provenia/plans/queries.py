@@ -12,7 +12,7 @@ from provenia.functions import integrity as I
 from provenia.functions.text import INJECTION_PATTERNS, MAX_TEXT, citation, doi_key, in_text, redact, title_key
 from provenia.functions.text import first_field as first_of
 from provenia.functions.text import is_role, is_slug, is_workflow_id
-from provenia.operators import evidence, logs, monitor, search, workspace
+from provenia.operators import evidence, index, logs, monitor, search, workspace
 from provenia.sources.tables import csl_of, events_of, memory_of, nodes_of, read_json_corpus, read_jsonl, table, write_text
 from provenia.streaming.place import fresh_folder
 
@@ -96,6 +96,7 @@ def _bm25(weight: str, fields: tuple[str, ...] = ("text",), rows: str = "nodes")
 WORDS = "onou antion"
 _EXACT = "CASE WHEN term IN ('onou', 'antion') THEN 1.0 ELSE 0.0 END"
 _PREFIX = "CASE WHEN term = 'thationer' THEN 1.0 WHEN starts_with(term, 'thationer') THEN 0.375 ELSE 0.0 END + CASE WHEN term = 'oner' THEN 1.0 WHEN starts_with(term, 'oner') THEN 0.375 ELSE 0.0 END"
+_COMMON = "CASE WHEN term = 'the' THEN 1.0 ELSE 0.0 END"
 _SOURCE = "CASE WHEN term IN ('eriner', 'src5') THEN 1.0 ELSE 0.0 END"
 
 #: Distance in characters, where levenshtein counts bytes: one character changed, added or left out.
@@ -104,7 +105,7 @@ _FUZZY = f"CASE WHEN term = 'ention' THEN 1.0 WHEN starts_with(term, 'ention') T
 
 
 _TITLED = r"titled AS (SELECT n.*, coalesce(nullif(c.source, ''), n.source_id) AS title FROM nodes n JOIN documents c ON c.doc_id::VARCHAR = n.source_id)"
-_indexes: dict[tuple[str, str], search.SearchIndex] = {}
+_indexes: dict[tuple[str, str], index.SearchIndex] = {}
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
@@ -112,11 +113,11 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     return search.with_titles(_nodes(spark, d), records)
 
 
-def _index(spark: SparkSession, d: str) -> search.SearchIndex:
+def _index(spark: SparkSession, d: str) -> index.SearchIndex:
     """The index of a folder's documents, built at the first search of a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        _indexes[key] = search.build_index(_titled(spark, d), fresh_folder(spark, "index"))
+        _indexes[key] = index.build_index(_titled(spark, d), fresh_folder(spark, "index"))
     return _indexes[key]
 
 
@@ -146,8 +147,41 @@ def bm25_topk_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {NODES}, {_TITLED}, {_bm25('1.0', search.FIELDS, 'titled')} SELECT field, term, count(*) AS passages, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY field, term")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index, built afresh, as it stands on disk: each term of each field."""
-    built = search.build_index(_titled(spark, d), fresh_folder(spark, "index"))
-    return built.part("postings").groupBy("field", "term").agg(F.count("*").alias("passages"), F.sum("tf").alias("occurrences"))
+    built = index.build_index(_titled(spark, d), fresh_folder(spark, "index"))
+    return built.terms()
+
+
+def _updated(spark: SparkSession, d: str) -> index.SearchIndex:
+    """An index to which each language came in turn, with some sources deleted and some again added, and segments merged."""
+    nodes = _titled(spark, d).withColumn("lang", F.substring("section_path", 2, 9))
+    gone = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("source_id"))
+    back = table(spark, d, "labels").where("quality = 0 AND toxic = 1").select(F.col("doc_id").cast("string").alias("source_id"))
+    now = index.SearchIndex(spark, fresh_folder(spark, "index"))
+    for lang in ("en", "de", "fr"):
+        now = now.add(nodes.where(F.col("lang") == lang))
+    now = now.add(nodes.where("lang IS NULL OR lang NOT IN ('en', 'de', 'fr')")).delete(gone)
+    return now.add(nodes.join(back, "source_id", "left_semi")).merged(2)
+
+
+_LEFT = "nodes AS (SELECT * FROM whole ANTI JOIN (SELECT doc_id::VARCHAR AS source_id FROM labels WHERE quality = 0 AND toxic <> 1) USING (source_id))"
+
+
+@query(f"WITH {NODES.replace('nodes AS', 'whole AS')}, {_LEFT}, {_TITLED}, {_bm25('1.0', search.FIELDS, 'titled')} SELECT field, term, count(*) AS passages, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY field, term")
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of an index kept up by segments and deletions: those of a fresh one."""
+    return _updated(spark, d).terms()
+
+
+@query(f"WITH {NODES.replace('nodes AS', 'whole AS')}, {_LEFT}, {_TITLED}, {_bm25(_SOURCE, search.FIELDS, 'titled')} SELECT node_id, source_id, score FROM scores ORDER BY score DESC, node_id LIMIT 10")
+def index_update_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten of an index kept up by segments and deletions."""
+    return _updated(spark, d).search("eriner src5", 10, fuzzy=False, prefix=False)
+
+
+@query(f"WITH {NODES}, {_bm25(_COMMON)} SELECT node_id, source_id, score FROM scores ORDER BY score DESC, node_id LIMIT 10")
+def bm25_topk_common(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten for a word that a great many passages hold; most of its postings are never read."""
+    return _search(spark, d, "the", 10, fuzzy=False, prefix=False)
 
 
 @query(f"""WITH RECURSIVE {NODES}, {_TITLED}, {_bm25(_SOURCE, search.FIELDS, 'titled')}, best AS (SELECT * FROM scores ORDER BY score DESC, node_id LIMIT 10),

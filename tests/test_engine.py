@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
 from provenia.functions.text import citation, doi_key, in_text, redact, title_key
+from provenia.operators.index import build_index
 from provenia.operators import evidence, logs, monitor, search, workspace
 from provenia.plans.queries import ORACLES, QUERIES, WORDS
 from provenia.sources.tables import NODE_SCHEMA, JsonCorpus, nodes_of, read_json_corpus, read_jsonl, read_outlines, table
@@ -231,15 +232,11 @@ def test_index_answers_like_a_scan(spark, tmp_path):
     csl = spark.createDataFrame([("s0", "Quantum gardens", "r0"), ("s2", "", "r2")], "id string, title string, merkle_root string")
     n = search.with_titles(nodes(spark, ["Quantum states of matter", "a quantum leap", "gardens in spring", ""]), csl)
     assert {(r.source_id, r.title, r.merkle_root) for r in n.collect()} == {("s0", "Quantum gardens", "r0"), ("s1", "s1", ""), ("s2", "s2", "r2"), ("s3", "s3", "")}
-    index = search.build_index(n, f"file://{tmp_path}/index")
+    built = build_index(n, f"file://{tmp_path}/index")
     for words in ("quantum", "gardens leap", "gardnes quan", "x", "s1", " ", "nothing"):
-        scan = search.ranked_search(n, words, fields=search.FIELDS).collect()
-        assert index.search(words).collect() == scan
-        few = search.SearchIndex(spark, index.path)
-        object.__setattr__(few, "PUSHED", 0)
-        assert few.search(words).collect() == scan
-    assert {r.source_id for r in index.search("gardens").collect()} == {"s0", "s2"}  # by title, and by text
-    assert index.search("xyzzyplugh").collect() == []
+        assert built.search(words).collect() == search.ranked_search(n, words, fields=search.FIELDS).collect()
+    assert {r.source_id for r in built.search("gardens").collect()} == {"s0", "s2"}  # by title, and by text
+    assert built.search("xyzzyplugh").collect() == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])

@@ -49,6 +49,13 @@ def test_documents(engine, tmp_path):
     engine.build_index()
     hits = engine.call("search_documents", query="alpha").collect()  # by title
     assert [r.source_id for r in hits] == ["alpha"] * 2 and all(r.merkle_root for r in hits)
+    (tmp_path / "gamma.txt").write_text("green plums\n")
+    engine.call("index_document", path=f"file://{tmp_path}/gamma.txt", metadata={"title": "Orchards"})
+    assert engine._index.segments and {r.source_id for r in engine.call("search_documents", query="orchards plums").collect()} == {"beta", "gamma"}
+    (tmp_path / "gamma.txt").write_text("yellow melons\n")
+    engine.call("index_document", path=f"file://{tmp_path}/gamma.txt")
+    assert {r.source_id for r in engine.call("search_documents", query="plums").collect()} == {"beta"}
+    assert engine.call("delete_document", source_id="gamma")["status"] == "deleted"
     assert engine.call("delete_document", source_id="alpha")["status"] == "deleted"
     assert engine.call("delete_document", source_id="alpha")["status"] == "not_found"
     assert engine.call("search_documents", query="apples").count() == 0
