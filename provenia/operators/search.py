@@ -14,7 +14,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.functions.text import tokens
@@ -128,23 +128,39 @@ def cited(hits: DataFrame, nodes: DataFrame, csl: DataFrame) -> DataFrame:
     return with_titles(hits.join(nodes.select("node_id", "sha256", "section_path", "paragraph"), "node_id"), csl)
 
 
-def regex_search(nodes: DataFrame, pattern: str, source_id: str | None = None, limit: int = 10, context: int = 120) -> DataFrame:
-    """(node_id, source_id, match, context): the first match of each passage, ignoring case, in order of passages.
-
-    An invalid pattern gives no rows.
-    """
-    jvm = nodes.sparkSession.sparkContext._jvm
+def is_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Whether the pattern compiles."""
     try:
-        jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
     except Exception:
-        return nodes.limit(0).select("node_id", "source_id", F.lit("").alias("match"), F.lit("").alias("context"))
-    rows = nodes if source_id is None else nodes.where(F.col("source_id") == source_id)
+        return False
+    return True
+
+
+def matched(rows: DataFrame, pattern: str, context: int = 120) -> DataFrame:
+    """Passages that hold a match, ignoring case, with match (the first) and context, up to ``context`` characters around it."""
     rows = rows.where(F.col("text").rlike(f"(?i){pattern}"))
     rows = rows.withColumn("match", F.regexp_extract("text", f"(?i){pattern}", 0)).withColumn("at", F.regexp_instr("text", F.lit(f"(?i){pattern}")) - 1)
     half = context // 2
     begin, end = F.greatest(F.col("at") - half, F.lit(0)), F.least(F.col("at") + F.length("match") + half, F.length("text"))
-    out = rows.select("node_id", "source_id", "match", F.substring("text", begin + F.lit(1), end - begin).alias("context"), F.col("source_id").try_cast("long").alias("s"), "paragraph")
-    return out.orderBy("s", "source_id", "paragraph").limit(limit).drop("s", "paragraph")
+    return rows.withColumn("context", F.substring("text", begin + F.lit(1), end - begin))
+
+
+def ordered(found: DataFrame, limit: int | None) -> DataFrame:
+    """(node_id, source_id, match, context) of the first matches in order of passages: sources by number, then by name."""
+    out = found.select("node_id", "source_id", "match", "context", F.col("source_id").try_cast("long").alias("s"), "paragraph").orderBy("s", "source_id", "paragraph")
+    return (out if limit is None else out.limit(limit)).drop("s", "paragraph")
+
+
+def regex_search(nodes: DataFrame, pattern: str, source_id: str | None = None, limit: int = 10, context: int = 120) -> DataFrame:
+    """(node_id, source_id, match, context): the first match of each passage, ignoring case, in order of passages.
+
+    An invalid pattern gives no rows. Reads all passages; see ``patterns`` for an index.
+    """
+    if not is_pattern(nodes.sparkSession, pattern):
+        return ordered(matched(nodes.limit(0), "", context), limit)
+    rows = nodes if source_id is None else nodes.where(F.col("source_id") == source_id)
+    return ordered(matched(rows, pattern, context), limit)
 
 
 def in_scope(rows: DataFrame, approved: DataFrame, key: str = "source_id") -> DataFrame:

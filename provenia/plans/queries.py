@@ -12,7 +12,7 @@ from provenia.functions import integrity as I
 from provenia.functions.text import INJECTION_PATTERNS, MAX_TEXT, citation, doi_key, in_text, redact, title_key
 from provenia.functions.text import first_field as first_of
 from provenia.functions.text import is_role, is_slug, is_workflow_id
-from provenia.operators import evidence, index, logs, monitor, search, workspace
+from provenia.operators import evidence, index, logs, monitor, patterns, search, workspace
 from provenia.sources.tables import csl_of, events_of, memory_of, nodes_of, read_json_corpus, read_jsonl, table, write_text
 from provenia.streaming.place import fresh_folder
 
@@ -106,6 +106,7 @@ _FUZZY = f"CASE WHEN term = 'ention' THEN 1.0 WHEN starts_with(term, 'ention') T
 
 _TITLED = r"titled AS (SELECT n.*, coalesce(nullif(c.source, ''), n.source_id) AS title FROM nodes n JOIN documents c ON c.doc_id::VARCHAR = n.source_id)"
 _indexes: dict[tuple[str, str], index.SearchIndex] = {}
+_pattern_indexes: dict[tuple[str, str], patterns.PatternIndex] = {}
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +122,14 @@ def _index(spark: SparkSession, d: str) -> index.SearchIndex:
     return _indexes[key]
 
 
+def _patterns(spark: SparkSession, d: str) -> patterns.PatternIndex:
+    """The trigram index of a folder's documents, built at the first search by a pattern of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _pattern_indexes:
+        _pattern_indexes[key] = patterns.build_pattern_index(_nodes(spark, d), fresh_folder(spark, "patterns"))
+    return _pattern_indexes[key]
+
+
 def _search(spark: SparkSession, d: str, words: str, limit: int | None, **how: bool) -> DataFrame:
     """The best passages by their texts, through the index."""
     return _index(spark, d).search(words, limit, fields=("text",), **how)
@@ -210,12 +219,28 @@ def bm25_scan_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked_search(_nodes(spark, d), "ention", 10)
 
 
-@query(rf"""WITH {NODES}, m AS (SELECT *, regexp_extract(text, '(?i)th[a-z]+tion\b', 0) AS match FROM nodes WHERE regexp_matches(text, '(?i)th[a-z]+tion\b')), p AS (SELECT *, instr(text, match) - 1 AS place FROM m)
-    SELECT node_id, source_id, match, substring(text, (greatest(place - 60, 0) + 1)::BIGINT, (least(place + length(match) + 60, length(text)) - greatest(place - 60, 0))::BIGINT) AS context FROM p ORDER BY source_id::BIGINT, paragraph LIMIT 10""")
+def _regex(pattern: str, limit: str = "LIMIT 10") -> str:
+    return rf"""WITH {NODES}, m AS (SELECT *, regexp_extract(text, '(?i){pattern}', 0) AS match FROM nodes WHERE regexp_matches(text, '(?i){pattern}')), p AS (SELECT *, instr(text, match) - 1 AS place FROM m)
+    SELECT node_id, source_id, match, substring(text, (greatest(place - 60, 0) + 1)::BIGINT, (least(place + length(match) + 60, length(text)) - greatest(place - 60, 0))::BIGINT) AS context FROM p ORDER BY source_id::BIGINT, paragraph {limit}"""
+
+
+@query(_regex(r"th[a-z]+tion\b"))
 def regex_search(spark: SparkSession, d: str) -> DataFrame:
     return search.regex_search(_nodes(spark, d), r"th[a-z]+tion\b")
 
 
+@query(_regex("(worthless|subscribe to our|ereatt?ion) [a-z]"))
+def regex_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives through the trigram index, until there are ten."""
+    return _patterns(spark, d).search("(worthless|subscribe to our|ereatt?ion) [a-z]")
+
+
+@query(_regex("mentenr[^ ]+", ""))
+def regex_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every match of a pattern through the trigram index."""
+    return _patterns(spark, d).search("mentenr[^ ]+", limit=None)
+
+
 @query(f"WITH {NODES} SELECT * EXCLUDE (paragraph), paragraph FROM nodes WHERE node_id = '7:p0' LIMIT 1")
 def node_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).where("node_id = '7:p0'").limit(1).drop("page")
