@@ -152,7 +152,7 @@ class Engine:
         )
         self.store.append("deleted", [{"source_id": name}])  # an older edition gives way
         self.store.append("nodes", rows.withColumn("at", F.lit(self.store.now())))
-        root = evidence.trees(rows).select("root").first()
+        root = evidence.roots(rows).select("root").first()
         self.store.append("sources", [{"id": name, "merkle_root": root.root if root else None, **{k: (metadata or {}).get(k) for k in ("title", "year", "container", "doi")}, "author": (metadata or {}).get("author") or []}])
         if self._index is not None:
             titled = search.with_titles(rows.drop("at"), self.sources().where(F.col("id") == name))
@@ -286,7 +286,7 @@ class Engine:
 
     def merkle_verify(self, node_hash: str = "", proof: list[str] | None = None, root: str = "", node_id: str | None = None) -> dict:
         """A proof against the registered roots; node_id stands for a passage's hash and its source's root."""
-        forest = evidence.trees(self.nodes())
+        forest = evidence.roots(self.nodes())
         if node_id is not None:
             node = self.nodes().where(F.col("node_id") == node_id).join(forest.select("source_id", "root"), "source_id").select("sha256", "root").first()
             if node is None:
@@ -454,7 +454,7 @@ class Engine:
         rows = self.spark.createDataFrame([(*(x.get(n) for n in names), x["merkle_proof"]) for x in items], ", ".join(f"{n} string" for n in names) + ", merkle_proof array<string>")
         nodes = self.nodes()
         rendered = self.sources().select("id", citation("apa", *map(F.col, ("author", "year", "title", "container"))).alias("citation"))
-        bad = evidence.ladder(rows, nodes, evidence.trees(nodes), rendered).where("overall = 'rejected'")
+        bad = evidence.ladder(rows, nodes, evidence.roots(nodes), rendered).where("overall = 'rejected'")
         return "pending_audit" if bad.isEmpty() else "rejected"
 
     def compacting(self, session_id: str = "default") -> list[str]:
@@ -556,7 +556,7 @@ class Engine:
     # ------------------------------------------------------------ health
     def status(self) -> dict:
         nodes, sources = self.nodes().count(), self.sources().count()
-        roots = evidence.trees(self.nodes()).count()
+        roots = evidence.roots(self.nodes()).count()
         papers = self.store.read("papers").select("paper_id").distinct().count()
         workflows = self.store.newest("workflows", "workflow_id").where("end = 'open'").count()
         state = "ok" if nodes and sources else "degraded" if nodes or sources else "not_initialized"

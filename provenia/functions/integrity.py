@@ -50,10 +50,16 @@ def next_level(level: Column) -> Column:
     return F.transform(place, lambda i: pair_hash(F.get(level, 2 * i), F.coalesce(F.get(level, 2 * i + 1), F.get(level, 2 * i))))
 
 
+def levels_up(leaves: Column, steps: Column) -> Column:
+    """Leaves and the ``steps`` levels above them; a single node pairs with itself."""
+    each = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(each, F.array(leaves), lambda acc, _: F.concat(acc, F.array(next_level(F.element_at(acc, -1)))))
+
+
 def levels(leaves: Column) -> Column:
     """All levels of the tree, leaves first; null without leaves."""
-    steps = F.when(F.size(leaves) > 1, F.sequence(F.lit(1), F.ceil(F.log2(F.size(leaves).cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(leaves) > 0, F.aggregate(steps, F.array(leaves), lambda acc, _: F.concat(acc, F.array(next_level(F.element_at(acc, -1))))))
+    steps = F.when(F.size(leaves) > 1, F.ceil(F.log2(F.size(leaves).cast("double"))).cast("int")).otherwise(0)
+    return F.when(F.size(leaves) > 0, levels_up(leaves, steps))
 
 
 def root(leaves: Column) -> Column:

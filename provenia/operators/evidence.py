@@ -2,36 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
+from provenia.operators import merkle
 
 _LADDER = ("L0", "L1", "L2", "L3", "L4")
 
 
-def trees(nodes: DataFrame) -> DataFrame:
-    """(source_id, leaves, levels, root) of each source; leaves in order of passages."""
-    leaves = F.transform(F.sort_array(F.collect_list(F.struct("paragraph", "node_id", "sha256"))), lambda x: x["sha256"])
-    grouped = nodes.groupBy("source_id").agg(leaves.alias("leaves"))
-    return grouped.withColumn("levels", I.levels(F.col("leaves"))).withColumn("root", F.get(F.element_at("levels", -1), F.lit(0)))
+def roots(nodes: DataFrame) -> DataFrame:
+    """(source_id, root) of each source's tree; leaves in order of passages."""
+    return merkle.roots(merkle.forest(nodes))
 
 
 def leaf_proofs(nodes: DataFrame) -> DataFrame:
-    """(source_id, sha256, proof, root) of each different leaf of each source; equal leaves have the proof of the first.
-
-    Proofs are built inside the group of a source and dealt out from there, so the tree of a source meets its passages
-    once and not once a passage. One shuffle by source serves places, first places and groups.
-    """
-    order = Window.partitionBy("source_id").orderBy("paragraph", "node_id", "sha256")
-    placed = nodes.select("source_id", "sha256", (F.row_number().over(order) - 1).alias("place"))
-    first = placed.withColumn("first", F.min("place").over(Window.partitionBy("source_id", "sha256")))
-    grouped = first.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("place", "sha256", "first"))).alias("x"))
-    own = lambda t: F.transform(
-        F.filter("x", lambda x: x["place"] == x["first"]), lambda x: F.struct(x["sha256"].alias("sha256"), I.proof_at(t, x["place"]).alias("proof"), F.get(F.element_at(t, -1), F.lit(0)).alias("root"))
-    )
-    dealt = I.let(I.levels(F.transform("x", lambda x: x["sha256"])), own)
-    return grouped.select("source_id", F.explode(dealt).alias("p")).select("source_id", "p.*")
+    """(source_id, sha256, proof, root) of each different leaf of each source; equal leaves have the proof of the first."""
+    rows = merkle.stage_proofs(merkle.forest(nodes))
+    first = rows.groupBy("source_id", F.col("hash").alias("sha256")).agg(F.min_by(F.struct("proof", "root"), "place").alias("x"))
+    return first.select("source_id", "sha256", "x.proof", "x.root")
 
 
 def proofs(nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from provenia.functions import integrity as I
 from provenia.functions.text import INJECTION_PATTERNS, MAX_TEXT, citation, doi_key, in_text, redact, title_key
 from provenia.functions.text import first_field as first_of
 from provenia.functions.text import is_role, is_slug, is_workflow_id
-from provenia.operators import evidence, index, logs, monitor, patterns, search, workspace
+from provenia.operators import evidence, index, logs, merkle, monitor, patterns, search, workspace
 from provenia.sources.tables import csl_of, events_of, memory_of, nodes_of, read_json_corpus, read_jsonl, table, write_text
 from provenia.streaming.place import fresh_folder
 
@@ -204,7 +204,7 @@ def bm25_fielded(spark: SparkSession, d: str) -> DataFrame:
     hits = search.fetched(_index(spark, d).search("eriner src5", 10, fuzzy=False, prefix=False))
     own = search.of_sources(_nodes(spark, d), hits)
     records = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"))
-    csl = evidence.trees(own).select(F.col("source_id").alias("id"), F.col("root").alias("merkle_root")).join(records, "id")
+    csl = evidence.roots(own).select(F.col("source_id").alias("id"), F.col("root").alias("merkle_root")).join(records, "id")
     return search.cited(hits, own, csl).select("node_id", "source_id", "score", "title", "sha256", "merkle_root", "section_path")
 
 
@@ -273,7 +273,7 @@ def nodes_with_citation(spark: SparkSession, d: str) -> DataFrame:
 def corpus_status(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     counts = nodes.agg(F.countDistinct("source_id").alias("documents"), F.count("*").alias("nodes"), F.countDistinct("sha256").alias("hashes"))
-    return counts.join(F.broadcast(evidence.trees(nodes).agg(F.countDistinct("root").alias("merkle_roots"))))  # one row each
+    return counts.join(F.broadcast(evidence.roots(nodes).agg(F.countDistinct("root").alias("merkle_roots"))))  # one row each
 
 
 # ---------------------------------------------------------------- integrity
@@ -292,13 +292,38 @@ def merkle_compute(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {TREES} SELECT source_id, root, len(leaves)::INT AS leaf_count FROM roots JOIN sized USING (source_id)")
 def merkle_root(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.trees(_nodes(spark, d)).select("source_id", "root", F.size("leaves").alias("leaf_count"))
+    return evidence.roots(_nodes(spark, d)).select("source_id", "root", F.col("leaf_count").cast("int").alias("leaf_count"))
 
 
 @query(f"WITH RECURSIVE {TREES} SELECT source_id, depth::INT AS depth, len(l)::INT AS width, sha256(array_to_string(l, '')) AS level_hash FROM level")
 def merkle_levels(spark: SparkSession, d: str) -> DataFrame:
-    rows = evidence.trees(_nodes(spark, d)).select("source_id", F.posexplode("levels").alias("depth", "l"))
-    return rows.select("source_id", "depth", F.size("l").alias("width"), F.sha2(F.array_join("l", ""), 256).alias("level_hash"))
+    rows = merkle.tree_rows(merkle.forest(_nodes(spark, d))).groupBy("source_id", F.col("level").alias("depth")).agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("l"))
+    return rows.select("source_id", "depth", F.size("l").alias("width"), F.sha2(F.array_join(F.transform("l", lambda x: x["hash"]), ""), 256).alias("level_hash"))
+
+
+@query(f"WITH RECURSIVE {TREES} SELECT source_id, depth::INT AS level, unnest(range(len(l))) AS place, unnest(l) AS hash FROM level")
+def merkle_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of every tree as a row."""
+    return merkle.tree_rows(merkle.forest(_nodes(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {TREES}, node AS (SELECT source_id, depth, unnest(range(len(l))) AS place, l FROM level WHERE len(l) > 1)
+    SELECT source_id, depth::INT AS level, place, CASE WHEN place % 2 = 0 THEN 'right:' || coalesce(l[place + 2], l[place + 1]) ELSE 'left:' || l[place] END AS step FROM node""")
+def merkle_siblings(spark: SparkSession, d: str) -> DataFrame:
+    """The step of a proof at every node, by joining the rows of a kept tree with themselves."""
+    kept = merkle.save_forest(merkle.forest(_nodes(spark, d)), fresh_folder(spark, "merkle"))
+    return merkle.sibling_steps(merkle.tree_rows(kept))
+
+
+@query(f"""WITH RECURSIVE {TREES.replace("list(sha256 ORDER BY paragraph, node_id)", "list(CASE WHEN place % 5 = 1 THEN sha256(text || '!') ELSE sha256 END ORDER BY paragraph, node_id)").replace("FROM nodes GROUP BY source_id)", "FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY paragraph, node_id) - 1 AS place FROM nodes) GROUP BY source_id)")}
+    SELECT source_id, root, len(leaves) AS leaf_count FROM roots JOIN sized USING (source_id)""")
+def merkle_update(spark: SparkSession, d: str) -> DataFrame:
+    """Roots after every fifth passage of a source was changed, hashing the paths above the changes alone."""
+    nodes = _nodes(spark, d)
+    kept = merkle.save_forest(merkle.forest(nodes), fresh_folder(spark, "merkle"))
+    text = F.sha2(F.concat("text", F.lit("!")), 256)
+    changed = merkle.leaves(nodes.withColumn("sha256", F.struct("sha256", text.alias("new")))).where(F.col("place") % 5 == 1)
+    return merkle.roots(merkle.update_forest(kept, changed.select("source_id", "place", F.col("hash.new").alias("hash")), fresh_folder(spark, "merkle"))[0])
 
 
 _PROOF = TREES + r""",
@@ -329,7 +354,7 @@ def merkle_verify(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {TREES} SELECT root, count(*) AS n, string_agg(source_id, ',' ORDER BY source_id) AS verified_sources FROM roots GROUP BY root")
 def merkle_registry_match(spark: SparkSession, d: str) -> DataFrame:
     sources = F.array_sort(F.collect_list("source_id"))
-    return evidence.trees(_nodes(spark, d)).groupBy("root").agg(F.count("*").alias("n"), F.array_join(sources, ",").alias("verified_sources"))
+    return evidence.roots(_nodes(spark, d)).groupBy("root").agg(F.count("*").alias("n"), F.array_join(sources, ",").alias("verified_sources"))
 
 
 @query(f"WITH {NODES} SELECT node_id, true AS hash_ok, true AS proof_ok, true AS valid FROM nodes")
@@ -742,7 +767,7 @@ def id_rules(spark: SparkSession, d: str) -> DataFrame:
 def node_root(spark: SparkSession, d: str) -> DataFrame:
     """The registered root of each passage's source; every fourth source is not registered."""
     nodes = _nodes(spark, d)
-    registry = evidence.trees(nodes).where(F.col("source_id").cast("long") % 4 != 0).select("source_id", "root")
+    registry = evidence.roots(nodes).where(F.col("source_id").cast("long") % 4 != 0).select("source_id", "root")
     return nodes.select("node_id", "source_id").join(registry, "source_id", "left").select("node_id", F.coalesce("root", F.lit("")).alias("root"))
 
 
