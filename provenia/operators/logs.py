@@ -101,29 +101,32 @@ def audit_chain(events: DataFrame) -> DataFrame:
     return s.select("session_id", F.size("messages").cast("long").alias("n"), F.col("genesis").alias("start_hash"), I.chain_tip(F.col("genesis"), F.col("messages")).alias("current_hash"))
 
 
-def verify_chain(trail: DataFrame) -> DataFrame:
-    """(session_id, valid, broken_seq): the first entry whose previous_hash is not the recomputed link before it.
+def trail(events: DataFrame) -> DataFrame:
+    """(session_id, start_hash, seq, message_hash, previous_hash): the entries of each session's chain.
 
-    trail: session_id, start_hash, entries array<struct<seq, message_hash, previous_hash>> in order. A change of the
-    last message alone is not seen, since no entry follows it.
+    Each link needs the one before, so the links of a session are formed by one task.
     """
-    first = F.struct(F.col("start_hash").alias("link"), F.lit(None).cast("long").alias("bad"))
-
-    def step(s: Column, e: Column) -> Column:
-        bad = F.coalesce(s["bad"], F.when(e["previous_hash"] != s["link"], e["seq"].cast("long")))
-        return F.struct(I.link(s["link"], e["message_hash"]).alias("link"), bad.alias("bad"))
-
-    out = trail.select("session_id", F.aggregate("entries", first, step, lambda s: s["bad"]).alias("broken_seq"))
-    return out.select("session_id", F.col("broken_seq").isNull().alias("valid"), "broken_seq")
-
-
-def trail(events: DataFrame) -> DataFrame:
-    """(session_id, start_hash, entries) of each session's chain, see verify_chain."""
     s = sessions(events)
     entry = lambda links: F.transform(
         "messages", lambda m, i: F.struct(i.cast("long").alias("seq"), m.alias("message_hash"), F.get(links, i).alias("previous_hash"))
     )
-    return s.select("session_id", F.col("genesis").alias("start_hash"), I.let(I.chain(F.col("genesis"), F.col("messages")), entry).alias("entries"))
+    dealt = F.explode(I.let(I.chain(F.col("genesis"), F.col("messages")), entry)).alias("e")
+    return s.select("session_id", F.col("genesis").alias("start_hash"), dealt).select("session_id", "start_hash", "e.*")
+
+
+def verify_chain(entries: DataFrame) -> DataFrame:
+    """(session_id, valid, broken_seq): the first entry whose previous_hash is not the recomputed link before it.
+
+    entries as in ``trail``, numbered from 0 without gaps. Each entry forms one link, from its own previous_hash, and the next
+    entry must hold it; the first must hold the start. Up to the first that does not, these links are those of the
+    chain, so the least number is where it breaks, and no session is walked. An entry whose predecessor is missing
+    breaks it too. A change of the last message alone is not seen, since no entry follows it.
+    """
+    made = entries.select(F.col("session_id").alias("s"), (F.col("seq") + 1).alias("n"), I.link(F.col("previous_hash"), F.col("message_hash")).alias("link"))
+    pairs = entries.join(made, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("seq") == F.col("n")), "left")
+    want = F.when(F.col("seq") == 0, F.col("start_hash")).otherwise(F.col("link"))
+    out = pairs.groupBy("session_id").agg(F.min(F.when(~want.eqNullSafe(F.col("previous_hash")), F.col("seq"))).alias("broken_seq"))
+    return out.select("session_id", F.col("broken_seq").isNull().alias("valid"), "broken_seq")
 
 
 def counted(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Agent monitor: transitions, invariants, liveness; permissions, quotas and ceilings."""
+"""Agent monitor: transitions, invariants, liveness; permissions, quotas and ceilings.
+
+Sessions are folded as a parallel prefix: a kind of event is a map of states to states, a block of events the composition
+of its maps, and blocks of blocks likewise. Once the state before a block is known, the block is replayed by itself, so a
+session is dealt out over as many tasks as it has blocks.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.functions.integrity import let, scan
+from provenia.streaming.place import fresh_folder
 
 #: Transition table: event, states it leaves, state it leads to; anything else keeps the state. Fixed values.
 TRANSITIONS = [
@@ -81,34 +87,97 @@ def violations(prev: Column, event: Column, tool: Column, new: Column, invariant
     return F.array_compact(F.array(*(F.when(broken(prev, event, tool, new), F.struct(F.lit(n).alias("invariant"), F.lit(s).alias("severity"))) for n, s, broken in invariants)))
 
 
+#: All states, the first one to begin with.
+STATES = ("idle", *dict.fromkeys(to for _, _, to in TRANSITIONS), "done")
+#: A block holds 2^BITS events, and a block of blocks as many of these.
+BITS = 10
+
+
+def step(state: str, event: str | None) -> str:
+    """The transition in plain Python."""
+    for name, leaves, to in TRANSITIONS:
+        if event == name and (leaves is None or state in leaves):
+            return to
+    return state
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _map_of(event: Column) -> Column:
+    """The map of states to states, by number, of a kind of event; other kinds and null change nothing."""
+    maps = [x for name, _, _ in TRANSITIONS for x in (F.lit(name), _numbers([STATES.index(step(s, name)) for s in STATES]))]
+    return F.coalesce(F.try_element_at(F.create_map(*maps), event), _numbers(list(range(len(STATES)))))
+
+
+def _after(first: Column, then: Column) -> Column:
+    """Two maps, one after the other."""
+    return F.transform(first, lambda s: F.get(then, s))
+
+
+def _blocks(events: DataFrame) -> DataFrame:
+    """(session_id, block, events) in order of sessions and time, 2^BITS events at most.
+
+    Rows are sorted over all tasks and numbered in a table of its own, since their numbers are read twice.
+    """
+    order = ["session_id", "ts", "event_id", "type", "tool_name"]
+    path = fresh_folder(events.sparkSession, "trace")
+    events.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = events.sparkSession.read.parquet(path)
+    return rows.groupBy("session_id", F.shiftright("row", BITS).alias("block")).agg(F.sort_array(F.collect_list(F.struct("row", "event_id", "type", "tool_name"))).alias("events"))
+
+
+def _prefixes(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """(keys, map, n, items): what all parts (map, n) of a group do together; items, for each part: map and n of all before it."""
+    grouped = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(part).alias("part"), "map", "n"))).alias("x"))
+    start = F.struct(_numbers(list(range(len(STATES)))).alias("map"), F.lit(0).cast("long").alias("n"))
+    running = scan(F.col("x"), start, lambda s, x: F.struct(_after(s["map"], x["map"]).alias("map"), (s["n"] + x["n"]).alias("n")))
+    items = lambda r: F.struct(F.transform("x", lambda x, i: F.struct(x["part"].alias("part"), F.get(r, i).alias("before"))).alias("items"), F.element_at(r, -1).alias("all"))
+    return grouped.select(*keys, let(running, items).alias("p")).select(*keys, "p.all.map", "p.all.n", "p.items")
+
+
+def _starts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(session_id, state after all events, n); and (session_id, block, state before it, seq of its first event)."""
+    composed = F.aggregate("events", _numbers(list(range(len(STATES)))), lambda s, e: _after(s, _map_of(e["type"])))
+    sized = blocks.select("session_id", "block", F.shiftright("block", BITS).alias("upper"), F.size("events").cast("long").alias("n"), composed.alias("map"))
+    upper = _prefixes(sized, ["session_id", "upper"], "block")
+    whole = _prefixes(upper, ["session_id"], "upper")
+    names = F.array(*map(F.lit, STATES))
+    tops = whole.select("session_id", F.explode("items").alias("i")).select(F.col("session_id").alias("s"), F.col("i.part").alias("u"), F.col("i.before").alias("above"))
+    each = upper.select("session_id", "upper", F.explode("items").alias("i")).join(tops, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("upper") == F.col("u")))
+    state = F.get(F.col("i.before.map"), F.get("above.map", F.lit(0)))
+    starts = each.select(F.col("session_id").alias("s"), F.col("i.part").alias("b"), F.get(names, state).alias("state"), (F.col("above.n") + F.col("i.before.n")).alias("first"))
+    return whole.select("session_id", F.get(names, F.get("map", F.lit(0))).alias("state"), "n"), starts
+
+
 def final_states(events: DataFrame) -> DataFrame:
     """(session_id, state) after all events of each session, in order of time.
 
     Steps that an invariant rejects keep the state and are self-loops, so the plain fold has the same end.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "type")))
-    return events.groupBy("session_id").agg(F.aggregate(ordered, F.lit("idle"), lambda s, e: next_state(s, e["type"])).alias("state"))
+    return _starts(_blocks(events))[0].select("session_id", "state")
 
 
 def trace(events: DataFrame, invariants: list[Invariant] = INVARIANTS) -> DataFrame:
     """One row per event: session_id, seq, event_id, type, tool_name, prev_state, next_state, violated, allowed.
 
-    The states of a session are folded once, joined to its events inside the group, and dealt out together.
+    Each block is replayed from its true first state.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "type", "tool_name")))
-    grouped = events.groupBy("session_id").agg(ordered.alias("events"))
-    states = scan(F.transform("events", lambda e: e["type"]), F.lit("idle"), next_state)
+    blocks = _blocks(events)
+    begun = blocks.join(_starts(blocks)[1], F.col("session_id").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    states = scan(F.transform("events", lambda e: e["type"]), F.col("state"), next_state)
 
     def steps(states: Column) -> Column:
         return F.transform(
             "events",
             lambda e, i: F.struct(
-                i.cast("long").alias("seq"), e["event_id"].alias("event_id"), e["type"].alias("type"), e["tool_name"].alias("tool_name"),
+                (F.col("first") + i).alias("seq"), e["event_id"].alias("event_id"), e["type"].alias("type"), e["tool_name"].alias("tool_name"),
                 F.get(states, i).alias("prev_state"), F.get(states, i + 1).alias("next_state"),
             ),
         )
 
-    rows = grouped.select("session_id", F.explode(let(states, steps)).alias("s")).select("session_id", "s.*")
+    rows = begun.select("session_id", F.explode(let(states, steps)).alias("x")).select("session_id", "x.*")
     rows = rows.withColumn("v", violations(F.col("prev_state"), F.col("type"), F.col("tool_name"), F.col("next_state"), invariants))
     return rows.select("*", F.array_join(F.transform("v", lambda x: x["invariant"]), ";").alias("violated"), (~F.exists("v", lambda x: x["severity"] == "error")).alias("allowed")).drop("v")
 

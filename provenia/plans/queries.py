@@ -235,10 +235,10 @@ def regex_search_indexed(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d).search("(worthless|subscribe to our|ereatt?ion) [a-z]")
 
 
-@query(_regex("mentenr[^ ]+", ""))
+@query(_regex("mentre[a-z]+", ""))
 def regex_search_all(spark: SparkSession, d: str) -> DataFrame:
     """Every match of a pattern through the trigram index."""
-    return _patterns(spark, d).search("mentenr[^ ]+", limit=None)
+    return _patterns(spark, d).search("mentre[a-z]+", limit=None)
 
 
 @query(f"WITH {NODES} SELECT * EXCLUDE (paragraph), paragraph FROM nodes WHERE node_id = '7:p0' LIMIT 1")
@@ -536,11 +536,17 @@ def audit_chain(spark: SparkSession, d: str) -> DataFrame:
     return logs.audit_chain(_events(spark, d))
 
 
-@query(f"WITH {EVENTS}, s AS (SELECT session_id, count(*) AS n FROM ev GROUP BY session_id) SELECT session_id, NOT (session_id % 4 = 0 AND n > 3) AS valid, CASE WHEN session_id % 4 = 0 AND n > 3 THEN 3 END AS broken_seq FROM s")
+@query(f"""WITH RECURSIVE {_CHAIN},
+    e AS (SELECT session_id, unnest(range(len(m))) AS seq, unnest(m) AS said FROM s),
+    written AS (SELECT session_id, 0 AS seq, genesis AS link FROM s UNION ALL SELECT w.session_id, w.seq + 1, sha256(e.said || ':' || w.link) FROM written w JOIN e ON e.session_id = w.session_id AND e.seq = w.seq),
+    walked AS (SELECT session_id, 0 AS seq, genesis AS link FROM s UNION ALL SELECT w.session_id, w.seq + 1, sha256(CASE WHEN e.session_id % 4 = 0 AND e.seq = 2 THEN reverse(e.said) ELSE e.said END || ':' || w.link)
+        FROM walked w JOIN e ON e.session_id = w.session_id AND e.seq = w.seq),
+    bad AS (SELECT e.session_id, min(e.seq) FILTER (a.link <> b.link) AS broken_seq FROM e JOIN written a ON a.session_id = e.session_id AND a.seq = e.seq JOIN walked b ON b.session_id = e.session_id AND b.seq = e.seq GROUP BY e.session_id)
+    SELECT session_id, broken_seq IS NULL AS valid, broken_seq FROM bad""")
 def audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
     """In every fourth session the third message was changed afterwards."""
-    forged = lambda e, i: e.withField("message_hash", F.when((F.col("session_id") % 4 == 0) & (i == 2), F.reverse(e["message_hash"])).otherwise(e["message_hash"]))
-    return logs.verify_chain(logs.trail(_events(spark, d)).withColumn("entries", F.transform("entries", forged)))
+    forged = F.when((F.col("session_id") % 4 == 0) & (F.col("seq") == 2), F.reverse("message_hash")).otherwise(F.col("message_hash"))
+    return logs.verify_chain(logs.trail(_events(spark, d)).withColumn("message_hash", forged))
 
 
 # ---------------------------------------------------------------- monitor and policy

@@ -11,22 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provenia.operators.monitor import TRANSITIONS
+from provenia.operators.monitor import STATES as ALL
+from provenia.operators.monitor import step
 
 STATES = "session_id long, state string, n_events long"
 
 
-#: All states, the first one to begin with.
-ALL = ("idle", *dict.fromkeys(to for _, _, to in TRANSITIONS), "done")
-
-
-def step(state: str, event: str) -> str:
-    for name, leaves, to in TRANSITIONS:
-        if event == name and (leaves is None or state in leaves):
-            return to
-    return state
-
-
 def fold(state: str, events: list[str]) -> str:
     """The state after all events: each kind is a map of states to states, and maps are composed pair by pair."""
     kinds, code = np.unique(np.array(events, dtype=object).astype(str), return_inverse=True)
