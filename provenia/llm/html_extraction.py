@@ -6,6 +6,10 @@ a part that names itself something else, the kind of element that holds it, and
 decision tree, trained by Gini impurity on the small labelled table below when the module is first used, tells text
 from the rest.
 
+Names are one feature, read as whole classes, ids and roles. A name or a form says nothing about an article element
+inside it, and nothing at all where most of the page's prose lies inside; only elements such as nav or aside, and the names of
+readers' comments, hold throughout.
+
 Open elements are followed as far as the rules for optional end tags need it (a paragraph ends where a block begins, a
 list item where the next one begins, and so on), so a mark on an element ends with it. All of this takes time in
 proportion to the page: for each name it is known where its open elements are, an end tag without an open element costs
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HREF = re.compile(r"\bhref\b", re.I)
 _SENTENCE = re.compile(r"[.!?…。！？:][\"'”’»)\]]*$")
 
@@ -39,16 +43,20 @@ _SKIPPED = frozenset("template noscript svg select object math".split())
 #: Elements that say that their text is not the article's, and those that say it is.
 _OTHER = frozenset("nav footer aside menu dialog head button fieldset".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of class, id and role names of parts that are not the article, and of parts that mostly are not.
-_OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|sidebar|aside|nav\w*|menu\w*|breadcrumbs?|footer|masthead|topbar|toolbar|"
-    r"comments?|commentlist|replies|respond|disqus|discussion|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommend\w*|trending|pagination|pager|contentinfo|complementary|navigation)(?=$|[\s_-])",
-    re.I,
+#: Names of parts that are not the article: as a whole class, id or role, or as the last word of one (site-footer).
+_OTHER_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars aside nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations trending "
+    "pagination pager contentinfo complementary".split()
 )
-_DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:notice|notification|alert|legal|copyright|disclaimer|header|foot|side|search|popular|widget|skip|form|meta|byline|tags?)(?=$|[\s_-])", re.I)
+#: The same of what readers wrote.
+_COMMENT_NAMES = frozenset("comments comment commentlist comment-list comments-area comment-area comments-list comment-section comments-section replies respond disqus disqus-thread".split())
+#: Words of names of parts that mostly are not the article.
+_DOUBTFUL_NAMES = frozenset("notice notification alert legal copyright disclaimer header foot side search popular widget skip form meta byline tag tags discussion".split())
+#: Words that turn a name round or make it a state of something else: has-sidebar, no-comments, ad-free.
+_TURNED = frozenset("no not non has have with without is in on free off hide show open enabled disabled".split())
 #: Words of names of parts that mostly hold the article.
-_TEXT_NAMES = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|text|body|prose)(?=$|[\s_-])", re.I)
+_TEXT_NAMES = frozenset("content article post entry story text body prose".split())
 
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements beyond which an end tag or an implied end does not reach.
@@ -86,13 +94,13 @@ LABELLED = [
     (3, 0.0, 3, 1.0, 4, 1.0, 2, 0, 3, 0, 1), (20, 0.9, 30, 0.0, 25, 0.0, 2, 0, 2, 1, 1), (12, 0.7, 9, 0.8, 8, 0.6, 2, 0, 2, 0, 1),
     (2, 1.0, 2, 1.0, 2, 1.0, 2, 0, 2, 0, 1), (5, 0.9, 4, 0.2, 60, 0.0, 2, 0, 1, 0, 1), (6, 1.0, 5, 0.0, 4, 0.0, 2, 0, 1, 0, 1),
     (2, 0.0, 1, 0.0, 9, 0.0, 2, 0, 1, 0, 1), (3, 0.0, 2, 0.0, 2, 1.0, 2, 0, 1, 1, 1), (1, 0.0, 2, 1.0, 1, 0.0, 2, 0, 1, 0, 1),
-    (2, 0.0, 0, 0.0, 3, 1.0, 2, 0, 1, 0, 1), (4, 0.5, 1, 1.0, 2, 1.0, 2, 0, 1, 0, 1), (3, 1.0, 2, 1.0, 0, 0.0, 2, 0, 1, 0, 0),
-    (3, 1.0, 0, 0.0, 4, 1.0, 2, 0, 1, 0, 0), (2, 1.0, 3, 0.0, 5, 1.0, 2, 0, 2, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 3, 1.0, 2, 0, 1, 0, 1), (4, 0.5, 1, 1.0, 2, 1.0, 2, 0, 1, 0, 1), (3, 1.0, 2, 1.0, 0, 0.0, 2, 0, 1, 0, 1),
+    (3, 1.0, 0, 0.0, 4, 1.0, 2, 0, 1, 0, 1), (2, 1.0, 3, 0.0, 5, 1.0, 2, 0, 2, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0, 1),
     (9, 1.0, 1, 1.0, 3, 1.0, 2, 0, 0, 0, 1), (1, 0.0, 2, 1.0, 9, 0.9, 2, 0, 3, 0, 1), (40, 0.8, 9, 1.0, 6, 1.0, 2, 0, 0, 0, 1),
     (4, 1.0, 5, 1.0, 7, 1.0, 2, 0, 3, 0, 1), (70, 0.0, 2, 1.0, 2, 1.0, 2, 0, 1, 1, 1), (1, 1.0, 2, 1.0, 60, 1.0, 2, 0, 0, 0, 1),
     (9, 1.0, 6, 0.2, 9, 0.0, 2, 0, 1, 0, 1), (9, 1.0, 6, 0.6, 9, 0.6, 2, 0, 1, 1, 1), (2, 1.0, 9, 1.0, 3, 1.0, 2, 0, 0, 0, 1), (5, 1.0, 60, 0.0, 5, 1.0, 2, 0, 0, 1, 1),
-    # lists of nothing but links, in an article as elsewhere
-    (2, 1.0, 2, 1.0, 3, 1.0, 2, 0, 1, 0, 0), (4, 1.0, 5, 1.0, 4, 1.0, 2, 0, 1, 0, 0), (6, 1.0, 3, 1.0, 7, 1.0, 2, 0, 1, 0, 0),
+    # lists of nothing but links are part of an article that holds them
+    (2, 1.0, 2, 1.0, 3, 1.0, 2, 0, 1, 0, 1), (4, 1.0, 5, 1.0, 4, 1.0, 2, 0, 1, 0, 1), (6, 1.0, 3, 1.0, 7, 1.0, 2, 0, 1, 0, 1),
     # other parts for sure, inside an article or not: menus, adverts, sidebars, forms, footers, comments
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 2, 1, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 2, 1, 0, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, 2, 0, 1, 0),
     (40, 0.0, 60, 0.0, 35, 0.0, 0, 2, 2, 1, 0), (120, 0.0, 30, 0.0, 20, 0.0, 0, 2, 2, 1, 0), (11, 0.1, 70, 0.0, 0, 0.0, 0, 2, 0, 1, 0),
@@ -181,33 +189,59 @@ def decide(node: tuple | int, x: tuple) -> int:
     return node
 
 
+#: Kinds of marks. An element or comments hold for all inside; names and forms may turn out to be void; an article begins anew.
+_ELEMENT, _COMMENTS, _NAME_MARK, _FORM, _DOUBT, _ARTICLE = range(6)
+#: So much prose a part must hold before its name can be void.
+LEAST_PROSE = 40
+
+
 class _Open:
-    """The open block elements, where those of each name are, and how many marks of each sort are among them."""
+    """The open block elements, where those of each name are, and which marks hold: a tree in which each has a parent."""
 
     def __init__(self) -> None:
-        self.items: list[tuple[str, int, int, int, int, int]] = []
+        self.items: list[tuple[str, int, int, int]] = []
         self.at: dict[str, list[int]] = defaultdict(list)
-        self.main = self.text = self.other = self.doubt = self.forms = 0
+        self.main = self.text = 0
+        self.marks: list[tuple[int, int, bool]] = []
+        self.mark = -1
 
     def last(self, names: tuple[str, ...]) -> int:
         """Place of the innermost open element with one of the names, -1 without any."""
         return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
 
-    def begin(self, name: str, main: bool, text: bool, other: bool, doubt: bool, form: bool) -> None:
+    def begin(self, name: str, main: bool, text: bool, kinds: list[int]) -> None:
         self.at[name].append(len(self.items))
-        before = self.forms
-        # A form around an article says nothing about it.
-        self.forms = 0 if main else self.forms + form
-        self.main, self.text, self.other, self.doubt = self.main + main, self.text + text, self.other + other, self.doubt + doubt
-        self.items.append((name, main, text, other, doubt, before))
+        self.items.append((name, main, text, self.mark))
+        for kind in kinds:
+            self.marks.append((self.mark, kind, self.main > 0))
+            self.mark = len(self.marks) - 1
+        self.main, self.text = self.main + main, self.text + text
 
     def end(self, k: int) -> None:
         """Close all elements from place k on."""
         while len(self.items) > k:
-            name, main, text, other, doubt, before = self.items.pop()
+            name, main, text, self.mark = self.items.pop()
             self.at[name].pop()
-            self.forms = before
-            self.main, self.text, self.other, self.doubt = self.main - main, self.text - text, self.other - other, self.doubt - doubt
+            self.main, self.text = self.main - main, self.text - text
+
+    def others(self, prose: list[int], whole: int, article: bool) -> list[int]:
+        """How surely what stands under each mark is another part (2 surely, 1 by a doubtful name). prose: words of it right there.
+
+        Names and forms that hold half of the page's prose or more, and LEAST_PROSE words, are void: no sidebar is the
+        most of a page. Where there is an article, this goes for marks in it alone.
+        """
+        inside = list(prose)
+        for k in range(len(self.marks) - 1, -1, -1):
+            if self.marks[k][0] >= 0:
+                inside[self.marks[k][0]] += inside[k]
+        lasting, passing = [], []  # what holds for all inside, and what holds up to the next article
+        for k, (parent, kind, in_article) in enumerate(self.marks):
+            void = kind in (_NAME_MARK, _FORM, _DOUBT) and inside[k] >= max(LEAST_PROSE, whole / 2) and (in_article or not article)
+            before = (lasting[parent], passing[parent]) if parent >= 0 else (0, 0)
+            lasting.append(2 if kind in (_ELEMENT, _COMMENTS) else before[0])
+            own = 0 if void else {_NAME_MARK: 2, _FORM: 2, _DOUBT: 1}.get(kind, 0)
+            passing.append(0 if kind == _ARTICLE else max(before[1], own))
+        return [max(x) for x in zip(lasting, passing, strict=True)]
 
     def make_room(self, name: str) -> None:
         """End what the beginning of an element ends."""
@@ -308,6 +342,54 @@ def _closing(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])", re.I)
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name, the first of equal ones."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _words(name: str) -> list[str]:
+    return [w for w in re.split(r"[-_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+
+
+def _named(found: dict[str, str]) -> tuple[list[int], bool]:
+    """(marks by the names that an element gives itself, whether one of them speaks of text)."""
+    kinds, text = set(), False
+    for attribute in ("class", "id", "role", "itemprop"):
+        for token in found.get(attribute, "").split():
+            words = _words(token)
+            if not words:
+                continue
+            text = text or bool(_TEXT_NAMES & set(words))
+            if "-".join(words) in _COMMENT_NAMES:
+                kinds.add(_COMMENTS)
+            elif words[0] in _TURNED or words[-1] in _TURNED:
+                continue
+            elif words[-1] in _OTHER_NAMES or words[-1] in ("comments", "replies"):
+                kinds.add(_NAME_MARK)
+            elif (_OTHER_NAMES | _DOUBTFUL_NAMES) & set(words):
+                kinds.add(_DOUBT)
+    if set(found.get("aria-label", "").lower().split()) & _OTHER_NAMES:
+        kinds.add(_DOUBT)
+    return sorted(kinds), text
+
+
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, list[int]]:
+    """(holds the article, its name speaks of text, marks) of a block element that begins."""
+    main = name in _MAIN
+    kinds = [_ELEMENT] if name in _OTHER or (name == "header" and not in_article) else [_FORM] if name == "form" else []
+    if not attributes or name in ("html", "body"):
+        return main, False, kinds + [_ARTICLE] * main
+    found = _attributes(attributes)
+    named, text = _named(found)
+    if "hidden" in found and found["hidden"].lower() != "false" or found.get("aria-hidden", "").lower() == "true" or _HIDING.search(found.get("style", "")):
+        kinds.append(_ELEMENT)
+    main = main or "articlebody" in found.get("itemprop", "").lower().split() or "main" in (found.get("role", "").lower(), found.get("id", "").lower(), found.get("class", "").lower())
+    return main, text, kinds + (([_ARTICLE] + [k for k in named if k == _COMMENTS]) if main else named)
+
+
 def blocks(page: str) -> list[tuple]:
     """(text, words, words inside links, inside the article, inside another part, kind, sentence) in page order."""
     out: list[tuple] = []
@@ -321,8 +403,7 @@ def blocks(page: str) -> list[tuple]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
-                main, other = 2 if now.main else int(now.text > 0), 2 if now.other or now.forms else int(now.doubt > 0)
-                out.append((text, words, min(linked, words), main, other, kind, int(bool(_SENTENCE.search(text[-8:])))))
+                out.append((text, words, min(linked, words), 2 if now.main else int(now.text > 0), now.mark, kind, int(bool(_SENTENCE.search(text[-8:])))))
             parts.clear()
 
     for text, ending, name, attributes in _markup(page):
@@ -342,18 +423,18 @@ def blocks(page: str) -> list[tuple]:
         else:
             now.make_room(name)
             if name not in _VOID and not (attributes.endswith("/") and name not in _ENDS_P):
-                main = name in _MAIN
-                other, text_like, doubt = name in _OTHER or (name == "header" and not now.main), False, False
-                if attributes and not main and name not in ("html", "body"):
-                    named = " ".join(filter(None, (x for g in _NAMED.findall(attributes) for x in g)))
-                    main = "articlebody" in named.lower() or named.lower() == "main"
-                    other = other or bool(named and _OTHER_NAMES.search(named)) or bool(_HIDDEN.search(attributes))
-                    doubt, text_like = bool(_DOUBTFUL_NAMES.search(named)), bool(_TEXT_NAMES.search(named))
-                now.begin(name, main, text_like, other, doubt, name == "form")
+                now.begin(name, *_marks(name, attributes, now.main > 0))
         if link > len(now.items):
             link = -1
     flush()
-    return out
+    prose, whole = [0] * len(now.marks), 0
+    for _, words, linked, _, mark, _, sentence in out:
+        if sentence and words >= 10 and 3 * linked < words:
+            whole += words
+            if mark >= 0:
+                prose[mark] += words
+    other = now.others(prose, whole, any(b[3] == 2 for b in out))
+    return [(*b[:4], other[b[4]] if b[4] >= 0 else 0, *b[5:]) for b in out]
 
 
 def main_text(page: str) -> str:

@@ -295,7 +295,7 @@ PROSE = "This is a sentence of a long passage that says something at length, as
         ('<div class="content"><h1>A title</h1><p>One short paragraph.</p><p>Two.</p></div>', ["A title", "One short paragraph.", "Two."]),
         ('<ul><li><a href="1">Home</a><li><a href="2">News</a></ul><h1>A title of a page</h1><p>A text.</p><div>3 Comments</div>', ["A title of a page", "A text."]),
         (f'<article><section class="legal"><p>{PROSE}</p></section><p class="alert">Read this.</p></article>', [PROSE.strip()]),
-        ('<article><p>Text.</p><ul><li><a href="1">one</a><li><a href="2">two</a><li><a href="3">three</a><li><a href="4">four</a></ul></article>', ["Text."]),
+        ('<article><p>Text.</p><ul><li><a href="1">one</a><li><a href="2">two</a><li><a href="3">three</a><li><a href="4">four</a></ul></article>', ["Text.", "one", "two", "three", "four"]),
         # a form around the page is no form in it
         ('<form><nav><a href="1">n</a></nav><article><p>Text.</p><form>Name</form></article></form>', ["Text."]),
         # quotes, signs and references
@@ -308,6 +308,55 @@ def test_extraction_of_odd_markup(page, want):
     assert html_extraction.main_text(page).split("\n\n") == want
 
 
+FIRST = "The committee met on Tuesday to review the budget, and it agreed that the old bridge must be rebuilt before the winter comes again."
+SECOND = "Engineers had found cracks in two of the pillars, which they said were older than anyone in the town council had thought until then."
+THIRD = "Work will begin in spring."
+TEXT = f"<h1>Bridge to be rebuilt</h1><p>{FIRST}</p><p>{SECOND}</p><p>{THIRD}</p>"
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></nav>'
+LINKS = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/m">More of it</a></li></ul>'
+FOOT = '<footer><p>Copyright by the paper, which is printed daily.</p></footer>'
+SAID = "I do not think that this is right at all, since my father worked on that bridge for years and never saw one crack in it."
+
+#: Pages of many makes; | stands for the text.
+MAKES = [
+    # articles inside and around names that speak of something else
+    '<article><div class="overflow-hidden">|</div></article>', '<div class="content has-sidebar"><article>|</article></div>', '<div class="no-sidebar"><article>|</article></div>',
+    '<div class="with-comments"><article>|</article></div>', '<div class="ad-free"><article>|</article></div>', '<div class="social-science"><article>|</article></div>',
+    '<article><section id="related-work">|</section></article>', '<article><section id="discussion">|</section></article>', '<article><div data-id="menu">|</div></article>',
+    '<article title="the hidden truth">|</article>', '<article><div title="hidden sidebar menu">|</div></article>', '<div class="menu-open"><main>|</main></div>',
+    '<body class="nav-fixed has-footer"><main>|</main></body>', '<div class="modal-enabled sidebar"><article>|</article></div>', '<div id="page" class="hide-nav"><div id="main">|</div></div>',
+    '<article class="post comments-open">|</article>', '<article class="banner">|</article>', '<article><div class="text-center js-share-off">|</div></article>', '<article data-class="ad">|</article>',
+    '<article><div aria-hidden="false">|</div></article>', '<article><div style="overflow:hidden">|</div></article>',
+    # forms around pages
+    '<form id="aspnetForm"><div>|</div></form>', '<form id="form1" action="/x"><article>|</article></form>', '<form class="form"><input name="q"><div class="wrap">|</div></form>',
+    # no article element
+    '<div>|</div>', '<div class="row"><div class="col-md-8">|</div></div>', '<table><tr><td>|</td></tr></table>', '<div class="post-content">|</div>', '<section>|</section>',
+    '<div class="sidebar">|</div>', '<div id="header-content">|</div>', '<div itemprop="articleBody">|</div>', '<div role="main">|</div>', '<center><font size="2">|</font></center>',
+    '<div class="main-content widget">|</div>', '<body>|</body>', '<div class="socialScience">|</div>', '<div class="in-footer">|</div>',
+    # beside what is not the article
+    NAV + '<article>|</article>' + FOOT, NAV + '<div>|</div>' + FOOT, LINKS + '<div>|</div>' + LINKS, '<div class="site-nav">' + LINKS + '</div><article>|</article>',
+    '<article>|</article><section id="comments"><article class="comment"><p>' + SAID + '</p></article></section>', '<div>|</div><ol class="commentlist"><li><p>' + SAID + '</p></li></ol>',
+    '<article>|<div class="share-buttons"><a href="f">Share</a> <a href="t">Send</a></div></article>', '<article>|<aside>See also our other pages about bridges.</aside></article>',
+    '<div class="topMenu">' + LINKS + '</div><main>|</main>', '<div class="left-sidebar"><p>Weather: rain is expected today.</p></div><article>|</article>',
+    '<article><div hidden>Shown to nobody at all, as it says.</div>|</article>', '<article><div style="display: none">Shown to nobody at all, as it says.</div>|</article>',
+    '<form><label>Name</label><input><button>Send</button></form><article>|</article>', '<article>|</article><div class="ad"><p>Buy our bridges now, they are the best ones.</p></div>',
+    '<header class="site-header"><a href="/">The Paper</a></header><div class="story">|</div><div class="site-footer">Imprint and contact</div>',
+    '<div class="cookie-consent"><p>We use cookies to make this page better for you.</p></div><article>|</article>',
+    '<article>|</article><div id="disqus_thread"><p>' + SAID + '</p><p>' + SAID + '</p></div>', '<div role="navigation">' + LINKS + '</div><div role="main">|</div><div role="contentinfo">All rights</div>',
+]
+
+
+@pytest.mark.parametrize("make", MAKES)
+def test_extraction_of_pages_of_many_makes(make):
+    want = ["Bridge to be rebuilt", FIRST, SECOND, THIRD]
+    assert html_extraction.main_text(f"<html><head><title>T</title></head>{make.replace('|', TEXT)}</html>").split("\n\n") == want
+
+
+def test_lists_of_links_in_an_article_are_part_of_it():
+    page = f'{NAV}<article>{TEXT}<h2>Sources</h2><ul><li><a href="a">First source</a></li><li><a href="b">Second source</a></li></ul></article>{FOOT}'
+    assert html_extraction.main_text(page).split("\n\n")[4:] == ["Sources", "First source", "Second source"]
+
+
 class Plain(HTMLParser):
     """Brute force for pages that say what is what: text inside article, outside marked parts, block by block."""
 
