@@ -66,10 +66,11 @@ def redact(rows: DataFrame, column: str) -> DataFrame:
     would be written out, and matched, twice as often for each pattern.)
     """
     names = [c for c in rows.columns if c not in (column, "modifications")]
-    now = rows.select(*names, F.col(column).alias("__text"), F.lit(0).alias("__n"))
+    any_of = "(?i)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)
+    now = rows.select(*names, F.col(column).alias("__text"), F.lit(0).alias("__n"), F.coalesce(F.col(column).rlike(any_of), F.lit(False)).alias("__hit"))
     for p in INJECTION_PATTERNS:
-        new = now.select("*", F.regexp_replace("__text", f"(?i){p}", FILTERED).alias("__new"))
-        now = new.select(*names, F.col("__new").alias("__text"), (F.col("__n") + (~F.col("__new").eqNullSafe(F.col("__text"))).cast("int")).alias("__n"))
+        new = now.select("*", F.when(F.col("__hit"), F.regexp_replace("__text", f"(?i){p}", FILTERED)).otherwise(F.col("__text")).alias("__new"))
+        now = new.select(*names, F.col("__new").alias("__text"), (F.col("__n") + (F.col("__hit") & ~F.col("__new").eqNullSafe(F.col("__text"))).cast("int")).alias("__n"), "__hit")
     long = F.coalesce(F.length("__text") > MAX_TEXT, F.lit(False))
     return now.select(*names, F.substring("__text", 1, MAX_TEXT).alias(column), (F.col("__n") + long.cast("int")).alias("modifications"))
 

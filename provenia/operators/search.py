@@ -118,9 +118,14 @@ def fetched(hits: DataFrame) -> DataFrame:
     return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
 
 
+def sources_of(hits: DataFrame) -> list[str]:
+    """The sources of fetched hits: at most as many as hits were asked for."""
+    return sorted({r.source_id for r in hits.select("source_id").distinct().collect()})
+
+
 def of_sources(nodes: DataFrame, hits: DataFrame) -> DataFrame:
-    """Passages of the sources of fetched hits; the ids reach the scan."""
-    return nodes.where(F.col("source_id").isin([r.source_id for r in hits.select("source_id").distinct().collect()]))
+    """Passages of the sources of fetched hits, where source_id is a column of the scanned files."""
+    return nodes.where(F.col("source_id").isin(sources_of(hits)))
 
 
 def cited(hits: DataFrame, nodes: DataFrame, csl: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from provenia.functions.text import INJECTION_PATTERNS, MAX_TEXT, citation, doi_
 from provenia.functions.text import first_field as first_of
 from provenia.functions.text import is_role, is_slug, is_workflow_id
 from provenia.operators import evidence, index, logs, merkle, monitor, patterns, search, workspace
-from provenia.sources.tables import csl_of, events_of, memory_of, nodes_of, read_json_corpus, read_jsonl, table, write_text
+from provenia.sources.tables import csl_of, events_of, memory_of, node_at, nodes_of, read_json_corpus, read_jsonl, table, write_files
 from provenia.streaming.place import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +58,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nodes_of(table(spark, d, "documents"))
+def _nodes(spark: SparkSession, d: str, sources: list[str] | None = None) -> DataFrame:
+    return nodes_of(table(spark, d, "documents"), sources)
+
+
+def _nodes_of(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """Passages of the sources of fetched hits."""
+    return _nodes(spark, d, search.sources_of(hits))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +144,7 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: best ten passages for two words, with their citations; reads the passages themselves."""
     nodes = _nodes(spark, d)
     hits = search.fetched(search.ranked_search(nodes, WORDS, 10, fuzzy=False, prefix=False))
-    return search.cited(hits, search.of_sources(nodes, hits), csl_of(spark, d)).select("node_id", "source_id", "score", "sha256", "section_path", "title", "citation_key")
+    return search.cited(hits, _nodes_of(spark, d, hits), csl_of(spark, d)).select("node_id", "source_id", "score", "sha256", "section_path", "title", "citation_key")
 
 
 @query(f"WITH {NODES}, {_bm25(_PREFIX)} SELECT node_id, source_id, score FROM scores ORDER BY score DESC, node_id LIMIT 10")
@@ -202,7 +206,7 @@ def bm25_topk_common(spark: SparkSession, d: str) -> DataFrame:
 def bm25_fielded(spark: SparkSession, d: str) -> DataFrame:
     """The best ten over text, title and section through the index, with the roots of their sources' trees."""
     hits = search.fetched(_index(spark, d).search("eriner src5", 10, fuzzy=False, prefix=False))
-    own = search.of_sources(_nodes(spark, d), hits)
+    own = _nodes_of(spark, d, hits)
     records = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"))
     csl = evidence.roots(own).select(F.col("source_id").alias("id"), F.col("root").alias("merkle_root")).join(records, "id")
     return search.cited(hits, own, csl).select("node_id", "source_id", "score", "title", "sha256", "merkle_root", "section_path")
@@ -243,7 +247,7 @@ def regex_search_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES} SELECT * EXCLUDE (paragraph), paragraph FROM nodes WHERE node_id = '7:p0' LIMIT 1")
 def node_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).where("node_id = '7:p0'").limit(1).drop("page")
+    return node_at(table(spark, d, "documents"), "7:p0").limit(1).drop("page")
 
 
 @query(f"WITH {NODES} SELECT node_id, source_id FROM nodes SEMI JOIN (SELECT doc_id::VARCHAR AS source_id FROM labels WHERE quality = 1) USING (source_id)")
@@ -357,13 +361,20 @@ def merkle_registry_match(spark: SparkSession, d: str) -> DataFrame:
     return evidence.roots(_nodes(spark, d)).groupBy("root").agg(F.count("*").alias("n"), F.array_join(sources, ",").alias("verified_sources"))
 
 
-@query(f"WITH {NODES} SELECT node_id, true AS hash_ok, true AS proof_ok, true AS valid FROM nodes")
+#: From each stored hash up along its proof.
+_WALKED = _PROOF + r""",
+    walk AS (SELECT node_id, 0 AS depth, sha256 AS h FROM nodes UNION ALL
+        SELECT w.node_id, w.depth + 1, CASE WHEN s.k % 2 = 0 THEN sha256(w.h || coalesce(s.l[s.k + 2], s.l[s.k + 1])) ELSE sha256(s.l[s.k] || w.h) END FROM walk w JOIN step s ON s.node_id = w.node_id AND s.depth = w.depth),
+    top AS (SELECT node_id, arg_max(h, depth) AS h FROM walk GROUP BY node_id)"""
+
+
+@query(f"WITH RECURSIVE {_WALKED} SELECT node_id, sha256(n.text) = n.sha256 AS hash_ok, h = root AS proof_ok, sha256(n.text) = n.sha256 AND h = root AS valid FROM nodes n JOIN top USING (node_id) JOIN roots USING (source_id)")
 def verify_node(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     return evidence.verify_nodes(nodes, nodes).select("node_id", "hash_ok", "proof_ok", "valid")
 
 
-@query(f"WITH {NODES} SELECT node_id FROM nodes WHERE paragraph = 1")
+@query(f"WITH RECURSIVE {_WALKED} SELECT node_id FROM nodes n JOIN top USING (node_id) JOIN roots USING (source_id) WHERE sha256(CASE WHEN paragraph = 1 THEN text || '!' ELSE text END) <> n.sha256 OR h <> root")
 def tamper_detect(spark: SparkSession, d: str) -> DataFrame:
     """The second line of each document is changed after its hash was taken."""
     nodes = _nodes(spark, d)
@@ -371,7 +382,7 @@ def tamper_detect(spark: SparkSession, d: str) -> DataFrame:
     return evidence.verify_nodes(changed, nodes).where("not valid").select("node_id")
 
 
-@query(f"WITH {NODES}, {CSL} SELECT node_id, CASE source_id::BIGINT % 7 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' WHEN 4 THEN 'L4' END AS failed_at, CASE WHEN source_id::BIGINT % 7 < 5 THEN 'rejected' ELSE 'pending_audit' END AS overall FROM nodes")
+@query()
 def verification_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Every passage as evidence; by source, one kind of fault for each rung, and two kinds without."""
     nodes = _nodes(spark, d)
@@ -407,6 +418,15 @@ _STYLES = {
 }
 
 
+ORACLES["verification_ladder"] = f"""WITH RECURSIVE {_WALKED}, {CSL}, rendered AS (SELECT id, {_STYLES['apa']} AS citation FROM csl),
+    item AS (SELECT node_id AS own, source_id, k, CASE WHEN k = 1 THEN node_id || 'x' ELSE node_id END AS node_id, CASE WHEN k = 2 THEN reverse(sha256) ELSE sha256 END AS sha, CASE WHEN k = 0 THEN '' ELSE source_id END AS key,
+        CASE WHEN k = 4 THEN 'other' ELSE citation END AS shown FROM (SELECT *, source_id::BIGINT % 7 AS k FROM nodes) JOIN rendered ON id = source_id),
+    judged AS (SELECT own, CASE WHEN i.node_id = '' OR i.source_id = '' OR sha = '' OR key = '' OR shown = '' THEN 'L0' WHEN stored.node_id IS NULL THEN 'L1' WHEN stored.sha256 <> sha THEN 'L2'
+        WHEN coalesce(CASE WHEN k = 3 THEN sha256(sha || 'ab') ELSE top.h END, '') <> root THEN 'L3' WHEN coalesce(citation, '') <> shown THEN 'L4' END AS failed_at
+        FROM item i LEFT JOIN nodes stored ON stored.node_id = i.node_id LEFT JOIN top ON top.node_id = i.own LEFT JOIN roots ON roots.source_id = i.source_id LEFT JOIN rendered ON rendered.id = i.key)
+    SELECT own AS node_id, failed_at, CASE WHEN failed_at IS NULL THEN 'pending_audit' ELSE 'rejected' END AS overall FROM judged"""
+
+
 def _style(name: str, style: str) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
         c = csl_of(spark, d)
@@ -497,6 +517,9 @@ def audit_retrieve(spark: SparkSession, d: str) -> DataFrame:
 _PADS = {p: "".join(f"{b ^ x:02X}" for b in KEY.ljust(64, b"\0")) for p, x in (("i", 0x36), ("o", 0x5C))}
 
 
+_OTHER_TEXT = "text || '!'"
+
+
 def _hmac(m: str) -> str:
     return f"sha256(unhex('{_PADS['o']}') || unhex(sha256(unhex('{_PADS['i']}') || encode({m}))))"
 
@@ -506,7 +529,7 @@ def hmac_sign(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", logs.signature(F.col("text"), KEY).alias("signature"))
 
 
-@query("SELECT item_id, item_id % 2 = 0 AS valid FROM benchmark")
+@query(f"SELECT item_id, {_hmac('text')} = CASE WHEN item_id % 2 = 0 THEN {_hmac('text')} ELSE {_hmac(_OTHER_TEXT)} END AS valid FROM benchmark")
 def hmac_verify(spark: SparkSession, d: str) -> DataFrame:
     """Odd items carry the signature of another text."""
     rows = table(spark, d, "benchmark").withColumn("signature", logs.signature(F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))), KEY))
@@ -716,7 +739,7 @@ def first_field(spark: SparkSession, d: str) -> DataFrame:
 def _found(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     hits = search.fetched(search.in_scope(_search(spark, d, WORDS, 20, fuzzy=False, prefix=False), _approved(spark, d)))
-    own = search.of_sources(nodes, hits)  # trees of the hits' sources only
+    own = _nodes_of(spark, d, hits)  # trees of the hits' sources only
     return evidence.verify_nodes(own.join(hits.select("node_id"), "node_id", "left_semi"), own).where("valid")
 
 
@@ -754,7 +777,7 @@ def tree_traverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES} SELECT node_id, source_id, match FROM (SELECT *, regexp_extract(text, '(?i)th[a-z]+', 0) AS match FROM nodes WHERE source_id = '7') WHERE match <> '' ORDER BY paragraph LIMIT 5")
 def regex_search_source(spark: SparkSession, d: str) -> DataFrame:
-    return search.regex_search(_nodes(spark, d), "th[a-z]+", "7", 5).select("node_id", "source_id", "match")
+    return search.regex_search(_nodes(spark, d, ["7"]), "th[a-z]+", "7", 5).select("node_id", "source_id", "match")
 
 
 _ODD_ID = "CASE c_custkey % 6 WHEN 0 THEN 'a-' || c_custkey WHEN 1 THEN c_name WHEN 2 THEN '_' || c_custkey WHEN 3 THEN repeat('A1b-', 1 + c_custkey::INT % 12) WHEN 4 THEN lower(c_mktsegment) || chr(10) ELSE 'primary' END"
@@ -840,20 +863,24 @@ def signature_trail(spark: SparkSession, d: str) -> DataFrame:
     return logs.signed_trail(rows, KEY).select("session_id", "entry", "message_hash", "signature")
 
 
-@query("SELECT n_regionkey AS region, arg_max('Nation ' || n_name, n_name) AS title, sum(CASE WHEN n_nationkey % 7 = 3 THEN 0 ELSE n_nationkey % 4 END)::BIGINT AS nodes, arg_max('root' || n_nationkey, n_name) FILTER (n_nationkey % 5 <> 1) AS root FROM nation WHERE n_nationkey % 8 <> 7 GROUP BY n_regionkey")
+@query("""SELECT s_nationkey AS region, arg_max('Supplier ' || s_suppkey, s_suppkey) AS title, sum(CASE WHEN s_suppkey % 7 = 3 THEN 0 ELSE s_suppkey % 4 END)::BIGINT AS nodes,
+    arg_max('root' || s_suppkey, s_suppkey) FILTER (s_suppkey % 5 <> 1) AS root FROM supplier WHERE s_suppkey % 8 <> 7 GROUP BY s_nationkey""")
 def json_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """A folder of JSON documents written from the nations (25 rows, whatever the scale) and scanned.
+    """A folder of JSON documents of the suppliers, written by tasks and scanned.
 
     Folders share ids, some documents and trees do not parse, and some folders have no record or a hidden name.
     """
-    base = fresh_folder(spark, "corpus")
-    for r in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
-        folder = f"{base}/{'.hidden ' if r.n_nationkey % 16 == 7 else ''}{r.n_name}"
-        nodes = [{"node_id": f"{r.n_nationkey}:{k}", "source_id": str(r.n_regionkey), "text": "t", "sha256": "s", "page": 1, "paragraph": k, "section_path": "/"} for k in range(r.n_nationkey % 4)]
-        write_text(spark, f"{folder}/document.json", "{broken" if r.n_nationkey % 7 == 3 else json.dumps({"nodes": nodes}, indent=1))
-        write_text(spark, f"{folder}/merkle.json", "[" if r.n_nationkey % 5 == 1 else json.dumps({"algorithm": "sha256", "leaf_count": 1, "levels": [["s"]], "root": f"root{r.n_nationkey}"}))
-        if r.n_nationkey % 16 != 15:
-            write_text(spark, f"{folder}/csl.json", json.dumps({"id": str(r.n_regionkey), "title": f"Nation {r.n_name}"}))
+    base, k = fresh_folder(spark, "corpus"), F.col("s_suppkey")
+    name = F.concat(F.lit(base), F.when(k % 16 == 7, "/.hidden ").otherwise("/"), F.lpad(k.cast("string"), 12, "0"))
+    region = F.col("s_nationkey").cast("string")
+    node = lambda i: F.struct(F.concat_ws(":", k.cast("string"), i.cast("string")).alias("node_id"), region.alias("source_id"), F.lit("t").alias("text"), F.lit("s").alias("sha256"), F.lit(1).alias("page"), i.alias("paragraph"), F.lit("/").alias("section_path"))
+    nodes = F.when(k % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), k % 4 - 1), node)).otherwise(F.array())
+    document = F.when(k % 7 == 3, "{broken").otherwise(F.to_json(F.struct(nodes.alias("nodes")), {"pretty": "true"}))
+    tree = F.struct(F.lit("sha256").alias("algorithm"), F.lit(1).alias("leaf_count"), F.array(F.array(F.lit("s"))).alias("levels"), F.concat(F.lit("root"), k.cast("string")).alias("root"))
+    merkle_json = F.when(k % 5 == 1, "[").otherwise(F.to_json(tree))
+    csl = F.when(k % 16 != 15, F.to_json(F.struct(region.alias("id"), F.concat(F.lit("Supplier "), k.cast("string")).alias("title"))))
+    files = F.explode(F.array(*(F.struct(F.concat(name, F.lit(f"/{file}.json")).alias("path"), text.alias("text")) for file, text in (("document", document), ("merkle", merkle_json), ("csl", csl)))))
+    write_files(table(spark, d, "supplier").select(files.alias("f")).select("f.*").where("text IS NOT NULL"))
     found = read_json_corpus(spark, base)
     per = found.nodes.groupBy(F.col("source_id").alias("key")).agg(F.count("*").alias("nodes"))
     rows = found.csl.join(per, "key", "left").join(found.merkle.select(F.col("source_id").alias("key"), "root"), "key", "left")

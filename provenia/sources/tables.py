@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,22 +111,32 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, through the file system that Spark reads it from."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+def write_files(files: DataFrame) -> int:
+    """Write small files (path, text), each by the task that holds its row; returns how many. Paths are URIs that all tasks reach."""
+
+    def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                fs, at = pafs.FileSystem.from_uri(path)
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "text").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def nodes_of(documents: DataFrame) -> DataFrame:
-    """Passages of documents: the lines that are not blank, numbered by line."""
+def nodes_of(documents: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """Passages of documents, or of some of them by source_id: the lines that are not blank, numbered by line.
+
+    Ids are compared as numbers before texts are cut into lines, so that they reach the scan; what is no number is no id.
+    """
+    if sources is not None:
+        documents = documents.where(F.col("doc_id").isin([int(s) for s in sources if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", s)]))
     lines = documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where("trim(text) <> ''")
     return lines.select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":p"), F.col("paragraph").cast("string")).alias("node_id"),
@@ -132,6 +145,13 @@ def nodes_of(documents: DataFrame) -> DataFrame:
     )
 
 
+def node_at(documents: DataFrame, node_id: str) -> DataFrame:
+    """The passage of an id, of which the document's part reaches the scan; no row for an id of another form."""
+    source, _, line = node_id.rpartition(":p")
+    rows = nodes_of(documents, [source])
+    return rows.where(F.col("paragraph") == int(line)) if re.fullmatch(r"0|[1-9][0-9]{0,8}", line) else rows.limit(0)
+
+
 def csl_of(spark: SparkSession, folder: str) -> DataFrame:
     """Bibliography records: documents with the orders of equal number as dates and customers as authors."""
     docs, orders, people = table(spark, folder, "documents").select("doc_id", "source", "lang"), table(spark, folder, "orders"), table(spark, folder, "customer")

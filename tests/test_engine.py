@@ -377,3 +377,15 @@ def test_work_folder_of_a_cluster_must_be_shared(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Cluster())
+
+
+def test_ids_of_passages_reach_the_scan(spark):
+    from provenia.sources.tables import node_at
+
+    docs = table(spark, SF, "documents")
+    for df, want in ((node_at(docs, "7:p0"), 1), (nodes_of(docs, ["3", "7", "x", "007"]), None)):
+        assert "doc_id" in df._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:80]
+        assert df.count() == want or want is None
+    assert {r.source_id for r in nodes_of(docs, ["3", "7", "x", "007"]).collect()} == {"3", "7"}
+    for odd in ("7", "7:p", "x:p0", "7:p-1", "7:p01", "", ":p", "99999999:p0"):
+        assert node_at(docs, odd).collect() == []
