@@ -12,6 +12,7 @@ from provenia.functions.text import INJECTION_PATTERNS, MAX_TEXT, citation, doi_
 from provenia.functions.text import first_field as first_of
 from provenia.functions.text import is_role, is_slug, is_workflow_id
 from provenia.operators import evidence, index, logs, merkle, monitor, patterns, search, workspace
+from provenia.sources import catalogue
 from provenia.sources.tables import csl_of, events_of, memory_of, node_at, nodes_of, read_json_corpus, read_jsonl, table, write_files
 from provenia.streaming.place import fresh_folder
 
@@ -475,6 +476,26 @@ def bibliographic_verify(spark: SparkSession, d: str) -> DataFrame:
     return workspace.bibliographic_status(records, pages.where(i % 2 == 0).select(doi.alias("doi"), "title")).select("page_id", "status", "method")
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+    r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '10.1/' || page_id END AS doi, CASE WHEN page_id % 5 < 4 THEN array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), ' ') END AS t FROM p),
+    k AS (SELECT page_id, CASE WHEN doi IS NOT NULL THEN 'doi:' || doi WHEN t <> '' THEN 'title:' || t END AS key FROM r),
+    held AS (SELECT 'doi:10.1/' || page_id AS key, title FROM p WHERE page_id % 2 = 0 UNION ALL SELECT 'title:' || array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), ' '), title FROM p WHERE page_id % 2 = 0),
+    one AS (SELECT key, min(title) AS title FROM held GROUP BY key)
+    SELECT page_id, CASE WHEN k.key IS NULL THEN 'unresolvable' WHEN ('0x' || substring(sha256(k.key), 1, 6))::INT % 64 % 11 = 3 THEN 'unavailable' WHEN one.key IS NOT NULL THEN 'verified' ELSE 'not_found' END AS status,
+        CASE WHEN k.key LIKE 'doi:%' THEN 'doi' WHEN k.key LIKE 'title:%' THEN 'title' END AS method,
+        CASE WHEN ('0x' || substring(sha256(k.key), 1, 6))::INT % 64 % 11 <> 3 THEN one.title END AS matched_title FROM k LEFT JOIN one ON k.key = one.key""")
+def bibliographic_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Pages looked up in a catalogue source that holds every second one; some of its shards are broken."""
+    path, i = fresh_folder(spark, "catalogue"), F.col("page_id")
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    doi = F.concat(F.lit("10.1/"), i.cast("string"))
+    catalogue.write_catalogue(pages.where(i % 2 == 0).select(doi.alias("doi"), "title"), path, 64)
+    broken = spark.range(64).where("id % 11 = 3").select(F.concat(F.lit(f"{path}/"), F.col("id").cast("string"), F.lit(".jsonl")).alias("path"), F.lit('{"key": ').alias("text"))
+    write_files(broken)
+    records = pages.select("page_id", F.when(i % 5 == 0, F.concat(F.lit("https://doi.org/"), doi)).alias("doi"), F.when(i % 5 < 4, F.concat("title", F.lit("!"))).alias("title"))
+    return catalogue.looked_up(records, catalogue.read_catalogue(spark, path, 64), 64).select("page_id", "status", "method", "matched_title")
+
+
 # ---------------------------------------------------------------- memory and logs
 
 
