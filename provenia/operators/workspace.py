@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,20 +114,39 @@ def active_workflows(states: DataFrame) -> DataFrame:
     return states.agg(F.count_if(~F.col("done")).alias("active_workflow_count"))
 
 
+def _on_path(own: DataFrame, parts: list[str]) -> DataFrame:
+    """The node to which names lead, as (enter, leave, depth) in one row or none; of siblings with a name the first counts."""
+    named = [(F.col("depth") == k) & ((F.col("id") == p) | (F.col("label") == p) | (F.col("heading") == p)) for k, p in enumerate(parts, 1)]
+    some = reduce(lambda a, b: a | b, named)
+    first = own.where(some).groupBy("source_id", "parent", "depth").agg(F.min_by(F.struct("enter", "leave"), "position").alias("x"))
+    first = first.select("source_id", "depth", "x.enter", "x.leave")
+    # A node has one ancestor on each level, so it is reached if as many of them are as there are levels above it.
+    ends, above = first.where(F.col("depth") == len(parts)), first.where(F.col("depth") < len(parts)).select("source_id", F.col("enter").alias("a"), F.col("leave").alias("z"))
+    over = ends.join(above, "source_id", "left").groupBy("enter", "leave", "depth").agg(F.count_if((F.col("a") <= F.col("enter")) & (F.col("enter") <= F.col("z"))).alias("n"))
+    return over.where(F.col("n") == len(parts) - 1).drop("n")
+
+
 def outline_at(outline: DataFrame, source_id: str, path: str) -> DataFrame:
     """Children of the node that a path of ids, labels or headings leads to, or that node if it has none.
 
-    '' and '/' give all nodes; a path that leads nowhere gives nothing. outline: see tables.read_outlines.
+    '' and '/' give all nodes; a path that leads nowhere gives nothing. outline: see tables.read_outlines. Children are
+    those of the next depth whose numbers lie between the node's; one job, whatever the length of the path.
     """
     own = outline.where(F.col("source_id") == source_id)
-    here = ""
-    for part in filter(None, path.split("/")):
-        named = (F.col("id") == part) | (F.col("label") == part) | (F.col("heading") == part)
-        found = own.where((F.col("parent") == here) & named).orderBy("position").select("path").first()
-        if found is None:
-            return own.limit(0)
-        here = found.path
-    if not here:
+    parts = [p for p in path.split("/") if p]
+    if not parts:
+        return own
+    here = _on_path(own, parts).select(F.col("enter").alias("__a"), F.col("leave").alias("__z"), F.col("depth").alias("__d"))
+    below = (F.col("depth") == F.col("__d") + 1) & (F.col("enter") > F.col("__a")) & (F.col("enter") <= F.col("__z"))
+    alone = (F.col("enter") == F.col("__a")) & (F.col("__a") == F.col("__z"))
+    return own.join(F.broadcast(here), below | alone).select(*own.columns)  # one row at most
+
+
+def outline_below(outline: DataFrame, source_id: str, path: str) -> DataFrame:
+    """The node that a path leads to and all below it, by one range of numbers."""
+    own = outline.where(F.col("source_id") == source_id)
+    parts = [p for p in path.split("/") if p]
+    if not parts:
         return own
-    children = own.where(F.col("parent") == here)
-    return own.where(F.col("path") == here) if children.isEmpty() else children
+    here = _on_path(own, parts).select(F.col("enter").alias("__a"), F.col("leave").alias("__z"))
+    return own.join(F.broadcast(here), F.col("enter").between(F.col("__a"), F.col("__z"))).select(*own.columns)  # one row at most

@@ -13,7 +13,7 @@ from provenia.functions.text import first_field as first_of
 from provenia.functions.text import is_role, is_slug, is_workflow_id
 from provenia.operators import evidence, index, logs, merkle, monitor, patterns, search, workspace
 from provenia.sources import catalogue
-from provenia.sources.tables import csl_of, events_of, memory_of, node_at, nodes_of, read_json_corpus, read_jsonl, table, write_files
+from provenia.sources.tables import csl_of, events_of, memory_of, node_at, nodes_of, read_json_corpus, read_jsonl, read_outlines, table, write_files
 from provenia.streaming.place import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,6 +796,24 @@ def tree_traverse(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- logs and files, read back
 
 
+@query("""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT DISTINCT conv_id::VARCHAR AS source_id, '' AS path, 0 AS depth, 0 AS enter, (2 * n)::INT AS leave, NULL::VARCHAR AS summary FROM t
+    UNION ALL SELECT conv_id::VARCHAR, '/turn ' || k, 1, (1 + 2 * k)::INT, (2 + 2 * k)::INT, NULL FROM t
+    UNION ALL SELECT conv_id::VARCHAR, '/turn ' || k || '/' || role, 2, (2 + 2 * k)::INT, (2 + 2 * k)::INT, text FROM t""")
+def outline_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """An outline file for each conversation, written by tasks; its nodes with their numbers from enter to leave."""
+    folder = fresh_folder(spark, "outlines")
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(said.alias("t"))
+    leaf = lambda t: F.array(F.struct(t["role"].alias("heading"), t["text"].alias("summary")))
+    children = F.transform("t", lambda t, k: F.struct(F.concat(F.lit("turn "), k.cast("string")).alias("label"), leaf(t).alias("children")))
+    name = F.col("conv_id").cast("string")
+    root = F.struct(F.struct(name.alias("id"), children.alias("children")).alias("root"))
+    write_files(turns.select(F.concat(F.lit(f"{folder}/"), name, F.lit(".json")).alias("path"), F.to_json(root).alias("text")))
+    return read_outlines(spark, folder).select("source_id", "path", "depth", "enter", "leave", "summary")
+
+
+
 @query(f"WITH {NODES} SELECT node_id, source_id, match FROM (SELECT *, regexp_extract(text, '(?i)th[a-z]+', 0) AS match FROM nodes WHERE source_id = '7') WHERE match <> '' ORDER BY paragraph LIMIT 5")
 def regex_search_source(spark: SparkSession, d: str) -> DataFrame:
     return search.regex_search(_nodes(spark, d, ["7"]), "th[a-z]+", "7", 5).select("node_id", "source_id", "match")

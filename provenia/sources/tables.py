@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,28 +83,58 @@ class JsonCorpus:
         return self._now
 
 
+OUTLINE_SCHEMA = "source_id string, path string, parent string, depth int, position int, id string, label string, heading string, summary string, page_range string, enter int, leave int"
+_SAID = ("id", "label", "heading", "summary", "page_range")
+
+
+def _as_text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def outline_rows(source_id: str, root: object) -> list[tuple]:
+    """Rows of OUTLINE_SCHEMA of a tree, in order of their numbers: one walk without recursion."""
+    rows: list[list] = []
+    todo: list[tuple] = [(root, None, 0, 0)]
+    while todo:
+        node, parent, depth, position = todo.pop()
+        if depth < 0:  # all below the row of this number has been seen
+            rows[position][-1] = len(rows) - 1
+            continue
+        said = [_as_text(node.get(c)) if isinstance(node, dict) else None for c in _SAID]
+        name = next((x for x in said[:3] if x is not None), str(position))
+        path = "" if depth == 0 else f"{parent}/{name}"
+        todo.append((None, None, -1, len(rows)))
+        rows.append([source_id, path, parent, depth, position, *said, len(rows), None])
+        children = node.get("children") if isinstance(node, dict) else None
+        todo += [(c, path, depth + 1, k) for k, c in reversed(list(enumerate(children)))] if isinstance(children, list) else []
+    return [tuple(r) for r in rows]
+
+
 def read_outlines(spark: SparkSession, folder: str, suffix: str = ".json") -> DataFrame:
     """Nodes of outline trees that another tool wrote, one file ``<source_id><suffix>`` a source.
 
     A file holds {"root": node}, and a node any of id, label, heading, summary, page_range and children. Columns:
-    source_id, path, parent, depth, position and these fields; the root's path is empty. Files that do not parse have no
-    rows. One pass for each level of the deepest tree.
+    source_id, path, parent, depth, position and these fields; the root's path is empty. enter numbers the nodes of a
+    tree from its root down, children in order, and leave is the last number below a node, so what lies below it are the
+    numbers from enter to leave. Files that do not parse have no rows. A file is parsed once, by one task.
     """
     files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}")
     name = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1))
-    roots = files.select(F.regexp_replace(name, re.escape(suffix) + "$", "").alias("source_id"), F.try_variant_get(F.try_parse_json("value"), "$.root", "variant").alias("node"))
-    level = roots.where("node is not null").select("source_id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("position"), "node")
-    out = None
-    while True:
-        said = {c: F.try_variant_get("node", f"$.{c}", "string").alias(c) for c in ("id", "label", "heading", "summary", "page_range")}
-        named = level.select("*", *said.values())
-        path = F.when(F.col("depth") == 0, "").otherwise(F.concat("parent", F.lit("/"), F.coalesce("id", "label", "heading", F.col("position").cast("string"))))
-        rows = named.select("source_id", path.alias("path"), "parent", "depth", "position", *said, "node")
-        out = rows.drop("node") if out is None else out.unionByName(rows.drop("node"))
-        children = F.posexplode(F.try_variant_get("node", "$.children", "array<variant>")).alias("position", "node")
-        level = rows.select("source_id", F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"), children)
-        if level.isEmpty():
-            return out
+    files = files.select(F.regexp_replace(name, re.escape(suffix) + "$", "").alias("source_id"), "value")
+
+    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for source, text in zip(batch.column("source_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                try:
+                    whole = json.loads(text)
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(whole, dict) and "root" in whole:
+                    rows = outline_rows(source, whole["root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (3, 4, 10, 11) else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names)
+
+    names = [f.strip().split(" ")[0] for f in OUTLINE_SCHEMA.split(",")]
+    return files.mapInArrow(parse, OUTLINE_SCHEMA)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -389,3 +389,48 @@ def test_ids_of_passages_reach_the_scan(spark):
     assert {r.source_id for r in nodes_of(docs, ["3", "7", "x", "007"]).collect()} == {"3", "7"}
     for odd in ("7", "7:p", "x:p0", "7:p-1", "7:p01", "", ":p", "99999999:p0"):
         assert node_at(docs, odd).collect() == []
+
+
+def test_outlines_by_numbers_equal_a_walk(spark, tmp_path):
+    """Trees at random, with names that repeat among siblings, against a walk over the JSON."""
+    rng = random.Random(12)
+
+    def grow(depth):
+        node = {k: rng.choice("abc") for k in ("id", "label", "heading") if rng.random() < 0.5}
+        if depth < 4 and rng.random() < 0.9:
+            node["children"] = [grow(depth + 1) if rng.random() < 0.95 else rng.choice([7, None, "x"]) for _ in range(rng.randint(0, 4))]
+        return node
+
+    trees = {f"s{k}": grow(0) for k in range(3)}
+    for name, tree in trees.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"root": tree}))
+    (tmp_path / "none.json").write_text("[1]")
+    out = read_outlines(spark, f"file://{tmp_path}").cache()
+
+    def name_of(node, k):
+        return next((str(node[f]) for f in ("id", "label", "heading") if isinstance(node, dict) and f in node), str(k))
+
+    def walk(tree, path):
+        """(path of each node below, its path) of where names lead; None if nowhere."""
+        node, at = tree, ""
+        for part in path:
+            for k, c in enumerate(node.get("children", []) if isinstance(node, dict) else []):
+                if isinstance(c, dict) and part in (c.get("id"), c.get("label"), c.get("heading")):
+                    node, at = c, f"{at}/{name_of(c, k)}"
+                    break
+            else:
+                return None
+        children = [f"{at}/{name_of(c, k)}" for k, c in enumerate(node.get("children", []))]
+        return children or [at]
+
+    for source, tree in trees.items():
+        for path in ["a", "a/b", "b/b/a", "a/c/b/a", "a/zz"]:
+            want = walk(tree, path.split("/"))
+            got = workspace.outline_at(out, source, path)
+            assert sorted(r.path for r in got.collect()) == sorted(want or []), (source, path)
+            below = workspace.outline_below(out, source, path).collect()
+            assert bool(below) == (want is not None) and len({r.enter for r in below}) == len(below) == (max(r.leave for r in below) - min(r.enter for r in below) + 1 if below else 0)
+    rows = {(r.source_id, r.enter): r for r in out.collect()}
+    for (source, enter), r in rows.items():
+        inside = [x for (s, e), x in rows.items() if s == source and r.enter < e <= r.leave]
+        assert all(x.depth > r.depth for x in inside) and (r.leave + 1 == sum(s == source for s, _ in rows) or rows[source, r.leave + 1].depth <= r.depth)
