@@ -948,3 +948,18 @@ def stream_agent_state(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
     return final_stream_states(events_of(source), f"{base}/out", f"{base}/checkpoint")
+
+
+_STAGE_AT_END = "CASE WHEN arg_max(fin, k) <> 'open' THEN arg_max(fin, k) WHEN arg_max(saved, k) + 172800000 < (SELECT max(ms) FROM c) THEN 'expired'"
+
+
+@query(ORACLES["workflow_state"][: ORACLES["workflow_state"].rindex("SELECT workflow_id, CASE WHEN")] + f"SELECT workflow_id, {_STAGE_AT_END} ELSE (['research', 'outline', 'draft', 'review'])[arg_max(stage, k) + 1] END AS stage, {_STAGE_AT_END} END IS NOT NULL AS done FROM r GROUP BY workflow_id")
+def stream_workflow_state(spark: SparkSession, d: str) -> DataFrame:
+    """Workflows from a stream over the events file; those whose time to live is over at its end expired without another event."""
+    from provenia.streaming.workflow import final_workflows
+
+    base = fresh_folder(spark, "stream")
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+    choice = F.when(F.col("event_type") == "view", "refine").when(F.col("event_type") == "error", "abort").otherwise("proceed")
+    choices = source.select(F.col("user_id").alias("workflow_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", choice.alias("choice"))
+    return final_workflows(choices, f"{base}/out", f"{base}/checkpoint", 172_800_000)
