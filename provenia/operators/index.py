@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass, replace
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -103,21 +102,27 @@ def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLOCK_SCHEMA = "term string, field string, level int, n long, max_tf long, min_tf long, min_size int, max_size int, max_impact double, min_impact double, postings array<struct<node_id:string,source_id:string,size:int,tf:long>>"
 
 
-def _shortened(term: Column) -> Column:
-    """The forms of a term with one character left out."""
-    return F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.length(term))))
+def shortened_forms(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` characters left out."""
+    out = last = {word}
+    for _ in range(most):
+        last = {f[:k] + f[k + 1 :] for f in last for k in range(len(f))}
+        out = out | last
+    return out
 
 
-def variants(terms: DataFrame) -> DataFrame:
-    """(form, term): hashes of the term itself, of its forms with one character left out and, from TWO_OUT characters on, with two."""
-    once = F.concat(F.array("term"), _shortened(F.col("term")))
-    twice = F.when(F.length("term") >= TWO_OUT, F.flatten(F.transform(_shortened(F.col("term")), _shortened))).otherwise(F.array().cast("array<string>"))
-    return terms.select(F.explode(F.array_distinct(F.concat(once, twice))).alias("form"), "term").select(F.xxhash64("form").alias("form"), "term")
+def _forms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for lo in range(0, batch.num_rows, 1024):
+            terms = batch.column("term").slice(lo, 1024)
+            forms = [list(shortened_forms(t, 2 if len(t) >= TWO_OUT else 1)) for t in terms.to_pylist()]
+            of = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+            yield pa.RecordBatch.from_arrays([pa.array([f for some in forms for f in some], pa.string()), terms.take(pa.array(of))], ["form", "term"])
 
 
-def shortened_forms(word: str, most: int) -> set[str]:
-    """The word with up to ``most`` characters left out."""
-    return {"".join(c for k, c in enumerate(word) if k not in out) for n in range(most + 1) for out in combinations(range(len(word)), n)}
+def variants(terms: DataFrame) -> DataFrame:
+    """(form, term): hashes of the term itself, of its forms with one character left out and, from TWO_OUT characters on, with two."""
+    return terms.mapInArrow(_forms, "form string, term string").select(F.xxhash64("form").alias("form"), "term")
 
 
 def _any(tests: list[Column]) -> Column:
@@ -213,7 +218,8 @@ class SearchIndex:
         strata = blocks.groupBy("term", "field", "level").agg(*_summed())
         strata.repartitionByRange("term").sortWithinPartitions("term", "field").write.option("parquet.block.size", 1 << 20).parquet(f"{at}/strata")
         strata = self.spark.read.parquet(f"{at}/strata")
-        variants(strata.select("term").distinct()).repartitionByRange("form").sortWithinPartitions("form").write.option("parquet.block.size", 1 << 20).parquet(f"{at}/variants")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # small as terms are, their forms are many
+        variants(strata.select("term").repartition(parts, "term").distinct()).sortWithinPartitions("form").write.option("parquet.block.size", 1 << 20).parquet(f"{at}/variants")
         postings = strata.agg(F.sum("n")).first()[0] or 0
         return replace(self, segments=(*self.segments, Segment(name, postings, figures)))
 
