@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from provenia.functions import integrity as I
 from provenia.functions.text import ROLES, citation, doi_key, first_field, in_text, redact
-from provenia.operators import evidence, index, logs, monitor, search, workspace
+from provenia.operators import evidence, index, logs, monitor, patterns, search, workspace
 from provenia.sources.store import Store, new_id
+from provenia.sources.tables import read_json_corpus
 
 HOUR = 3_600_000_000_000
 
@@ -74,6 +75,7 @@ class Engine:
     key: bytes | None = None
     ingest_root: str | None = None
     _index: index.SearchIndex | None = None
+    _patterns: patterns.PatternIndex | None = None
 
     # ------------------------------------------------------------ relations
     def _alive(self, log: str, base: DataFrame | None, source: str) -> DataFrame:
@@ -130,8 +132,15 @@ class Engine:
         return search.cited(hits, search.of_sources(self.nodes(), hits), self.sources())
 
     def regex_search(self, pattern: str, source_id: str | None = None, limit: object = 10, context_chars: object = 120) -> DataFrame:
+        if self._patterns is not None:
+            return self._scoped(self._patterns.search(pattern, source_id, limit_of(limit), limit_of(context_chars, 120)))
         return self._scoped(search.regex_search(self.nodes(), pattern, source_id, limit_of(limit), limit_of(context_chars, 120)))
 
+    def build_pattern_index(self) -> patterns.PatternIndex:
+        """Index all passages by trigrams; searches by pattern use it until documents come or go."""
+        self._patterns = patterns.build_pattern_index(self.nodes(), f"{self.store.root}/patterns/{new_id()}")
+        return self._patterns
+
     def node_lookup(self, node_id: str) -> DataFrame:
         found = self.nodes().where(F.col("node_id") == node_id).limit(1)
         row = found.select("source_id").first()
@@ -141,29 +150,56 @@ class Engine:
 
     def index_document(self, path: str, metadata: dict | None = None, force: bool = False) -> dict:
         """Ingest a text file: one passage for each line that is not blank. The source's id is the file's base name."""
+        self._inside(path)
+        name = re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1])
+        rows = _lines(self.spark.read.text(path, wholetext=True).select(F.lit(name).alias("source_id"), "value"))
+        said = {c: F.lit((metadata or {}).get(c)) for c in ("title", "year", "container", "doi")}
+        author = self.spark.createDataFrame([((metadata or {}).get("author") or [],)], "author array<struct<family:string,given:string>>")
+        self._ingest(rows, self.spark.range(1).select(F.lit(name).alias("id"), *(v.alias(c) for c, v in said.items())).join(F.broadcast(author)))  # one row
+        return {"status": "ingested", "source_id": name}
+
+    def index_documents(self, folder: str, pattern: str = "*.txt") -> dict:
+        """Ingest all text files of a folder in a few jobs, as index_document does one; a source for each base name."""
+        self._inside(folder)
+        files = self.spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
+        base = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1))
+        files = files.select(F.regexp_replace(base, r"\.[^.]*$", "").alias("source_id"), "value")
+        records = files.select(F.col("source_id").alias("id")).distinct()
+        return {"status": "ingested", "sources": self._ingest(_lines(files), records)}
+
+    def index_corpus(self, root: str) -> dict:
+        """Ingest a corpus of JSON documents (see tables.read_json_corpus): its passages and its records."""
+        self._inside(root)
+        found = read_json_corpus(self.spark, root)
+        year = F.get(F.get("issued.date-parts", F.lit(0)), F.lit(0))
+        records = found.csl.select("id", "title", year.alias("year"), F.col("container-title").alias("container"), F.col("DOI").alias("doi"), "author")
+        return {"status": "ingested", "sources": self._ingest(found.nodes, records)}
+
+    def _inside(self, path: str) -> None:
         clean = posixpath.normpath(path)
-        if self.ingest_root is not None and not clean.startswith(posixpath.normpath(self.ingest_root) + "/"):
+        if self.ingest_root is not None and not f"{clean}/".startswith(posixpath.normpath(self.ingest_root) + "/"):
             raise ToolError("INVALID_ARGUMENT", f"path: {path!r} lies outside {self.ingest_root}", "Give a file below the ingest root.")
-        name = re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1])
-        lines = self.spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("paragraph", "text")).where("trim(text) <> ''")
-        rows = lines.select(
-            F.concat(F.lit(f"{name}:p"), F.col("paragraph").cast("string")).alias("node_id"), F.lit(name).alias("source_id"), "text", F.sha2("text", 256).alias("sha256"),
-            F.lit(None).cast("int").alias("page"), "paragraph", F.lit("/").alias("section_path"),
-        )
-        self.store.append("deleted", [{"source_id": name}])  # an older edition gives way
-        self.store.append("nodes", rows.withColumn("at", F.lit(self.store.now())))
-        root = evidence.roots(rows).select("root").first()
-        self.store.append("sources", [{"id": name, "merkle_root": root.root if root else None, **{k: (metadata or {}).get(k) for k in ("title", "year", "container", "doi")}, "author": (metadata or {}).get("author") or []}])
+
+    def _ingest(self, nodes: DataFrame, records: DataFrame) -> int:
+        """Passages and records (id and any of a source's columns) in place of older editions; the index takes them in. Returns how many records."""
+        ids = records.select(F.col("id").alias("source_id")).distinct()
+        self.store.append("deleted", ids.withColumn("at", F.lit(self.store.now())))  # older editions give way
+        self.store.append("nodes", nodes.withColumn("at", F.lit(self.store.now())))
+        rooted = records.join(evidence.roots(nodes).select(F.col("source_id").alias("id"), F.col("root").alias("merkle_root")), "id", "left")
+        blank = self.store.read("sources").limit(0).drop("at")
+        self.store.append("sources", blank.unionByName(rooted, allowMissingColumns=True).withColumn("at", F.lit(self.store.now())))
+        self._patterns = None
         if self._index is not None:
-            titled = search.with_titles(rows.drop("at"), self.sources().where(F.col("id") == name))
-            self._index = self._index.delete([name]).add(titled).merged()
-        return {"status": "ingested", "source_id": name}
+            titled = search.with_titles(nodes, self.sources().join(ids.withColumnRenamed("source_id", "id"), "id", "left_semi"))
+            self._index = self._index.delete(ids).add(titled).merged()
+        return ids.count()
 
     def delete_document(self, source_id: str) -> dict:
         self._allowed(source_id)
         if self.sources().where(F.col("id") == source_id).isEmpty() and self.nodes().where(F.col("source_id") == source_id).isEmpty():
             return {"status": "not_found", "source_id": source_id}
         self.store.append("deleted", [{"source_id": source_id}])
+        self._patterns = None
         if self._index is not None:
             self._index = self._index.delete([source_id])
         return {"status": "deleted", "source_id": source_id}
@@ -587,6 +623,15 @@ class Engine:
 
 
 #: Tools that a host calls under a prefix only; they choose another tool or other defaults.
+def _lines(files: DataFrame) -> DataFrame:
+    """Passages of text files (source_id, value): the lines that are not blank, as rows of the nodes log but for their time."""
+    lines = files.select("source_id", F.posexplode(F.split("value", r"\r?\n")).alias("paragraph", "text")).where("trim(text) <> ''")
+    return lines.select(
+        F.concat(F.col("source_id"), F.lit(":p"), F.col("paragraph").cast("string")).alias("node_id"), "source_id", "text", F.sha2("text", 256).alias("sha256"),
+        F.lit(None).cast("int").alias("page"), "paragraph", F.lit("/").alias("section_path"),
+    )
+
+
 WRAPPERS = ("render", "argument_query")
 
 #: Names of all tools. Fixed values.

@@ -201,3 +201,28 @@ def test_trees_of_outside_tools(engine, tmp_path):
 def test_catalogue_answers(engine):
     engine.catalogue = engine.spark.createDataFrame([("10.1/x", "beta", 200)], "doi string, title string, http_status int")
     assert engine.call("bibliographic_verify", citation_key="beta") == {"key": "beta", "status": "verified", "method": "title"}
+
+
+def test_many_documents_in_one_call(engine, tmp_path):
+    (tmp_path / "many").mkdir()
+    for k in range(5):
+        (tmp_path / "many" / f"doc {k}.txt").write_text(f"plums of kind {k}\n\nsecond line {k}\n")
+    (tmp_path / "many" / "skip.md").write_text("plums")
+    engine.build_index()
+    assert engine.index_documents(f"file://{tmp_path}/many") == {"status": "ingested", "sources": 5}
+    hits = engine.call("search_documents", query="plums").collect()
+    assert {r.source_id for r in hits} == {f"doc {k}" for k in range(5)} and all(r.merkle_root for r in hits)
+    (tmp_path / "many" / "doc 1.txt").write_text("pears now\n")
+    engine.index_documents(f"file://{tmp_path}/many", "doc 1*")
+    assert {r.source_id for r in engine.call("search_documents", query="plums").collect()} == {f"doc {k}" for k in (0, 2, 3, 4)}
+    corpus = tmp_path / "corpus" / "c1"
+    corpus.mkdir(parents=True)
+    (corpus / "csl.json").write_text(json.dumps({"id": "c1", "title": "On melons", "issued": {"date-parts": [[1999]]}, "DOI": "10.1/m", "author": [{"family": "F", "given": "G"}]}))
+    (corpus / "document.json").write_text(json.dumps({"nodes": [{"node_id": "c1:p0", "source_id": "c1", "text": "sweet fruit", "sha256": "x", "page": 1, "paragraph": 0, "section_path": "/a"}]}))
+    assert engine.index_corpus(f"file://{tmp_path}/corpus")["sources"] == 1
+    assert [r.source_id for r in engine.call("search_documents", query="melons").collect()] == ["c1"]
+    assert engine.call("csl_render", citation_key="c1")["output"].startswith("F, G (1999). On melons.")
+    before = engine.call("regex_search", pattern="kind [0-9]").collect()
+    engine.build_pattern_index()
+    assert engine._patterns is not None and engine.call("regex_search", pattern="kind [0-9]").collect() == before != []
+    assert engine.call("delete_document", source_id="c1")["status"] == "deleted" and engine._patterns is None
