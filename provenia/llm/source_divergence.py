@@ -29,9 +29,10 @@ _COUNTS = "lang string, source string, term string, n long, docs long"
 
 def _counted(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, source: pa.Array) -> pa.RecordBatch:
     """_COUNTS of the texts of a part: each match with its text, counted by text and term, then by group and term."""
-    starts, ends, first = spans.word_spans(data, offsets, BETWEEN)
+    inside = ~BETWEEN[data]
+    starts, ends, first = spans.word_spans(np.where(inside, data, 32), offsets)
     bounds = np.concatenate([[0], np.cumsum(ends - starts)])
-    low = spans.LOWER[data[~BETWEEN[data]]]  # the terms on end
+    low = spans.LOWER[data[inside]]  # the terms on end
     terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(low)).dictionary_encode()
     size = max(len(terms.dictionary), 1)
     seen: dict[tuple, int] = {}
