@@ -86,7 +86,7 @@ class Tree:
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list<float> column in one array and where each list begins."""
+    """Values of a list column in one array and where each list begins."""
     size = np.asarray(column.value_lengths().fill_null(0))
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False)), np.concatenate([[0], np.cumsum(size)])
 
@@ -235,7 +235,8 @@ def _outside(classes: DataFrame, centres: dict[int, np.ndarray], threshold: floa
         if block is not None:
             yield rows(ids, ids, got)
 
-    marked, _ = work.save(classes.select("node", "weight", "v").mapInArrow(relate, "node long, weight long, v array<float>, ball int, whole array<int>, shell array<int>"), "marked")
+    of = classes.schema["v"].dataType.simpleString()
+    marked, _ = work.save(classes.select("node", "weight", "v").mapInArrow(relate, f"node long, weight long, v {of}, ball int, whole array<int>, shell array<int>"), "marked")
     members = marked.where("ball >= 0")
     balls = members.groupBy("ball").agg(F.sum("weight").alias("total"), F.min("node").alias("head"), F.count("*").alias("size"))
     balls, _ = work.save(balls.withColumn("blocks", F.ceil(F.col("size") / _MEMBERS).cast("int")), "balls")
@@ -264,26 +265,26 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: id, n_links, component_id, kept.
 
     n_links counts the other vectors (rows) found with a cosine of ``threshold`` or more; component_id is the least id
-    reachable by links. Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
+    reachable by links. Double vectors stay doubles. Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
     nor do vectors of different lengths. Rows with equal vectors link with each other; repeated rows count as
     vectors of their own. Null ids take part, with a null component only if no id of it is known. Other columns are
     ignored; no rows give no rows.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "embedding-dedup")
-    v = F.col(vector_col).cast("array<float>")
+    kind = "double" if vectors.schema[vector_col].dataType.simpleString() == "array<double>" else "float"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     # -0.0 and 0.0 are one value: the key is built from texts of the components after adding 0.0
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.transform(v, lambda e: e + F.lit(0.0).cast("float"))).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.transform(v, lambda e: e + F.lit(0.0).cast(kind))).alias("v"))
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda e: e.cast("string"))), 256)))
     good = rows.where("v is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min("v").alias("v"))
     numbered = good.withColumn("node", F.coalesce("rep", -1 - F.abs(F.xxhash64("key") % (1 << 62))))
     classes, _ = work.save(numbered, "classes")
-    picked = classes.select("v", hashed_rank("node", seed).alias("o")).orderBy("o").limit(sample).select("v").collect()
-    by_dim: dict[int, list] = {}
-    for r in picked:
-        by_dim.setdefault(len(r.v), []).append(r.v)
-    fits = {d: _normalised(np.array(some)) for d, some in by_dim.items()}
+    picked = classes.select("v", hashed_rank("node", seed).alias("o")).orderBy("o").limit(sample).select("v").toArrow()["v"]
+    values, first = _matrix(pa.concat_arrays(picked.chunks) if picked.num_chunks else pa.array([], pa.list_(pa.float32())))
+    size = np.diff(first)
+    fits = {d: _normalised(values[first[:-1][size == d][:, None] + np.arange(d)]) for d in np.unique(size).tolist()}
     centres = {d: dense_balls(fit, threshold, np.random.default_rng([seed, d, 1])) for d, fit in fits.items()}
     open_, linked, edges = _outside(classes, centres, threshold, work)
     levels = max(0, int(np.ceil(np.log2(max(open_.count(), 1) / leaf_size))))
@@ -352,7 +353,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if kept:
             yield links(kept)
 
-    dealt = open_.select("node", "weight", "v").mapInArrow(assign, "leaf long, leaves array<long>, node long, weight long, v array<float>")
+    dealt = open_.select("node", "weight", "v").mapInArrow(assign, f"leaf long, leaves array<long>, node long, weight long, v array<{kind}>")
     found = dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a long, b long, c long")
     found, _ = work.save(found, "links")
     counted = found.select(F.col("a").alias("node"), F.col("c").alias("linked"))

@@ -285,3 +285,13 @@ def test_substring_dedup_matches_brute_force(spark, window, core):
     assert sorted((g.doc_id, g.n_words, g.n_removed, g.kept_text) for g in got) == brute_cut(rows, window)
     assert all(g.n_removed == sum(s.end - s.start for s in g.removed) for g in got)
     assert substring_dedup(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_double_vectors_are_compared_as_doubles(spark):
+    """Components beyond the range of floats, and a pair whose cosine passes the threshold by less than a float can tell."""
+    rows = [(1, [1e300, 2e300, 0.0, 0.0]), (2, [2e300, 4e300, 0.0, 1e290]), (3, [1e-300, -2e-300, 3e-300, 0.0])]
+    s = 0.95 + 1e-12
+    rows += [(4, [0.0, 0.0, 0.0, 1.0]), (5, [0.0, 0.0, (1 - s * s) ** 0.5, s]), (6, [0.0, (1 - (s - 3e-12) ** 2) ** 0.5, 0.0, s - 3e-12])]
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+    assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
