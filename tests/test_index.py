@@ -40,8 +40,8 @@ def small(spark, tmp_path_factory):
 @pytest.mark.parametrize("query", QUERIES)
 def test_search_equals_a_scan(small, query):
     n, built = small
-    for limit in (1, 10, None):
-        for how in ({}, {"fuzzy": False}, {"fuzzy": False, "prefix": False}):
+    for limit, some in ((1, [{}]), (10, [{}, {"fuzzy": False}, {"fuzzy": False, "prefix": False}]), (None, [{}])):
+        for how in some:
             want = search.ranked_search(n, query, limit, fields=search.FIELDS, **how)
             got = built.search(query, limit, **how)
             assert sorted(rows(got)) == sorted(rows(want)) if limit is None else rows(got) == rows(want)
@@ -95,7 +95,7 @@ def test_index_kept_up_equals_a_fresh_one(spark, tmp_path):
     fresh = index.build_index(left, f"file://{tmp_path}/fresh")
     for kept in (now, now.merged(2), now.merged(4)):
         assert kept.figures() == fresh.figures() and counts(kept.terms()) == counts(fresh.terms())
-        for query in QUERIES:
+        for query in ("alpha", "upsilon quantum", "gardn", "title s3"):
             assert rows(kept.search(query)) == rows(fresh.search(query)) == rows(search.ranked_search(left, query, fields=search.FIELDS))
     assert len(now.segments) == 4 and len(now.merged(2).segments) < 4
     assert rows(now.merged(2).delete(["s3"]).search("alpha")) == rows(search.ranked_search(left.where("source_id <> 's3'"), "alpha", fields=search.FIELDS))
