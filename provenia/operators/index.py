@@ -1,9 +1,11 @@
 """An inverted index in immutable segments, for ranked search that reads only what can reach the best.
 
-A segment is written once, from the texts of the passages that came together, and holds four tables:
+A segment holds four tables. The first is written once, from the texts of the passages that came together; each of the others
+follows from those before it and is written by the first search that needs it, so segments that are merged before have none:
 
-- ``forward``: the terms of each passage, by source; a row with an empty term stands for the passage itself;
+- ``forward``: the different terms of each passage and field, a row each, by source;
 - ``blocks``: postings in blocks of one term and field, by falling impact level, each with its greatest frequency and least size;
+  a task sorts a bounded number of postings at a time, so a term lies in as many places as there are such runs at most;
 - ``strata``: the same figures summed by term, field and level, which is the vocabulary, too;
 - ``variants``: each term under hashes of its forms with one character left out, for longer terms also with two.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -67,39 +69,126 @@ def moved_impact(x: float, mean: float, now: float) -> tuple[float, float]:
     return min(ends), max(ends)
 
 
+#: So many postings are grouped at once by a task, and so many terms shortened.
+GROUPED, TERMS = 1 << 20, 50_000
+
+_FORWARD_SCHEMA = "node_id string, source_id string, field string, size int, passages long, terms array<string>, tfs array<long>"
+
+
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n > 1:
+        same = [pc.fill_null(pc.equal(c.slice(1), c.slice(0, n - 1)), False).to_numpy(zero_copy_only=False) for c in columns]
+        new[1:] = ~reduce(np.logical_and, same)
+    return new
+
+
+def _counted(rows: pa.Table, fields: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of _FORWARD_SCHEMA of passages with the words of each field; those of equal ids and size count together, as in a scan."""
+    ids = [rows.column(c).combine_chunks() for c in ("node_id", "source_id")]
+    run = np.cumsum(_starts(ids)) - 1
+    for k, field in enumerate(fields):
+        words = rows.column(f"w{k}").combine_chunks()
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = words.flatten().dictionary_encode()
+        _, first, group, copies = np.unique(run * (size.max() + 1) + size, return_index=True, return_inverse=True, return_counts=True)
+        most = max(len(codes.dictionary), 1)
+        pair, tf = np.unique(np.repeat(group, size) * most + codes.indices.to_numpy(), return_counts=True)
+        at = pa.array(np.searchsorted(pair // most, np.arange(len(first) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, x) for x in (codes.dictionary.take(pa.array(pair % most)), pa.array(tf.astype(np.int64)))]
+        own = [c.take(pa.array(first)) for c in ids]
+        yield pa.RecordBatch.from_arrays([*own, pa.array([field] * len(first)), pa.array(size[first].astype(np.int32)), pa.array(copies.astype(np.int64)), *lists], [c.split(" ")[0] for c in _FORWARD_SCHEMA.split(", ")])
+
+
 def _forward(nodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(node_id, source_id, field, size, term, tf); the empty term marks each field of each passage.
+    """(node_id, source_id, field, size, passages, terms, tfs): one row a passage and field, with its different terms.
 
-    Texts are dealt out by passage, so that terms need no shuffle of their own to be counted.
+    Texts are dealt out by passage and counted in Arrow batches, so that a task holds texts and never rows of terms.
     """
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("terms")) for f in fields))).alias("f")
-    cut = nodes.select("node_id", "source_id", *fields).repartition("node_id").select("node_id", "source_id", each).select("node_id", "source_id", "f.field", F.size("f.terms").alias("size"), "f.terms")
-    words = cut.select("node_id", "source_id", "field", "size", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
-    return words.groupBy("node_id", "source_id", "field", "size", "term").agg(F.count("*").alias("tf"))
+    words = [tokens(F.coalesce(f, F.lit(""))).alias(f"w{k}") for k, f in enumerate(fields)]
+    cut = nodes.select("node_id", "source_id", *fields).repartition("node_id").sortWithinPartitions("source_id", "node_id").select("node_id", "source_id", *words)
 
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of the last passage, which may go on
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            last = int(np.flatnonzero(_starts([rows.column(c).combine_chunks() for c in ("node_id", "source_id")]))[-1])
+            if last:
+                yield from _counted(rows.slice(0, last), fields)
+            rest = rows.slice(last).to_batches()
+        if rest:
+            yield from _counted(pa.Table.from_batches(rest), fields)
 
-def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted postings of one term, field and level as blocks of BLOCK postings at most."""
-    for batch in it:
-        n = batch.num_rows
-        if not n:
-            continue
-        new = np.ones(n, bool)
-        changes = [pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in ("term", "field", "level")]
-        new[1:] = changes[0] | changes[1] | changes[2]
-        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        at = np.flatnonzero((np.arange(n) - start) % BLOCK == 0)
-        tf, size, impact = (batch.column(c).to_numpy() for c in ("tf", "size", "impact"))
-        posting = pa.StructArray.from_arrays([batch.column(c) for c in ("node_id", "source_id", "size", "tf")], ["node_id", "source_id", "size", "tf"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, n).astype(np.int32)), posting)
-        first = pa.array(at)
+    return cut.mapInArrow(count, _FORWARD_SCHEMA)
+
+
+def _dealt(forward: DataFrame, *more: str) -> DataFrame:
+    """(term, tf) of rows of ``forward`` beside other columns; the empty term stands for the passages themselves."""
+    pairs = F.arrays_zip(F.concat("terms", F.array(F.lit(""))).alias("term"), F.concat("tfs", F.array("passages")).alias("tf"))
+    return forward.select(*more, F.explode(pairs).alias("x")).select(*more, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
+
+
+def _impacts(tf: np.ndarray, size: np.ndarray, mean: np.ndarray, r: Ranking) -> np.ndarray:
+    return tf / (tf + r.k * ((1 - r.b) + r.b * size / mean))
+
+
+_BLOCK_SCHEMA = "term string, field string, level int, n long, max_tf long, min_tf long, min_size int, max_size int, max_impact double, min_impact double, postings array<struct<node_id:string,source_id:string,size:int,tf:long>>"
+
+
+def _grouped(rows: pa.Table, means: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """Postings of forward rows, sorted, as blocks of at most BLOCK of one term, field and level."""
+    rows = rows.combine_chunks()
+    ids = [rows.column(c).combine_chunks() for c in ("node_id", "source_id")]
+    field, words = rows.column("field").combine_chunks().dictionary_encode(), rows.column("terms").combine_chunks()
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    n = len(row)
+    if not n:
+        return
+    codes, tf = words.flatten().dictionary_encode(), rows.column("tfs").combine_chunks().flatten().to_numpy()
+    rank = np.empty(len(codes.dictionary), np.int64)
+    rank[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(rank))
+    size, kind = rows.column("size").to_numpy()[row], field.indices.to_numpy()[row].astype(np.int64)
+    mean = np.array([means[f] for f in field.dictionary.to_pylist()])[kind]
+    impact = tf / (tf + Ranking().k * ((1 - Ranking().b) + Ranking().b * size / mean))
+    level = np.minimum(np.floor(impact * LEVELS), LEVELS - 1).astype(np.int64)
+    key = (rank[codes.indices.to_numpy()] * len(field.dictionary) + kind) * LEVELS + (LEVELS - 1 - level)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    at = np.flatnonzero((np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))) % BLOCK == 0)
+    for lo in range(0, len(at), 1 << 13):
+        some = at[lo : lo + (1 << 13) + 1]
+        end = some[-1] if len(some) > 1 << 13 else n
+        some = some[: 1 << 13]
+        own, bounds = order[some[0] : end], np.append(some, end) - some[0]
+        first, of = pa.array(order[some]), pa.array(row[own])
+        figures = ((tf[own], np.maximum), (tf[own], np.minimum), (size[own], np.minimum), (size[own], np.maximum), (impact[own], np.maximum), (impact[own], np.minimum))
+        posting = pa.StructArray.from_arrays([*(c.take(of) for c in ids), pa.array(size[own]), pa.array(tf[own])], ["node_id", "source_id", "size", "tf"])
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(first) for c in ("term", "field", "level")), pa.array(np.diff(np.append(at, n))), *(pa.array(f.reduceat(x, at)) for x, f in ((tf, np.maximum), (tf, np.minimum), (size, np.minimum), (size, np.maximum), (impact, np.maximum), (impact, np.minimum))), lists],
+            [codes.dictionary.take(codes.indices.take(first)), field.dictionary.take(pa.array(kind[order[some]])), pa.array(level[order[some]].astype(np.int32)), pa.array(np.diff(bounds)), *(pa.array(f.reduceat(x, bounds[:-1])) for x, f in figures), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), posting)],
             ["term", "field", "level", "n", *_BOUNDS, "postings"],
         )
 
 
-_BLOCK_SCHEMA = "term string, field string, level int, n long, max_tf long, min_tf long, min_size int, max_size int, max_impact double, min_impact double, postings array<struct<node_id:string,source_id:string,size:int,tf:long>>"
+def _blocks(means: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forward rows as sorted runs of blocks, of some GROUPED postings each: no posting is shuffled."""
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in it:
+            held.append(batch)
+            n += len(batch.column("terms").flatten())
+            if n >= GROUPED:
+                yield from _grouped(pa.Table.from_batches(held), means)
+                held, n = [], 0
+        if held:
+            yield from _grouped(pa.Table.from_batches(held), means)
+
+    return cut
 
 
 def shortened_forms(word: str, most: int) -> set[str]:
@@ -169,7 +258,10 @@ class SearchIndex:
     # ------------------------------------------------------------ parts
     def part(self, name: str, of: tuple[Segment, ...] | None = None) -> DataFrame | None:
         """A table of all segments, or of some, with the segment of each row; None without segments."""
-        folders = [f"{self.path}/{s.name}/{name}" for s in (self.segments if of is None else of)]
+        some = self.segments if of is None else of
+        for s in some if name != "forward" else ():
+            self._made(s, name)
+        folders = [f"{self.path}/{s.name}/{name}" for s in some]
         return self.spark.read.parquet(*folders).withColumn("segment", F.regexp_extract("_metadata.file_path", r"/(seg-[0-9a-f]+)/", 1)) if folders else None
 
     def _gone(self, name: str) -> DataFrame | None:
@@ -193,36 +285,49 @@ class SearchIndex:
 
     def terms(self) -> DataFrame:
         """(field, term, passages, occurrences) of all terms, as the index stands."""
-        rows = self._alive(self.part("blocks").select("segment", "term", "field", F.explode("postings").alias("p")).select("segment", "term", "field", "p.*"))
-        return rows.groupBy("field", "term").agg(F.count("*").alias("passages"), F.sum("tf").alias("occurrences"))
+        blocks = self.part("blocks").select("segment", "term", "field", "postings")
+        if self.deletions:
+            rows = self._alive(blocks.select("segment", "term", "field", F.explode("postings").alias("p")).select("segment", "term", "field", "p.source_id", "p.tf"))
+            return rows.groupBy("field", "term").agg(F.count("*").alias("passages"), F.sum("tf").alias("occurrences"))
+        tf = F.col("postings.tf")
+        rows = blocks.select("field", "term", F.size(tf).cast("long").alias("n"), F.aggregate(tf, F.lit(0).cast("long"), lambda a, x: a + x).alias("tf"))
+        return rows.groupBy("field", "term").agg(F.sum("n").alias("passages"), F.sum("tf").alias("occurrences"))
 
     # ------------------------------------------------------------ upkeep
     def _written(self, forward: DataFrame) -> SearchIndex:
         """The index with one more segment, of rows as in _forward."""
         name = f"seg-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
-        forward.sortWithinPartitions("source_id", "node_id").write.parquet(f"{at}/forward")
+        forward.write.parquet(f"{at}/forward")
         forward = self.spark.read.parquet(f"{at}/forward")
-        found = forward.where("term = ''").groupBy("field").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("size")).alias("total")).collect()
+        found = forward.groupBy("field").agg(F.sum("passages").alias("n"), F.sum(F.col("passages") * F.col("size")).alias("total")).collect()
         figures = {r["field"]: (r.n, r.total) for r in found}
-        r, mean = Ranking(), F.lit(1.0)
-        for f, (n, total) in figures.items():
-            mean = F.when(F.col("field") == f, F.lit(max(total / n, 1.0))).otherwise(mean)
-        impact = F.col("tf") / (F.col("tf") + F.lit(r.k) * (F.lit(1 - r.b) + F.lit(r.b) * F.col("size") / mean))
-        rows = forward.where("term <> ''").withColumn("impact", impact).withColumn("level", F.least(F.floor(F.col("impact") * LEVELS), F.lit(LEVELS - 1)).cast("int"))
-        order = ["term", "field", F.desc("level"), "node_id"]
-        sorted_rows = rows.select("term", "field", "level", "node_id", "source_id", "size", "tf", "impact").repartitionByRange(*order).sortWithinPartitions(*order)
-        # Small row groups: a search reads those of its terms and levels alone.
-        sorted_rows.mapInArrow(_blocks, _BLOCK_SCHEMA).write.option("parquet.block.size", 1 << 20).parquet(f"{at}/blocks")
-        blocks = self.spark.read.parquet(f"{at}/blocks")
-        strata = blocks.groupBy("term", "field", "level").agg(*_summed())
-        strata.repartitionByRange("term").sortWithinPartitions("term", "field").write.option("parquet.block.size", 1 << 20).parquet(f"{at}/strata")
-        strata = self.spark.read.parquet(f"{at}/strata")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # small as terms are, their forms are many
-        variants(strata.select("term").repartition(parts, "term").distinct()).sortWithinPartitions("form").write.option("parquet.block.size", 1 << 20).parquet(f"{at}/variants")
-        postings = strata.agg(F.sum("n")).first()[0] or 0
+        postings = forward.agg(F.sum(F.size("terms"))).first()[0] or 0
         return replace(self, segments=(*self.segments, Segment(name, postings, figures)))
 
+    def _made(self, s: Segment, name: str) -> None:
+        """Write a table of a segment that follows from others of it, if it is not there."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{s.name}/{x}") for x in (name, f"new-{uuid.uuid4().hex}"))
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            return
+        if name == "blocks":
+            means = {f: max(total / n, 1.0) for f, (n, total) in s.figures.items() if n}
+            rows = self.part("forward", (s,)).select("node_id", "source_id", "field", "size", "terms", "tfs").mapInArrow(_blocks(means), _BLOCK_SCHEMA)
+        elif name == "strata":
+            blocks = self.part("blocks", (s,)).select("term", "field", "level", "n", *_BOUNDS)
+            rows = blocks.repartitionByRange("term").groupBy("term", "field", "level").agg(*_summed()).sortWithinPartitions("term", "field")
+        else:
+            terms = self.part("strata", (s,)).select("term")
+            # Small as terms are, their forms are many: a task takes a bounded number of terms.
+            parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), terms.agg(F.approx_count_distinct("term")).first()[0] // TERMS + 1)
+            rows = variants(terms.repartition(parts, "term").distinct()).sortWithinPartitions("form")
+        # Small row groups: a search reads those of its terms and levels alone.
+        rows.write.option("parquet.block.size", 1 << 20).parquet(new.toString())
+        if fs.exists(at) or not fs.rename(new, at):  # another process was first
+            fs.delete(new, True)
+
     def add(self, nodes: DataFrame) -> SearchIndex:
         """The index with more passages, which must have the columns of its fields; reads these alone."""
         return self._written(_forward(nodes, self.fields))
@@ -239,7 +344,7 @@ class SearchIndex:
         name, forward = f"del-{uuid.uuid4().hex}", self._alive(forward)
         at = f"{self.path}/{name}"
         forward.select("segment", "source_id").distinct().write.parquet(f"{at}/sources")
-        counts = forward.groupBy("segment", "term", "field").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.sum(F.col("tf") * F.col("size")).alias("total"))
+        counts = _dealt(forward, "segment", "field", "size").groupBy("segment", "term", "field").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.sum(F.col("tf") * F.col("size")).alias("total"))
         counts.write.parquet(f"{at}/terms")
         found = self.spark.read.parquet(f"{at}/terms").where("term = ''").collect()  # one row a segment and field
         return replace(self, deletions=(*self.deletions, Deletion(name, {(r.segment, r["field"]): (r.tf, r.total) for r in found})))
@@ -247,12 +352,17 @@ class SearchIndex:
     def merged(self, fanout: int = 4) -> SearchIndex:
         """The index with segments of like size merged, ``fanout`` or more of them at a time, until no size has so many.
 
-        Sizes go by powers of ``fanout``, so a posting is written again as often as the index grew by that factor.
+        Sizes go by powers of ``fanout``, so a posting is written again as often as the index grew by that factor; merges that
+        would lead to another are taken together, so a call writes it once. Deletions may leave a size that merges again.
         """
-        tier = lambda s: int(math.log(max(s.postings, 1), fanout))
-        tiers = [[s for s in self.segments if tier(s) == t] for t in sorted({tier(s) for s in self.segments})]
-        some = next((tuple(t) for t in tiers if len(t) >= fanout), None)
-        return self if some is None else self._merge(some).merged(fanout)
+        tier = lambda group: int(math.log(max(sum(s.postings for s in group), 1), fanout))
+        groups: list[tuple[Segment, ...]] = [(s,) for s in self.segments]
+        while some := next((own for t in sorted({tier(g) for g in groups}) if len(own := [g for g in groups if tier(g) == t]) >= fanout), None):
+            groups = [g for g in groups if g not in some] + [tuple(s for g in some for s in g)]
+        out = self
+        for group in groups:
+            out = out._merge(group) if len(group) > 1 else out
+        return self if out is self else out.merged(fanout)
 
     def _merge(self, some: tuple[Segment, ...]) -> SearchIndex:
         forward = self._alive(self.part("forward", some)).drop("segment")

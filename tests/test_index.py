@@ -154,3 +154,37 @@ def test_impacts_under_another_mean():
         x, y = (tf / (tf + r.k * (1 - r.b + r.b * size / m)) for m in (mean, now))
         low, high = index.moved_impact(x, mean, now)
         assert low - 1e-12 <= y <= high + 1e-12
+
+
+def test_terms_are_counted_without_rows_of_terms_in_a_shuffle(spark, tmp_path):
+    n = passages(spark, 50)
+    plan = index._forward(n, search.FIELDS)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    built = index.build_index(n, f"file://{tmp_path}")
+    made = lambda: {x.name for x in (tmp_path / built.segments[0].name).iterdir()}
+    assert made() == {"forward"}
+    assert built.search("alpha", fuzzy=False).count() == 10 and made() == {"forward", "blocks", "strata"}
+    assert built.search("gardn").count() == 10 and made() == {"forward", "blocks", "strata", "variants"}
+
+
+def test_runs_of_postings_and_passages_twice(spark, tmp_path, monkeypatch):
+    n = passages(spark, 300)
+    n = n.unionByName(n.where("source_id = 's1'")).unionByName(n.where("source_id = 's1'").withColumn("text", F.concat("text", F.lit(" alpha"))))
+    monkeypatch.setattr(index, "GROUPED", 40)
+    monkeypatch.setattr(index, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        built = index.build_index(n, f"file://{tmp_path}")
+        for query in ("alpha", "upsilon quantum", "gardn"):
+            assert rows(built.search(query)) == rows(search.ranked_search(n, query, fields=search.FIELDS))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_merges_that_lead_to_others_write_once(spark, tmp_path, monkeypatch):
+    now, merges = index.SearchIndex(spark, f"file://{tmp_path}", ("text",)), []
+    for k, size in enumerate((8, 8, 16, 32)):
+        now = now.add(spark.range(size).selectExpr(f"'{k}:' || id AS node_id", f"'s{k}' AS source_id", "'w' || id AS text").coalesce(1))
+    monkeypatch.setattr(index.SearchIndex, "_merge", lambda self, some, real=index.SearchIndex._merge: merges.append(len(some)) or real(self, some))
+    after = now.merged(2)
+    assert merges == [4] and len(after.segments) == 1 and counts(after.terms()) == counts(now.terms())
