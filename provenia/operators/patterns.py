@@ -27,8 +27,8 @@ from provenia.operators.search import is_pattern, matched, ordered
 MOST = 32
 #: Rarest trigrams of a conjunction that are looked up; the others could only narrow further.
 RAREST = 4
-#: Places of a block of postings.
-BLOCK = 1024
+#: Places of a block of postings, and pairs of trigram and place that a task sorts at once.
+BLOCK, HELD = 1024, 1 << 21
 #: Candidates of the first round of a search with a limit; each further round takes eight times as many.
 AHEAD, ROUNDS = 256, 4
 
@@ -185,34 +185,46 @@ def _holds(f: Formula, column: dict[int, Column]) -> Column:
     return out
 
 
-def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, place) of the different trigrams of each passage (text, place)."""
-    for batch in it:
-        texts, places = batch.column("text").fill_null("").to_pylist(), batch.column("place").to_numpy()
-        size = np.array([len(t) for t in texts], np.int64)
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        points = np.where((points >= 65) & (points <= 90), points + 32, points)
-        passage = np.repeat(np.arange(len(texts)), size)
-        if len(points) < 3:
-            continue
-        inside = passage[2:] == passage[:-2]
-        grams, code = np.unique((points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside], return_inverse=True)
-        pair = np.unique(passage[2:][inside] * max(len(grams), 1) + code)
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[pair % len(grams)]), pa.array(places[pair // len(grams)])], ["gram", "place"])
+def _grams_of(texts: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, place) of the different trigrams of each passage, sorted."""
+    size = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    passage = np.repeat(np.arange(len(texts)), size)
+    if len(points) < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = passage[2:] == passage[:-2]
+    grams, code = np.unique((points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside], return_inverse=True)
+    pair = np.unique(code * len(texts) + passage[2:][inside])
+    return grams[pair // len(texts)], places[pair % len(texts)]
 
 
 def _lists(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (gram, place) as (gram, n, places), BLOCK places at most."""
+    """Passages (text, place) as runs of (gram, n, places), sorted by gram: some HELD pairs a run, BLOCK places a list at most."""
+
+    def run(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        gram, place = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        order = np.argsort(gram, kind="stable")
+        gram, place, n = gram[order], place[order], len(order)
+        new = np.append(True, gram[1:] != gram[:-1])
+        at = np.flatnonzero((np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))) % BLOCK == 0)
+        for lo in range(0, len(at), 1 << 13):
+            some = at[lo : lo + (1 << 13)]
+            bounds = np.append(some, at[lo + (1 << 13)] if lo + (1 << 13) < len(at) else n)
+            lists = pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(place[bounds[0] : bounds[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[some]), pa.array(np.diff(bounds)), lists], ["gram", "n", "places"])
+
+    held, n = [], 0
     for batch in it:
-        n = batch.num_rows
-        if n:
-            gram = batch.column("gram").to_numpy()
-            new = np.append(True, gram[1:] != gram[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            at = np.flatnonzero((np.arange(n) - start) % BLOCK == 0)
-            bounds = np.append(at, n)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), batch.column("place"))], ["gram", "n", "places"])
+        for lo in range(0, batch.num_rows, 1024):
+            own = batch.slice(lo, 1024)
+            held.append(_grams_of(own.column("text").fill_null("").to_pylist(), own.column("place").to_numpy()))
+            n += len(held[-1][0])
+            if n >= HELD:
+                yield from run(held)
+                held, n = [], 0
+    if n:
+        yield from run(held)
 
 
 @dataclass(frozen=True)
@@ -282,6 +294,7 @@ def build_pattern_index(nodes: DataFrame, path: str) -> PatternIndex:
     keys = ["s", "source_id", "paragraph", "node_id"]
     rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("s").withColumn("place", F.monotonically_increasing_id()).write.option("parquet.block.size", 4 << 20).parquet(f"{path}/passages")
     out = PatternIndex(spark, path)
-    pairs = out.passages.select("text", "place").mapInArrow(_cut, "gram long, place long")
-    pairs.repartitionByRange("gram", "place").sortWithinPartitions("gram", "place").mapInArrow(_lists, "gram long, n long, places array<long>").write.option("parquet.block.size", 1 << 20).parquet(f"{path}/grams")
+    lists = out.passages.select("text", "place").mapInArrow(_lists, "gram long, n long, places array<long>")
+    # Small row groups: a search reads those of its trigrams alone, of each run; no pair is shuffled.
+    lists.write.option("parquet.block.size", 1 << 20).parquet(f"{path}/grams")
     return out

@@ -87,3 +87,15 @@ def test_every_match_satisfies_the_formula(pattern, text):
     if re.search(pattern, text, re.IGNORECASE):
         low = "".join(c.lower() if c.isascii() else c for c in text)
         assert holds(patterns.formula_of(pattern), low)
+
+
+def test_pairs_are_sorted_in_runs_without_a_shuffle(spark, small, tmp_path, monkeypatch):
+    n, _ = small
+    dealt, real = [], type(n).repartitionByRange
+    monkeypatch.setattr(type(n), "repartitionByRange", lambda self, *keys: dealt.append(keys) or real(self, *keys))
+    monkeypatch.setattr(patterns, "HELD", 60)
+    monkeypatch.setattr(patterns, "BLOCK", 4)
+    built = patterns.build_pattern_index(n, f"file://{tmp_path}")
+    assert len(dealt) == 1 and "gram" not in dealt[0]
+    for pattern in ("worthless x", "(alpha|beta) (eta|x)", "zzz"):
+        assert built.search(pattern, limit=1000).collect() == search.regex_search(n, pattern, limit=1000).collect()
