@@ -434,3 +434,13 @@ def test_outlines_by_numbers_equal_a_walk(spark, tmp_path):
     for (source, enter), r in rows.items():
         inside = [x for (s, e), x in rows.items() if s == source and r.enter < e <= r.leave]
         assert all(x.depth > r.depth for x in inside) and (r.leave + 1 == sum(s == source for s, _ in rows) or rows[source, r.leave + 1].depth <= r.depth)
+
+
+def test_the_ladder_joins_digests_not_proofs(spark):
+    from provenia.operators.evidence import ladder
+
+    e = spark.createDataFrame([("n", "s", "h", ["right:h"], "k", "c")], "node_id string, source_id string, sha256 string, merkle_proof array<string>, citation_key string, citation_rendered string")
+    got = ladder(e, e.select("node_id", "sha256"), e.selectExpr("source_id", "sha256 AS root"), e.selectExpr("citation_key AS id", "citation_rendered AS citation"))
+    lines = got.select("node_id", "failed_at")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = max(k for k, line in enumerate(lines) if "Join" in line)
+    assert not any("merkle_proof" in line for line in lines[:last]) and got.first().failed_at == "L3" and "merkle_proof" in got.columns
