@@ -49,7 +49,8 @@ def matching(term: F.Column, word: str, r: Ranking, fuzzy: bool, prefix: bool) -
         weight = weight.when(term.startswith(word), F.lit(r.prefix_weight))
     distance = round(r.fuzzy * len(word))
     if fuzzy and distance:
-        weight = weight.when(F.levenshtein(term, F.lit(word), distance) >= 0, F.lit(r.fuzzy_weight))
+        near = (F.abs(F.length(term) - len(word)) <= distance) & (F.levenshtein(term, F.lit(word), distance) >= 0)
+        weight = weight.when(near, F.lit(r.fuzzy_weight))
     return weight
 
 
@@ -96,9 +97,11 @@ def ranked_search(nodes: DataFrame, query: str, limit: int | None = 10, fuzzy: b
     if not words:
         return nodes.limit(0).select("node_id", "source_id", F.lit(0.0).alias("score"))
     sized = _fields(nodes, fields)
-    hits = sized.select("node_id", "source_id", "field", "size", F.explode("terms").alias("term")).withColumn("m", _matches(words, r, fuzzy, prefix)).where(F.size("m") > 0)
+    found = F.filter("terms", lambda t: F.coalesce(*(matching(t, w, r, fuzzy, prefix) for w in words)).isNotNull())
+    hits = sized.select("node_id", "source_id", "field", "size", F.explode(found).alias("term")).withColumn("m", _matches(words, r, fuzzy, prefix))
     hits = hits.groupBy("node_id", "source_id", "field", "size", "term", "m").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))
+    # With tf the plan of the hits is the same on both sides of the join, so they are found and shuffled once.
+    df = hits.groupBy("term", "field").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weight = F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("weight")
     known = hits.join(df, ["term", "field"]).join(F.broadcast(_figures(sized)), "field")  # one row a field
     return best(scored(known.select("node_id", "source_id", "size", "tf", "df", "n", "mean", weight), r), limit)

@@ -436,6 +436,18 @@ def test_outlines_by_numbers_equal_a_walk(spark, tmp_path):
         assert all(x.depth > r.depth for x in inside) and (r.leave + 1 == sum(s == source for s, _ in rows) or rows[source, r.leave + 1].depth <= r.depth)
 
 
+def test_hits_of_a_scan_are_found_once(spark):
+    from provenia.operators.search import ranked_search
+
+    n = spark.createDataFrame([("a", "s", "mention ention"), ("b", "s", "antion")], "node_id string, source_id string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in ranked_search(n, "ention")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [r.node_id for r in ranked_search(n, "ention").collect()] == ["a", "b"]
+
+
 def test_the_ladder_joins_digests_not_proofs(spark):
     from provenia.operators.evidence import ladder
 
