@@ -436,6 +436,17 @@ def test_outlines_by_numbers_equal_a_walk(spark, tmp_path):
         assert all(x.depth > r.depth for x in inside) and (r.leave + 1 == sum(s == source for s, _ in rows) or rows[source, r.leave + 1].depth <= r.depth)
 
 
+def test_a_corpus_is_listed_once_for_its_three_kinds_of_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "csl.json").write_text('{"id": "x", "title": "T"}')
+    (tmp_path / "a" / "document.json").write_text('{"nodes": [{"node_id": "n", "source_id": "x"}]}')
+    (tmp_path / "a" / "merkle.json").write_text('{"root": "r"}')
+    reads, real = [], type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, *a, **k: reads.append(a) or real(self, *a, **k))
+    c = read_json_corpus(spark, str(tmp_path))
+    assert len(reads) == 1 and [r.title for r in c.csl.collect()] == ["T"] and [r.root for r in c.merkle.collect()] == ["r"] and c.nodes.count() == 1
+
+
 def test_hits_of_a_scan_are_found_once(spark):
     from provenia.operators.search import ranked_search
 
